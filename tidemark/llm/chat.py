@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
 Messages form trees by ``parent``. Iterative self-joins double the distance of every message's ancestor pointer, so a
-tree of depth d takes about log2(d) joins on unique message keys; each level also sums the scores it jumps over. The
-best leaves of a tree are ranked by the score of their branch, and the same levels, read from the highest to the
-lowest, enumerate the messages of each chosen branch without ever holding an array per message.
+tree of depth d takes about log2(d) joins on unique message keys, over ever fewer messages; each level also sums the
+scores it jumps over. Read from the highest to the lowest, the levels give the score of every leaf's branch, by which
+branches are ranked, and then enumerate the messages of each chosen branch without holding an array per message.
 
 Template: system, user and assistant turns become ``<<SYS>>…<</SYS>>``, ``[INST]…[/INST]`` and ``<s>…</s>`` blocks,
 any other role ``[ROLE name]…[/ROLE]``. Inside a text a ``\\`` goes before every ``\\``
@@ -123,23 +123,31 @@ def best_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
     cycle, ends the path: pointers to absent nodes count as roots, and members of a cycle have no root and no branch.
     """
     links = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = links.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    level = stored(links.join(known, "parent", "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps")))
-    levels = [level]
-    while not level.where(F.col("up").isNotNull()).isEmpty() and len(levels) < 40:
-        far = level.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        level = stored(
-            level.join(far, "up", "left").select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
+    known = links.select(F.col("node").alias("parent"))
+    jump = stored(links.join(known, "parent", "left_semi").select("node", F.col("parent").alias("up"), "score"))
+    jumps, nodes = [], None
+    while not jump.isEmpty():
+        nodes = links.count() if nodes is None else nodes
+        if 1 << len(jumps) > nodes:  # further back than there are messages: these run in circles
+            break
+        jumps.append(jump)
+        far = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"))
+        jump = stored(jump.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score")))
+    parents = links.select(F.col("parent").alias("node")).where(F.col("node").isNotNull())
+    leaves = links.join(parents, "node", "left_anti").join(jump.select("node"), "node", "left_anti")
+    climb = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("steps"))
+    for k in range(len(jumps) - 1, -1, -1):
+        climb = climb.join(jumps[k], "node", "left").select(
+            "tree", "leaf", F.coalesce("up", "node").alias("node"), (F.col("total") + F.coalesce("score", F.lit(0.0))).alias("total"), (F.col("steps") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("steps")
         )
-        levels.append(level)
-    parents = links.select(F.col("parent").alias("node")).where(F.col("node").isNotNull()).distinct()
-    leaves = level.where(F.col("up").isNull()).join(parents, "node", "left_anti")
-    rank = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("steps"), "node")
-    chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches).select("tree", "branch", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
-    path = stored(chosen)
-    for k in range(len(levels) - 2, -1, -1):
-        jump = levels[k].select("node", "up").where(F.col("up").isNotNull())
-        path = path.unionByName(path.join(jump, "node").select("tree", "branch", "leaf", F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth")))
+        climb = stored(climb) if k % 3 == 2 else climb
+    scored = climb.join(links.select("node", "score"), "node").select("tree", "leaf", "steps", (F.col("total") + F.col("score")).alias("score"))
+    rank = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("steps"), "leaf")
+    chosen = scored.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
+    path = stored(chosen.select("tree", "branch", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth")))
+    for k in range(len(jumps) - 1, -1, -1):
+        up = jumps[k].select("node", "up")
+        path = path.unionByName(path.join(up, "node").select("tree", "branch", "leaf", F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth")))
         path = stored(path) if k % 3 == 0 else path
     return path
 
