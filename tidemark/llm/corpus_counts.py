@@ -22,10 +22,10 @@ CHUNK_DOCS, CHUNK_KEYS, HEAVY = 2048, 1_000_000, 24
 RANGE_KEYS = 400_000
 
 
-def range_bits(docs: DataFrame, chars_per_key: float = 6.0) -> int:
+def range_bits(docs: DataFrame, range_keys: int = RANGE_KEYS, chars_per_key: float = 6.0) -> int:
     """Bits for as many ranges as the corpus needs, from the length of all its texts."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(chars / chars_per_key / RANGE_KEYS, 1))), 3, 30))
+    return int(np.clip(np.ceil(np.log2(max(chars / chars_per_key / range_keys, 1))), 4, 30))
 
 
 def row_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -53,3 +53,28 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
     return first, np.diff(np.r_[first, len(sorted_keys)])
+
+
+def chunk_rows(chunk: int, head_a: bytes, head_b: bytes, keys_of: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Rows of one chunk: ``keys_of`` has the 64-bit keys of each document, repeated keys count each time.
+
+    The chunk's own row keeps ``head_a``, ``head_b``, how often each heavy key occurs, and the documents of those.
+    A range's row has the light keys and their documents, the heavy keys and how often they occur.
+    """
+    keys = np.concatenate(keys_of)
+    doc = np.repeat(np.arange(len(keys_of), dtype="<u2"), [len(k) for k in keys_of])
+    order = np.argsort(keys, kind="stable")
+    keys, doc = keys[order], doc[order]
+    first, count = runs(keys)
+    many = count >= HEAVY
+    in_many = np.repeat(many, count)
+    heavy, heavy_count = keys[first[many]], count[many].astype("<u4")
+    light, light_doc = keys[~in_many], doc[~in_many]
+    rows = [(-1 - chunk, chunk, head_a, head_b, heavy_count.tobytes(), doc[in_many].tobytes())]
+    at, heavy_at = spans_of(light, bits).tolist(), spans_of(heavy, bits).tolist()
+    name, heavy_name = short(light, bits), short(heavy, bits)
+    for r in range(1 << bits):
+        a, b, x, y = at[r], at[r + 1], heavy_at[r], heavy_at[r + 1]
+        if b > a or y > x:
+            rows.append((r, chunk, name[a:b].tobytes(), light_doc[a:b].tobytes(), heavy_name[x:y].tobytes(), heavy_count[x:y].tobytes()))
+    return row_batch(rows)

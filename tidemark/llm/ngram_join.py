@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, stored, text_rows
 from tidemark.llm.components import components
-from tidemark.llm.corpus_counts import CHUNK_DOCS, CHUNK_KEYS, HEAVY, ROW, full, range_bits, row_batch, runs, short, spans_of
+from tidemark.llm.corpus_counts import CHUNK_DOCS, CHUNK_KEYS, ROW, chunk_rows, full, range_bits, runs
 
 _WORDS: dict[bytes, int] = {}
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -61,23 +61,8 @@ def _scatter(n: int, bits: int):
     """Chunks of documents: their keys by range, and what the chunk needs again under its own key."""
 
     def emit(chunk: int, ids: list, sets: list[np.ndarray]):
-        keys = np.concatenate(sets)
-        doc = np.repeat(np.arange(len(sets), dtype="<u2"), [len(s) for s in sets])
-        order = np.argsort(keys, kind="stable")
-        keys, doc = keys[order], doc[order]
-        first, count = runs(keys)
-        many = count >= HEAVY
-        in_many = np.repeat(many, count)
-        heavy, heavy_count = keys[first[many]], count[many].astype("<u4")
-        light, light_doc = keys[~in_many], doc[~in_many]
-        rows = [(-1 - chunk, chunk, np.array(ids, "<i8").tobytes(), np.array([len(s) for s in sets], "<i4").tobytes() + b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), heavy_count.tobytes(), doc[in_many].tobytes())]
-        at, heavy_at = spans_of(light, bits).tolist(), spans_of(heavy, bits).tolist()
-        name, heavy_name = short(light, bits), short(heavy, bits)
-        for r in range(1 << bits):
-            a, b, x, y = at[r], at[r + 1], heavy_at[r], heavy_at[r + 1]
-            if b > a or y > x:
-                rows.append((r, chunk, name[a:b].tobytes(), light_doc[a:b].tobytes(), heavy_name[x:y].tobytes(), heavy_count[x:y].tobytes()))
-        return row_batch(rows)
+        head = np.array([len(s) for s in sets], "<i4").tobytes() + b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+        return chunk_rows(chunk, np.array(ids, "<i8").tobytes(), head, sets, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -249,6 +234,14 @@ def _sizes(n: int):
 
 
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` without those that are in a component with a smaller doc_id."""
-    kept = join_documents(docs, n, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stored(kept), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, that of the smallest doc_id; rows that repeat doc_id and text become one.
+
+    Documents without words, and those with a null doc_id, stay.
+    """
+    found = stored(join_documents(docs, n, percent).where(F.col("doc_id").isNotNull()))
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(stored(dropped), "doc_id", "left_anti").select(*docs.columns)
+    repeated = stored(found.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
