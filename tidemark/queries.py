@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import window_queries  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
