@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans import window_queries  # noqa: F401
+from tidemark.plans import analysis_queries, window_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["res03_flagship_conditional_hit_rate"](spark, sf_dir)
