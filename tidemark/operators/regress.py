@@ -134,3 +134,11 @@ def granger(df: DataFrame, cause: str, effect: str, lags: int, by: str = "symbol
 def engle_granger(df: DataFrame, y: str, x: str, lags: int, by: str = "symbol", order: str = "ts") -> DataFrame:
     """ADF statistic of the residuals of y on x."""
     return adf(residuals(df, y, [x], by), "residual", lags, by, order)
+
+
+def attribution(df: DataFrame, y: str, xs: list[str], by: str = "symbol") -> DataFrame:
+    """Share of the variance of y that each factor explains: slope x covariance / variance, long form."""
+    fit = least_squares(df, y, xs, by).select(by, "beta")
+    moments = df.groupBy(by).agg(F.var_samp(y).alias("_v"), *[F.covar_samp(y, x).alias(f"_c{i}") for i, x in enumerate(xs)])
+    parts = F.array(*[F.struct(F.lit(x).alias("factor"), F.col("beta")[i + 1].alias("beta"), (F.col("beta")[i + 1] * F.col(f"_c{i}") / F.col("_v")).alias("share")) for i, x in enumerate(xs)])
+    return fit.join(moments, by).select(by, F.inline(parts))

@@ -12,9 +12,9 @@ from tidemark.sources.scratch import scratch
 
 
 def stream_table(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A Parquet path as a stream, ``files`` per batch."""
+    """A Parquet file or folder as a stream, ``files`` per batch; a pattern lets the path be a single file."""
     schema = spark.read.parquet(path).schema
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"})
 
 
