@@ -6,9 +6,11 @@ of each (the prefix). N-grams of one document are shared with none: they only fi
 on a prefix n-gram, pass a length and a positional filter, are made distinct, pass a suffix filter, and are verified
 once by their exact overlap.
 
-Only components are asked for, so a pair inside one component needs no verification. The first pass compares each class
-with at most two others that share its prefix n-grams; the second verifies all remaining pairs of one n-gram whose
-classes are still in different components.
+Only components are asked for, so a pair inside one component needs no verification. Some rounds compare each class with
+the two hubs that share most of its prefix n-grams, a hub being one member of an n-gram's list. Then every list whose
+classes are still in different components is searched for pairs, in blocks of a task's size: a pair that can be similar
+shares not one but several prefix n-grams (the prefix is longer than the pair's sizes ask for), and bitmaps of the
+prefixes bound how many it shares, so that lists of near copies that miss the threshold do not come out as rows.
 
 Defined results: a text with fewer words than n has its whole word sequence as one n-gram; without words, or for a null
 text, the set is empty and the document is linked with nothing; rows that repeat a doc_id are each in the result; a
@@ -182,40 +184,113 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return counted.groupBy("chunk").applyInPandas(_sets(percent), _SET)
 
 
+def needed(m, n, percent: int):
+    """Overlap that two sets of these sizes need."""
+    return F.ceil(percent * (m + n) / F.lit(100 + percent))
+
+
 def similar(m, n, i, j, percent: int):
     """Length and positional filter: with a shared n-gram at places i and j, can the overlap suffice?"""
-    need = F.ceil(percent * (m + n) / F.lit(100 + percent))
-    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.least(i, j) + 1 + F.least(m - i - 1, n - j - 1) >= need)
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.least(i, j) + 1 + F.least(m - i - 1, n - j - 1) >= needed(m, n, percent))
+
+
+BITS, BLOCK, BUNDLE = 1024, 512, 20_000
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the shared n-grams in each prefix, and by how many the bits fall short of the n-grams."""
+    for batch in batches:
+        maps, lost = [], []
+        for keys in batch.column("prefix").to_pylist():
+            bits = np.zeros(BITS, bool)
+            bits[mix(np.array(keys, np.int64).view(np.uint64)) % np.uint64(BITS)] = True
+            maps.append(np.packbits(bits).tobytes())
+            lost.append(len(keys) - int(bits.sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(maps, pa.binary()), pa.array(lost, pa.int32())], names=["x", "bits", "lost"])
+
+
+def _search(percent: int):
+    """Pairs of one list, or of two blocks of it, in different components that pass all filters on sizes and prefixes.
+
+    The first size - needed + k n-grams of two similar sets share k; so their prefixes, of the length size -
+    ceil(percent size / 100) + 1, share at least needed + 1 less the greater of those ceilings, and one of the shared
+    n-grams lies in the first size - needed + 1 of both.
+    """
+
+    def pairs(part: pd.DataFrame, crossed: bool):
+        x, n, at, component, lost, block = (part[c].to_numpy() for c in ("x", "n_x", "at_x", "component", "lost", "block"))
+        bits = np.frombuffer(b"".join(part["bits"]), "<u8").reshape(len(part), -1)
+        m, k = n[:, None].astype(np.int64), n[None, :].astype(np.int64)
+        need = -(-percent * (m + k) // (100 + percent))
+        fits = (x[:, None] < x[None, :]) if not crossed else (block[:, None] < block[None, :])
+        fits = fits & (component[:, None] != component[None, :]) & (100 * np.minimum(m, k) >= percent * np.maximum(m, k))
+        i, j = at[:, None].astype(np.int64), at[None, :].astype(np.int64)
+        fits &= (i <= m - need) & (j <= k - need)
+        a, b = np.nonzero(fits)
+        least = lambda size: -(-percent * size.astype(np.int64) // 100)
+        ask = need[a, b] + 1 - np.maximum(least(n[a]), least(n[b]))
+        share = np.zeros(len(a), np.int64)
+        for w in range(bits.shape[1]):
+            share += np.bitwise_count(bits[a, w] & bits[b, w])
+        kept = share + np.minimum(lost[a], lost[b]) >= ask
+        a, b = a[kept], b[kept]
+        return np.minimum(x[a], x[b]), np.maximum(x[a], x[b])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pairs(part, i != j) for (_, i, j), part in rows.groupby(["key", "i", "j"], sort=False)]
+        x, y = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"x": x, "y": y}).drop_duplicates()
+
+    return run
 
 
-def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 4) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id; documents link at a Jaccard similarity of ``percent`` / 100."""
     sets = stored(shingle_sets(docs, n, percent))
     classes = stored(sets.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")))
     own = stored(sets.where(F.size("prefix") > 0).join(classes.select("sig", "row"), ["sig", "row"]).select("row", "n", "ids", "prefix"))
     bodies = own.select("row", "n", "ids")
-    posts = own.select("row", "n", (F.col("n") - (F.length("ids") / 8).cast("int")).alias("first"), F.posexplode("prefix").alias("at", "key")).select("key", F.col("row").alias("x"), F.col("n").alias("n_x"), (F.col("first") + F.col("at")).alias("at_x"))
+    every = own.select("row", "n", (F.col("n") - (F.length("ids") / 8).cast("int")).alias("first"), F.posexplode("prefix").alias("at", "key")).select("key", F.col("row").alias("x"), F.col("n").alias("n_x"), (F.col("first") + F.col("at")).alias("at_x"))
+    lists = stored(every.groupBy("key").agg(F.count("*").alias("length")).where("length > 1").select("key"))
+    posts = stored(every.join(lists, "key", "left_semi"))
+    groups = None
+
+    def open_lists():
+        """Members, with their components, of lists whose members are in more than one."""
+        if groups is None:
+            return posts.withColumn("component", F.col("x"))
+        known = posts.join(groups.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        known = stored(known)
+        mixed = stored(known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"))
+        return stored(known.join(mixed, "key", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("ids").alias("ids_x"))
         right = bodies.select(F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("ids").alias("ids_y"))
         return stored(pairs.join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", "ids_x", "ids_y").mapInArrow(_overlaps(percent), "a long, b long"))
 
-    hub = F.min_by(F.struct(F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("at_x").alias("at_y")), F.xxhash64("x", "key"))
-    lists = stored(posts.groupBy("key").agg(F.count("*").alias("length"), hub.alias("hub")).where("length > 1").select("key", "hub.*"))
-    stars = posts.join(lists, "key").where((F.col("x") != F.col("y")) & similar(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y"), percent))
-    two = stars.groupBy("x").agg(F.min_by("y", F.struct("at_x", "y")).alias("p"), F.max_by("y", F.struct("at_x", "y")).alias("q"))
-    first = two.select("x", F.explode(F.array("p", "q")).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = verified(first)
-    groups = components(links)
-
-    open_posts = posts.join(lists.select("key"), "key", "left_semi").join(groups.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    open_posts = stored(open_posts)
-    mixed = stored(open_posts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"))
-    left = open_posts.join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("at_x").alias("at_y"), F.col("component").alias("component_y"))
-    rest = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.col("component") != F.col("component_y")) & similar(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y"), percent))
-    groups = components(links.unionByName(verified(rest.select("x", "y").distinct().join(first, ["x", "y"], "left_anti"))))
+    tried, links = None, None
+    for r in range(rounds):
+        members = open_lists()
+        hub = F.min_by(F.struct(F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("at_x").alias("at_y"), F.col("component").alias("component_y")), F.xxhash64("x", F.lit(r)))
+        hubs = stored(members.groupBy("key").agg(hub.alias("hub")).select("key", "hub.*"))
+        near = members.join(hubs, "key").where((F.col("component") != F.col("component_y")) & similar(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y"), percent))
+        shared = near.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
+        best = shared.groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("p"), F.max_by("y", F.struct(F.xxhash64("x", "y", F.lit(r)), "y")).alias("q"))
+        pairs = best.select("x", F.explode(F.array("p", "q")).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = stored(pairs.join(tried, ["x", "y"], "left_anti") if tried is not None else pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = verified(pairs)
+        links = found if links is None else links.unionByName(found)
+        groups = components(links)
+
+    members = open_lists().join(stored(own.select("row", "prefix").mapInArrow(_bitmaps, "x long, bits binary, lost int")), "x")
+    sized = stored(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    cut = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
+    dealt = cut.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "x", "n_x", "at_x", "component", "bits", "lost", "block")
+    bundles = max(1, cut.agg(F.sum("blocks")).first()[0] or 0) // BUNDLE + 1
+    rest = dealt.withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(int(bundles)))).groupBy("bundle").applyInPandas(_search(percent), "x long, y long").distinct()
+    groups = components(links.unionByName(verified(rest.join(tried, ["x", "y"], "left_anti"))))
 
     rooted = stored(classes.join(groups.withColumnsRenamed({"node": "row"}), "row", "left").select("sig", "least", F.coalesce("component", "row").alias("component")))
     least = stored(rooted.groupBy("component").agg(F.min("least").alias("component_id")))
