@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` cut down to the named columns and ``text`` as UTF-8 bytes, null text as empty."""
+    """``docs`` cut down to the named columns and ``text`` as UTF-8 bytes, null text as empty.
+
+    Texts go to Python workers in batches of bounded size, so that one worker holds few of them at a time.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
@@ -52,3 +59,24 @@ def mix(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker; asking for one drops those of other operators."""
+    for other in [k for k in _CACHES if k != name]:
+        del _CACHES[other]
+    return _CACHES.setdefault(name, {})
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` over batches, after which the worker gives memory that it no longer uses back to the machine."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+    return run

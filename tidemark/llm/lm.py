@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_rows
+from tidemark.llm.common import text_rows, tidy, worker_cache
 from tidemark.llm.corpus_counts import CHUNK_DOCS, CHUNK_KEYS, ROW, chunk_rows, full, range_bits, runs
 
 VOCABULARY_BITS = 17
@@ -36,17 +36,14 @@ START = 0
 SLICES, FAN_IN, RANGE_KEYS = 16, 256, 2_000_000
 TARGET = 1 << 61
 
-_WORDS: dict[bytes, int] = {}
-
-
 def words(text: bytes) -> np.ndarray:
     """Vocabulary buckets of the words, the start mark first; words are split and lower-cased as ASCII."""
-    known, out = _WORDS, [START]
+    known, out = worker_cache("lm"), [START]
     for w in text.lower().split():
         c = known.get(w)
         if c is None:
             c = 1 + xxhash.xxh3_64_intdigest(w) % ((1 << VOCABULARY_BITS) - 1)
-            if len(known) < 200_000:
+            if len(known) < 100_000:
                 known[w] = c
         out.append(c)
     return np.array(out, np.int64)
@@ -86,7 +83,7 @@ def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How often each bucket occurs, and how often as the first of a pair; of a fixed size."""
     rows, kind = text_rows(texts), "slice int, part int, sums binary, n int"
-    sums, n = rows.mapInArrow(_word_counts, kind), rows.rdd.getNumPartitions()
+    sums, n = rows.mapInArrow(tidy(_word_counts), kind), rows.rdd.getNumPartitions()
     while True:
         sums = sums.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("slice", "part").applyInPandas(_add, kind)
         n = -(-n // FAN_IN)
@@ -195,8 +192,8 @@ def score_documents(docs: DataFrame, target: DataFrame, prior: float = 5.0) -> D
     """Per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score. ``target``: text."""
     bits = range_bits(docs, RANGE_KEYS)
     models = docs.sparkSession.sparkContext.broadcast((Model(word_counts(target), prior), Model(word_counts(docs), prior)))
-    own = text_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(_scatter(bits, 0), ROW)
-    aim = text_rows(target.select(F.lit(0).cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(_scatter(bits, TARGET), ROW)
+    own = text_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(tidy(_scatter(bits, 0)), ROW)
+    aim = text_rows(target.select(F.lit(0).cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(tidy(_scatter(bits, TARGET)), ROW)
     losses = own.unionByName(aim).groupBy("key").applyInPandas(_losses(bits, models), ROW)
     scored = losses.groupBy("chunk").applyInPandas(_scores, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
     return scored.select("doc_id", "n_tokens", F.nanvl("target_loss", F.lit(None)).alias("target_loss"), F.nanvl("background_loss", F.lit(None)).alias("background_loss"), "score")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, text_rows
+from tidemark.llm.common import mix, text_rows, tidy, worker_cache
 
 MARK = "▁"
 CACHE_SEGMENTS = 60_000
@@ -199,13 +199,12 @@ class Lattices:
         return out, steps
 
 
-_VOCABULARIES: dict[tuple[str, float], Vocabulary] = {}
-
-
 def vocabulary(path: str, alpha: float) -> Vocabulary:
-    if (path, alpha) not in _VOCABULARIES:
-        _VOCABULARIES[path, alpha] = Vocabulary(path, alpha)
-    return _VOCABULARIES[path, alpha]
+    """One vocabulary per Python worker, file and alpha."""
+    kept = worker_cache("pieces")
+    if (path, alpha) not in kept:
+        kept[path, alpha] = Vocabulary(path, alpha)
+    return kept[path, alpha]
 
 
 def sample_texts(v: Vocabulary, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +213,7 @@ def sample_texts(v: Vocabulary, texts: list[str], keys: list[int]) -> tuple[np.n
     count = np.array([len(c) for c in cut], np.int64)
     segments = [s for c in cut for s in c]
     fresh = Lattices(v)
-    if new := sorted({s for s in segments if s not in v.known.first}):
+    if new := [s for s in dict.fromkeys(segments) if s not in v.known.first]:
         (v.known if len(v.known.first) < CACHE_SEGMENTS else fresh).add(new)
     ordinal = np.arange(len(segments)) - np.repeat(np.cumsum(count) - count, count)
     key = mix(np.repeat(np.array(keys, np.uint64), count) + mix(ordinal.astype(np.uint64)))
@@ -263,7 +262,7 @@ def _encode(path: str, alpha: float, seed: int):
 def encode_documents(docs: DataFrame, path: str, alpha: float = 0.5, seed: int = 11) -> DataFrame:
     """Per row: doc_id, n_pieces, ids_crc32, lossless (whether the ids decode to the text), ids."""
     id_type = dict(docs.dtypes)["doc_id"]
-    return text_rows(docs, "doc_id").mapInArrow(_encode(path, alpha, seed), f"doc_id {id_type}, n_pieces long, ids_crc32 long, lossless boolean, ids array<int>")
+    return text_rows(docs, "doc_id").mapInArrow(tidy(_encode(path, alpha, seed)), f"doc_id {id_type}, n_pieces long, ids_crc32 long, lossless boolean, ids array<int>")
 
 
 def decode_pieces(rows: DataFrame, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import is_held_out, mix, text_rows
+from tidemark.llm.common import is_held_out, mix, text_rows, tidy, worker_cache
 
 WORDS, SHAPES, DIM, SHAPE_DIM, REACH = 1 << 14, 1 << 9, 24, 8, 2
 THRESHOLD = 0.3
@@ -38,17 +38,14 @@ def shape(word: str) -> str:
     return case if word.isalpha() else case + word[:40].translate(_LETTERS)[:4]
 
 
-_CODES: dict[str, int] = {}
-
-
 def codes(text: str) -> np.ndarray:
     """word bucket * SHAPES + shape bucket of each word."""
-    known, out = _CODES, []
+    known, out = worker_cache("quality"), []
     for w in text.split():
         c = known.get(w)
         if c is None:
             c = (xxhash.xxh3_64_intdigest(w) % WORDS) * SHAPES + xxhash.xxh3_64_intdigest(shape(w)) % SHAPES
-            if len(known) < 200_000:
+            if len(known) < 100_000:
                 known[w] = c
         out.append(c)
     return np.array(out, np.int64)
@@ -110,7 +107,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Centred unit vectors of all word and shape buckets, from all documents; a few MB at any size of corpus."""
     parts = text_rows(docs)
     kind = "slice int, part int, sums binary"
-    sums, n = parts.mapInArrow(_contexts, kind), parts.rdd.getNumPartitions()
+    sums, n = parts.mapInArrow(tidy(_contexts), kind), parts.rdd.getNumPartitions()
     while True:
         sums = sums.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("slice", "part").applyInPandas(_add, kind)
         n = -(-n // FAN_IN)
@@ -236,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000):
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     votes = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = text_rows(docs.join(F.broadcast(sample), "doc_id"), "quality").mapInArrow(_features(vectors), "quality int, features binary").collect()
+    rows = text_rows(docs.join(F.broadcast(sample), "doc_id"), "quality").mapInArrow(tidy(_features(vectors)), "quality int, features binary").collect()
     rows = sorted((bytes(r["features"]), r["quality"]) for r in rows)
     x = np.array([np.frombuffer(f, "<f4") for f, _ in rows], float).reshape(-1, FEATURES)
     return vectors, fit(x, np.array([q for _, q in rows], float))
@@ -246,7 +243,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, t
     """Per row: doc_id, held_out, score, predicted. Labels of held-out documents (crc32 mod 5 is 0) are not used."""
     vectors, network = train(docs, labels.where(~is_held_out(F.col("doc_id"))), max_train)
     id_type = dict(docs.dtypes)["doc_id"]
-    rows = text_rows(docs, "doc_id").mapInArrow(_scored(vectors, network, threshold), f"doc_id {id_type}, score double, predicted int")
+    rows = text_rows(docs, "doc_id").mapInArrow(tidy(_scored(vectors, network, threshold)), f"doc_id {id_type}, score double, predicted int")
     return rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -262,4 +259,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, thres
             x = np.array([pooled(codes(t or ""), words, shapes) for t in batch.column("text").to_pylist()], float).reshape(-1, FEATURES)
             yield batch.filter(pa.array(network.scores(x) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    return docs.mapInArrow(tidy(run), schema)
