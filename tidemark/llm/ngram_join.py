@@ -6,11 +6,12 @@ of each (the prefix). N-grams of one document are shared with none: they only fi
 on a prefix n-gram, pass a length and a positional filter, are made distinct, pass a suffix filter, and are verified
 once by their exact overlap.
 
-Only components are asked for, so a pair inside one component needs no verification. Some rounds compare each class with
-the two hubs that share most of its prefix n-grams, a hub being one member of an n-gram's list. Then every list whose
-classes are still in different components is searched for pairs, in blocks of a task's size: a pair that can be similar
-shares not one but several prefix n-grams (the prefix is longer than the pair's sizes ask for), and bitmaps of the
-prefixes bound how many it shares, so that lists of near copies that miss the threshold do not come out as rows.
+Only components are asked for, so a pair inside one component needs no verification. First each class is compared with
+the hub that shares most of its prefix n-grams and one more, a hub being one member of an n-gram's list. Then every list
+whose classes are still in different components is searched for pairs, in blocks of a task's size: a pair that can be
+similar shares not one but several prefix n-grams (the prefix is longer than the pair's sizes ask for), and bitmaps of
+the prefixes bound how many it shares, so that lists of near copies that miss the threshold do not come out as rows.
+Some rounds take only each member's pairs that share most, as these most likely join components; the last takes all.
 
 Defined results: a text with fewer words than n has its whole word sequence as one n-gram; without words, or for a null
 text, the set is empty and the document is linked with nothing; rows that repeat a doc_id are each in the result; a
@@ -30,22 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, stored, text_rows
+from tidemark.llm.common import mix, stored, text_rows, tidy, worker_cache
 from tidemark.llm.components import components
 from tidemark.llm.corpus_counts import CHUNK_DOCS, CHUNK_KEYS, ROW, chunk_rows, full, range_bits, runs
 
-_WORDS: dict[bytes, int] = {}
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; words are split and lower-cased as ASCII."""
-    known, codes = _WORDS, []
+    known, codes = worker_cache("ngram"), []
     for w in text.lower().split():
         c = known.get(w)
         if c is None:
             c = xxhash.xxh3_64_intdigest(w)
-            if len(known) < 200_000:
+            if len(known) < 100_000:
                 known[w] = c
         codes.append(c)
     if not codes:
@@ -179,7 +179,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row: row, doc_id, n (size of its set), sig (digest of the set), ids (shared keys, rarest first), prefix."""
     bits = range_bits(docs)
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = text_rows(own, "doc_id").mapInArrow(_scatter(n, bits), ROW)
+    rows = text_rows(own, "doc_id").mapInArrow(tidy(_scatter(n, bits)), ROW)
     counted = rows.groupBy("key").applyInPandas(_count, ROW)
     return counted.groupBy("chunk").applyInPandas(_sets(percent), _SET)
 
@@ -209,12 +209,13 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(maps, pa.binary()), pa.array(lost, pa.int32())], names=["x", "bits", "lost"])
 
 
-def _search(percent: int):
+def _search(percent: int, best: int | None = None):
     """Pairs of one list, or of two blocks of it, in different components that pass all filters on sizes and prefixes.
 
     The first size - needed + k n-grams of two similar sets share k; so their prefixes, of the length size -
     ceil(percent size / 100) + 1, share at least needed + 1 less the greater of those ceilings, and one of the shared
-    n-grams lies in the first size - needed + 1 of both.
+    n-grams lies in the first size - needed + 1 of both. With ``best``, a member keeps that many of its pairs, those that
+    share most.
     """
 
     def pairs(part: pd.DataFrame, crossed: bool):
@@ -233,7 +234,15 @@ def _search(percent: int):
         for w in range(bits.shape[1]):
             share += np.bitwise_count(bits[a, w] & bits[b, w])
         kept = share + np.minimum(lost[a], lost[b]) >= ask
-        a, b = a[kept], b[kept]
+        a, b, share = a[kept], b[kept], share[kept]
+        if best and len(a):
+            keep = np.zeros(len(a), bool)
+            for side in (a, b):
+                order = np.lexsort((-share, side))
+                first, length = runs(side[order])
+                place = np.arange(len(order)) - np.repeat(first, length)
+                keep[order[place < best]] = True
+            a, b = a[keep], b[keep]
         return np.minimum(x[a], x[b]), np.maximum(x[a], x[b])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +253,7 @@ def _search(percent: int):
     return run
 
 
-def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 4) -> DataFrame:
+def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id; documents link at a Jaccard similarity of ``percent`` / 100."""
     sets = stored(shingle_sets(docs, n, percent))
     classes = stored(sets.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")))
@@ -267,30 +276,34 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int =
     def verified(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("row").alias("x"), F.col("n").alias("n_x"), F.col("ids").alias("ids_x"))
         right = bodies.select(F.col("row").alias("y"), F.col("n").alias("n_y"), F.col("ids").alias("ids_y"))
-        return stored(pairs.join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", "ids_x", "ids_y").mapInArrow(_overlaps(percent), "a long, b long"))
-
-    tried, links = None, None
-    for r in range(rounds):
+        return stored(pairs.join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", "ids_x", "ids_y").mapInArrow(tidy(_overlaps(percent)), "a long, b long"))
+
+    members = open_lists()
+    hub = F.min_by(F.struct(F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("at_x").alias("at_y")), F.xxhash64("x"))
+    hubs = stored(members.groupBy("key").agg(hub.alias("hub")).select("key", "hub.*"))
+    near = members.join(hubs, "key").where((F.col("x") != F.col("y")) & similar(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y"), percent))
+    best = near.groupBy("x", "y").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("p"), F.max_by("y", F.struct(F.xxhash64("x", "y"), "y")).alias("q"))
+    tried = stored(best.select("x", F.explode(F.array("p", "q")).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    links = verified(tried)
+    groups = components(links)
+    bitmaps = stored(own.select("row", "prefix").mapInArrow(tidy(_bitmaps), "x long, bits binary, lost int"))
+
+    def searched(best: int | None) -> DataFrame:
+        """New pairs of the lists that are still open, ``best`` for each member and list or all."""
         members = open_lists()
-        hub = F.min_by(F.struct(F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("at_x").alias("at_y"), F.col("component").alias("component_y")), F.xxhash64("x", F.lit(r)))
-        hubs = stored(members.groupBy("key").agg(hub.alias("hub")).select("key", "hub.*"))
-        near = members.join(hubs, "key").where((F.col("component") != F.col("component_y")) & similar(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y"), percent))
-        shared = near.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
-        best = shared.groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("p"), F.max_by("y", F.struct(F.xxhash64("x", "y", F.lit(r)), "y")).alias("q"))
-        pairs = best.select("x", F.explode(F.array("p", "q")).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = stored(pairs.join(tried, ["x", "y"], "left_anti") if tried is not None else pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verified(pairs)
-        links = found if links is None else links.unionByName(found)
+        sized = stored(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("length")))
+        rows = sized.agg(F.sum(F.col("blocks") * F.col("length"))).first()[0] or 0
+        cut = members.join(bitmaps, "x").join(sized.drop("length"), "key").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
+        dealt = cut.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "x", "n_x", "at_x", "component", "bits", "lost", "block")
+        bundle = F.pmod(F.xxhash64("key", "i", "j"), F.lit(int(rows) // BUNDLE + 1))
+        return dealt.withColumn("bundle", bundle).groupBy("bundle").applyInPandas(_search(percent, best), "x long, y long").distinct().join(tried, ["x", "y"], "left_anti")
+
+    for _ in range(rounds):
+        pairs = stored(searched(2))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(verified(pairs))
         groups = components(links)
-
-    members = open_lists().join(stored(own.select("row", "prefix").mapInArrow(_bitmaps, "x long, bits binary, lost int")), "x")
-    sized = stored(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    cut = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
-    dealt = cut.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "x", "n_x", "at_x", "component", "bits", "lost", "block")
-    bundles = max(1, cut.agg(F.sum("blocks")).first()[0] or 0) // BUNDLE + 1
-    rest = dealt.withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(int(bundles)))).groupBy("bundle").applyInPandas(_search(percent), "x long, y long").distinct()
-    groups = components(links.unionByName(verified(rest.join(tried, ["x", "y"], "left_anti"))))
+    groups = components(links.unionByName(verified(searched(None))))
 
     rooted = stored(classes.join(groups.withColumnsRenamed({"node": "row"}), "row", "left").select("sig", "least", F.coalesce("component", "row").alias("component")))
     least = stored(rooted.groupBy("component").agg(F.min("least").alias("component_id")))
