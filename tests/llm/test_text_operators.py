@@ -56,6 +56,25 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert clean[101] == "  at [EMAIL] today" and clean[5] == "filler text number 5" and len(clean) == len(docs)
 
 
+def test_spans_stay_with_their_text_when_partitions_change(spark, tmp_path):
+    docs = [(i, f"note {i} " * (i % 5) + (f"to u{i}@m{i}.org now" if i % 3 else "plain words only")) for i in range(64)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    files = "spark.sql.files."
+    apart = {"maxPartitionBytes": "64k", "openCostInBytes": "64k", "minPartitionNum": "8"}
+    together = {"maxPartitionBytes": "1g", "openCostInBytes": "1", "minPartitionNum": "1"}
+    try:
+        for k, v in apart.items():
+            spark.conf.set(files + k, v)
+        clean = pii.sanitise(spark.read.parquet(f"{tmp_path}/docs"))
+        for k, v in together.items():
+            spark.conf.set(files + k, v)
+        got = {r.doc_id: r.text for r in clean.collect()}
+    finally:
+        for k in apart:
+            spark.conf.unset(files + k)
+    assert got == {i: t.replace(f"u{i}@m{i}.org", "[EMAIL]") for i, t in docs}
+
+
 def test_secret_kinds_and_confirmation():
     token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256"}).encode(), b'{"a":1}', b"signature"))
     der = bytes([0x30, 0x2E, 0x02, 0x01, 0x00, 0x04, 0x29]) + bytes(41)

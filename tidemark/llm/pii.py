@@ -142,12 +142,13 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95, row: str | None = None) -> DataFrame:
     """Per input row: row, doc_id, counts by kind, base spans with their digest, and the disclosing terms.
 
-    ``terms`` is array<struct<start, end, action>>; ``row`` numbers the rows of ``docs``.
+    ``terms`` is array<struct<start, end, action>>. ``row`` is the column of ``docs`` that numbers its rows; without one
+    they are numbered for the result alone, and those numbers must not be joined to another scan of ``docs``.
     """
-    text = text_rows(docs.withColumn("row", F.monotonically_increasing_id()), "row", "doc_id")
+    text = text_rows(docs.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()), "row", "doc_id")
     id_type = dict(docs.dtypes)["doc_id"]
     found = stored(text.mapInArrow(tidy(_scan), f"row long, doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, context array<struct<entity: long, term: long, start: long, end: long>>"))
     near = found.where(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.*")
@@ -223,10 +224,12 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitise(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``; other columns as they were.
 
-    Only rows with spans travel to Python again; the spans meet their row by the row number of the same scan.
+    The rows are numbered once and stored with their number: numbers that two scans give separately differ as soon as
+    the partitions do. Only rows with spans travel to Python again.
     """
-    found = find_personal_data(docs, **parameters).where((F.col("base") != "") | F.col("terms").isNotNull()).select(F.col("row").alias(_ROW), F.col("base").alias(_BASE), F.col("terms").alias(_TERMS))
-    marked = docs.withColumn(_ROW, F.monotonically_increasing_id()).join(found, _ROW, "left").drop(_ROW)
+    numbered = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    found = find_personal_data(numbered, row=_ROW, **parameters).where((F.col("base") != "") | F.col("terms").isNotNull()).select(F.col("row").alias(_ROW), F.col("base").alias(_BASE), F.col("terms").alias(_TERMS))
+    marked = numbered.join(found, _ROW, "left").drop(_ROW)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     untouched = marked.where(F.col(_BASE).isNull()).select(*docs.columns)
     return untouched.unionByName(marked.where(F.col(_BASE).isNotNull()).mapInArrow(tidy(_apply), schema).select(*docs.columns))
