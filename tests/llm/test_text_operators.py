@@ -56,6 +56,27 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert clean[101] == "  at [EMAIL] today" and clean[5] == "filler text number 5" and len(clean) == len(docs)
 
 
+def test_terms_far_from_their_entity_are_found_and_replaced_everywhere(spark):
+    far = "common words in between " * 40
+    docs = [(i, f"common words in between number {i}") for i in range(60)]
+    docs += [(100 + i, f"Dear Quillmoor, {far} write to q@m.org and Quillmoor answers") for i in range(4)] + [(300, "only Quillmoor here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("Quillmoor" in t for t in clean.values())
+    assert all(clean[i] == t for i, t in docs if i < 100)
+    assert clean[300] in ("only <word> here", "only  here") and "common words in between" in clean[100]
+    words = {i: {w.strip(pii.EDGE).lower() for w in t.split()} for i, t in docs}
+    n, holding = len(docs), [i for i, t in docs if "q@m.org" in t]
+    ratio = {}
+    for w in set().union(*(words[i] for i in holding)) - {"q@m.org"}:
+        both, alone = sum(w in words[i] for i in holding), sum(w in x for x in words.values())
+        ratio[w] = math.log2(both * n / (alone * len(holding))) / math.log2(n / len(holding))
+    want = {w for w, x in ratio.items() if x >= 0.8}
+    text = dict(docs)
+    for r in pii.find_personal_data(df).collect():
+        assert {text[r.doc_id][x.start : x.end].lower() for x in r.terms or []} == want & words[r.doc_id]
+
+
 def test_spans_stay_with_their_text_when_partitions_change(spark, tmp_path):
     docs = [(i, f"note {i} " * (i % 5) + (f"to u{i}@m{i}.org now" if i % 3 else "plain words only")) for i in range(64)]
     spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")

@@ -1,9 +1,14 @@
 """Personal data: base patterns plus information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IP addresses, payment cards and telephone numbers. Each distinct base value is a
-protected entity. A word that stands next to an entity discloses it when its pointwise mutual information with the
-entity, over the documents of the whole corpus, nearly reaches the entity's information content: PMI(t; e) / IC(e).
-Words over ``remove_at`` are removed, words over ``generalise_at`` are generalised to their shape.
+protected entity. A word discloses an entity when its pointwise mutual information with the entity, over the documents
+of the whole corpus, nearly reaches the entity's information content: PMI(t; e) / IC(e). They occur together when one
+document holds both, however far apart. Words over ``remove_at`` are removed, words over ``generalise_at`` are
+generalised to their shape, wherever they stand, also in documents without the entity.
+
+Pairs are made only of entities with ``min_support`` documents and of words that are rare enough to reach
+``generalise_at`` with them; tables of rounded counts, at most 2^24 places, say so in the scan. Two keys of one place
+leave more pairs to count, never fewer, and the exact counts decide.
 
 Defined results: null or empty text has no spans; repeated rows are each scanned; columns beside doc_id and text pass
 through :func:`sanitise` untouched; an empty table gives an empty result.
@@ -12,10 +17,13 @@ through :func:`sanitise` untouched; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,8 +32,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored, text_rows, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that count as its context, and how far they are looked for.
-CONTEXT_WORDS, CONTEXT_CHARS = 4, 120
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’"
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -76,25 +82,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity hash, term hash, start, end) of words around each span that are no part of a base span."""
-    out = []
-    for kind, s, e in spans:
-        value = text[s:e].lower() if kind == "email" else _only_digits(text[s:e]) if kind != "ip" else text[s:e]
-        entity = xxhash.xxh3_64_intdigest(f"{kind}\0{value}") - (1 << 63)
-        lo = max(0, s - CONTEXT_CHARS)
-        before = [m for m in _WORD.finditer(text, lo, s) if not (m.start() == lo and lo > 0)][-CONTEXT_WORDS:]
-        hi = min(len(text), e + CONTEXT_CHARS)
-        after = [m for m in _WORD.finditer(text, e, hi) if not (m.end() == hi and hi < len(text))][:CONTEXT_WORDS]
-        for m in before + after:
-            word = m[0]
-            a = m.start() + len(word) - len(word.lstrip(EDGE))
-            term = word.strip(EDGE)
-            b = a + len(term)
-            if not term or any(a < y and x < b for _, x, y in spans):
-                continue
-            out.append((entity, term_hash(term.lower()), a, b))
-    return out
+def _entity(kind: str, span: str) -> int:
+    value = span.lower() if kind == "email" else _only_digits(span) if kind != "ip" else span
+    return term_hash(f"{kind}\0{value}")
+
+
+def _words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(lower-case term, start, end) of each word that is no part of a base span."""
+    taken, k = [], 0
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    for m in _WORD.finditer(text):
+        word = m[0]
+        a = m.start() + len(word) - len(word.lstrip(EDGE))
+        term = word.strip(EDGE)
+        b = a + len(term)
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if term and not (k < len(taken) and taken[k][0] < b):
+            yield term.lower(), a, b
 
 
 def term_hash(term: str) -> int:
@@ -105,43 +114,110 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_CONTEXT_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_HIT_TYPE = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_TERM, _ENTITY, _DOCUMENT = 0, 1, 2
+#: Counts in the tables are steps of a quarter of their logarithm; a place without a live key has this one, or 0.
+_NONE = 255
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts, joined, digests, contexts = {k: [] for k in KINDS}, [], [], []
-        for raw in batch.column("text"):
-            text = raw.as_py().decode("utf-8", "replace")
-            spans = base_spans(text)
-            for k in KINDS:
-                counts[k].append(sum(x[0] == k for x in spans))
-            joined.append(_joined(spans))
-            digests.append(hashlib.sha256(joined[-1].encode()).hexdigest())
-            contexts.append([dict(zip(("entity", "term", "start", "end"), x)) for x in _context(text, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(joined, pa.string()), pa.array(digests, pa.string()), pa.array(contexts, _CONTEXT_TYPE)],
-            names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "context"],
-        )
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per term, pre-aggregated in the task; flushed before the dictionary grows large."""
-    seen: Counter[str] = Counter()
+def _scan(wanted: np.ndarray):
+    """Base spans of each text, and its words outside them that may be among the terms of the table ``wanted``."""
+    last = len(wanted) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, joined, digests, hits = {k: [] for k in KINDS}, [], [], []
+            for raw in batch.column("text"):
+                text = raw.as_py().decode("utf-8", "replace")
+                spans = base_spans(text)
+                for k in KINDS:
+                    counts[k].append(sum(x[0] == k for x in spans))
+                joined.append(_joined(spans))
+                digests.append(hashlib.sha256(joined[-1].encode()).hexdigest())
+                maybe = {t: h for t in _terms(text) if wanted[(h := term_hash(t)) & last] != _NONE}
+                hits.append([{"term": maybe[t], "start": a, "end": b} for t, a, b in _words(text, spans) if t in maybe] if maybe else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(joined, pa.string()), pa.array(digests, pa.string()), pa.array(hits, _HIT_TYPE)],
+                names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "hits"],
+            )
+
+    return run
+
+
+def _terms(text: str) -> set[str]:
+    return {m.strip(EDGE).lower() for m in set(text.split())}
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per term and per entity, and all documents, pre-aggregated in the task; flushed before the
+    dictionary grows large."""
+    seen: Counter[tuple[int, str]] = Counter()
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array(map(term_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())], names=["term", "n_term"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([x if k == _ENTITY else term_hash(x) for k, x in seen], pa.int64()), pa.array(seen.values(), pa.int64())], names=["kind", "key", "n"])
 
     for batch in batches:
         for raw in batch.column("text"):
-            seen.update({w.strip(EDGE) for w in set(raw.as_py().decode("utf-8", "replace").lower().split())})
-            if len(seen) > 200_000:
+            text = raw.as_py().decode("utf-8", "replace")
+            seen.update((_TERM, t) for t in _terms(text))
+            seen.update((_ENTITY, e) for e in {_entity(k, text[s:e]) for k, s, e in base_spans(text)})
+            seen[_DOCUMENT, ""] += 1
+            if len(seen) > 150_000:
                 yield flush()
                 seen.clear()
     if seen:
         yield flush()
 
 
+def _pairs(entities: np.ndarray, terms: np.ndarray, bound: float, share: float):
+    """Per document and live entity in it, the terms that are rare enough to disclose it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, lists, held = [], [], 0
+            for raw in batch.column("text"):
+                text = raw.as_py().decode("utf-8", "replace")
+                spans = base_spans(text)
+                own = {e for e in {_entity(k, text[s:e]) for k, s, e in spans} if entities[e & (len(entities) - 1)]}
+                if own:
+                    hashes = np.array([term_hash(t) for t in {t for t, _, _ in _words(text, spans)}], np.int64)
+                    level = terms[hashes & (len(terms) - 1)]
+                for e in own:
+                    keep = hashes[(level != _NONE) & (level <= 4 * bound + share * entities[e & (len(entities) - 1)] + 1e-6)]
+                    if len(keep):
+                        found.append(e)
+                        lists.append(keep)
+                        held += len(keep)
+                    if held > 500_000:
+                        yield _pair_batch(found, lists)
+                        found, lists, held = [], [], 0
+            yield _pair_batch(found, lists)
+
+    return run
+
+
+def _pair_batch(found: list[int], lists: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    terms = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), terms], names=["entity", "terms"])
+
+
+def _levels(counts: DataFrame, rarest: bool) -> np.ndarray:
+    """Table of rounded counts (key, n) by the last bits of the key: of two keys the rarer or the more frequent one."""
+    bits = int(np.clip(np.ceil(np.log2(4 * counts.count() + 1)), 10, 24))
+    step = 4 * F.log2(F.col("n").cast("double"))
+    level = (F.min(F.floor(step)) if rarest else F.max(F.ceil(step))).cast("int")
+    places = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("place")).agg(level.alias("level"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"places": [rows["place"].to_numpy("<i4").tobytes()], "levels": [rows["level"].to_numpy("u1").tobytes()]})
+
+    table = np.full(1 << bits, _NONE if rarest else 0, np.uint8)
+    for r in places.groupBy(F.shiftright("place", 16)).applyInPandas(pack, "places binary, levels binary").collect():
+        table[np.frombuffer(r.places, "<i4")] = np.frombuffer(r.levels, "u1")
+    return table
+
+
 def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95, row: str | None = None) -> DataFrame:
     """Per input row: row, doc_id, counts by kind, base spans with their digest, and the disclosing terms.
 
@@ -150,32 +226,34 @@ def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: flo
     """
     text = text_rows(docs.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()), "row", "doc_id")
     id_type = dict(docs.dtypes)["doc_id"]
-    found = stored(text.mapInArrow(tidy(_scan), f"row long, doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, context array<struct<entity: long, term: long, start: long, end: long>>"))
-    near = found.where(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.*")
-    per_doc = near.select("row", "entity", "term").distinct()
-    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = stored(pairs.where(F.col("n_both") >= min_support))
-    terms = text.mapInArrow(tidy(_term_counts), "term long, n_term long").groupBy("term").agg(F.sum("n_term").alias("n_term"))
-    total = found.count()
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
+    every = text.select("text")
+    counts = stored(every.mapInArrow(tidy(_document_counts), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where((F.col("n") >= min_support) | (F.col("kind") == _DOCUMENT)))
+    total = max((r.n for r in counts.where(F.col("kind") == _DOCUMENT).collect()), default=1)
+    entities = counts.where((F.col("kind") == _ENTITY) & (F.col("n") < total)).select("key", "n")
+    terms = counts.where(F.col("kind") == _TERM).select("key", "n")
+    pairs = every.mapInArrow(tidy(_pairs(_levels(entities, False), _levels(terms, True), (1 - generalise_at) * math.log2(total), generalise_at)), "entity long, terms array<long>")
+    both = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
+    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     disclosing = stored(
-        candidates.join(entities, "entity")
-        .join(terms, "term")
-        .where(information > 0)
-        .select("entity", "term", (pmi / information).alias("ratio"))
+        both.join(entities.select(F.col("key").alias("entity"), F.col("n").alias("n_entity")), "entity")
+        .join(terms.select(F.col("key").alias("term"), F.col("n").alias("n_term")), "term")
+        .select("term", (pmi / information).alias("ratio"))
         .where(F.col("ratio") >= generalise_at)
-        .select("entity", "term", F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise").alias("action"))
+        .groupBy("term")
+        .agg(F.when(F.max("ratio") >= remove_at, "remove").otherwise("generalise").alias("action"))
     )
+    wanted = _levels(disclosing.select(F.col("term").alias("key"), F.lit(1).alias("n")), True)
+    found = stored(text.mapInArrow(tidy(_scan(wanted)), f"row long, doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, hits array<struct<term: long, start: long, end: long>>"))
     spans = (
-        near.join(disclosing, ["entity", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.max("action").alias("action"))
+        found.where(F.size("hits") > 0)
+        .select("row", F.explode("hits").alias("h"))
+        .select("row", "h.*")
+        .join(disclosing, "term")
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     )
-    return found.drop("context").join(spans, "row", "left")
+    return found.drop("hits").join(spans, "row", "left")
 
 
 def personal_data_digest(docs: DataFrame, **parameters) -> DataFrame:
