@@ -100,6 +100,18 @@ def test_near_duplicate_vectors_equal_brute_force(spark):
     assert neardup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_no_near_vector_is_lost_in_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = centre / np.linalg.norm(centre) + rng.normal(size=(1000, 64)) * 0.0137
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in neardup.link_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    assert [got[i] for i in range(len(x))] == (near.sum(1) - 1).tolist() and near.sum() > 100_000
+
+
 def test_neighbours_recall_scores_and_ties(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16)).astype(np.float32)

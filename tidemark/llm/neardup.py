@@ -1,9 +1,10 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors by a pivot index that loses no pair.
 
-Every distinct vector is described by its ``near`` nearest reference points and posted in the inverted lists of those.
-Two vectors of one list that share at least ``min_shared`` points are verified by their cosine, in the list of their
-first shared point only, so each pair is verified once. Long lists are cut into blocks and pairs of blocks; a task
-holds two blocks and returns one row per vector, never a row per pair. Equal vectors are one class from the start.
+Every distinct vector belongs to the cell of its nearest reference point. The cells of a label lie one after the other
+and are cut into blocks; a vector meets each block of a cell that a vector within the threshold can lie in: one at
+distance r has its nearest point q only if v.p - v.q <= r |p - q|, p being the nearest point of v. A task holds two
+blocks, so each pair is verified once, and returns one row per vector, never a row per pair. Equal vectors are one class
+from the start. Where vectors are spread evenly over many dimensions the rule leaves out little.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those without a label, link
 with nothing and are components of their own; shorter vectors count as filled up with zeros; rows that repeat a
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
@@ -30,26 +31,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _post(points: np.ndarray, near: int, width: int):
-    """Index rows: one per vector and each of its nearest points, with the set of all those points as bits."""
+def _post(points: np.ndarray, threshold: float, width: int):
+    """Per vector its nearest point and, for each point, whether a linked vector can be in that point's cell."""
+    apart = np.linalg.norm(points[:, None] - points[None], axis=2) * (np.sqrt(max(2 - 2 * threshold, 0)) + 1e-6) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = -(-len(points) // 64)
         for batch in batches:
             u = unit(matrix(batch.column("v"), width))
-            order = np.argsort(-(u @ points.T), axis=1, kind="stable")[:, :near]
-            bits = np.zeros((len(u), words), np.uint64)
-            for k in range(order.shape[1]):
-                np.bitwise_or.at(bits, (np.arange(len(u)), order[:, k] // 64), np.uint64(1) << (order[:, k] % 64).astype(np.uint64))
-            rows = np.repeat(np.arange(len(u)), order.shape[1])
+            near = u @ points.T
+            home = near.argmax(1)
+            reach = near.max(1, keepdims=True, initial=-2) - near <= apart[home]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c).take(pa.array(rows)) for c in ("label", "rep", "weight")),
-                    pa.array(order.ravel().astype(np.int32)),
-                    pa.array([bits[i].tobytes() for i in rows], pa.binary()),
-                    pa.array([x.tobytes() for x in u.astype("<f8")], pa.binary()).take(pa.array(rows)),
+                    *(batch.column(c) for c in ("label", "rep", "weight")),
+                    pa.array(home.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * len(points)), pa.array(reach.ravel())),
+                    pa.array([x.tobytes() for x in u.astype("<f8")], pa.binary()),
                 ],
-                names=["label", "rep", "weight", "point", "bits", "unit"],
+                names=["label", "rep", "weight", "point", "reach", "unit"],
             )
 
     return run
@@ -66,26 +65,15 @@ def _root(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _link(threshold: float, min_shared: int):
+def _link(threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
-        point, i, j = int(key[1]), int(key[2]), int(key[3])
         u = np.frombuffer(b"".join(rows["unit"]), "<f8").reshape(len(rows), -1)
-        bits = np.frombuffer(b"".join(rows["bits"]), "<u8").reshape(len(rows), -1)
         rep, weight, block = (rows[c].to_numpy() for c in ("rep", "weight", "block"))
-        shared = np.zeros((len(u), len(u)), np.int16)
-        earlier = np.zeros((len(u), len(u)), bool)
-        for w in range(bits.shape[1]):
-            common = bits[:, w][:, None] & bits[:, w][None, :]
-            shared += np.bitwise_count(common)
-            below = (1 << max(0, min(64, point - 64 * w))) - 1
-            if below:
-                earlier |= (common & np.uint64(below)) != 0
-        linked = (shared >= min_shared) & ~earlier
-        if i != j:
+        linked = u @ u.T >= threshold
+        if int(key[1]) != int(key[2]):
             linked &= block[:, None] != block[None, :]
         np.fill_diagonal(linked, False)
-        linked &= u @ u.T >= threshold
         has = linked.any(1)
         root = _root(linked)
         return pd.DataFrame({"rep": rep[has], "other": rep[root[has]], "n": (linked[has] @ weight).astype(np.int64)})
@@ -93,7 +81,7 @@ def _link(threshold: float, min_shared: int):
     return run
 
 
-def link_vectors(table: DataFrame, threshold: float = 0.98, points: int | None = None, near: int = 10, min_shared: int = 1, block: int = 768) -> DataFrame:
+def link_vectors(table: DataFrame, threshold: float = 0.98, points: int | None = None, block: int = 768) -> DataFrame:
     """``table``: vec_id, embedding, label. Per row: vec_id, n_links, component_id, kept.
 
     ``points``: reference points; by default twice the square root of the distinct vectors, 16 to 256.
@@ -109,12 +97,18 @@ def link_vectors(table: DataFrame, threshold: float = 0.98, points: int | None =
     if not len(reference):
         return alone
     label_type, id_type = dict(table.dtypes)["label"], dict(table.dtypes)["vec_id"]
-    posted = stored(classes.mapInArrow(_post(unit(reference), min(near, max(4, points // 10)), width), f"label {label_type}, rep {id_type}, weight long, point int, bits binary, unit binary"))
-    lists = stored(posted.groupBy("label", "point").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("length")).where("length > 1"))
-    cut = posted.join(lists, ["label", "point"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = cut.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "point", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "rep", "weight", "block", "bits", "unit")
-    found = stored(dealt.groupBy("label", "point", "i", "j").applyInPandas(_link(threshold, min_shared), f"rep {id_type}, other {id_type}, n long"))
+    posted = stored(classes.mapInArrow(_post(unit(reference), threshold, width), f"label {label_type}, rep {id_type}, weight long, point int, reach array<boolean>, unit binary"))
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("label").orderBy("point").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = posted.groupBy("label", "point").agg(F.count("*").alias("length")).withColumn("first", before)
+    cell = F.struct("point", "first", "length", F.floor(F.col("first") / block).cast("int").alias("lo"), F.floor((F.col("first") + F.col("length") - 1) / block).cast("int").alias("hi"))
+    lists = stored(cells.groupBy("label").agg(F.collect_list(cell).alias("cells")))
+    both = posted.join(F.broadcast(lists) if lists.count() <= 1000 else lists, "label")
+    own_cell = F.filter("cells", lambda c: c["point"] == F.col("point"))[0]
+    cut = both.withColumn("own", own_cell).withColumn("block", F.floor((F.col("own")["first"] + F.pmod(F.xxhash64("rep"), F.col("own")["length"])) / block).cast("int"))
+    reached = F.transform(F.filter("cells", lambda c: F.col("reach")[c["point"]]), lambda c: F.sequence(c["lo"], c["hi"]))
+    dealt = cut.withColumn("partner", F.explode(F.array_distinct(F.flatten(reached))))
+    dealt = dealt.select("label", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "rep", "weight", "block", "unit")
+    found = stored(dealt.groupBy("label", "i", "j").applyInPandas(_link(threshold), f"rep {id_type}, other {id_type}, n long"))
     links = stored(found.groupBy("rep").agg(F.sum("n").alias("n")))
     groups = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "rep"})
     per_class = stored(
