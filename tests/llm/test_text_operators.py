@@ -200,6 +200,22 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack_documents(df.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_pieces_that_cannot_fill_bins_stay_in_blocks(spark, monkeypatch):
+    keep, largest = packing.stored, []
+
+    def watched(df):
+        out = keep(df)
+        if out.columns == ["block", "ids", "sizes"]:
+            largest.append(max(len(r.sizes) // 4 for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(packing, "stored", watched)
+    items = spark.range(1200).selectExpr("id as item", "600L as length")
+    got = packing.pack_items(items, 1024, block_items=64, islands=1, rounds=1, generations=1).collect()
+    assert len({r.item for r in got}) == len({r.sequence_id for r in got}) == len(got) == 1200
+    assert max(largest) <= packing.LAST_BLOCKS * 64
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(4)
     size = [rng.randint(1, 1000) for _ in range(200)]

@@ -4,8 +4,9 @@ Documents become pieces of at most ``capacity`` tokens: a longer one is cut into
 first piece. Full pieces fill a sequence each. The others are dealt into blocks of about ``block_items``; every block
 has ``islands`` islands, each a small population of packings in one task. A crossover injects the best-filled bins of
 one parent whole into the other, removes the bins that repeat their pieces, and best-fits the displaced pieces again.
-Between rounds the best packing of each island migrates to the next island of its block. At the end the worst-filled
-bins of neighbouring blocks are repacked together, so that blocks leave no more than their last bins open.
+Between rounds the best packing of each island migrates to the next island of its block. At the end the pieces of bins
+that are not full are dealt anew into blocks of about the same size, as long as that leaves fewer of them; where pieces
+cannot fill bins, each block keeps its bins as they are.
 
 Defined results: null text is empty and has one token (the end mark); repeated rows are packed each; an empty table
 gives an empty result.
@@ -28,6 +29,8 @@ from tidemark.llm.common import stored, text_rows, tidy
 from tidemark.llm.tokens import encoder
 
 CAPACITY, END = 1024, 2
+#: Loose pieces of so many blocks are packed in one at the end; levels stop when more than this share stays loose.
+LAST_BLOCKS, STALLED = 4, 0.9
 
 
 def _pieces(path: str, pattern: str, capacity: int, end: int, limit: int = 512):
@@ -181,8 +184,8 @@ def pack_items(items: DataFrame, capacity: int, block_items: int = 4096, islands
     """``items``: item long (unique), length long (1 to capacity - 1). Returns item, sequence_id, offset."""
     items = items.select("item", "length")
 
-    def packed(items: DataFrame, blocks: int) -> DataFrame:
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    def packed(items: DataFrame, blocks: int, level: int) -> DataFrame:
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)))
         base = stored(dealt.groupBy("block").applyInPandas(_gather, "block long, ids binary, sizes binary"))
         every = F.array(*map(F.lit, range(islands)))
         state = base.select("block", F.explode(every).alias("island"), "ids", "sizes", F.lit(None).cast("binary").alias("labels"), F.lit(0).alias("source"))
@@ -197,17 +200,19 @@ def pack_items(items: DataFrame, capacity: int, block_items: int = 4096, islands
 
     n = items.count()
     blocks = max(1, -(-n // block_items))
-    placed = stored(packed(items, blocks))
+    placed = stored(packed(items, blocks, 0))
     number = lambda level: (F.lit(level).cast("long") * (1 << 56) + F.col("block") * (1 << 16) + F.col("bin")).alias("sequence_id")
-    out, level = None, 0
+    out, level, before = None, 0, n
     while blocks > 1:
         loose = placed.where(F.col("fill") < capacity - 8)
+        left = loose.count()
+        few = left <= LAST_BLOCKS * block_items
+        if left == 0 or (level and not few and left > STALLED * before):
+            break
         done = placed.where(F.col("fill") >= capacity - 8).select("item", number(level), "offset")
         out = done if out is None else out.unionByName(done)
-        left = loose.count()
-        fewer = max(1, min(-(-left // block_items), blocks // 2))
-        placed = stored(packed(loose.select("item", "length"), fewer))
-        blocks, level = fewer, level + 1
+        blocks, level, before = 1 if few else -(-left // block_items), level + 1, left
+        placed = stored(packed(loose.select("item", "length"), blocks, level))
     last = placed.select("item", number(level), "offset")
     return last if out is None else out.unionByName(last)
 
