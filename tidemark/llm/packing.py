@@ -26,22 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_rows, tidy
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import encoder, strings
 
 CAPACITY, END = 1024, 2
 #: Loose pieces of so many blocks are packed in one at the end; levels stop when more than this share stays loose.
 LAST_BLOCKS, STALLED = 4, 0.9
 
 
-def _pieces(path: str, pattern: str, capacity: int, end: int, limit: int = 512):
+def _pieces(path: str, pattern: str, capacity: int, end: int, limit: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, mark = encoder(path, pattern), np.array([end], "<u4")
         for batch in batches:
             for lo in range(0, batch.num_rows, limit):
                 part = batch.slice(lo, limit)
                 docs, piece, start, length, crc = [], [], [], [], []
-                texts = [x.as_py().decode("utf-8", "replace") for x in part.column("text")]
-                for i, ids in enumerate(coder.encode_batch(texts)):
+                for i, ids in enumerate(coder.encode_batch(strings(part.column("text")))):
                     ids = np.concatenate([ids, mark])
                     first = len(ids) % capacity or capacity
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
@@ -60,7 +59,7 @@ def _pieces(path: str, pattern: str, capacity: int, end: int, limit: int = 512):
 
 
 def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32. ``path``: rank file of the vocabulary."""
+    """Per piece: doc_id, piece, start, length, ids_crc32. ``path``: JSON file of the vocabulary."""
     id_type = dict(docs.dtypes)["doc_id"]
     return text_rows(docs, "doc_id").mapInArrow(tidy(_pieces(path, pattern, capacity, end)), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
@@ -112,15 +111,14 @@ def mutate(bins: list[list[int]], size: list[int], capacity: int, rng: Random) -
 
 
 def evolve(size: list[int], start: list[list[list[int]]], capacity: int, rng: Random, population: int, generations: int) -> list[list[int]]:
-    """Best packing of one island after ``generations``; stops early at the least number of bins."""
-    least = -(-sum(size) // capacity)
+    """Best packing of one island after ``generations``; stops early at the least number of bins there can be."""
+    least = max(-(-sum(size) // capacity), sum(2 * x > capacity for x in size))
     pool = [(fitness(b, size, capacity), b) for b in start]
-    while len(pool) < population:
+    while len(pool) < population and not any(len(b) <= least for _, b in pool):
         items = list(range(len(size)))
         rng.shuffle(items)
-        half = items[: len(items) // (2 + len(pool))]
-        bins = best_fit(half, size, [], capacity) if pool else []
-        bins = best_fit([i for i in items if i not in set(half)] if pool else items, size, bins, capacity)
+        aside = len(items) // (1 + len(pool)) if pool else 0
+        bins = best_fit(items[aside:], size, best_fit(items[:aside], size, [], capacity), capacity)
         pool.append((fitness(bins, size, capacity), bins))
     for _ in range(generations):
         pool.sort(key=lambda x: (len(x[1]), -x[0]))
@@ -180,7 +178,7 @@ def _place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": np.int64(row["block"]), "item": ids[order], "length": s, "bin": lab.astype(np.int64), "offset": offset, "fill": fill})
 
 
-def pack_items(items: DataFrame, capacity: int, block_items: int = 4096, islands: int = 2, rounds: int = 2, population: int = 3, generations: int = 4, seed: int = 7) -> DataFrame:
+def pack_items(items: DataFrame, capacity: int, block_items: int = 4096, islands: int = 2, rounds: int = 2, population: int = 6, generations: int = 12, seed: int = 7) -> DataFrame:
     """``items``: item long (unique), length long (1 to capacity - 1). Returns item, sequence_id, offset."""
     items = items.select("item", "length")
 
@@ -201,15 +199,15 @@ def pack_items(items: DataFrame, capacity: int, block_items: int = 4096, islands
     n = items.count()
     blocks = max(1, -(-n // block_items))
     placed = stored(packed(items, blocks, 0))
-    number = lambda level: (F.lit(level).cast("long") * (1 << 56) + F.col("block") * (1 << 16) + F.col("bin")).alias("sequence_id")
+    number = lambda level: (F.lit(level).cast("long") * (1 << 56) + F.col("block") * (1 << 24) + F.col("bin")).alias("sequence_id")
     out, level, before = None, 0, n
     while blocks > 1:
-        loose = placed.where(F.col("fill") < capacity - 8)
+        loose = placed.where(F.col("fill") < capacity)
         left = loose.count()
         few = left <= LAST_BLOCKS * block_items
         if left == 0 or (level and not few and left > STALLED * before):
             break
-        done = placed.where(F.col("fill") >= capacity - 8).select("item", number(level), "offset")
+        done = placed.where(F.col("fill") == capacity).select("item", number(level), "offset")
         out = done if out is None else out.unionByName(done)
         blocks, level, before = 1 if few else -(-left // block_items), level + 1, left
         placed = stored(packed(loose.select("item", "length"), blocks, level))

@@ -12,10 +12,10 @@ from tidemark.llm.common import table
 
 
 def vocabulary() -> tuple[str, str]:
-    """Rank file of the public byte-level vocabulary, and its pattern."""
+    """JSON file of the public byte-level vocabulary, and its pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
