@@ -93,11 +93,32 @@ def test_near_duplicate_vectors_equal_brute_force(spark):
     lab = np.array([r[2] for r in rows])
     near = (u @ u.T >= 0.98) & (lab[:, None] == lab[None])
     np.fill_diagonal(near, False)
-    root = neardup._root(near)
+    root = neardup._root(len(rows), *np.nonzero(near))
     assert [got[i].n_links for i in range(len(rows))] == near.sum(1).tolist()
     assert [got[i].component_id for i in range(len(rows))] == root.tolist()
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, *_ in odd)
     assert neardup.link_vectors(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (1, [0.0, 1.0, 0.0], 1), (5, [0.0, 0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in neardup.link_vectors(twice).collect()) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (5, 0, 5)]
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:2000] = unit_rows(x[0] + 0.5 * x[:2000])  # a loose group that holds one third
+    side = rng.normal(size=(500, 64))
+    side -= np.einsum("ij,ij->i", side, x[:500])[:, None] * x[:500]
+    cosine = rng.uniform(0.9801, 0.985, (500, 1))
+    x[5500:] = cosine * x[:500] + np.sqrt(1 - cosine**2) * unit_rows(side)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in neardup.link_vectors(df).collect()}
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum() and want.sum() >= 1000
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def test_no_near_vector_is_lost_in_a_dense_group(spark):
@@ -133,6 +154,7 @@ def test_neighbours_recall_scores_and_ties(spark):
     few = ann.nearest(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
     assert [(r.query_id, r.rank) for r in sorted(few, key=lambda r: r.rank)] == [(0, 1), (0, 2)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert ann.nearest(df.where("vec_id >= 1000"), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_language_models_equal_brute_force(spark):
