@@ -164,24 +164,28 @@ def test_language_models_equal_brute_force(spark):
     got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")).collect()}
 
     def counts(texts):
-        word, context, pair = (collections.Counter() for _ in range(3))
+        word, pair = collections.Counter(), collections.Counter()
         for t in texts:
-            w = lm.words((t or "").encode()).tolist()
-            word.update(w[1:])
-            context.update(w[:-1])
-            pair.update(zip(w, w[1:]))
-        return word, context, pair
+            w = ["<s>", *(t or "").split()]
+            if len(w) > 1:
+                word.update(w)
+                pair.update(zip(w, w[1:]))
+        return word, pair
+
+    size = len({w for t in [*target, *(t for _, t in docs)] for w in (t or "").split()})
 
     def loss(model, text):
-        word, context, pair = model
-        w, n, size = lm.words(text.encode()).tolist(), sum(word.values()), 1 << lm.VOCABULARY_BITS
-        return sum(-math.log((pair[a, b] + 5 * (word[b] + 0.5) / (n + 0.5 * size)) / (context[a] + 5)) for a, b in zip(w, w[1:])) / max(1, len(w) - 1)
+        (word, pair), w = model, ["<s>", *text.split()]
+        n = word.total() - word["<s>"]
+        return sum(-math.log((pair[a, b] + 5 * (word[b] + 0.5) / (n + 0.5 * size)) / (word[a] + 5)) for a, b in zip(w, w[1:])) / max(1, len(w) - 1)
 
-    models = counts(target), counts([t for _, t in docs])
+    every, aim = counts([t for _, t in docs]), counts(target)
     for i, t in docs:
         if t:
-            assert abs(got[i].target_loss - loss(models[0], t)) < 1e-5 and abs(got[i].background_loss - loss(models[1], t)) < 1e-5
+            others = tuple(a - b for a, b in zip(every, counts([t])))
+            assert abs(got[i].target_loss - loss(aim, t)) < 1e-9 and abs(got[i].background_loss - loss(others, t)) < 1e-9
     assert got[900].n_tokens == 0 and got[900].score == 0 and got[901].target_loss is None
+    assert len(lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string").limit(0), spark.createDataFrame([], "text string")).collect()) == 0
 
 
 def test_classifier_held_out_accuracy(spark):

@@ -6,7 +6,7 @@ chunk. A key that many documents of a chunk share travels once with its count, s
 not make one range long. What a chunk needs besides (its documents) waits under a key of the chunk's own.
 
 Row layout between the steps: key long (range, or -1 - chunk), chunk long, a, b, c, d binary.
-Inside a range a key is named by the 32 bits that follow the range's bits: 32 + bits in all.
+Inside a range a key is named by the bits that follow the range's own.
 """
 
 from __future__ import annotations
@@ -33,18 +33,34 @@ def row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["key", "chunk", "a", "b", "c", "d"])
 
 
-def spans_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each range begins in sorted keys, and the end."""
-    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(keys, starts), len(keys))
+def placed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range of each key and a name of 32 bits in it, enough to count by."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64), ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
-def short(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+def width(bits: int) -> int:
+    return min(48, 64 - bits)
 
 
-def full(range_number: int, short_keys: np.ndarray) -> np.ndarray:
-    return (np.uint64(range_number) << np.uint64(32)) | short_keys.astype(np.uint64)
+def long_names(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Names of up to 48 bits: with the range's bits 52 in all at least, and all 64 from 2^16 ranges on."""
+    return (keys << np.uint64(bits)) >> np.uint64(64 - width(bits))
+
+
+def to_bytes(names: np.ndarray) -> bytes:
+    """Long names, six bytes each."""
+    return names.astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_bytes(data: bytes) -> np.ndarray:
+    six = np.frombuffer(data, "u1").reshape(-1, 6)
+    out = np.zeros((len(six), 8), "u1")
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
+def full(range_number: int, names: np.ndarray, bits: int) -> np.ndarray:
+    return (np.uint64(range_number) << np.uint64(width(bits))) | names
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +87,10 @@ def chunk_rows(chunk: int, head_a: bytes, head_b: bytes, keys_of: list[np.ndarra
     heavy, heavy_count = keys[first[many]], count[many].astype("<u4")
     light, light_doc = keys[~in_many], doc[~in_many]
     rows = [(-1 - chunk, chunk, head_a, head_b, heavy_count.tobytes(), doc[in_many].tobytes())]
-    at, heavy_at = spans_of(light, bits).tolist(), spans_of(heavy, bits).tolist()
-    name, heavy_name = short(light, bits), short(heavy, bits)
-    for r in range(1 << bits):
-        a, b, x, y = at[r], at[r + 1], heavy_at[r], heavy_at[r + 1]
-        if b > a or y > x:
-            rows.append((r, chunk, name[a:b].tobytes(), light_doc[a:b].tobytes(), heavy_name[x:y].tobytes(), heavy_count[x:y].tobytes()))
+    at, heavy_at = ((k >> np.uint64(64 - bits)).astype(np.int64) for k in (light, heavy))
+    name, heavy_name = long_names(light, bits), long_names(heavy, bits)
+    ranges = np.union1d(at, heavy_at)
+    cuts = [np.searchsorted(k, np.append(ranges, 1 << bits)).tolist() for k in (at, heavy_at)]
+    for r, a, b, x, y in zip(ranges.tolist(), cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
+        rows.append((r, chunk, to_bytes(name[a:b]), light_doc[a:b].tobytes(), to_bytes(heavy_name[x:y]), heavy_count[x:y].tobytes()))
     return row_batch(rows)

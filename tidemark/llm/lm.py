@@ -1,15 +1,20 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary (a fixed number of word buckets), one order and one
+A target and a background bigram model share one vocabulary (every distinct word of both corpora), one order and one
 smoothing. A document's score is the mean, over its words, of the loss under the target model less the loss under the
-background model: the lower, the closer to the target. Both models are counted over all their texts. Word counts have a
-fixed size and are broadcast; counts of word pairs grow with the corpus and are never gathered: each range of pairs
-counts its own and sends back to every chunk the sums of the losses of its documents.
+background model: the lower, the closer to the target. Both models are counted over all their texts, and the background
+model leaves out the document that it scores: a text seen nowhere else does not pass for well known.
 
-P(w | v) = (count(v w) + m P(w)) / (count(v) + m), P(w) from counts with half a count added to each bucket.
+P(w | v) = (count(v w) + m P(w)) / (count(v) + m), P(w) from counts with half a count added to each word; the end of a
+text takes what is left of the mass after v. Only the sizes (words in all, distinct words) are gathered. Counts of
+words and word pairs grow with the corpus and stay spread out: documents form chunks, each chunk sends its distinct
+keys with their counts to ranges of the key space, every range adds up its keys over all chunks and sends the totals
+back, and the chunk works out the losses of its documents. A key that all texts share travels once for each chunk.
+Keys are hashes of 32 bits and those of the range's number, which grows with the corpus.
 
 Defined results: null text is empty; an empty text has no words, null losses and score 0; rows that repeat a doc_id
-are scored each; an empty target gives a uniform target model; an empty table gives an empty result.
+are scored each, each without itself alone; an empty target gives a uniform target model; an empty table gives an empty
+result; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -19,111 +24,90 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_rows, tidy, worker_cache
-from tidemark.llm.corpus_counts import CHUNK_DOCS, CHUNK_KEYS, ROW, chunk_rows, full, range_bits, runs
+from tidemark.llm.common import mix, text_rows, tidy
+from tidemark.llm.corpus_counts import ROW, placed, range_bits, row_batch, runs
+from tidemark.llm.tokens import strings
 
-VOCABULARY_BITS = 17
-PAIR_BITS = 2 * VOCABULARY_BITS
-#: An odd factor permutes the numbers of word pairs, so that ranges by highest bits are even; and its inverse.
-SPREAD = 0x2545F4914F6CDD1D % (1 << PAIR_BITS)
-GATHER = pow(SPREAD, -1, 1 << PAIR_BITS)
-START = 0
-SLICES, FAN_IN, RANGE_KEYS = 16, 256, 2_000_000
+CHUNK_DOCS, CHUNK_BYTES, RANGE_KEYS = 1024, 6_000_000, 2_000_000
+START = np.uint64(0x9E3779B97F4A7C14)
+_FIRST, _SECOND = mix(np.array([1, 2], np.uint64)) | np.uint64(1)
 TARGET = 1 << 61
 
-def words(text: bytes) -> np.ndarray:
-    """Vocabulary buckets of the words, the start mark first; words are split and lower-cased as ASCII."""
-    known, out = worker_cache("lm"), [START]
-    for w in text.lower().split():
-        c = known.get(w)
-        if c is None:
-            c = 1 + xxhash.xxh3_64_intdigest(w) % ((1 << VOCABULARY_BITS) - 1)
-            if len(known) < 100_000:
-                known[w] = c
-        out.append(c)
-    return np.array(out, np.int64)
 
-
-def pair_keys(w: np.ndarray) -> np.ndarray:
-    pair = (w[:-1].astype(np.uint64) << np.uint64(VOCABULARY_BITS)) | w[1:].astype(np.uint64)
-    return ((pair * np.uint64(SPREAD)) & np.uint64((1 << PAIR_BITS) - 1)) << np.uint64(64 - PAIR_BITS)
-
-
-def pairs_of(range_number: int, names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and second words of the pairs that a range names."""
-    spread = full(range_number, names) >> np.uint64(32 + bits - PAIR_BITS)
-    pair = (spread * np.uint64(GATHER)) & np.uint64((1 << PAIR_BITS) - 1)
-    return (pair >> np.uint64(VOCABULARY_BITS)).astype(np.int64), (pair & np.uint64((1 << VOCABULARY_BITS) - 1)).astype(np.int64)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = 1 << VOCABULARY_BITS
-    count, context = np.zeros(size, np.int64), np.zeros(size, np.int64)
+def words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, lower-cased and split as ASCII: their number in each text, distinct hashes, and each word's place there."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, cut = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    before = np.r_[0, np.cumsum(some)]
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, map(str.encode, coded.dictionary.to_pylist())), np.uint64, len(coded.dictionary))
+    return np.diff(before[cut]), hashes, coded.indices.to_numpy()
+
+
+class Chunk:
+    """Keys of some documents: ``keys`` sorted and distinct, their ``counts``, and the places there of every word, the
+    word before it and their pair."""
+
+    def __init__(self, length: np.ndarray, hashes: np.ndarray, code: np.ndarray):
+        self.length, self.doc = length, np.repeat(np.arange(len(length)), length)
+        begins = (np.cumsum(length) - length)[length > 0]
+        word = hashes[code]
+        before = np.r_[START, word[:-1]] if len(word) else word
+        before[begins] = START
+        pair = mix(before * _FIRST + word * _SECOND) | np.uint64(1)
+        every = np.concatenate([pair, hashes[code] & ~np.uint64(1), np.full(len(begins), START)])
+        self.keys, place, self.counts = np.unique(every, return_inverse=True, return_counts=True)
+        self.pair, self.word = place[: len(word)], place[len(word) : 2 * len(word)]
+        self.before = np.r_[0, self.word[:-1]] if len(word) else self.word
+        self.starts = np.zeros(len(word), bool)
+        self.starts[begins] = True
+        self.before[begins] = np.searchsorted(self.keys, START)
+
+    def own(self, place: np.ndarray) -> np.ndarray:
+        """How often the key at each place occurs in the document that holds it."""
+        _, at, count = np.unique(self.doc * np.int64(len(self.keys) + 1) + place, return_inverse=True, return_counts=True)
+        return count[at]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.StringArray]]:
+    ids, texts, size = [], [], 0
     for batch in batches:
-        for text in batch.column("text"):
-            w = words(text.as_py())
-            np.add.at(count, w[1:], 1)
-            np.add.at(context, w[:-1], 1)
-    task = TaskContext.get()
-    part = task.partitionId() if task else 0
-    cuts = np.array_split(np.concatenate([count, context]).astype("<i8"), SLICES)
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([c.astype("<u4").tobytes() if c.max(initial=0) < 1 << 32 else c.tobytes() for c in cuts], pa.binary()), pa.array([len(c) for c in cuts], pa.int32())], names=["slice", "part", "sums", "n"])
-
-
-def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<u4" if len(x) == 4 * n else "<i8").astype(np.int64) for x, n in zip(rows["sums"], rows["n"]))
-    return pd.DataFrame({"slice": [np.int32(key[0])], "part": [np.int32(key[1])], "sums": [total.astype("<i8").tobytes()], "n": [np.int32(len(total))]})
-
-
-def word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How often each bucket occurs, and how often as the first of a pair; of a fixed size."""
-    rows, kind = text_rows(texts), "slice int, part int, sums binary, n int"
-    sums, n = rows.mapInArrow(tidy(_word_counts), kind), rows.rdd.getNumPartitions()
-    while True:
-        sums = sums.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("slice", "part").applyInPandas(_add, kind)
-        n = -(-n // FAN_IN)
-        if n <= 1:
-            break
-    found = {r["slice"]: np.frombuffer(r["sums"], "<i8") for r in sums.toLocalIterator()}
-    flat = np.concatenate([found[k] for k in range(SLICES)]) if found else np.zeros(2 << VOCABULARY_BITS, np.int64)
-    return flat[: 1 << VOCABULARY_BITS], flat[1 << VOCABULARY_BITS :]
-
-
-class Model:
-    """Word probabilities and context counts of one model; pair counts come with each call."""
-
-    def __init__(self, counts: tuple[np.ndarray, np.ndarray], prior: float):
-        count, self.context = counts
-        self.word = (count + 0.5) / (count.sum() + 0.5 * len(count))
-        self.prior = prior
-
-    def loss(self, first: np.ndarray, second: np.ndarray, pair_count: np.ndarray) -> np.ndarray:
-        return -np.log((pair_count + self.prior * self.word[second]) / (self.context[first] + self.prior))
+        for lo in range(0, batch.num_rows, 128):
+            part = batch.slice(lo, 128)
+            ids += part.column("doc_id").to_pylist()
+            texts.append(strings(part.column("text")))
+            size += texts[-1].nbytes
+            if len(ids) >= CHUNK_DOCS or size > CHUNK_BYTES:
+                yield ids, pa.concat_arrays(texts)
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(texts)
 
 
 def _scatter(bits: int, flag: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        chunk, ids, keys, size = flag | ((task.partitionId() if task else 0) << 24), [], [], 0
-
-        def emit():
-            return chunk_rows(chunk, _ids(ids), np.array([len(k) for k in keys], "<i4").tobytes(), keys, bits)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids.append(doc_id)
-                keys.append(pair_keys(words(text.as_py())))
-                size += len(keys[-1])
-                if len(ids) == CHUNK_DOCS or size > CHUNK_KEYS:
-                    yield emit()
-                    chunk, ids, keys, size = chunk + 1, [], [], 0
-        if ids:
-            yield emit()
+        number = flag | ((task.partitionId() if task else 0) << 24)
+        for number, (ids, texts) in enumerate(_chunks(batches), number):
+            length, hashes, code = words(texts)
+            chunk = Chunk(length, hashes, code)
+            rows = []
+            if not flag:
+                small = code.astype("<u2" if len(hashes) <= 1 << 16 else "<u4")
+                rows.append((-1 - number, number, _ids(ids), length.astype("<i4").tobytes(), hashes.astype("<u8").tobytes(), small.tobytes()))
+            ranges, names = placed(chunk.keys, bits)
+            first, size = runs(ranges)
+            counts = chunk.counts.astype("<u4")
+            rows += [(int(ranges[a]), number, names[a : a + n].tobytes(), counts[a : a + n].tobytes(), b"", b"") for a, n in zip(first.tolist(), size.tolist())]
+            for lo in range(0, len(rows), 4096):
+                yield row_batch(rows[lo : lo + 4096])
 
     return run
 
@@ -133,67 +117,69 @@ def _ids(ids: list) -> bytes:
     return np.array([i is None for i in ids], "u1").tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
 
 
-def _losses(bits: int, models):
+def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One range: what each key of a chunk counts in the background and in the target corpus."""
+    if key[0] < 0:
+        return rows
+    is_target = (rows["chunk"] >= TARGET).to_numpy()
+    names = [np.frombuffer(x, "<u4") for x in rows["a"]]
+    weight = np.concatenate([np.frombuffer(x, "<u4") for x in rows["b"]]).astype(float)
+    size = list(map(len, names))
+    every, aimed = np.concatenate(names), np.repeat(is_target, size)
+    order = np.argsort(every, kind="stable")
+    first, length = runs(every[order])
+    counts = np.empty((2, len(every)), "<u4")
+    for k, own in enumerate((~aimed, aimed)):
+        total = np.minimum(np.add.reduceat((weight * own)[order], first), 0xFFFFFFFF)
+        counts[k, order] = np.repeat(total, length)
+    ends = np.cumsum(size)
+    out = [(key[0], c, counts[0, b - n : b].tobytes(), counts[1, b - n : b].tobytes(), b"", b"") for c, b, n, aim in zip(rows["chunk"], ends, size, is_target) if not aim]
+    return pd.DataFrame(out, columns=["key", "chunk", "a", "b", "c", "d"])
+
+
+def _scores(prior: float, vocabulary: int, background: int, target: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """One range: pair counts of both corpora, and per chunk the losses by document and by heavy pair."""
-        if key[0] < 0:
-            return rows[rows["chunk"] < TARGET]
-        target, background = models.value
-        rows = rows.sort_values("chunk")
-        names = [np.frombuffer(x, "<u4") for x in rows["a"]]
-        heavy = [np.frombuffer(x, "<u4") for x in rows["c"]]
-        is_target = (rows["chunk"] >= TARGET).to_numpy()
-        every = np.concatenate(names + heavy)
-        weight = np.concatenate([np.ones(sum(map(len, names))), *[np.frombuffer(x, "<u4") for x in rows["d"]]])
-        of_target = np.concatenate([np.repeat(is_target, list(map(len, names))), np.repeat(is_target, list(map(len, heavy)))])
-        order = np.argsort(every, kind="stable")
-        first, length = runs(every[order])
-        v, w = pairs_of(int(key[0]), every[order][first], bits)
-        loss = np.empty((2, len(every)), np.float32)
-        for k, (model, own) in enumerate(((target, of_target), (background, ~of_target))):
-            count = np.add.reduceat((weight * own)[order], first)
-            loss[k, order] = np.repeat(model.loss(v, w, count), length)
-        out, at, h = [], 0, sum(map(len, names))
-        for chunk, name, doc, big in zip(rows["chunk"], names, rows["b"], heavy):
-            light, own_heavy = loss[:, at : at + len(name)], loss[:, h : h + len(big)]
-            at, h = at + len(name), h + len(big)
-            if chunk >= TARGET:
-                continue
-            who, place = np.unique(np.frombuffer(doc, "<u2"), return_inverse=True)
-            sums = np.stack([np.bincount(place, weights=x, minlength=len(who)) for x in light]).astype("<f4")
-            out.append((key[0], chunk, who.astype("<u2").tobytes(), sums.tobytes(), own_heavy.astype("<f4").tobytes(), b""))
-        return pd.DataFrame(out, columns=["key", "chunk", "a", "b", "c", "d"])
+        rows = rows.sort_values("key")
+        head, answers = rows.iloc[0], rows.iloc[1:]
+        length, hashes = np.frombuffer(head["b"], "<i4").astype(np.int64), np.frombuffer(head["c"], "<u8")
+        null, ids = np.frombuffer(head["a"][: len(length)], "u1") != 0, np.frombuffer(head["a"][len(length) :], "<i8")
+        chunk = Chunk(length, hashes, np.frombuffer(head["d"], "<u2" if len(hashes) <= 1 << 16 else "<u4"))
+        around, aim = (np.frombuffer(b"".join(answers[c]), "<u4").astype(float) for c in ("a", "b"))
+        pair, word = chunk.own(chunk.pair), chunk.own(chunk.word)
+        before = np.where(chunk.starts, 1, np.r_[0, word[:-1]] if len(word) else word)
+
+        def loss(count: np.ndarray, total: int, pair, word, before, own) -> np.ndarray:
+            single = (count[chunk.word] - word + 0.5) / (total - own + 0.5 * vocabulary)
+            return -np.log((count[chunk.pair] - pair + prior * single) / (count[chunk.before] - before + prior))
+
+        of_target = np.bincount(chunk.doc, loss(aim, target, 0, 0, 0, 0), len(length))
+        of_others = np.bincount(chunk.doc, loss(around, background, pair, word, before, length[chunk.doc]), len(length))
+        doc_id = pd.array(ids, dtype="Int64")
+        doc_id[null] = pd.NA
+        some, n = length > 0, np.maximum(length, 1)
+        return pd.DataFrame({"doc_id": doc_id, "n_tokens": length, "target_loss": np.where(some, of_target / n, np.nan), "background_loss": np.where(some, of_others / n, np.nan), "score": np.where(some, (of_target - of_others) / n, 0.0)})
 
     return run
 
 
-def _scores(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("key")
-    head, answers = rows.iloc[0], rows.iloc[1:]
-    n = np.frombuffer(head["b"], "<i4")
-    null, ids = np.frombuffer(head["a"][: len(n)], "u1") != 0, np.frombuffer(head["a"][len(n) :], "<i8")
-    total = np.zeros((2, len(n)))
-    for who, sums in zip(answers["a"], answers["b"]):
-        who = np.frombuffer(who, "<u2")
-        total[:, who] += np.frombuffer(sums, "<f4").reshape(2, len(who))
-    count, doc = np.frombuffer(head["c"], "<u4"), np.frombuffer(head["d"], "<u2")
-    if len(count):
-        heavy = np.concatenate([np.frombuffer(x, "<f4").reshape(2, -1) for x in answers["c"]], axis=1).astype(float)
-        for k in range(2):
-            total[k] += np.bincount(doc, weights=np.repeat(heavy[k], count), minlength=len(n))
-    mean = total / np.maximum(n, 1)
-    doc_id = pd.array(ids, dtype="Int64")
-    doc_id[null] = pd.NA
-    some = n > 0
-    return pd.DataFrame({"doc_id": doc_id, "n_tokens": n.astype(np.int64), "target_loss": np.where(some, mean[0], np.nan), "background_loss": np.where(some, mean[1], np.nan), "score": np.where(some, mean[0] - mean[1], 0.0)})
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the distinct words of a chunk, and the words of the chunk beside the first of them."""
+    for _, texts in _chunks(batches):
+        length, hashes, _ = words(texts)
+        n = np.zeros(len(hashes), np.int64)
+        n[:1] = length.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def score_documents(docs: DataFrame, target: DataFrame, prior: float = 5.0) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score. ``target``: text."""
     bits = range_bits(docs, RANGE_KEYS)
-    models = docs.sparkSession.sparkContext.broadcast((Model(word_counts(target), prior), Model(word_counts(docs), prior)))
-    own = text_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(tidy(_scatter(bits, 0)), ROW)
-    aim = text_rows(target.select(F.lit(0).cast("long").alias("doc_id"), "text"), "doc_id").mapInArrow(tidy(_scatter(bits, TARGET)), ROW)
-    losses = own.unionByName(aim).groupBy("key").applyInPandas(_losses(bits, models), ROW)
-    scored = losses.groupBy("chunk").applyInPandas(_scores, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    own = text_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    aim = text_rows(target.select(F.lit(0).cast("long").alias("doc_id"), "text"), "doc_id")
+    seen = [t.mapInArrow(tidy(_distinct), "word long, n long").select("*", F.lit(k).alias("corpus")) for k, t in enumerate((own, aim))]
+    sizes = seen[0].unionByName(seen[1]).agg(F.approx_count_distinct("word", 0.01), *(F.sum(F.when(F.col("corpus") == k, F.col("n"))) for k in (0, 1))).first()
+    vocabulary, background, aimed = (int(x or 0) for x in sizes)
+    keys = own.mapInArrow(tidy(_scatter(bits, 0)), ROW).unionByName(aim.mapInArrow(tidy(_scatter(bits, TARGET)), ROW))
+    counted = keys.groupBy("key").applyInPandas(_count, ROW)
+    scored = counted.groupBy("chunk").applyInPandas(_scores(prior, max(vocabulary, 1), background, aimed), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
     return scored.select("doc_id", "n_tokens", F.nanvl("target_loss", F.lit(None)).alias("target_loss"), F.nanvl("background_loss", F.lit(None)).alias("background_loss"), "score")

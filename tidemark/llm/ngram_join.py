@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, stored, text_rows, tidy, worker_cache
 from tidemark.llm.components import components
-from tidemark.llm.corpus_counts import CHUNK_DOCS, CHUNK_KEYS, ROW, chunk_rows, full, range_bits, runs
+from tidemark.llm.corpus_counts import CHUNK_DOCS, CHUNK_KEYS, ROW, chunk_rows, from_bytes, full, range_bits, runs, to_bytes
 
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -93,8 +93,7 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if key[0] < 0:
         return rows
     rows = rows.sort_values("chunk")
-    names = [np.frombuffer(x, "<u4") for x in rows["a"]]
-    heavy = [np.frombuffer(x, "<u4") for x in rows["c"]]
+    names, heavy = [from_bytes(x) for x in rows["a"]], [from_bytes(x) for x in rows["c"]]
     every = np.concatenate(names + heavy)
     weight = np.concatenate([np.ones(sum(map(len, names))), *[np.frombuffer(x, "<u4") for x in rows["d"]]])
     order = np.argsort(every, kind="stable")
@@ -108,14 +107,14 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         at, h = at + len(name), h + len(big)
         kept = own >= 2
         if kept.any() or len(big):
-            out.append((key[0], chunk, name[kept].tobytes(), np.frombuffer(doc, "<u2")[kept].tobytes() + rarity(own[kept]).tobytes(), big.tobytes(), rarity(own_heavy).tobytes()))
+            out.append((key[0], chunk, to_bytes(name[kept]), np.frombuffer(doc, "<u2")[kept].tobytes() + rarity(own[kept]).tobytes(), to_bytes(big), rarity(own_heavy).tobytes()))
     return pd.DataFrame(out, columns=["key", "chunk", "a", "b", "c", "d"])
 
 
 _SET = "row long, doc_id long, n int, sig binary, ids binary, prefix array<long>"
 
 
-def _sets(percent: int):
+def _sets(percent: int, bits: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One chunk: each document's shared keys, rarest first, and those of them that lie in its prefix."""
         rows = rows.sort_values("key")
@@ -125,11 +124,11 @@ def _sets(percent: int):
         sigs = head["b"][4 * len(ids) :]
         keys, docs, codes, big, big_codes = [], [], [], [], []
         for r, a, b, c, d in zip(answers["key"], answers["a"], answers["b"], answers["c"], answers["d"]):
-            name = np.frombuffer(a, "<u4")
-            keys.append(full(r, name))
+            name = from_bytes(a)
+            keys.append(full(r, name, bits))
             docs.append(np.frombuffer(b[: 2 * len(name)], "<u2"))
             codes.append(np.frombuffer(b[2 * len(name) :], "u1"))
-            big.append(full(r, np.frombuffer(c, "<u4")))
+            big.append(full(r, from_bytes(c), bits))
             big_codes.append(np.frombuffer(d, "u1"))
         counts = np.frombuffer(head["c"], "<u4")
         none = [np.zeros(0, np.uint64)]
@@ -160,10 +159,9 @@ def _overlaps(percent: int):
                 need = -(-percent * (m + n) // (100 + percent))
                 if min(len(x), len(y)) < need:
                     continue
-                lo, hi = min(x[0], y[0]), max(x[-1], y[-1]) + 1
-                parts = lo + (np.arange(17, dtype=np.float64) * (float(hi - lo) / 16)).astype(np.int64)
-                parts[-1] = hi
-                bound = np.minimum(np.diff(np.searchsorted(x, parts)), np.diff(np.searchsorted(y, parts))).sum()
+                lo, hi = int(min(x[0], y[0])), int(max(x[-1], y[-1]))
+                parts = np.array([lo + (hi - lo) * k // 16 for k in range(1, 16)], np.int64)
+                bound = np.minimum(*(np.diff(np.r_[0, np.searchsorted(z, parts), len(z)]) for z in (x, y))).sum()
                 if bound < need:
                     continue
                 both = np.concatenate([x, y])
@@ -181,7 +179,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = text_rows(own, "doc_id").mapInArrow(tidy(_scatter(n, bits)), ROW)
     counted = rows.groupBy("key").applyInPandas(_count, ROW)
-    return counted.groupBy("chunk").applyInPandas(_sets(percent), _SET)
+    return counted.groupBy("chunk").applyInPandas(_sets(percent, bits), _SET)
 
 
 def needed(m, n, percent: int):
