@@ -78,6 +78,12 @@ def test_terms_far_from_their_entity_are_found_and_replaced_everywhere(spark):
         assert {text[r.doc_id][x.start : x.end].lower() for x in r.terms or []} == want & words[r.doc_id]
 
 
+def test_terms_beside_their_entity_are_cut_from_it(spark):
+    docs = [(i, f"plain words number {i}") for i in range(60)] + [(100 + i, "write zylofax:bob@x.com now") for i in range(6)]
+    got = {r.doc_id: r.spans for r in pii.personal_data_digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[100] == "email:14:23,term:0:5,term:6:13,term:24:27" and not got[5]
+
+
 def test_spans_stay_with_their_text_when_partitions_change(spark, tmp_path):
     docs = [(i, f"note {i} " * (i % 5) + (f"to u{i}@m{i}.org now" if i % 3 else "plain words only")) for i in range(64)]
     spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
@@ -108,6 +114,32 @@ def test_secret_kinds_and_confirmation():
     assert not secret_scan.base_spans("paßword=abcdefgh ſecret=abcdefgh")
 
 
+def test_openssh_and_encrypted_keys_are_parsed():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    key = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(128))
+    kinds = lambda data: [k for k, *_ in secret_scan.confirmed_spans(base64.b64encode(data).decode())]
+    assert kinds(key) == ["ssh"] and not kinds(key[:-1]) and not kinds(key + b"x") and not kinds(b"openssh-key-v1\0" + b"\xff" * 60)
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert [k for k, *_ in secret_scan.confirmed_spans(locked.format("0A" * 16, base64.b64encode(bytes(range(64))).decode()))] == ["pem"]
+    assert not secret_scan.confirmed_spans(locked.format("0A" * 16, base64.b64encode(bytes(range(61))).decode()))
+
+
+def test_base_secrets_equal_the_plain_patterns():
+    word = "(?:password|passwd|secret|token|api_?key)"
+    plain = {
+        "assign": (re.compile("((?i:" + word[3:-1] + r"""))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 6),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    rng = random.Random(6)
+    parts = ["password", "Secret", "api_key", "APIKEY", "token", "passwd", "=", ":", " ", "'", '"', "abc123", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "é", "\n", "-", "x"]
+    for _ in range(4000):
+        t = "".join(rng.choices(parts, k=rng.randint(0, 25)))
+        want = sorted([(k, *m.span()) for k, (p, ok) in plain.items() for m in p.finditer(t) if ok(m)], key=lambda x: (x[1], list(plain).index(x[0])))
+        assert secret_scan.base_spans(t) == want
+
+
 def test_scans_handle_edges(spark):
     df = edge_rows(spark)
     for got in (secret_scan.scan_secrets(df), pii.personal_data_digest(df)):

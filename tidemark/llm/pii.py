@@ -87,23 +87,24 @@ def _entity(kind: str, span: str) -> int:
     return term_hash(f"{kind}\0{value}")
 
 
-def _words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(lower-case term, start, end) of each word that is no part of a base span."""
-    taken, k = [], 0
+def without(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with spaces in the place of its base spans: what every count and every mark takes terms from."""
+    if not spans:
+        return text
+    parts, at = [], 0
     for _, s, e in sorted(spans, key=lambda x: x[1]):
-        if taken and s < taken[-1][1]:
-            taken[-1][1] = max(taken[-1][1], e)
-        else:
-            taken.append([s, e])
-    for m in _WORD.finditer(text):
+        parts += [text[at:s], " " * (e - max(at, s))]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
+
+
+def _words(rest: str) -> Iterator[tuple[str, int, int]]:
+    """(lower-case term, start, end) of each word of a text without its base spans."""
+    for m in _WORD.finditer(rest):
         word = m[0]
         a = m.start() + len(word) - len(word.lstrip(EDGE))
-        term = word.strip(EDGE)
-        b = a + len(term)
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if term and not (k < len(taken) and taken[k][0] < b):
-            yield term.lower(), a, b
+        if term := word.strip(EDGE):
+            yield term.lower(), a, a + len(term)
 
 
 def term_hash(term: str) -> int:
@@ -134,8 +135,9 @@ def _scan(wanted: np.ndarray):
                     counts[k].append(sum(x[0] == k for x in spans))
                 joined.append(_joined(spans))
                 digests.append(hashlib.sha256(joined[-1].encode()).hexdigest())
-                maybe = {t: h for t in _terms(text) if wanted[(h := term_hash(t)) & last] != _NONE}
-                hits.append([{"term": maybe[t], "start": a, "end": b} for t, a, b in _words(text, spans) if t in maybe] if maybe else [])
+                rest = without(text, spans)
+                maybe = {t: h for t in _terms(rest) if wanted[(h := term_hash(t)) & last] != _NONE}
+                hits.append([{"term": maybe[t], "start": a, "end": b} for t, a, b in _words(rest) if t in maybe] if maybe else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(joined, pa.string()), pa.array(digests, pa.string()), pa.array(hits, _HIT_TYPE)],
                 names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "hits"],
@@ -144,28 +146,34 @@ def _scan(wanted: np.ndarray):
     return run
 
 
-def _terms(text: str) -> set[str]:
-    return {m.strip(EDGE).lower() for m in set(text.split())}
+def _terms(rest: str) -> set[str]:
+    terms = {m.strip(EDGE) for m in set(rest.split())}
+    return set(map(str.lower, terms)) - {""}
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per term and per entity, and all documents, pre-aggregated in the task; flushed before the
     dictionary grows large."""
-    seen: Counter[tuple[int, str]] = Counter()
+    terms: Counter[str] = Counter()
+    others: Counter[tuple[int, int]] = Counter()
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([x if k == _ENTITY else term_hash(x) for k, x in seen], pa.int64()), pa.array(seen.values(), pa.int64())], names=["kind", "key", "n"])
+        kinds = [_TERM] * len(terms) + [k for k, _ in others]
+        keys = [*map(term_hash, terms), *(x for _, x in others)]
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array([*terms.values(), *others.values()], pa.int64())], names=["kind", "key", "n"])
 
     for batch in batches:
         for raw in batch.column("text"):
             text = raw.as_py().decode("utf-8", "replace")
-            seen.update((_TERM, t) for t in _terms(text))
-            seen.update((_ENTITY, e) for e in {_entity(k, text[s:e]) for k, s, e in base_spans(text)})
-            seen[_DOCUMENT, ""] += 1
-            if len(seen) > 150_000:
+            spans = base_spans(text)
+            terms.update(_terms(without(text, spans)))
+            others.update((_ENTITY, e) for e in {_entity(k, text[s:e]) for k, s, e in spans})
+            others[_DOCUMENT, 0] += 1
+            if len(terms) + len(others) > 150_000:
                 yield flush()
-                seen.clear()
-    if seen:
+                terms.clear()
+                others.clear()
+    if others:
         yield flush()
 
 
@@ -180,7 +188,7 @@ def _pairs(entities: np.ndarray, terms: np.ndarray, bound: float, share: float):
                 spans = base_spans(text)
                 own = {e for e in {_entity(k, text[s:e]) for k, s, e in spans} if entities[e & (len(entities) - 1)]}
                 if own:
-                    hashes = np.array([term_hash(t) for t in {t for t, _, _ in _words(text, spans)}], np.int64)
+                    hashes = np.array([term_hash(t) for t in _terms(without(text, spans))], np.int64)
                     level = terms[hashes & (len(terms) - 1)]
                 for e in own:
                     keep = hashes[(level != _NONE) & (level <= 4 * bound + share * entities[e & (len(entities) - 1)] + 1e-6)]

@@ -1,8 +1,9 @@
 """Secrets: base patterns plus structural confirmation.
 
 Candidates in base64 or hexadecimal are decoded; a span is added only if the bytes parse as a key: DER whose nested
-lengths fill the value exactly, an OpenSSH private key, an SSH wire-format public key, or a token whose first segment
-is a JSON header naming an algorithm. Null or empty text has no spans; each row is scanned by itself, whole.
+lengths fill the value exactly, an OpenSSH private key whose fields and public keys fill it exactly, an SSH wire-format
+public key, or a token whose first segment is a JSON header naming an algorithm. An encrypted PEM key has no structure
+inside; it is confirmed by its two headers, whose vector decodes, and a body of whole cipher blocks. Null or empty text has no spans; each row is scanned by itself, whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from tidemark.llm.common import text_rows
 
 KINDS = ("assign", "access", "hex")
 #: Kinds that structural confirmation adds, in the order in which equal starts are listed.
-CONFIRMED = ("der", "ssh", "jwt")
+CONFIRMED = ("der", "ssh", "jwt", "pem")
 
 
 def _either(word: str) -> str:
@@ -35,9 +36,13 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)?")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]+-----")
+_LOCKED = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s+Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,((?:[0-9A-Fa-f]{2}){8,16})\s+([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|[0]{6})[0-9A-Fa-f]{38,}")
 
 
+_OPENSSH = b"openssh-key-v1\0"
+
+
 def _decode64(s: str) -> bytes | None:
     s = re.sub(r"\s", "", s).rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -82,6 +87,31 @@ def wire_strings(data: bytes) -> int | None:
     return n if at == len(data) else None
 
 
+def _field(data: bytes, at: int) -> tuple[bytes | None, int]:
+    """The length-prefixed field at ``at`` and where it ends."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : end], end) if at + 4 <= len(data) and end <= len(data) else (None, at)
+
+
+def openssh_key(data: bytes) -> bool:
+    """Cipher, key derivation and its options, the number of keys, so many public keys and one private part, no more."""
+    at = len(_OPENSSH)
+    cipher, at = _field(data, at)
+    kdf, at = _field(data, at)
+    options, at = _field(data, at)
+    if not cipher or not kdf or options is None or (cipher == b"none") != (kdf == b"none") or not re.fullmatch(rb"[a-z0-9@.-]+", cipher + kdf):
+        return False
+    number, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= number <= len(data) // 8:
+        return False
+    for _ in range(number):
+        public, at = _field(data, at)
+        if public is None or (wire_strings(public) or 0) < 2:
+            return False
+    private, at = _field(data, at)
+    return bool(private) and len(private) % 8 == 0 and at == len(data)
+
+
 def key_kind(data: bytes | None) -> str | None:
     if not data or len(data) < 20:
         return None
@@ -89,8 +119,8 @@ def key_kind(data: bytes | None) -> str | None:
         inner = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
         if der_value(data, 0, len(data)) == len(data) and (data[inner] if inner < len(data) else 0) in (0x02, 0x30):
             return "der"
-    if data.startswith(b"openssh-key-v1\0"):
-        return "ssh"
+    if data.startswith(_OPENSSH):
+        return "ssh" if openssh_key(data) else None
     if data[:4] in (b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13") and data[4:8] in (b"ssh-", b"ecds") and (wire_strings(data) or 0) >= 2:
         return "ssh"
     return None
@@ -123,6 +153,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         for m in _PEM.finditer(text):
             if kind := key_kind(_decode64(m[1])):
                 out.add((kind, *m.span()))
+        for m in _LOCKED.finditer(text):
+            body = _decode64(m[2])
+            if body and len(body) % 8 == 0:
+                out.add(("pem", *m.span()))
     return sorted(out, key=lambda x: (x[1], CONFIRMED.index(x[0])))
 
 
