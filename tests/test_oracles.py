@@ -1,13 +1,14 @@
 """Every query with SQL must return the same rows as DuckDB does over the same tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from tidemark.queries import ORACLES, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -25,7 +26,7 @@ def plain(v):
     if isinstance(v, float) and math.isnan(v):
         return "nan"
     if isinstance(v, float) or hasattr(v, "as_tuple"):
-        return repr(round(float(v), 4) + 0.0)
+        return repr(round(float(v), 6) + 0.0)
     return str(v)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import corr
+
 
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], at: str = "ts", key: str = "symbol", forward: bool = False, strict: bool = False) -> DataFrame:
     """For each row of ``left`` the last row of ``right`` at or before its ``at`` (``forward``: the first at or after).
@@ -60,13 +62,13 @@ def compare_feeds(a: DataFrame, b: DataFrame, column: str = "close") -> DataFram
     both = a.select("symbol", "ts", F.col(column).alias("a")).join(b.select("symbol", "ts", F.col(column).alias("b")), ["symbol", "ts"], "full_outer")
     gap = F.abs(F.col("a") - F.col("b"))
     return both.groupBy("symbol").agg(
-        F.count("*").alias("n"), F.count_if(F.col("a").isNull()).alias("missing_a"), F.count_if(F.col("b").isNull()).alias("missing_b"), F.corr("a", "b").alias("corr"), F.avg(gap / F.col("a")).alias("mape"), F.max(gap).alias("max_gap")
+        F.count("*").alias("n"), F.count_if(F.col("a").isNull()).alias("missing_a"), F.count_if(F.col("b").isNull()).alias("missing_b"), corr("a", "b").alias("corr"), F.avg(F.try_divide(gap, F.abs("a"))).alias("mape"), F.max(gap).alias("max_gap")
     )
 
 
 def quality_grade(compared: DataFrame) -> DataFrame:
-    """A grade in words from the correlation and the mean relative difference of two feeds."""
-    return compared.withColumn("grade", F.when((F.col("corr") > 0.99) & (F.col("mape") < 0.01), "excellent").when(F.col("corr") > 0.95, "good").when(F.col("corr") > 0.8, "fair").otherwise("poor"))
+    """A grade in words from the correlation and the mean relative difference (as a share) of two feeds."""
+    return compared.withColumn("grade", F.when((F.col("corr") > 0.99) & (F.col("mape") < 0.01), "EXCELLENT").when((F.col("corr") > 0.95) & (F.col("mape") < 0.05), "GOOD").otherwise("POOR"))
 
 
 def alignment_faults(target: DataFrame, factor: DataFrame) -> DataFrame:

@@ -14,18 +14,20 @@ def expanding_folds(spark: SparkSession, n: int, initial: int, step: int) -> Dat
     return spark.range(k).select(fold.alias("fold"), F.lit(0).cast("long").alias("train_lo"), lo.alias("train_hi"), lo.alias("test_lo"), F.least(lo + step, F.lit(n)).alias("test_hi"))
 
 
-def purged_folds(spark: SparkSession, n: int, k: int, purge: int, embargo: int) -> DataFrame:
-    """k equal test blocks; training is what lies before less ``purge`` rows and after plus ``embargo`` rows."""
-    fold = F.col("id")
+def purged_folds(rows: DataFrame, k: int, purge: int, embargo: int, by: str = "symbol") -> DataFrame:
+    """k equal test blocks of every series, by its own number of rows; training is what lies before less ``purge`` rows
+    and after plus ``purge`` and ``embargo`` rows."""
+    sized = rows.groupBy(by).agg(F.count("*").alias("_n")).select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    n, fold = F.col("_n"), F.col("fold").cast("long")
     lo, hi = F.floor(fold * n / k), F.floor((fold + 1) * n / k)
-    return spark.range(k).select(fold.cast("int").alias("fold"), lo.alias("test_lo"), hi.alias("test_hi"), F.greatest(lo - purge, F.lit(0)).alias("before_hi"), F.least(hi + purge + embargo, F.lit(n)).alias("after_lo"))
+    return sized.select(by, "fold", lo.alias("test_lo"), hi.alias("test_hi"), F.greatest(lo - purge, F.lit(0)).alias("before_hi"), F.least(hi + purge + embargo, n).alias("after_lo"))
 
 
-def assign_purged(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Each (row, fold) with its role; rows in the purge or embargo zone have none. The fold table has k rows."""
+def assign_purged(rows: DataFrame, folds: DataFrame, by: str = "symbol") -> DataFrame:
+    """Each (row, fold) with its role; rows in the purge or embargo zone have none. The fold table has k rows a series."""
     i = F.col("idx")
     role = F.when((i >= F.col("test_lo")) & (i < F.col("test_hi")), "test").when((i < F.col("before_hi")) | (i >= F.col("after_lo")), "train")
-    return rows.join(F.broadcast(folds)).withColumn("role", role).where(F.col("role").isNotNull())
+    return rows.join(folds, by).withColumn("role", role).where(F.col("role").isNotNull())
 
 
 def chronological_split(df: DataFrame, train: float = 0.6, validation: float = 0.2, by: str = "symbol", order: str = "ts") -> DataFrame:

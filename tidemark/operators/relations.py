@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import series
+from tidemark.operators.windows import corr, series
 
 
 def regime_correlation(df: DataFrame, x: str, y: str, regime: str, minimum: int, by: str = "symbol") -> DataFrame:
-    return df.groupBy(by, regime).agg(F.when(F.count("*") >= minimum, F.corr(x, y)).alias("corr"), F.count("*").alias("n"))
+    return df.groupBy(by, regime).agg(F.when(F.count("*") >= minimum, corr(x, y)).alias("corr"), F.count("*").alias("n"))
 
 
 def sign_test(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
@@ -51,9 +51,9 @@ def seasonality(df: DataFrame, r: str, period: int, by: str = "symbol", order: s
     return own.groupBy(by, "season").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.avg((F.col(r) > 0).cast("double")).alias("hit"))
 
 
-def session(ts: str):
-    """Fixed hours in UTC: asian to 8, european to 16, american to 21, late to 24."""
-    return F.when(F.hour(ts) < 8, "asian").when(F.hour(ts) < 16, "european").when(F.hour(ts) < 21, "american").otherwise("late")
+def session(ts):
+    """Fixed hours in UTC: Asian to 8, European to 16, Overlap to 21, then US."""
+    return F.when(F.hour(ts) < 8, "Asian").when(F.hour(ts) < 16, "European").when(F.hour(ts) < 21, "Overlap").otherwise("US")
 
 
 def sessions(bars: DataFrame) -> DataFrame:
@@ -62,10 +62,19 @@ def sessions(bars: DataFrame) -> DataFrame:
     return bars.groupBy(session("ts").alias("session")).agg(F.count("*").alias("n"), F.avg(move).alias("mean"), F.stddev_samp(move).alias("sd"), share(move > 0).alias("positive"), share(move < 0).alias("negative"), share(move == 0).alias("flat"))
 
 
+def surprise(actual, forecast):
+    """(actual - forecast) / |forecast|; 0 where the forecast is 0, null where one is missing."""
+    return F.when(forecast == 0, F.when(actual.isNotNull(), 0.0)).otherwise((actual - forecast) / F.abs(forecast))
+
+
+def classify_surprise(value, band: float = 0.01):
+    return F.when(value > band, "positive").when(value < -band, "negative").when(value.isNotNull(), "neutral")
+
+
 def surprises(df: DataFrame, by: str, band: float = 0.01) -> DataFrame:
-    """(actual - forecast) / |forecast|, summarised per series."""
-    own = df.withColumn("_s", (F.col("actual") - F.col("forecast")) / F.abs("forecast")).where("_s is not null")
-    return own.groupBy(by).agg(F.count("*").alias("n"), F.avg("_s").alias("mean"), F.avg(F.abs("_s")).alias("mean_abs"), F.count_if(F.col("_s") > band).alias("above"), F.count_if(F.col("_s") < -band).alias("below"))
+    """Surprises summarised per series."""
+    own = df.withColumn("_s", surprise(F.col("actual"), F.col("forecast"))).where("_s is not null").withColumn("_k", classify_surprise(F.col("_s"), band))
+    return own.groupBy(by).agg(F.count("*").alias("n"), F.avg("_s").alias("mean"), F.avg(F.abs("_s")).alias("mean_abs"), F.count_if(F.col("_k") == "positive").alias("above"), F.count_if(F.col("_k") == "negative").alias("below"))
 
 
 def divergence(both: DataFrame, by: str = "symbol") -> DataFrame:
@@ -77,18 +86,25 @@ def divergence(both: DataFrame, by: str = "symbol") -> DataFrame:
 def optimal_lag(df: DataFrame, a: str, b: str, most: int, by: str = "symbol") -> DataFrame:
     """The lag of ``b`` behind ``a`` (rows, -most to most) with the greatest absolute correlation. ``df`` has ``idx``."""
     left = df.select(by, "idx", F.col(a).alias("_a")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("idx", F.col("idx") + F.col("lag"))
-    both = left.join(df.select(by, "idx", F.col(b).alias("_b")), [by, "idx"]).groupBy(by, "lag").agg(F.corr("_a", "_b").alias("corr"), F.count("*").alias("n"))
+    both = left.join(df.select(by, "idx", F.col(b).alias("_b")), [by, "idx"]).groupBy(by, "lag").agg(corr("_a", "_b").alias("corr"), F.count("*").alias("n"))
     w = Window.partitionBy(by).orderBy(F.desc(F.abs("corr")), F.abs("lag"), "lag")
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(by, "lag", "corr", "n")
 
 
-def mean_shift(df: DataFrame, x: str, least: int) -> DataFrame:
-    """The split with the greatest standardised difference of means, from running sums."""
-    so_far, whole = series().rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("symbol")
-    own = df.select("symbol", "ts", F.row_number().over(series()).alias("k"), F.count("*").over(whole).alias("n"), F.sum(x).over(so_far).alias("s"), F.sum(x).over(whole).alias("t"))
-    gap = F.abs(F.col("s") / F.col("k") - (F.col("t") - F.col("s")) / (F.col("n") - F.col("k"))) * F.sqrt(F.col("k") * (F.col("n") - F.col("k")) / F.col("n"))
-    own = own.where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least)).select("symbol", "ts", gap.alias("shift"))
-    return own.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("shift"), "ts"))).where("_r = 1").drop("_r")
+def mean_shift(df: DataFrame, x: str, critical: float = 2.0) -> DataFrame:
+    """The split between the first and the last quarter of the rows with the greatest difference of means over its
+    standard error, from running sums; a break if that passes ``critical``. Values are centred first; equal statistics
+    go to the earlier split. Per series: idx (first row of the second part), ts, statistic, has_break."""
+    so_far, whole = series().rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("symbol")
+    own = df.select("symbol", "ts", (F.col(x) - F.avg(x).over(whole)).alias("v"))
+    own = own.select("symbol", "ts", (F.row_number().over(series()) - 1).alias("k"), F.count("*").over(whole).alias("n"), *[F.sum(v).over(w).alias(f"{t}_{p}") for t, v in (("s", F.col("v")), ("q", F.col("v") ** 2)) for p, w in (("a", so_far), ("t", whole))])
+    a, b = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
+    own = own.where((F.col("k") >= F.floor(F.col("n") / 4)) & (F.col("k") < F.floor(3 * F.col("n") / 4)) & (F.col("k") > 0))
+    m1, m2 = F.col("s_a") / a, (F.col("s_t") - F.col("s_a")) / b
+    pooled = F.greatest((F.col("q_a") / a - m1**2 + (F.col("q_t") - F.col("q_a")) / b - m2**2) / 2, F.lit(0.0))
+    own = own.withColumn("statistic", F.coalesce(F.try_divide(F.abs(m1 - m2), F.sqrt(pooled * (1 / a + 1 / b))), F.lit(0.0)))
+    best = own.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("statistic"), "k"))).where("_r = 1")
+    return best.select("symbol", F.col("k").cast("long").alias("idx"), "ts", "statistic", (F.col("statistic") > critical).alias("has_break"))
 
 
 def correlation_break(df: DataFrame, x: str, y: str, least: int) -> DataFrame:
@@ -108,18 +124,23 @@ def correlation_break(df: DataFrame, x: str, y: str, least: int) -> DataFrame:
     return own.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("gap"), "ts"))).where("_r = 1").drop("_r")
 
 
-def cusum(df: DataFrame, x: str, threshold: float) -> DataFrame:
-    """Change points: sums of deviations from the series mean, up and down, set back to 0 where one passes the
-    threshold. An ordered fold per symbol; one very long symbol is one task by nature."""
+def cusum(df: DataFrame, x: str, threshold: float | None = None) -> DataFrame:
+    """Change points: sums of deviations from the series mean less half a threshold, up and down, each set back to 0
+    where it passes the threshold; by default four population deviations of the series, or 1 for a constant one. An
+    ordered fold per symbol; one very long symbol is one task by nature."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
-        mean, up, down, out = rows[x].mean(), 0.0, 0.0, []
+        mean, sd, up, down, out = rows[x].mean(), rows[x].std(ddof=0), 0.0, 0.0, []
+        limit = threshold if threshold is not None else 4 * sd if sd > 0 else 1.0
         for symbol, ts, v in zip(rows["symbol"], rows["ts"], rows[x]):
-            up, down = max(0.0, up + v - mean), min(0.0, down + v - mean)
-            if up > threshold or -down > threshold:
-                out.append((symbol, ts, 1 if up > threshold else -1))
-                up = down = 0.0
-        return pd.DataFrame(out, columns=["symbol", "ts", "direction"])
-
-    return df.select("symbol", "ts", x).groupBy("symbol").applyInPandas(fold, "symbol string, ts timestamp, direction int")
+            up, down = max(0.0, up + v - mean - limit / 2), max(0.0, down - v + mean - limit / 2)
+            if up > limit:
+                out.append((symbol, ts, up))
+                up = 0.0
+            elif down > limit:
+                out.append((symbol, ts, -down))
+                down = 0.0
+        return pd.DataFrame(out, columns=["symbol", "ts", "level"])
+
+    return df.select("symbol", "ts", x).where(F.col(x).isNotNull()).groupBy("symbol").applyInPandas(fold, "symbol string, ts timestamp, level double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +25,32 @@ def token_overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_rows(train: DataFrame, test: DataFrame, columns: list[str], by: str, k: int) -> DataFrame:
+def nearest_rows(train: DataFrame, test: DataFrame, columns: list[str], by: str, k: int, block: int = 16384) -> DataFrame:
     """k nearest training rows (distance, then id) of each test row inside its group (fold): by, test_id, id, distance.
 
-    ``by`` and ``id`` in both. Rows meet by group; the rank limit is applied before and after the shuffle.
+    ``by`` and ``id`` in both; a row is no neighbour of its own. Queries are few against the training rows: both are
+    dealt into numbered blocks, a task holds one block of each and keeps k rows a query, so no pair is written out.
     """
-    left = test.select(by, F.col("id").alias("test_id"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(columns)])
-    distance = F.sqrt(sum((F.col(c) - F.col(f"_t{i}")) ** 2 for i, c in enumerate(columns)))
-    pairs = left.join(train.select(by, "id", *columns), by).select(by, "test_id", "id", distance.alias("distance"))
+    whole = train.select(by, "id", *columns).withColumn("_i", F.floor(F.col("id") / block).cast("long"))
+    asked = test.select(by, "id", *columns).withColumn("_j", F.floor(F.col("id") / block).cast("long"))
+    i, j = whole.select(by, "_i").distinct(), asked.select(by, "_j").distinct()
+    both = whole.join(j, by).withColumn("_asks", F.lit(False)).unionByName(asked.join(i, by).withColumn("_asks", F.lit(True)))
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        base, queries = rows[~rows["_asks"]].sort_values("id"), rows[rows["_asks"]]
+        ids, x = base["id"].to_numpy(), base[columns].to_numpy(float)
+        out = []
+        for query, point in zip(queries["id"], queries[columns].to_numpy(float)):
+            far = np.where(ids == query, np.inf, np.sqrt(((x - point) ** 2).sum(1)))
+            near = np.argsort(far, kind="stable")[:k]
+            near = near[np.isfinite(far[near])]
+            out.append(pd.DataFrame({by: rows[by].iloc[0], "test_id": query, "id": ids[near], "distance": far[near]}))
+        return pd.concat(out) if out else pd.DataFrame({by: [], "test_id": [], "id": [], "distance": []})
+
+    kind = dict(train.dtypes)
+    found = both.groupBy(by, "_i", "_j").applyInPandas(search, f"{by} {kind[by]}, test_id {kind['id']}, id {kind['id']}, distance double")
     w = Window.partitionBy(by, "test_id").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def similar_snapshots(target: DataFrame, candidates: DataFrame, columns: list[str], n: int, least: float) -> DataFrame:
@@ -62,8 +80,6 @@ def thin_breaks(breaks: DataFrame, gap: int, by: str = "symbol") -> DataFrame:
 
     An ordered fold over the few candidate breaks of a series, not over its rows.
     """
-    import pandas as pd
-
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         best, anchor, out = None, None, []
         for row in rows.sort_values("idx").itertuples(index=False):

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import corr
+
 
 def descriptive(df: DataFrame, x: str, by: str = "symbol") -> DataFrame:
     """Count, mean, median, variances, skew (plain and adjusted), excess kurtosis, extremes and quartiles."""
@@ -27,13 +29,32 @@ def histogram(df: DataFrame, x: str, bins: int, by: str = "symbol") -> DataFrame
 def pearson_matrix(wide: DataFrame, columns: list[str]) -> DataFrame:
     """All pairwise correlations and covariances in long form, from one aggregate of one scan."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = wide.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr"), F.covar_samp(a, b).alias("covar"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n")).alias(f"{a}|{b}") for a, b in pairs])
+    row = wide.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("corr"), F.covar_samp(a, b).alias("covar"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n")).alias(f"{a}|{b}") for a, b in pairs])
     return row.select(F.inline(F.array(*[F.col(f"`{a}|{b}`") for a, b in pairs])))
 
 
 def strength(r: Column) -> Column:
     size = F.abs(r)
-    return F.when(size >= 0.8, "very strong").when(size >= 0.6, "strong").when(size >= 0.4, "moderate").when(size >= 0.2, "weak").otherwise("negligible")
+    return F.when(size >= 0.8, "very_strong").when(size >= 0.6, "strong").when(size >= 0.4, "moderate").when(size >= 0.2, "weak").when(size.isNotNull(), "negligible")
+
+
+def relation_type(r: Column) -> Column:
+    return F.when(r > 0.05, "positive").when(r < -0.05, "negative").when(r.isNotNull(), "neutral")
+
+
+def normal_tail(t: Column, terms: int = 120) -> Column:
+    """Two-sided tail of the standard normal law by the series of its distribution function; 0 beyond 8 deviations."""
+    x = F.least(F.abs(t), F.lit(8.0))
+    start = F.struct(x.alias("term"), x.alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * x * x / (2 * k + 1)).alias("total")))["total"]
+    return F.when(F.abs(t) >= 8, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * total * F.exp(-x * x / 2) / (2 * 3.141592653589793) ** 0.5))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation by its t statistic and the normal law, as for 30 degrees of freedom and more;
+    null for fewer, for r = +-1 and for less than three pairs."""
+    t = F.abs(r) * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r))
+    return F.when((n >= 32) & (F.abs(r) < 1), normal_tail(t))
 
 
 def average_rank(x: str, by: str) -> Column:
@@ -43,7 +64,7 @@ def average_rank(x: str, by: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, by: str = "symbol") -> DataFrame:
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return own.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by)).groupBy(by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    return own.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by)).groupBy(by).agg(corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
 def regression(df: DataFrame, y: str, x: str, by: str = "symbol") -> DataFrame:

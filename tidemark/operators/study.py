@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import previous, rolling, series
+from tidemark.operators.windows import corr, previous, series
 
 
 def quote_metrics(quotes: DataFrame) -> DataFrame:
@@ -55,8 +55,17 @@ def outcome_counts(df: DataFrame, r: str, by: str) -> DataFrame:
 
 
 def yield_curve(df: DataFrame) -> DataFrame:
-    """Slope over the tenors, level, and the yield of the longest tenor per day."""
-    return df.groupBy("day").agg(F.regr_slope("yield", "tenor").alias("slope"), F.avg("yield").alias("level"), F.max_by("yield", F.struct("tenor", "seq")).alias("longest"))
+    """Per day, from (day, tenor in years, yield) with one yield a tenor: level (longest tenor), least-squares slope
+    over the tenors, curvature (shortest + longest - 2 x middle), and the benchmark spreads, null where a tenor is
+    missing. Fewer than three tenors give 0 for the first three; equal tenors a slope of 0."""
+    x, y = F.col("tenor"), F.col("yield")
+    at = lambda t: F.max(F.when(F.abs(x - t) < 1e-9, y))
+    own = df.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("tenor", "yield"))).alias("_c"), F.covar_pop(x, y).alias("_xy"), F.var_pop(x).alias("_xx"), at(10.0).alias("_10"), at(2.0).alias("_2"), at(30.0).alias("_30"), at(0.25).alias("_3m"))
+    n = F.size("_c")
+    take = lambda i: F.element_at("_c", i)["yield"]
+    some = lambda c: F.when(n < 3, 0.0).otherwise(c)
+    middle = take((F.floor(n / 2) + 1).cast("int"))
+    return own.select("day", some(take(F.lit(-1))).alias("level"), some(F.coalesce(F.try_divide("_xy", "_xx"), F.lit(0.0))).alias("slope"), some(take(F.lit(1)) + take(F.lit(-1)) - 2 * middle).alias("curvature"), (F.col("_10") - F.col("_2")).alias("spread_10y_2y"), (F.col("_30") - F.col("_10")).alias("spread_30y_10y"), (F.col("_10") - F.col("_3m")).alias("spread_10y_3m"))
 
 
 def latest_ratios(bars: DataFrame) -> DataFrame:
@@ -67,30 +76,46 @@ def latest_ratios(bars: DataFrame) -> DataFrame:
 
 
 def ledger(df: DataFrame, warm_up: int, horizon: int) -> DataFrame:
-    """Rows, days, and days left after warm-up and horizon per source."""
-    days = F.countDistinct(F.to_date("ts"))
-    return df.groupBy("source").agg(F.count("*").alias("n"), days.alias("days"), F.greatest(days - warm_up - horizon, F.lit(0)).alias("usable"))
-
-
-def evidence(items: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted strength by direction, normalised per context; unknown sources weigh 1; uniform without any strength."""
-    own = items.join(F.broadcast(weights), "source", "left").withColumn("_v", F.coalesce("weight", F.lit(1.0)) * F.col("strength"))
-    part = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("_v"))), F.lit(0.0))
-    total = F.sum("_v")
-    share = lambda d: F.when(total > 0, part(d) / total).otherwise(1 / 3).alias(d)
-    return own.groupBy("context").agg(share("up"), share("down"), share("neutral"))
+    """Per source: rows, days, repeated times, days common to all sources, days it has besides, and the common days
+    left after the features' warm-up and the label's horizon."""
+    own = df.groupBy("source", "ts").agg(F.count("*").alias("_c"), F.to_date(F.min("ts")).alias("_day"))
+    rows = own.groupBy("source").agg(F.sum("_c").alias("n"), F.countDistinct("_day").alias("days"), F.sum(F.col("_c") - 1).alias("duplicates"))
+    sources = df.select("source").distinct().agg(F.count("*").alias("_k"))
+    common = own.select("source", "_day").distinct().groupBy("_day").agg(F.count("*").alias("_n")).join(F.broadcast(sources)).agg(F.count_if(F.col("_n") == F.col("_k")).alias("common"))
+    usable = F.greatest(F.greatest(F.col("common") - warm_up, F.lit(0)) - horizon, F.lit(0))
+    return rows.join(F.broadcast(common)).select("source", "n", "days", "duplicates", "common", (F.col("days") - F.col("common")).alias("besides"), usable.alias("usable"))
+
+
+def evidence(items: DataFrame, weights: DataFrame, default: float = 0.2) -> DataFrame:
+    """Per context: strength x item weight x source weight by direction, over the greatest of the three (0.001 at
+    least), the score (bullish less bearish within [-1, 1]), and the mean over sources of their greatest confidence.
+
+    ``items``: context, source, direction (Bullish, Bearish, Neutral), strength, weight, confidence; ``weights``: source,
+    source_weight (a small table; other sources weigh ``default``).
+    """
+    value = F.coalesce("source_weight", F.lit(default)) * F.col("strength") * F.col("weight")
+    own = items.join(F.broadcast(weights), "source", "left").withColumn("_v", value)
+    part = lambda d: F.sum(F.when(F.col("direction") == d, F.col("_v")).otherwise(0.0)).alias(d)
+    by_source = own.groupBy("context", "source").agg(part("Bullish"), part("Bearish"), part("Neutral"), F.max("confidence").alias("_c"))
+    total = by_source.groupBy("context").agg(F.sum("Bullish").alias("_u"), F.sum("Bearish").alias("_d"), F.sum("Neutral").alias("_n"), F.avg("_c").alias("confidence"))
+    most = F.greatest("_u", "_d", "_n", F.lit(0.001))
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_u") - F.col("_d")))
+    return total.select("context", (F.col("_u") / most).alias("bullish"), (F.col("_d") / most).alias("bearish"), (F.col("_n") / most).alias("neutral"), score.alias("score"), "confidence")
 
 
 def target_correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    row = df.agg(*[F.corr(target, c).alias(c) for c in columns])
+    row = df.agg(*[corr(target, c).alias(c) for c in columns])
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("corr")) for c in columns])))
 
 
-def daily_limits(balances: DataFrame, most: float) -> DataFrame:
-    """Greatest loss within a day against the day's first balance, and whether it keeps the limit."""
-    by_day = balances.groupBy("account", F.date_trunc("day", "ts").alias("day")).agg(F.min_by("balance", F.struct("ts", "event_id")).alias("_open"), F.min("balance").alias("_low"))
-    loss = (F.col("_open") - F.col("_low")) / F.col("_open")
-    return by_day.select("account", "day", loss.alias("loss"), (loss <= most).alias("ok"))
+def account_limits(trades: DataFrame, daily: float = 5.0, total: float = 10.0, risk: float = 1.0) -> DataFrame:
+    """Limits in percent per trade (account, trade, ts, initial, balance, risk_amount, reward_amount): the day's lowest
+    balance and the current one against the initial balance, the amount at risk against the current one, and a reward of
+    at least twice the risk."""
+    low = F.min("balance").over(Window.partitionBy("account", F.to_date("ts")))
+    own = trades.select("*", (F.try_divide(F.col("initial") - low, F.col("initial")) * 100).alias("daily_dd"), (F.try_divide(F.col("initial") - F.col("balance"), F.col("initial")) * 100).alias("total_dd"), (F.try_divide("risk_amount", "balance") * 100).alias("risk_pct"), F.when(F.col("risk_amount") > 0, F.col("reward_amount") / F.col("risk_amount")).otherwise(0.0).alias("rr"))
+    passed = {"daily_ok": F.col("daily_dd") <= daily, "total_ok": F.col("total_dd") <= total, "risk_ok": F.col("risk_pct") <= risk, "rr_ok": F.col("rr") >= 2}
+    return own.select("account", "trade", "daily_dd", "total_dd", "risk_pct", "rr", *[c.alias(n) for n, c in passed.items()], reduce(lambda a, b: a & b, passed.values()).alias("valid"))
 
 
 def runs(df: DataFrame, state: str, r: str) -> DataFrame:
@@ -118,14 +143,19 @@ def best(df: DataFrame, by: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def position_size(df: DataFrame, target: float, limit: float, w: int) -> DataFrame:
-    """Volatility-targeted size, at most 1, shrinking from 80 % of the worst drawdown allowed to 0 at the limit; the
-    worst drawdown so far counts, not the current one."""
+def position_size(df: DataFrame, target: float = 0.15, limit: float = 0.10, leverage: float = 3.0) -> DataFrame:
+    """Target over current volatility, at most ``leverage``, 0 without a prediction or volatility, then shrunk from 80 %
+    of the worst drawdown allowed to 0 at the limit; the worst drawdown so far counts, not the current one. The sign of
+    the prediction turns up twice in the rule, so sizes are never negative.
+
+    ``df``: symbol, ts, prediction, volatility, equity."""
     so_far = series().rowsBetween(Window.unboundedPreceding, 0)
-    own = df.select("symbol", "ts", rolling(F.stddev_samp, "r", w).alias("_v"), (F.col("close") / F.max("close").over(so_far) - 1).alias("_dd"))
-    own = own.withColumn("_worst", -F.min("_dd").over(so_far))
-    scale = F.when(F.col("_worst") >= limit, 0.0).when(F.col("_worst") > 0.8 * limit, (limit - F.col("_worst")) / (0.2 * limit)).otherwise(1.0)
-    return own.select("symbol", "ts", (F.least(F.lit(1.0), target / F.col("_v")) * scale).alias("size"))
+    own = df.select("*", F.try_divide(F.max("equity").over(so_far) - F.col("equity"), F.max("equity").over(so_far)).alias("_dd"))
+    own = own.withColumn("_worst", F.max("_dd").over(so_far))
+    scale = F.when(F.col("_worst") >= limit, 0.0).when(F.col("_worst") >= 0.8 * limit, F.greatest(F.lit(0.0), 1 - (F.col("_worst") - 0.8 * limit) / (0.2 * limit))).otherwise(1.0)
+    missing = F.col("volatility").isNull() | F.col("prediction").isNull()
+    size = F.when(missing, None).when((F.col("volatility") <= 1e-9) | (F.col("prediction") == 0), 0.0).otherwise(F.least(F.try_divide(F.lit(target), F.col("volatility")), F.lit(leverage)))
+    return own.select("symbol", "ts", (size * scale).alias("size"))
 
 
 def feature_sweep(df: DataFrame, features: list[str], outcome: str) -> DataFrame:

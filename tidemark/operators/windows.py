@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation as an aggregate; null where a column does not vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def series() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -161,10 +168,12 @@ def ichimoku(bars: DataFrame, fast: int = 9, mid: int = 26, slow: int = 52) -> D
 
 
 def rolling_relation(pairs: DataFrame, x: str, y: str, w: int) -> DataFrame:
-    """Rolling correlation and covariance of two columns, and how stable the correlation is."""
+    """Rolling correlation and covariance of two columns; a window in which one of them does not move has no correlation."""
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
     frame = rows(w)
-    return pairs.select("symbol", "ts", full(F.corr(x, y).over(frame), both, w).alias("corr"), full(F.covar_samp(x, y).over(frame), both, w).alias("covar"))
+    moves = lambda c: F.max(c).over(frame) > F.min(c).over(frame)
+    r = F.when(moves(x) & moves(y), F.try_divide(F.covar_pop(x, y).over(frame), F.stddev_pop(x).over(frame) * F.stddev_pop(y).over(frame)))
+    return pairs.select("symbol", "ts", full(r, both, w).alias("corr"), full(F.covar_samp(x, y).over(frame), both, w).alias("covar"))
 
 
 def stability(rolled: DataFrame) -> DataFrame:
@@ -184,9 +193,14 @@ def volatility_features(bars: DataFrame, short: int = 10, long: int = 30, lookba
     return own.withColumn("regime", F.when(F.col("vol_rank") > 0.8, "high").when(F.col("vol_rank") < 0.2, "low").when(F.col("vol_rank").isNotNull(), "normal"))
 
 
-def trend_state(bars: DataFrame, fast: int = 10, slow: int = 30) -> DataFrame:
-    own = bars.select("symbol", "ts", "close", sma("close", fast).alias("fast"), sma("close", slow).alias("slow"))
-    return own.select("symbol", "ts", F.when(F.col("slow").isNull(), None).when(F.col("fast") > F.col("slow"), "up").when(F.col("fast") < F.col("slow"), "down").otherwise("flat").alias("trend"))
+def trend_state(bars: DataFrame, fast: int = 20, slow: int = 50, momentum: int = 14, short: int = 20, long: int = 60) -> DataFrame:
+    """Signs, as doubles: of the fast average over the slow one, of the momentum, and of a short rolling volatility of
+    returns over a long one (1 over 1.2 times, -1 under 0.8 times). Null in the warm-up."""
+    sign = lambda a, b: F.when(a > b, 1.0).when(a < b, -1.0).when(a.isNotNull() & b.isNotNull(), 0.0)
+    own = bars.select("symbol", "ts", "close", simple_return().alias("_r"), sma("close", fast).alias("_f"), sma("close", slow).alias("_s"), (F.col("close") - previous("close", momentum)).alias("_m"))
+    own = own.select("*", rolling(F.stddev_pop, "_r", short).alias("_a"), rolling(F.stddev_pop, "_r", long).alias("_b"))
+    size = F.when(F.col("_b") == 0, 0.0).when(F.col("_a") > 1.2 * F.col("_b"), 1.0).when(F.col("_a") < 0.8 * F.col("_b"), -1.0).when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 0.0)
+    return own.select("symbol", "ts", sign(F.col("_f"), F.col("_s")).alias("trend_state"), sign(F.col("_m"), F.lit(0.0)).alias("momentum_regime"), size.alias("vol_regime"))
 
 
 def crossovers(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
@@ -197,11 +211,16 @@ def crossovers(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     return own.withColumn("direction", direction).where(F.col("direction").isNotNull()).select(F.concat_ws("|", "symbol", F.unix_timestamp("ts").cast("string")).alias("event_id"), "symbol", "ts", "direction", F.col("close").alias("price"), "sma_fast", "sma_slow", F.weekday("ts").alias("weekday"))
 
 
-def thresholds(df: DataFrame, of: str, w: int, buy: float = 0.8, sell: float = 0.2) -> DataFrame:
-    """BUY over the rolling upper quantile, SELL under the lower one, else HOLD; confidence is the distance in spans."""
+def thresholds(df: DataFrame, of: str, w: int = 60, buy: float = 0.7, sell: float = 0.3) -> DataFrame:
+    """1 over the rolling upper quantile, -1 under the lower one, else 0, with a confidence: the distance from the
+    threshold in shares of what is left up to 1 or down to 0, within [0, 1], and 0.5 without a signal. Missing
+    predictions are left out of the result, not of the window."""
     hi, lo = full(F.percentile(F.col(of), F.lit(buy)).over(rows(w)), of, w), full(F.percentile(F.col(of), F.lit(sell)).over(rows(w)), of, w)
-    own = df.select("symbol", "ts", of, hi.alias("hi"), lo.alias("lo"))
-    return own.select("symbol", "ts", F.when(F.col(of) > F.col("hi"), "BUY").when(F.col(of) < F.col("lo"), "SELL").otherwise("HOLD").alias("signal"), "hi", "lo")
+    own = df.select("symbol", "ts", of, hi.alias("hi"), lo.alias("lo")).where(F.col(of).isNotNull())
+    x, up, down = F.col(of), F.col("hi"), F.col("lo")
+    inside = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    confidence = F.when(x > up, inside(F.try_divide(x - up, 1.0 - up + 1e-9))).when(x < down, inside(F.try_divide(down - x, down + 1e-9))).otherwise(0.5)
+    return own.select("symbol", "ts", F.when(x > up, 1).when(x < down, -1).otherwise(0).alias("signal"), confidence.alias("confidence"), F.col(of).alias("prediction"))
 
 
 def factor_features(df: DataFrame, of: str, mean: int = 5, z: int = 20) -> DataFrame:

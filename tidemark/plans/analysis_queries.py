@@ -78,11 +78,6 @@ def _(spark, d):
     return T.spearman(daily(spark, d), "high", "volume")
 
 
-@query("agg23_strength", f"WITH w AS ({_WIDE}), c AS (SELECT corr(c_click, c_view) AS r FROM w) SELECT r AS corr, CASE WHEN abs(r) >= 0.8 THEN 'very strong' WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' WHEN abs(r) >= 0.2 THEN 'weak' ELSE 'negligible' END AS strength FROM c", use="factors", r="corr")
-def _(spark, d):
-    return _wide(spark, d).agg(F.corr("c_click", "c_view").alias("corr")).withColumn("strength", T.strength(F.col("corr")))
-
-
 @query("agg24_regime_correlation", "SELECT symbol, close > open AS regime, CASE WHEN count(*) >= 30 THEN corr(high, low) END AS corr, count(*) AS n FROM bars GROUP BY 1, 2", r="corr")
 def _(spark, d):
     return X.regime_correlation(daily(spark, d).withColumn("regime", F.col("close") > F.col("open")), "high", "low", "regime", 30)
@@ -234,11 +229,6 @@ def _(spark, d):
     return X.seasonality(_returns(spark, d), "r", 12)
 
 
-@query("agg13_sessions", "SELECT CASE WHEN hour(ts) < 8 THEN 'asian' WHEN hour(ts) < 16 THEN 'european' WHEN hour(ts) < 21 THEN 'american' ELSE 'late' END AS session, count(*) AS n, avg(close - open) AS mean, stddev_samp(close - open) AS sd, avg((close > open)::INT) AS positive, avg((close < open)::INT) AS negative, avg((close = open)::INT) AS flat FROM hourly GROUP BY 1", use="hourly", r="mean sd positive negative flat")
-def _(spark, d):
-    return X.sessions(hourly(spark, d))
-
-
 @query("agg14_patterns", f"WITH l AS (SELECT symbol, {' || '.join(f'''CASE WHEN lead(r, {k}) OVER ({BY}) > 0 THEN 'U' ELSE 'D' END''' for k in range(3))} AS pattern, lead(r, 3) OVER ({BY}) AS after FROM {R}), c AS (SELECT symbol, pattern, count(*) AS n FROM l WHERE after IS NOT NULL GROUP BY 1, 2) SELECT *, n / sum(n) OVER (PARTITION BY symbol) AS share FROM c", use="rets", r="share")
 def _(spark, d):
     return T.patterns(_returns(spark, d), "r", 3)
@@ -308,12 +298,6 @@ def _(spark, d):
     return read(spark, d, "events").groupBy(F.col("event_type").alias("indicator"), F.date_trunc("week", "ts").alias("week")).agg(F.count("*").alias("n"))
 
 
-@query("agg47_surprises", f"WITH s AS (SELECT symbol, (close - {lag('close')}) / abs({lag('close')}) AS s FROM bars) SELECT symbol, count(s) AS n, avg(s) AS mean, avg(abs(s)) AS mean_abs, sum((s > 0.01)::INT) AS above, sum((s < -0.01)::INT) AS below FROM s WHERE s IS NOT NULL GROUP BY 1", r="mean mean_abs above below")
-def _(spark, d):
-    own = daily(spark, d).select("symbol", F.col("close").alias("actual"), W.previous("close").alias("forecast"))
-    return X.surprises(own, "symbol")
-
-
 @query("agg49_null_counts", f"WITH o AS (SELECT {lag('close')} AS a, {lag('close', 20)} AS b, lead(close, 5) OVER ({BY}) AS c FROM bars) SELECT 'lag1' AS \"column\", sum((a IS NULL)::INT)::BIGINT AS bad, count(*) AS n FROM o UNION ALL SELECT 'lag20', sum((b IS NULL)::INT), count(*) FROM o UNION ALL SELECT 'lead5', sum((c IS NULL)::INT), count(*) FROM o")
 def _(spark, d):
     w = W.series()
@@ -375,17 +359,6 @@ def _feeds(spark, d):
     return one(0), one(1)
 
 
-@query(
-    "joi03_compare_feeds",
-    f"WITH {_FEEDS}, c AS (SELECT symbol, count(*) AS n, sum((a IS NULL)::INT)::BIGINT AS missing_a, sum((b IS NULL)::INT)::BIGINT AS missing_b, corr(a, b) AS corr, avg(CASE WHEN a <> 0 THEN abs(a - b) / a END) AS mape, max(abs(a - b)) AS max_gap FROM fa FULL JOIN fb USING (symbol, ts) GROUP BY 1) SELECT *, CASE WHEN corr > 0.99 AND mape < 0.01 THEN 'excellent' WHEN corr > 0.95 THEN 'good' WHEN corr > 0.8 THEN 'fair' ELSE 'poor' END AS grade FROM c",
-    use="",
-    r="corr mape max_gap",
-)
-def _(spark, d):
-    a, b = _feeds(spark, d)
-    return A.quality_grade(A.compare_feeds(a.where("close <> 0 or close is null"), b))
-
-
 @query("joi04_agg09_feed_divergence", f"WITH {_FEEDS} SELECT symbol, count(*) AS n, avg(a - b) AS mean, avg(abs(a - b)) AS mean_abs, quantile_cont(abs(a - b), 0.5) AS p50, quantile_cont(abs(a - b), 0.95) AS p95, quantile_cont(abs(a - b), 0.99) AS p99, sum((a > b)::INT)::BIGINT AS above, sum((a < b)::INT)::BIGINT AS below FROM fa JOIN fb USING (symbol, ts) GROUP BY 1", use="", r="mean mean_abs p50 p95 p99")
 def _(spark, d):
     a, b = _feeds(spark, d)
@@ -514,12 +487,6 @@ def _(spark, d):
     return V.chronological_split(daily(spark, d)).select("symbol", "ts", "split")
 
 
-@query("res05_purged_folds", f"WITH i AS (SELECT symbol, row_number() OVER ({BY}) - 1 AS idx FROM bars), f AS (SELECT k::INT AS fold, floor(k * 1000 / 5)::BIGINT AS a, floor((k + 1) * 1000 / 5)::BIGINT AS b FROM range(5) AS t(k)) SELECT symbol, fold, CASE WHEN idx >= a AND idx < b THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM i, f WHERE idx < 1000 AND ((idx >= a AND idx < b) OR idx < greatest(a - 10, 0) OR idx >= least(b + 15, 1000)) GROUP BY 1, 2, 3")
-def _(spark, d):
-    rows = S.row_index(daily(spark, d)).where("idx < 1000")
-    return V.assign_purged(rows, V.purged_folds(spark, 1000, 5, 10, 5)).groupBy("symbol", "fold", "role").agg(F.count("*").alias("n"))
-
-
 @query("res07_majority_baseline", f"WITH c AS (SELECT symbol, {_STATE} AS state, count(*) AS n FROM {R} GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, state DESC) AS rn FROM c) SELECT symbol, state AS majority, n FROM k WHERE rn = 1", use="rets")
 def _(spark, d):
     return V.majority(_states(spark, d), "state", "symbol")
@@ -541,11 +508,6 @@ def _(spark, d):
     return V.sign_flip_p(_returns(spark, d).withColumn("row", F.concat_ws("|", "symbol", "ts")), "r", "row", "symbol", 200, 7)
 
 
-@query("res22_mean_shift", f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) AS k, count(*) OVER (PARTITION BY symbol) AS n, sum(close) {SO_FAR} AS s, sum(close) OVER (PARTITION BY symbol) AS t FROM bars), g AS (SELECT symbol, ts, abs(s / k - (t - s) / (n - k)) * sqrt(k * (n - k) / n::DOUBLE) AS shift FROM o WHERE k >= 30 AND n - k >= 30), b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY shift DESC, ts) AS rn FROM g) SELECT symbol, ts, shift FROM b WHERE rn = 1", r="shift", t="ts")
-def _(spark, d):
-    return X.mean_shift(daily(spark, d), "close", 30)
-
-
 @query("res21_correlation_break", f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) AS k, count(*) OVER (PARTITION BY symbol) AS n, corr(high, volume) {SO_FAR} AS a, corr(high, volume) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM hourly), g AS (SELECT symbol, ts, abs(a - b) AS gap FROM o WHERE k >= 60 AND n - k >= 60), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY gap DESC, ts) AS rn FROM g) SELECT symbol, ts, gap FROM r WHERE rn = 1", use="hourly", r="gap", t="ts")
 def _(spark, d):
     return X.correlation_break(hourly(spark, d), "high", "volume", 60)

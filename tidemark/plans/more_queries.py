@@ -104,17 +104,6 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", F.size(C.tokens(F.col("p_name"))).cast("long").alias("n"))
 
 
-@query("fun02_sentiment", "WITH w AS (SELECT lang, list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS w FROM documents), c AS (SELECT lang, len(list_intersect(w, ['the', 'of', 'and', 'der', 'la'])) AS p, len(list_intersect(w, ['in', 'to', 'die', 'le', 'de'])) AS n FROM w) SELECT lang, count(*) AS docs, avg(CASE WHEN p + n = 0 THEN 0 ELSE (p - n) / (p + n) END) AS mean FROM c GROUP BY lang", use="", r="mean")
-def _(spark, d):
-    score = C.sentiment(F.col("text"), ("the", "of", "and", "der", "la"), ("in", "to", "die", "le", "de"))
-    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.avg(score).alias("mean"))
-
-
-@query("fun03_calendar", "SELECT event_id, CASE WHEN hour(ts) < 8 THEN 'asian' WHEN hour(ts) < 16 THEN 'european' WHEN hour(ts) < 21 THEN 'american' ELSE 'late' END AS session, (isodow(ts) - 1)::INT AS weekday, to_timestamp(floor(epoch(ts) / 900) * 900)::TIMESTAMP AS aligned FROM events", use="", t="aligned")
-def _(spark, d):
-    return read(spark, d, "events").select("event_id", X.session("ts").alias("session"), F.weekday("ts").alias("weekday"), C.align(F.col("ts"), 900).alias("aligned"))
-
-
 @query("fun07_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", use="")
 def _(spark, d):
     return read(spark, d, "events").select("event_id", F.get(F.map_values(F.from_json("props", "map<string,long>")), 0).alias("k"))
@@ -125,29 +114,12 @@ def _(spark, d):
     return read(spark, d, "nation").select("n_nationkey", C.record_hash("n_nationkey", "n_name").alias("hash"))
 
 
-@query("fun09_market_state", f"WITH o AS (SELECT symbol, ts, r, {roll('stddev_samp', 'r', 10)} AS v FROM rets) SELECT symbol, ts, CASE WHEN v > 0.03 THEN 'volatile' WHEN r > 0.01 THEN 'rising' WHEN r < -0.01 THEN 'falling' ELSE 'quiet' END AS state FROM o", use="rets", t="ts")
-def _(spark, d):
-    own = with_returns(daily(spark, d))
-    own = own.withColumn("v", W.rolling(F.stddev_samp, "r", 10))
-    return own.select("symbol", "ts", C.state(F.col("r"), F.col("v")).alias("state"))
-
-
 @query("fun10_real_yield", "SELECT l_orderkey, l_linenumber, l_discount - l_tax AS plain, (1 + l_discount) / (1 + l_tax) - 1 AS fisher FROM lineitem", use="", r="plain fisher")
 def _(spark, d):
     a, b = F.col("l_discount"), F.col("l_tax")
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.real_yield(a, b).alias("plain"), C.real_yield(a, b, fisher=True).alias("fisher"))
 
 
-@query("fun11_policy_action", f"WITH o AS (SELECT symbol, ts, r - {lag('r')} AS s FROM rets) SELECT symbol, ts, CASE WHEN s IS NULL THEN NULL WHEN s >= 0.005 THEN 'large hike' WHEN s > 0.001 THEN 'hike' WHEN s <= -0.005 THEN 'large cut' WHEN s < -0.001 THEN 'cut' ELSE 'hold' END AS action FROM o", use="rets", t="ts")
-def _(spark, d):
-    return with_returns(daily(spark, d)).select("symbol", "ts", C.policy_action(W.previous("r"), F.col("r")).alias("action"))
-
-
-@query("fun12_costs", "SELECT symbol, sum(price * 0.001) AS pct, sum(0.5::DOUBLE) AS fixed FROM ticks GROUP BY 1", use="ticks", r="pct fixed", digits=3)
-def _(spark, d):
-    return ticks(spark, d).groupBy("symbol").agg(F.sum(C.cost("pct:0.001", F.col("price"))).alias("pct"), F.sum(C.cost("fixed:0.5", F.col("price"))).alias("fixed"))
-
-
 @query("prj03_quotes", "SELECT l_orderkey, l_linenumber, (b + a) / 2 AS mid, a - b AS spread, (a - b) / ((a + b) / 2) * 10000 AS spread_bps, p * l_quantity AS notional FROM (SELECT *, l_extendedprice / 0.997 / l_quantity AS p, l_extendedprice / 0.997 / l_quantity * (1 - l_discount / 10) AS b, l_extendedprice / 0.997 / l_quantity * (1 + l_tax / 10) AS a FROM lineitem)", use="", r="mid spread spread_bps notional", digits=3)
 def _(spark, d):
     p = F.col("l_extendedprice") / 0.997 / F.col("l_quantity")
@@ -182,12 +154,6 @@ def _(spark, d):
     return Y.valid_from(o, lags).select("o_orderkey", "valid_from")
 
 
-@query("joi15_nearest_rows", f"WITH k AS (SELECT symbol, row_number() OVER ({BY}) - 1 AS id, close, volume FROM bars), t AS (SELECT * FROM k WHERE id < 300), q AS (SELECT * FROM k WHERE id BETWEEN 300 AND 319), p AS (SELECT q.symbol, q.id AS test_id, t.id, sqrt((t.close - q.close) ** 2 + (t.volume - q.volume) ** 2) AS distance FROM q JOIN t USING (symbol)), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, test_id ORDER BY distance, id) AS rank FROM p) SELECT symbol, test_id, id, distance, rank FROM r WHERE rank <= 5", r="distance")
-def _(spark, d):
-    own = S.row_index(daily(spark, d)).select("symbol", F.col("idx").alias("id"), "close", "volume")
-    return I.nearest_rows(own.where("id < 300"), own.where("id between 300 and 319"), ["close", "volume"], "symbol", 5).select("symbol", "test_id", "id", "distance", "rank")
-
-
 @query("agg04_dataset_statistics", f"WITH o AS (SELECT symbol, ts, epoch(ts)::BIGINT - epoch({lag('ts')})::BIGINT AS dt FROM hourly) SELECT symbol, count(*) AS n, sum((dt > 3600)::INT)::BIGINT AS gaps, (max(epoch(ts)::BIGINT) - min(epoch(ts)::BIGINT)) // 3600 + 1 AS expected, count(*) * 100.0 / ((max(epoch(ts)::BIGINT) - min(epoch(ts)::BIGINT)) // 3600 + 1) AS completeness FROM o GROUP BY 1", use="hourly", r="completeness")
 def _(spark, d):
     return Y.dataset_statistics(hourly(spark, d), 3600)
@@ -220,22 +186,11 @@ def _(spark, d):
     return K.risk_contributions(covariance, spark.createDataFrame([("1-URGENT", 0.5), ("5-LOW", 0.3), ("2-HIGH", 0.2)], "symbol string, w double"))
 
 
-@query("agg45_yield_curve", "SELECT date_trunc('month', o_orderdate) AS day, regr_slope(o_totalprice / 997, o_orderkey % 10 + 1) AS slope, avg(o_totalprice / 997) AS level, arg_max(o_totalprice / 997, (o_orderkey % 10 + 1, o_orderkey)) AS longest FROM orders GROUP BY 1", use="", r="slope level longest", t="day")
-def _(spark, d):
-    o = read(spark, d, "orders").select(F.date_trunc("month", "o_orderdate").alias("day"), (F.col("o_orderkey") % 10 + 1).alias("tenor"), (F.col("o_totalprice") / 997).alias("yield"), F.col("o_orderkey").alias("seq"))
-    return Y.yield_curve(o)
-
-
 @query("agg48_cross_asset_ratio", "WITH l AS (SELECT symbol, arg_max(close, ts) AS c FROM bars GROUP BY 1) SELECT a.symbol AS a, b.symbol AS b, a.c / b.c AS ratio FROM l a JOIN l b ON a.symbol < b.symbol", r="ratio")
 def _(spark, d):
     return Y.latest_ratios(daily(spark, d))
 
 
-@query("agg50_source_ledger", "SELECT event_type AS source, count(*) AS n, count(DISTINCT ts::DATE) AS days, greatest(count(DISTINCT ts::DATE) - 20 - 5, 0) AS usable FROM events GROUP BY 1", use="")
-def _(spark, d):
-    return Y.ledger(read(spark, d, "events").select(F.col("event_type").alias("source"), "ts"), 20, 5)
-
-
 @query("agg53_breusch_pagan", "WITH f AS (SELECT symbol, low, (high - (regr_intercept(high, low) OVER (PARTITION BY symbol) + regr_slope(high, low) OVER (PARTITION BY symbol) * low)) ** 2 AS e2 FROM bars) SELECT symbol, count(*) * regr_r2(e2, low) AS statistic FROM f GROUP BY 1", r="statistic")
 def _(spark, d):
     return M.breusch_pagan(daily(spark, d), "high", ["low"])
@@ -246,25 +201,11 @@ def _(spark, d):
     return M.inflation(daily(spark, d), ["low", "volume"])
 
 
-@query("agg61_evidence_scores", "SELECT o_custkey AS context, sum(CASE WHEN o_orderstatus = 'O' THEN w * o_totalprice / 997 ELSE 0 END) / sum(w * o_totalprice / 997) AS up, sum(CASE WHEN o_orderstatus = 'F' THEN w * o_totalprice / 997 ELSE 0 END) / sum(w * o_totalprice / 997) AS down, sum(CASE WHEN o_orderstatus = 'P' THEN w * o_totalprice / 997 ELSE 0 END) / sum(w * o_totalprice / 997) AS neutral FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 2.0::DOUBLE ELSE 1.0 END AS w FROM orders) GROUP BY 1", use="", r="up down neutral")
-def _(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_custkey").alias("context"), F.col("o_orderpriority").alias("source"), F.when(F.col("o_orderstatus") == "O", "up").when(F.col("o_orderstatus") == "F", "down").otherwise("neutral").alias("direction"), (F.col("o_totalprice") / 997).alias("strength"))
-    weights = spark.createDataFrame([("1-URGENT", 2.0)], "source string, weight double")
-    return Y.evidence(o, weights)
-
-
 @query("agg62_target_correlations", "SELECT 'open' AS factor, corr(close, open) AS corr FROM bars UNION ALL SELECT 'high', corr(close, high) FROM bars UNION ALL SELECT 'volume', corr(close, volume) FROM bars", r="corr")
 def _(spark, d):
     return Y.target_correlations(daily(spark, d), "close", ["open", "high", "volume"])
 
 
-@query("agg63_account_limits", f"WITH b AS (SELECT user_id AS account, ts, event_id, 1000 + sum(value - 10) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS balance FROM events), d AS (SELECT account, ts::DATE AS day, arg_min(balance, (ts, event_id)) AS opened, min(balance) AS lowest FROM b GROUP BY 1, 2) SELECT account, day::TIMESTAMP AS day, (opened - lowest) / opened AS loss, (opened - lowest) / opened <= 0.05 AS ok FROM d", use="", r="loss", t="day")
-def _(spark, d):
-    w = Window.partitionBy("account").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    b = read(spark, d, "events").select(F.col("user_id").alias("account"), "ts", "event_id", (1000 + F.sum(F.col("value") - 10).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))).alias("balance"))
-    return Y.daily_limits(b, 0.05)
-
-
 @query("win21_regime_runs", f"WITH s AS (SELECT symbol, ts, r, {_STATE} AS st FROM {R}), b AS (SELECT *, CASE WHEN {lag('st')} IS DISTINCT FROM st THEN 1 ELSE 0 END AS w FROM s), c AS (SELECT *, sum(w) {SO_FAR} AS run FROM b) SELECT symbol, run::BIGINT AS run, min(st) AS state, min(ts) AS start, count(*) AS length, exp(sum(ln(1 + r))) - 1 AS total FROM c GROUP BY symbol, run", use="rets", r="total", t="start")
 def _(spark, d):
     return Y.runs(_states(spark, d), "state", "r")
@@ -296,24 +237,12 @@ def _(spark, d):
     return Y.best(c, "fold")
 
 
-@query("win40_position_size", f"WITH q AS (SELECT symbol, ts, {roll('stddev_samp', 'r', 20)} AS v, close / max(close) {SO_FAR} - 1 AS dd FROM rets), m AS (SELECT *, -min(dd) {SO_FAR} AS worst FROM q) SELECT symbol, ts, least(1, 0.1 / v) * CASE WHEN worst >= 0.99 THEN 0 WHEN worst > 0.792 THEN (0.99 - worst) / 0.198 ELSE 1 END AS size FROM m", use="rets", r="size", t="ts")
-def _(spark, d):
-    return Y.position_size(with_returns(daily(spark, d)), 0.1, 0.99, 20)
-
-
 @query("res14_feature_sweep", f"WITH f AS (SELECT symbol, close / {lag('close', 5)} - 1 AS m5, close / {lag('close', 10)} - 1 AS m10, lead(close, 5) OVER ({BY}) / close - 1 AS fwd FROM bars), l AS (SELECT 'm5' AS feature, m5 > 0 AS side, fwd FROM f WHERE m5 IS NOT NULL UNION ALL SELECT 'm10', m10 > 0, fwd FROM f WHERE m10 IS NOT NULL) SELECT feature, side, count(fwd) AS n, avg((fwd > 0)::INT) AS p_up FROM l WHERE fwd IS NOT NULL GROUP BY 1, 2", r="p_up")
 def _(spark, d):
     own = daily(spark, d).select("symbol", (F.col("close") / W.previous("close", 5) - 1).alias("m5"), (F.col("close") / W.previous("close", 10) - 1).alias("m10"), (F.lead("close", 5).over(W.series()) / F.col("close") - 1).alias("fwd"))
     return Y.feature_sweep(own, ["m5", "m10"], "fwd")
 
 
-@query("res08_binned_classifier", f"WITH i AS (SELECT symbol, row_number() OVER ({BY}) - 1 AS idx, r, CASE WHEN lead(r) OVER ({BY}) > 0 THEN 1 ELSE 0 END AS y FROM {R}), t AS (SELECT * FROM i WHERE idx < 800), v AS (SELECT * FROM i WHERE idx BETWEEN 800 AND 999), e AS (SELECT symbol, min(r) AS lo, max(r) AS hi FROM t GROUP BY 1), m AS (SELECT symbol, least(4, greatest(0, floor((r - lo) / (hi - lo) * 5)))::INT AS bin, avg(y) AS p FROM t JOIN e USING (symbol) GROUP BY 1, 2) SELECT v.symbol, count(*) AS n, avg((p - y) ** 2) AS brier FROM v JOIN e USING (symbol) JOIN m ON m.symbol = v.symbol AND m.bin = least(4, greatest(0, floor((r - lo) / (hi - lo) * 5)))::INT GROUP BY 1", use="rets", r="brier")
-def _(spark, d):
-    own = S.row_index(_returns(spark, d)).withColumn("y", F.when(F.lead("r").over(W.series()) > 0, 1).otherwise(0))
-    scored = Y.binned_probabilities(own.where("idx < 800"), own.where("idx between 800 and 999"), "r", "y", 5)
-    return scored.groupBy("symbol").agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
-
-
 @query("res29_revisions", "WITH r AS (SELECT o_custkey AS object, o_orderkey AS payload, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS revision FROM orders) SELECT object, max(revision) AS latest, arg_max(payload, revision) AS payload, arg_max(payload, revision) FILTER (WHERE revision <= 2) AS as_of_2 FROM r GROUP BY 1", use="")
 def _(spark, d):
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("object"), F.col("o_orderkey").alias("payload"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("revision"))
@@ -368,24 +297,11 @@ def _(spark, d):
     return J.drain(J.live_bars(e, "1 hour"), "complete")
 
 
-@query("str04_unique", "SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-01 12:00:00'", use="")
-def _(spark, d):
-    e = J.stream_table(spark, f"{d}/events.parquet").where("ts < timestamp '2024-01-01 12:00:00'").select("user_id", "event_type", "ts")
-    return J.drain(J.unique(e, ["user_id", "event_type"], "30 days"), "append").select("user_id", "event_type")
-
-
 @query("str07_activity", "WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS w FROM events), c AS (SELECT *, sum(w) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM c GROUP BY user_id, s", use="", t="start")
 def _(spark, d):
     return J.drain(J.activity(J.stream_table(spark, f"{d}/events.parquet"), "6 hours"), "complete")
 
 
-@query("str06_monitor", "SELECT event_type AS symbol, count(*) AS n, sum(value - 10) AS total FROM events GROUP BY 1", use="", r="total", digits=2)
-def _(spark, d):
-    rows = J.stream_table(spark, f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), (F.col("value") - 10).alias("value"))
-    out = J.drain(J.monitor(rows, 100.0), "update")
-    return out.groupBy("symbol").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
-
-
 @query("str08_against_history", "WITH b AS (SELECT event_type AS symbol, ts::DATE AS day, avg(value) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2) SELECT event_type AS symbol, e.ts::DATE::TIMESTAMP AS day, e.event_id, (e.value - b.close) / b.close AS close_diff, 1 / b.volume AS volume_ratio FROM events e JOIN b ON b.symbol = e.event_type AND b.day = e.ts::DATE", use="", r="close_diff volume_ratio", t="day")
 def _(spark, d):
     history = read(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("close"), F.count("*").cast("double").alias("volume"))

@@ -25,7 +25,7 @@ INPUTS = {
 NEEDS = {"bars": ["ticks"], "rets": ["ticks", "bars"]}
 
 
-def query(name: str, sql: str | None = None, use: str = "bars", r: str = "", t: str = "", digits: int = 4):
+def query(name: str, sql: str | None = None, use: str = "bars", r: str = "", t: str = "", digits: int = 6):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")

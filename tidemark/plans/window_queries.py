@@ -120,17 +120,6 @@ def _(spark, d):
     return W.expanding(daily(spark, d), "close")
 
 
-@query(
-    "win06_rolling_relation",
-    f"SELECT symbol, ts, CASE WHEN count(*) {over(30)} = 30 THEN corr(high, volume) {over(30)} END AS corr, CASE WHEN count(*) {over(30)} = 30 THEN covar_samp(high, volume) {over(30)} END AS covar FROM hourly",
-    use="hourly",
-    r="corr covar",
-    t="ts",
-)
-def _(spark, d):
-    return W.rolling_relation(hourly(spark, d), "high", "volume", 30)
-
-
 @query(
     "win06_stability",
     f"WITH c AS (SELECT symbol, CASE WHEN count(*) {over(60)} = 60 THEN corr(high, low) {over(60)} END AS c FROM bars) SELECT symbol, count(*) AS n, avg(c) AS mean_corr, stddev_pop(c) AS sd_corr, CASE WHEN stddev_pop(c) < 0.1 THEN 'stable' WHEN stddev_pop(c) < 0.2 THEN 'slight' ELSE 'volatile' END AS label FROM c WHERE c IS NOT NULL GROUP BY symbol",
@@ -232,11 +221,6 @@ def _(spark, d):
     return W.volatility_features(daily(spark, d))
 
 
-@query("win22_trend_state", f"WITH o AS (SELECT symbol, ts, {roll('avg', 'close', 10)} AS f, {roll('avg', 'close', 30)} AS s FROM bars) SELECT symbol, ts, CASE WHEN s IS NULL THEN NULL WHEN f > s THEN 'up' WHEN f < s THEN 'down' ELSE 'flat' END AS trend FROM o", t="ts")
-def _(spark, d):
-    return W.trend_state(daily(spark, d))
-
-
 CROSS = f"a AS (SELECT symbol, ts, close, {roll('avg', 'close', 5)} AS f, {roll('avg', 'close', 20)} AS s FROM bars), b AS (SELECT *, f - s AS gap, {lag('f - s')} AS before FROM a), ev AS (SELECT symbol || '|' || epoch(ts)::BIGINT AS event_id, symbol, ts, CASE WHEN before <= 0 AND gap > 0 THEN 'bullish' WHEN before >= 0 AND gap < 0 THEN 'bearish' END AS direction, close AS price, f AS sma_fast, s AS sma_slow, isodow(ts) - 1 AS weekday FROM b)"
 
 
@@ -245,17 +229,6 @@ def _(spark, d):
     return W.crossovers(daily(spark, d))
 
 
-@query(
-    "win29_thresholds",
-    f"WITH o AS (SELECT symbol, ts, r, {full(f'quantile_cont(r, 0.8) {over(50)}', 'r', 50)} AS hi, {full(f'quantile_cont(r, 0.2) {over(50)}', 'r', 50)} AS lo FROM rets) SELECT symbol, ts, CASE WHEN r > hi THEN 'BUY' WHEN r < lo THEN 'SELL' ELSE 'HOLD' END AS signal, hi, lo FROM o",
-    use="rets",
-    r="hi lo",
-    t="ts",
-)
-def _(spark, d):
-    return W.thresholds(with_returns(daily(spark, d)), "r", 50)
-
-
 @query("win33_lag_features", f"SELECT symbol, ts, {', '.join(f'{lag('r', k)} AS r_lag{k}' for k in (1, 2, 5))}, r * {lag('r')} AS r_x_lag1, r * volume AS r_x_volume FROM rets", use="rets", r="r_lag1 r_lag2 r_lag5 r_x_lag1 r_x_volume", t="ts")
 def _(spark, d):
     return W.lag_features(daily(spark, d), [1, 2, 5])

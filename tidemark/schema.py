@@ -24,7 +24,13 @@ AUDIT = _table(rowid=_L, entry_hash=_S, previous_entry=_S, ts=_TS, actor=_S, act
 #: Seconds of each timeframe; a month counts 30 days.
 TIMEFRAMES = {"tick": 0, "1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "1d": 86400, "1w": 604800, "1mo": 2592000}
 #: Other spellings.
-ALIASES = {"m1": "1m", "m5": "5m", "m15": "15m", "m30": "30m", "h1": "1h", "h4": "4h", "d1": "1d", "w1": "1w", "mn1": "1mo", "60m": "1h", "daily": "1d", "weekly": "1w", "monthly": "1mo"}
+ALIASES = {
+    "1min": "1m", "minute": "1m", "5min": "5m", "15min": "15m", "30min": "30m",
+    "1hour": "1h", "hour": "1h", "4hour": "4h",
+    "1day": "1d", "daily": "1d", "day": "1d", "1week": "1w", "weekly": "1w", "week": "1w", "1month": "1mo", "monthly": "1mo", "month": "1mo",
+}
+#: Ours besides: names that terminals export.
+ALIASES |= {"m1": "1m", "m5": "5m", "m15": "15m", "m30": "30m", "h1": "1h", "60m": "1h", "h4": "4h", "d1": "1d", "w1": "1w", "mn1": "1mo"}
 
 
 def timeframe_seconds(name: str) -> int:
