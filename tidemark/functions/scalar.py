@@ -89,3 +89,12 @@ def volatility_state(fast: Column, slow: Column, atr: Column, close: Column) ->
     missing = F.coalesce((fast == 0) | (slow == 0) | (close == 0), F.lit(True))
     share = F.try_divide(atr, close) * 100
     return F.when(missing, "Unknown").when(share > 2, "High").when(share > 1, "Medium").otherwise("Low")
+
+
+def field(array: str, name: str) -> Column:
+    """The values of one field of an array of structs."""
+    return F.transform(array, lambda x: x[name])
+
+
+def sorted_unique(array: Column) -> Column:
+    return F.array_sort(F.array_distinct(array))

@@ -102,3 +102,36 @@ def range_query(bars: DataFrame, symbols: list[str], start, end, fields: list[st
         order = Window.partitionBy("symbol").orderBy(F.desc("ts") if descending else F.asc("ts"))
         rows = rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
     return rows.select(*fields)
+
+
+def with_notional(trades: DataFrame) -> DataFrame:
+    return trades.withColumn("notional", F.col("price") * F.col("volume"))
+
+
+def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows in order, some left out at the front, at most ``limit``."""
+    own = rows.orderBy(*order).offset(offset)
+    return own.limit(limit) if limit is not None else own
+
+
+def assemble(df: DataFrame, definitions: dict[str, tuple[list[str], Column]]) -> DataFrame:
+    """Adds features (name -> needed columns, expression) in the order of their needs; a need that no column and no
+    other feature meets, or a circle, is an error. Features of one depth share one projection."""
+    left = dict(definitions)
+    while left:
+        ready = {n: c for n, (needs, c) in left.items() if all(x in df.columns for x in needs)}
+        if not ready:
+            raise ValueError(f"features without their needs: {sorted(left)}")
+        df = df.withColumns(ready)
+        left = {n: v for n, v in left.items() if n not in ready}
+    return df
+
+
+def joined_in_time(context: DataFrame, research: DataFrame) -> DataFrame:
+    """Context rows before research rows, told apart by ``is_context``; stops where a symbol's context ends after its
+    research starts or both hold one time."""
+    ends = context.groupBy("symbol").agg(F.max("ts").alias("_end"))
+    late = research.groupBy("symbol").agg(F.min("ts").alias("_start")).join(ends, "symbol").where("_end >= _start")
+    if not late.isEmpty():
+        raise ValueError("context reaches into the research rows")
+    return context.withColumn("is_context", F.lit(True)).unionByName(research.withColumn("is_context", F.lit(False)))

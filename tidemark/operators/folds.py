@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,13 +45,27 @@ def majority(df: DataFrame, label: str, by: str) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(by, F.col(label).alias("majority"), "n", )
 
 
+def totals_before(rows: DataFrame, at: str, folds: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums over all rows whose time ``at`` lies before each fold's ``cutoff``: fold, the columns ``by``, the sums.
+
+    Rows are summed by day first; days before the cutoff's own day count as a whole, and only rows of that day are
+    compared one by one. So the work grows with the rows plus days x folds, not with rows x folds. ``folds``: fold, cutoff.
+    """
+    days = rows.where(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("_day"), *by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    cut = folds.select("fold", "cutoff", F.to_date("cutoff").alias("_cut"))
+    whole = days.join(F.broadcast(cut), F.col("_day") < F.col("_cut")).select("fold", *by, *sums)
+    last = rows.withColumn("_cut", F.to_date(at)).join(F.broadcast(cut), "_cut").where(F.col(at) < F.col("cutoff")).select("fold", *by, *[c.alias(n) for n, c in sums.items()])
+    return whole.unionByName(last).groupBy("fold", *by).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def prior_rate(events: DataFrame, folds: DataFrame) -> DataFrame:
     """Hit rate per fold and direction from events whose outcome was realised before the fold's start.
 
-    ``events``: ts, realized_end, direction, hit; ``folds``: fold, start, stop (few rows, broadcast).
+    ``events``: ts, realized_end (not before ts), direction, hit; ``folds``: fold, start, stop, in time order and
+    without overlap (few rows).
     """
-    both = events.join(F.broadcast(folds), events["realized_end"] < folds["start"])
-    train = both.where(F.col("ts") < F.col("start")).groupBy("fold", "direction").agg(F.count("*").alias("n_train"), F.avg(F.col("hit").cast("double")).alias("p"))
+    sums = {"n_train": F.when(F.col("realized_end").isNotNull(), 1).cast("long"), "_known": F.col("hit").isNotNull().cast("long"), "_hits": F.coalesce(F.col("hit").cast("long"), F.lit(0).cast("long"))}
+    train = totals_before(events, "realized_end", folds.select("fold", F.col("start").alias("cutoff")), ["direction"], sums).select("fold", "direction", "n_train", F.try_divide("_hits", "_known").alias("p"))
     test = events.join(F.broadcast(folds), (events["ts"] >= folds["start"]) & (events["ts"] < folds["stop"])).groupBy("fold", "direction").agg(F.count("*").alias("n_test"), F.avg(F.col("hit").cast("double")).alias("observed"))
     return train.join(test, ["fold", "direction"])
 
@@ -92,3 +106,10 @@ def sign_flip_p(df: DataFrame, x: str, row_key: str, by: str, permutations: int,
     seen = own.groupBy(by).agg(F.abs(F.avg(x)).alias("observed"))
     flipped = own.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).groupBy(by, "_b").agg(F.abs(F.avg(sign * F.col(x))).alias("m"))
     return flipped.join(seen, by).groupBy(by).agg(((F.count_if(F.col("m") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def rows_of_folds(rows: DataFrame, initial: int, step: int, by: str = "symbol") -> DataFrame:
+    """Test rows of expanding folds, by their number in the series: the fold follows from ``idx`` alone, so that the
+    join of rows to fold bounds is a projection."""
+    own = rows.where(F.col("idx") >= initial)
+    return own.withColumn("fold", F.floor((F.col("idx") - initial) / step).cast("int"))

@@ -69,3 +69,12 @@ def trade_summary(trades: DataFrame, cost: float, by: str = "symbol") -> DataFra
     """Trades, mean, total and best profit per trade after cost on both sides, win rate."""
     own = trades.withColumn("pnl", (F.col("exit") * (1 - cost) - F.col("entry")) / F.col("entry"))
     return own.groupBy(by).agg(F.count("*").alias("trades"), F.avg("pnl").alias("mean"), F.sum("pnl").alias("total"), F.max("pnl").alias("best"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
+
+
+def contract(events: DataFrame, bars: DataFrame, horizon_days: int = 1, threshold: float = 0.0) -> DataFrame:
+    """The fixed label of a study: whether the direction-aware close-to-close return after ``horizon_days`` is at least
+    ``threshold``; null without a bar at the end. Per event: event_id, realized_end, hit_threshold_<n>d."""
+    if horizon_days < 1 or threshold < 0:
+        raise ValueError("the horizon must be at least one day, the threshold not negative")
+    own = outcomes(events, bars, [horizon_days], threshold)
+    return own.select("event_id", "realized_end", F.col("hit").cast("int").alias(f"hit_threshold_{horizon_days}d"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,32 @@ def degrees(edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
     into = edges.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("parents"))
     return out.join(into, "node", "full_outer").fillna(0, ["children", "parents"])
+
+
+def parents(edges: DataFrame, node: str) -> DataFrame:
+    return edges.where(F.col("child") == node).select(F.col("parent").alias("node")).distinct()
+
+
+def children(edges: DataFrame, node: str) -> DataFrame:
+    return edges.where(F.col("parent") == node).select(F.col("child").alias("node")).distinct()
+
+
+def canonical_order(nodes: DataFrame, types: list[str]) -> DataFrame:
+    """Nodes (type, hash) by the rank of their type, then by hash: rank, place within the rank. Unknown types come last.
+    Places are counted within two hash digits and summed up, so no task holds all nodes of a type."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for i, t in enumerate(types) for x in (t, i)])[F.col("type")], F.lit(len(types)))
+    own = nodes.select("*", rank.alias("rank"), F.substring("hash", 1, 2).alias("_p"))
+    sizes = own.groupBy("rank", "_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("rank").orderBy("_p")) - F.col("_n")).drop("_n")
+    inside = own.withColumn("_k", F.row_number().over(Window.partitionBy("rank", "_p").orderBy("hash")))
+    return inside.join(F.broadcast(before), ["rank", "_p"]).withColumn("place", (F.col("_before") + F.col("_k")).cast("int")).drop("_p", "_before", "_k")
+
+
+def typed_chains(edges: DataFrame, parent_type, child_type, types: list[str]) -> DataFrame:
+    """Chains of edges that go from the first type to the last one step at a time: one column for each type."""
+    own = edges.select("parent", "child", parent_type.alias("_p"), child_type.alias("_c"))
+    chain = None
+    for above, below in zip(types, types[1:]):
+        link = own.where((F.col("_p") == above) & (F.col("_c") == below)).select(F.col("parent").alias(above), F.col("child").alias(below)).distinct()
+        chain = link if chain is None else chain.join(link, above)
+    return chain

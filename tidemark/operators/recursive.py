@@ -7,41 +7,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import affine_scan, row_index
+from tidemark.operators.scan import affine_scan, affine_scans, row_index
 from tidemark.operators.windows import previous, true_range
 
 
+def emas(df: DataFrame, spans: dict[str, tuple[str, int]]) -> DataFrame:
+    """Exponential means with weight 2 / (span + 1), from the first row on: name -> (column, span), in one pass.
+    ``df`` has ``idx``, the number of the row in its series, so that no window over a whole series is needed."""
+    first = F.col("idx") == 0
+    terms = {}
+    for out, (of, span) in spans.items():
+        alpha = 2.0 / (span + 1)
+        terms[out] = (F.when(first, 0.0).otherwise(1 - alpha), F.when(first, F.col(of)).otherwise(alpha * F.col(of)))
+    return affine_scans(df, terms)
+
+
 def ema(df: DataFrame, of: str, span: int, out: str) -> DataFrame:
-    """Exponential mean with weight 2 / (span + 1), from the first value on."""
-    alpha = 2.0 / (span + 1)
-    first = previous(of).isNull()
-    return affine_scan(df, F.when(first, 0.0).otherwise(1 - alpha), F.when(first, F.col(of)).otherwise(alpha * F.col(of)), out)
+    own = df if "idx" in df.columns else row_index(df)
+    return emas(own, {out: (of, span)}).select(*df.columns, out)
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    own = ema(ema(bars.select("symbol", "ts", "close"), "close", fast, "fast"), "close", slow, "slow")
-    own = ema(own.withColumn("macd", F.col("fast") - F.col("slow")), "macd", signal, "signal")
+    """Both averages in one pass, the signal line in another."""
+    own = emas(row_index(bars.select("symbol", "ts", "close")), {"fast": ("close", fast), "slow": ("close", slow)})
+    own = emas(own.withColumn("macd", F.col("fast") - F.col("slow")), {"signal": ("macd", signal)})
     return own.select("symbol", "ts", "fast", "slow", "macd", "signal")
 
 
-def smoothed(df: DataFrame, of: str, period: int, skip: int, out: str) -> DataFrame:
-    """Wilder smoothing from the mean of the first ``period`` values after ``skip`` rows; null before it is full.
+def smoothed(df: DataFrame, columns: dict[str, tuple[str, int]], period: int) -> DataFrame:
+    """Wilder smoothing from the mean of the first ``period`` values after some rows (name -> column, rows to skip);
+    null before it is full.
 
-    Until the seed is full the recurrence adds the values up, then their sum becomes the mean; one scan does both.
+    Until the seed is full the recurrence adds the values up, then their sum becomes the mean; one scan does all.
     """
-    k = F.col("idx")
-    seed = skip + period - 1
-    a = F.when(k <= skip, 0.0).when(k < seed, 1.0).when(k == seed, 1.0 / period).otherwise((period - 1.0) / period)
-    b = F.when(k < skip, 0.0).when(k < seed, F.col(of)).when(k == seed, F.col(of) / period).otherwise(F.col(of) / period)
-    own = affine_scan(df, a, b, "_y")
-    return own.withColumn(out, F.when(k >= seed, F.col("_y"))).drop("_y")
+    k, terms = F.col("idx"), {}
+    for out, (of, skip) in columns.items():
+        seed = skip + period - 1
+        a = F.when(k <= skip, 0.0).when(k < seed, 1.0).when(k == seed, 1.0 / period).otherwise((period - 1.0) / period)
+        b = F.when(k < skip, 0.0).when(k < seed, F.col(of)).otherwise(F.col(of) / period)
+        terms[f"_y_{out}"] = (a, b)
+    own = affine_scans(df, terms)
+    full = [F.when(k >= skip + period - 1, F.col(f"_y_{out}")).alias(out) for out, (_, skip) in columns.items()]
+    return own.select(*df.columns, *full)
 
 
 def wilder(bars: DataFrame, period: int = 14) -> DataFrame:
     """RSI and ATR with Wilder smoothing."""
     step = F.col("close") - previous("close")
     own = row_index(bars.select("symbol", "ts", F.greatest(step, F.lit(0.0)).alias("_g"), F.greatest(-step, F.lit(0.0)).alias("_l"), true_range().alias("_tr")))
-    own = smoothed(smoothed(smoothed(own, "_g", period, 1, "g"), "_l", period, 1, "l"), "_tr", period, 0, "atr")
+    own = smoothed(own, {"g": ("_g", 1), "l": ("_l", 1), "atr": ("_tr", 0)}, period)
     return own.select("symbol", "ts", F.when(F.col("l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("g") / F.col("l"))).alias("rsi"), "atr")
 
 

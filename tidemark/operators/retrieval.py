@@ -2,27 +2,74 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import tokens
+
+#: What a word, a shared tag, and a new document count, and the weight of each source.
+TOKEN_WEIGHT, TAG_WEIGHT, RECENT_BONUS, RECENT_DAYS = 0.1, 0.05, 0.1, 365.0
+SOURCE_WEIGHTS = {"evidence_graph": 1.0, "market_memory": 0.8, "knowledge_base": 0.9, "experiment_result": 0.7}
+_WORDS = re.compile(r"[a-z_]+|[0-9]+")
 
 
-def token_overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` documents per query by the share of its distinct words they hold; ties to the smaller doc_id.
+def token_overlap(docs: DataFrame, queries: DataFrame, k: int, least: float = 0.0, most_queries: int = 100_000) -> DataFrame:
+    """Top ``k`` documents per query: query_id, doc_id, hits, score, rank; ties to the smaller doc_id.
 
-    ``docs``: doc_id, text; ``queries``: query_id, text. Words are exploded once; documents meet queries by word, and
-    pairs are counted before ranking.
+    The score is the share of the query's distinct words that a document holds times ten word weights, plus a bonus for
+    each shared tag and for age, times the source's weight (0.5 for an unknown one), within [0, 1] and to four decimals.
+    ``docs``: doc_id, text and, where there are any, source, tags (array), age_days; ``queries``: query_id, text and
+    perhaps tags. Documents without words or without a shared word are no hits; null text has none.
+
+    Queries are a stated set of at most ``most_queries``, which every task holds as an index from words to queries; each
+    task keeps its ``k`` best of each query, so no pair of a common word ever becomes a row.
     """
-    asked = queries.select("query_id", tokens(F.col("text")).alias("_w")).withColumn("_q", F.size("_w"))
-    words = asked.select("query_id", "_q", F.explode("_w").alias("word"))
-    index = docs.select("doc_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("word"))
-    hits = index.join(words, "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.first("_q").alias("_q"))
-    scored = hits.select("query_id", "doc_id", "hits", (F.col("hits") / F.col("_q")).alias("score"))
+    asked = queries.select("query_id", "text", (F.col("tags") if "tags" in queries.columns else F.array().cast("array<string>")).alias("tags")).limit(most_queries + 1).collect()
+    if len(asked) > most_queries:
+        raise ValueError(f"more than {most_queries} queries; search them in parts")
+    words = [sorted(set(_WORDS.findall((r["text"] or "").lower()))) for r in asked]
+    ids, sizes, tags = [r["query_id"] for r in asked], np.array([max(len(w), 1) for w in words]), [set(r["tags"] or []) for r in asked]
+    index: dict[str, list[int]] = {}
+    for q, own in enumerate(words):
+        for w in own:
+            index.setdefault(w, []).append(q)
+    index = {w: np.array(q) for w, q in index.items()}
+    has = set(docs.columns)
+    source = reduce(lambda c, s: c.when(F.col("source") == s[0], s[1]), SOURCE_WEIGHTS.items(), F.when(F.lit(False), 0.0)).otherwise(0.5) if "source" in has else F.lit(1.0)
+    age = F.when(F.col("age_days") >= 0, RECENT_BONUS * F.greatest(F.lit(0.0), 1 - F.col("age_days") / RECENT_DAYS)).otherwise(0.0) if "age_days" in has else F.lit(0.0)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), source.alias("weight"), F.coalesce(age, F.lit(0.0)).alias("recent"), (F.col("tags") if "tags" in has else F.array().cast("array<string>")).alias("tags"))
+
+    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        found = pd.concat(parts).sort_values(["query", "score", "doc_id"], ascending=[True, False, True])
+        return found.groupby("query", sort=False).head(k)
+
+    def search(batches):
+        kept, held = [], 0
+        for batch in batches:
+            for doc, text, weight, recent, own_tags in zip(batch["doc_id"], batch["text"], batch["weight"], batch["recent"], batch["tags"]):
+                lists = [index[w] for w in set(_WORDS.findall(text.lower())) if w in index]
+                if not lists:
+                    continue
+                hits = np.bincount(np.concatenate(lists), minlength=len(ids))
+                q = np.flatnonzero(hits)
+                extra = np.array([len(tags[i].intersection(own_tags)) for i in q]) * TAG_WEIGHT if len(own_tags) else 0.0
+                score = np.round(np.clip((hits[q] / sizes[q] * TOKEN_WEIGHT * 10 + extra + recent) * weight, 0, 1), 4)
+                kept.append(pd.DataFrame({"query": q, "doc_id": doc, "hits": hits[q], "score": score})[score >= least])
+                held += len(q)
+                if held > 200_000:
+                    kept = [best(kept)]
+                    held = len(kept[0])
+        if kept:
+            found = best(kept)
+            yield pd.DataFrame({"query_id": [ids[i] for i in found["query"]], "doc_id": found["doc_id"], "hits": found["hits"].astype("int64"), "score": found["score"]})
+
+    found = rows.mapInPandas(search, f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, hits long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest_rows(train: DataFrame, test: DataFrame, columns: list[str], by: str, k: int, block: int = 16384) -> DataFrame:

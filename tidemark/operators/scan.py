@@ -29,34 +29,47 @@ def fold_affine(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def affine_scan(df: DataFrame, a: Column, b: Column, out: str, key: str = "symbol", order: str = "ts", unit: str = "year") -> DataFrame:
-    """y_t = a_t y_(t-1) + b_t per series, y before the first row being 0.
+    """One recurrence, as :func:`affine_scans`."""
+    return affine_scans(df, {out: (a, b)}, key, order, unit)
+
+
+def affine_scans(df: DataFrame, recurrences: dict[str, tuple[Column, Column]], key: str = "symbol", order: str = "ts", unit: str = "year") -> DataFrame:
+    """y_t = a_t y_(t-1) + b_t per series, y before the first row being 0, for each name with its (a, b) in one pass.
 
     Maps are composed inside each (series, clock bucket); the last map of each bucket is carried over the few buckets
-    of a series; then each row applies its map to its bucket's carry. A null a or b leaves y null from there to the end
-    of its bucket's series, so callers fill warm-up rows with a = 0.
+    of a series; then each row applies its map to its bucket's carry. Rows keep a number of their own, so repeated times
+    stay as they are. A null a or b leaves y null from there to the end of its bucket's series, so callers fill warm-up
+    rows with a = 0.
     """
-    rows = df.select("*", F.date_trunc(unit, order).alias("_bucket"), a.cast("double").alias("_a"), b.cast("double").alias("_b"))
-    slim = rows.select(key, order, "_bucket", "_a", "_b")
-    types = dict(slim.dtypes)
+    names = list(recurrences)
+    parts = [c.cast("double").alias(f"_{side}{i}") for i, n in enumerate(names) for side, c in zip("ab", recurrences[n])]
+    rows = df.select("*", F.date_trunc(unit, order).alias("_bucket"), *parts)
+    kept = [c for c in rows.columns if c not in {f"_{side}{i}" for i in range(len(names)) for side in "ab"}]
+    shape = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes)
+    maps_shape = ", ".join(f"_A{i} double, _B{i} double" for i in range(len(names)))
 
     def inside(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        big_a, big_b = fold_affine(rows["_a"].to_numpy(), rows["_b"].to_numpy())
-        return pd.DataFrame({key: rows[key], order: rows[order], "_bucket": rows["_bucket"], "_A": big_a, "_B": big_b})
+        rows = rows.sort_values(order, kind="stable")
+        for i in range(len(names)):
+            rows[f"_A{i}"], rows[f"_B{i}"] = fold_affine(rows[f"_a{i}"].to_numpy(), rows[f"_b{i}"].to_numpy())
+        return rows[[*kept, *(f"_{side}{i}" for i in range(len(names)) for side in "AB")]]
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_bucket")
-        carry, y = [], 0.0
-        for p, q in zip(rows["_A"], rows["_B"]):
-            carry.append(y)
-            y = p * y + q
-        return pd.DataFrame({key: rows[key], "_bucket": rows["_bucket"], "_carry": carry})
-
-    maps = slim.groupBy(key, "_bucket").applyInPandas(inside, f"{key} {types[key]}, {order} {types[order]}, _bucket timestamp, _A double, _B double")
-    last = maps.groupBy(key, "_bucket").agg(F.max_by("_A", order).alias("_A"), F.max_by("_B", order).alias("_B"))
-    carry = last.groupBy(key).applyInPandas(across, f"{key} {types[key]}, _bucket timestamp, _carry double")
-    y = maps.join(carry, [key, "_bucket"]).select(key, order, (F.col("_A") * F.col("_carry") + F.col("_B")).alias(out))
-    return df.join(y, [key, order])
+        out = {key: rows[key], "_bucket": rows["_bucket"]}
+        for i in range(len(names)):
+            carry, y = [], 0.0
+            for p, q in zip(rows[f"_A{i}"], rows[f"_B{i}"]):
+                carry.append(y)
+                y = p * y + q
+            out[f"_c{i}"] = carry
+        return pd.DataFrame(out)
+
+    maps = rows.groupBy(key, "_bucket").applyInPandas(inside, f"{shape}, {maps_shape}")
+    last = maps.groupBy(key, "_bucket").agg(*[F.max_by(f"_{side}{i}", order).alias(f"_{side}{i}") for i in range(len(names)) for side in "AB"])
+    carry = last.groupBy(key).applyInPandas(across, f"{key} {dict(df.dtypes)[key]}, _bucket timestamp, " + ", ".join(f"_c{i} double" for i in range(len(names))))
+    found = maps.join(carry, [key, "_bucket"])
+    return found.select(*df.columns, *[(F.col(f"_A{i}") * F.col(f"_c{i}") + F.col(f"_B{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def halo(df: DataFrame, rows: int, unit: str = "year", key: str = "symbol", order: str = "ts") -> tuple[DataFrame, list[str]]:

@@ -81,10 +81,10 @@ def conditional(df: DataFrame, x: str, by: str, minimum: int = 5) -> DataFrame:
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    """Wilson interval of k of n."""
-    p = k / n
-    mid = (p + z * z / (2 * n)) / (1 + z * z / n)
-    half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    """Wilson interval of k of n; null for n = 0."""
+    p, q = F.try_divide(k, n), F.try_divide(F.lit(z * z), n)
+    mid = (p + q / 2) / (1 + q)
+    half = z / (1 + q) * F.sqrt(F.try_divide(p * (1 - p) + q / 4, n))
     return mid - half, mid + half
 
 

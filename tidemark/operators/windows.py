@@ -50,6 +50,12 @@ def log_return(of: str = "close") -> Column:
     return F.when((base > 0) & (F.col(of) > 0), F.log(F.col(of) / base)).when(base.isNotNull(), 0.0)
 
 
+def log_ratio(of: str = "close") -> Column:
+    """Log return; null at the first row and where a price is not positive."""
+    base = previous(of)
+    return F.when((base > 0) & (F.col(of) > 0), F.log(F.col(of) / base))
+
+
 def returns(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", (F.col("close") - previous("close")).alias("change"), simple_return().alias("ret"), log_return().alias("log_ret"))
 
@@ -194,13 +200,12 @@ def volatility_features(bars: DataFrame, short: int = 10, long: int = 30, lookba
 
 
 def trend_state(bars: DataFrame, fast: int = 20, slow: int = 50, momentum: int = 14, short: int = 20, long: int = 60) -> DataFrame:
-    """Signs, as doubles: of the fast average over the slow one, of the momentum, and of a short rolling volatility of
-    returns over a long one (1 over 1.2 times, -1 under 0.8 times). Null in the warm-up."""
+    """Signs, as doubles: of the fast average over the slow one, of the momentum, and of the short over the long rolling
+    population deviation of log returns. Null in the warm-up."""
     sign = lambda a, b: F.when(a > b, 1.0).when(a < b, -1.0).when(a.isNotNull() & b.isNotNull(), 0.0)
-    own = bars.select("symbol", "ts", "close", simple_return().alias("_r"), sma("close", fast).alias("_f"), sma("close", slow).alias("_s"), (F.col("close") - previous("close", momentum)).alias("_m"))
+    own = bars.select("symbol", "ts", "close", log_ratio().alias("_r"), sma("close", fast).alias("_f"), sma("close", slow).alias("_s"), (F.col("close") - previous("close", momentum)).alias("_m"))
     own = own.select("*", rolling(F.stddev_pop, "_r", short).alias("_a"), rolling(F.stddev_pop, "_r", long).alias("_b"))
-    size = F.when(F.col("_b") == 0, 0.0).when(F.col("_a") > 1.2 * F.col("_b"), 1.0).when(F.col("_a") < 0.8 * F.col("_b"), -1.0).when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 0.0)
-    return own.select("symbol", "ts", sign(F.col("_f"), F.col("_s")).alias("trend_state"), sign(F.col("_m"), F.lit(0.0)).alias("momentum_regime"), size.alias("vol_regime"))
+    return own.select("symbol", "ts", sign(F.col("_f"), F.col("_s")).alias("trend_state"), sign(F.col("_m"), F.lit(0.0)).alias("momentum_regime"), sign(F.col("_a"), F.col("_b")).alias("vol_regime"))
 
 
 def crossovers(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:

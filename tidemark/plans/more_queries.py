@@ -266,11 +266,6 @@ def _(spark, d):
     return I.sweep(daily(spark, d), [(5, 20), (10, 30), (20, 60)], 5, 3, 0.001)
 
 
-@query("gra05_typed_chain", "SELECT r_name, n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2", use="")
-def _(spark, d):
-    return read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name").agg(F.count("*").alias("orders"))
-
-
 @query("gra07_append_only", "SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 0", use="")
 def _(spark, d):
     e = read(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.col("o_orderstatus").alias("hash"), "o_orderkey")

@@ -138,7 +138,7 @@ def _sign(a: str, b: str) -> str:
     return f"CASE WHEN {a} > {b} THEN 1.0 WHEN {a} < {b} THEN -1.0 WHEN {a} IS NOT NULL THEN 0.0 END::DOUBLE"
 
 
-@query("win22_trend_state", f"WITH o AS (SELECT symbol, ts, {roll('avg', 'close', 20)} AS f, {roll('avg', 'close', 50)} AS s, close - {lag('close', 14)} AS m, {roll('stddev_pop', 'r', 20)} AS a, {roll('stddev_pop', 'r', 60)} AS b FROM rets) SELECT symbol, ts, CASE WHEN s IS NOT NULL THEN {_sign('f', 's')} END AS trend_state, {_sign('m', '0')} AS momentum_regime, CASE WHEN b = 0 THEN 0 WHEN a > 1.2 * b THEN 1 WHEN a < 0.8 * b THEN -1 WHEN b IS NOT NULL THEN 0 END::DOUBLE AS vol_regime FROM o", use="rets", t="ts")
+@query("win22_trend_state", f"WITH o AS (SELECT symbol, ts, {roll('avg', 'close', 20)} AS f, {roll('avg', 'close', 50)} AS s, close - {lag('close', 14)} AS m, {roll('stddev_pop', 'l', 20)} AS a, {roll('stddev_pop', 'l', 60)} AS b FROM (SELECT *, ln(close / {lag('close')}) AS l FROM bars)) SELECT symbol, ts, CASE WHEN s IS NOT NULL THEN {_sign('f', 's')} END AS trend_state, {_sign('m', '0')} AS momentum_regime, CASE WHEN b IS NOT NULL THEN {_sign('a', 'b')} END AS vol_regime FROM o", t="ts")
 def _(spark, d):
     return W.trend_state(daily(spark, d))
 

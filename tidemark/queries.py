@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analysis_queries, more_queries, rule_queries, window_queries  # noqa: F401
+from tidemark.plans import analysis_queries, audit_queries, extension_queries, frame_queries, more_queries, rule_queries, walk_queries, window_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -17,7 +17,7 @@ ALIASES = {
     "high": ("high", "h"),
     "low": ("low", "l"),
     "close": ("close", "c"),
-    "volume": ("volume", "v", "tick_volume", "tickvol", "vol"),
+    "volume": ("volume", "vol", "v", "tick_volume", "tickvol"),
     "symbol": ("symbol", "ticker"),
 }
 
@@ -35,8 +35,9 @@ def by_alias(df: DataFrame, field: str, mapping: dict[str, str] | None = None) -
     return None
 
 
-def utc(ts: Column, zone: str = "UTC") -> Column:
-    """Wall-clock times of a zone (IANA name or numeric offset) as UTC; an unknown zone is an error of the job."""
+def utc(ts: Column, zone: str | Column = "UTC") -> Column:
+    """Wall-clock times of a zone (IANA name or numeric offset, also by row) as UTC; an unknown zone is an error of the
+    job."""
     return F.to_utc_timestamp(ts, zone)
 
 
@@ -135,3 +136,9 @@ def epoch_unit(df: DataFrame, column: str) -> str:
     if middle is None or middle < 1e9:
         raise ValueError("times are neither epoch seconds nor milliseconds")
     return "ms" if middle >= 1e11 else "s"
+
+
+def from_epoch(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Epoch seconds or milliseconds, whichever the column's median size says, as times."""
+    x = F.col(column)
+    return df.withColumn(out, F.timestamp_millis(x.cast("long")) if epoch_unit(df, column) == "ms" else F.timestamp_seconds(x))

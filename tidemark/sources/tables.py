@@ -58,3 +58,17 @@ def signal_faults(signals: DataFrame) -> DataFrame:
     twice = signals.groupBy("symbol", "ts").agg(F.count("*").alias("n")).where("n > 1").select("symbol", "ts", F.lit("twice").alias("fault"))
     odd = signals.where(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).select("symbol", "ts", F.lit("confidence").alias("fault"))
     return early.unionByName(twice).unionByName(odd)
+
+
+def records(spark: SparkSession, path: str, symbol: str, start, end, limit: int | None = None) -> DataFrame:
+    """Bars of one dataset between two times, both included, in time order; only that symbol's folder is read."""
+    own = load_parquet(spark, path).where((F.col("symbol") == symbol) & F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))).orderBy("ts")
+    return own.limit(limit) if limit is not None else own
+
+
+def export_dataset(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Aligned features and labels as CSV and as JSON lines under ``path``; returns both as read again."""
+    rows.write.option("header", True).csv(f"{path}/csv")
+    rows.write.json(f"{path}/json")
+    spark = rows.sparkSession
+    return spark.read.option("header", True).schema(rows.schema).csv(f"{path}/csv"), spark.read.schema(rows.schema).json(f"{path}/json")

@@ -97,3 +97,52 @@ def fan_out(stream: DataFrame, topics: dict[str, Callable[[DataFrame], None]], t
         kept.unpersist()
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", scratch(stream.sparkSession)).trigger(availableNow=True).start()
+
+
+def count_windows(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """Windows of ``size`` rows that start every ``step`` rows of a symbol's stream (symbol, ts, seq, value): symbol,
+    start (row number), first and last time, mean. The state holds the rows that a later window still needs."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at, start, times, values = state.get if state.exists else (0, 0, [], [])
+        times, values, out = list(times), list(values), []
+        for t, v in pd.concat(list(batches)).sort_values(["ts", "seq"])[["ts", "value"]].itertuples(index=False):
+            times.append(t.value // 1000)
+            values.append(float(v))
+            at += 1
+            if at - start >= size:
+                out.append((key[0], start, pd.Timestamp(times[0] * 1000), pd.Timestamp(times[size - 1] * 1000), sum(values[:size]) / size))
+                start += step
+                drop = min(step, len(times))
+                times, values = times[drop:], values[drop:]
+        state.update((at, start, times, values))
+        yield pd.DataFrame(out, columns=["symbol", "start", "first_ts", "last_ts", "mean"]).astype({"start": "int64"})
+
+    return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, start long, first_ts timestamp, last_ts timestamp, mean double", "at long, start long, times array<long>, vals array<double>", "append", "NoTimeout")
+
+
+def live_crossovers(bars: DataFrame, fast: int = 10, slow: int = 30) -> DataFrame:
+    """Indicators and crossing signals of a bar stream (symbol, ts, seq, close): both averages once they are full, MACD
+    and its signal line, and 1 or -1 where the fast average crosses the slow one. The state is the last ``slow`` closes
+    and four numbers per symbol."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, closes, quick, late, line, before = state.get if state.exists else (0, [], 0.0, 0.0, 0.0, 0.0)
+        closes, out = list(closes), []
+        for t, c in pd.concat(list(batches)).sort_values(["ts", "seq"])[["ts", "close"]].itertuples(index=False):
+            c = float(c)
+            closes = [*closes, c][-slow:]
+            quick, late = (c, c) if n == 0 else (quick + (c - quick) * 2 / 13, late + (c - late) * 2 / 27)
+            macd = quick - late
+            line = macd if n == 0 else line + (macd - line) * 2 / 10
+            n += 1
+            a, b = (sum(closes[-fast:]) / fast if n >= fast else None), (sum(closes) / slow if n >= slow else None)
+            gap = a - b if b is not None else 0.0
+            crossed = 0 if b is None or n == slow else 1 if before <= 0 < gap else -1 if before >= 0 > gap else 0
+            before = gap
+            out.append((key[0], t, c, a, b, macd, line, crossed))
+        state.update((n, closes, quick, late, line, before))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "fast", "slow", "macd", "line", "signal"]).astype({"fast": float, "slow": float, "signal": "int32"})
+
+    kept = "n long, closes array<double>, quick double, late double, line double, before double"
+    return bars.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, close double, fast double, slow double, macd double, line double, signal int", kept, "append", "NoTimeout")
