@@ -57,7 +57,7 @@ def token_overlap(docs: DataFrame, queries: DataFrame, k: int, least: float = 0.
                 hits = np.bincount(np.concatenate(lists), minlength=len(ids))
                 q = np.flatnonzero(hits)
                 extra = np.array([len(tags[i].intersection(own_tags)) for i in q]) * TAG_WEIGHT if len(own_tags) else 0.0
-                score = np.round(np.clip((hits[q] / sizes[q] * TOKEN_WEIGHT * 10 + extra + recent) * weight, 0, 1), 4)
+                score = np.floor(np.clip((hits[q] / sizes[q] * TOKEN_WEIGHT * 10 + extra + recent) * weight, 0, 1) * 1e4 + 0.5) / 1e4
                 kept.append(pd.DataFrame({"query": q, "doc_id": doc, "hits": hits[q], "score": score})[score >= least])
                 held += len(q)
                 if held > 200_000:

@@ -102,7 +102,22 @@ def _(spark, d):
     return fit.select("symbol", "n", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("beta_low"), F.col("beta")[2].alias("beta_volume"), "r2")
 
 
-@query("agg27_polynomial", None, r="r2")
+def _orthogonal(source: str, key: str, columns: list[str]) -> str:
+    """Common tables in which every column is centred and freed of those before it, group by group; ends in ``orth``."""
+    w = f"OVER (PARTITION BY {key})"
+    out = [f"o0 AS (SELECT {key}, " + ", ".join(f"{c} - avg({c}) {w} AS {c}" for c in columns) + f" FROM {source})"]
+    for i, c in enumerate(columns[:-1]):
+        rest = ", ".join(f"{x} - {c} * (sum({x} * {c}) {w} / sum({c} * {c}) {w}) AS {x}" for x in columns[i + 1 :])
+        out.append(f"o{i + 1} AS (SELECT {key}, {', '.join(columns[: i + 1])}, {rest} FROM o{i})")
+    return ", ".join(out) + f", orth AS (SELECT * FROM o{len(columns) - 1})"
+
+
+def _t_statistic(y: str, x: str, k: int) -> str:
+    """t statistic of the slope of y on x, both freed of the other regressors; k coefficients in all."""
+    return f"(sum({x} * {y}) / sum({x} * {x})) / sqrt((sum({y} * {y}) - sum({x} * {y}) ** 2 / sum({x} * {x})) / (count(*) - {k}) / sum({x} * {x}))"
+
+
+@query("agg27_polynomial", f"WITH p AS (SELECT symbol, low AS a, low ** 2 AS b, low ** 3 AS c, high AS y FROM bars), {_orthogonal('p', 'symbol', ['a', 'b', 'c', 'y'])}, v AS (SELECT symbol, var_pop(y) * count(*) AS total FROM p GROUP BY 1) SELECT symbol, count(*) AS n, 1 - sum(y * y) / min(total) AS r2 FROM orth JOIN v USING (symbol) GROUP BY 1", r="r2")
 def _(spark, d):
     return M.polynomial(daily(spark, d), "high", "low", 3).select("symbol", "n", "r2")
 
@@ -163,7 +178,7 @@ def _(spark, d):
     return X.sign_test(own, "a", "b", "fold").drop("p")
 
 
-@query("agg34_sign_test_p_values", None, r="p")
+@query("agg34_sign_test_p_values", f"WITH {_PRED}, e AS (SELECT fold, sum((a AND NOT b)::INT)::BIGINT AS wins, sum((b AND NOT a)::INT)::BIGINT AS losses FROM (SELECT fold, (p >= 0.5)::INT = actual AS a, actual = 1 AS b FROM p) GROUP BY fold) SELECT fold, wins, losses, CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(generate_series(0, least(wins, losses)), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))) END AS p FROM e", use="", r="p")
 def _(spark, d):
     own = _predictions(spark, d).select("fold", ((F.col("p") >= 0.5).cast("int") == F.col("actual")).alias("a"), (F.col("actual") == 1).alias("b"))
     return X.sign_test(own, "a", "b", "fold")
@@ -310,7 +325,7 @@ def _(spark, d):
     return a.select("symbol", "n", *[F.col("acf")[k].alias(f"a{k + 1}") for k in range(3)], "ljung_box")
 
 
-@query("agg52_partial_autocorrelation", None, r="pacf1 pacf2 pacf3")
+@query("agg52_partial_autocorrelation", f"WITH c AS (SELECT symbol, ts, r - avg(r) OVER (PARTITION BY symbol) AS e FROM {R}), l AS (SELECT symbol, e, {lag('e')} AS e1, {lag('e', 2)} AS e2, {lag('e', 3)} AS e3 FROM c), a AS (SELECT symbol, sum(e * e1) / sum(e * e) AS r1, sum(e * e2) / sum(e * e) AS r2, sum(e * e3) / sum(e * e) AS r3 FROM l GROUP BY 1), p AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS f FROM a) SELECT symbol, r1 AS pacf1, f AS pacf2, (r3 - r1 * (1 - f) * r2 - f * r1) / (1 - r1 * (1 - f) * r1 - f * r2) AS pacf3 FROM p", use="rets", r="pacf1 pacf2 pacf3")
 def _(spark, d):
     p = M.partial_autocorrelation(T.autocorrelation(_returns(spark, d), "r", 3))
     return p.select("symbol", *[F.col("pacf")[k].alias(f"pacf{k + 1}") for k in range(3)])
@@ -321,7 +336,7 @@ def _(spark, d):
     return M.residual_diagnostics(M.residuals(daily(spark, d), "high", ["low"]))
 
 
-@query("agg54_adf", None, r="statistic")
+@query("agg54_adf", f"WITH d AS (SELECT symbol, ts, close - {lag('close')} AS d, {lag('close')} AS level FROM bars), l AS (SELECT symbol, d, level, {lag('d')} AS d1, {lag('d', 2)} AS d2 FROM d), u AS (SELECT * FROM l WHERE d2 IS NOT NULL AND d1 IS NOT NULL AND d IS NOT NULL), {_orthogonal('u', 'symbol', ['d1', 'd2', 'level', 'd'])}, b AS (SELECT * FROM o2) SELECT symbol, count(*) AS n, {_t_statistic('d', 'level', 4)} AS statistic FROM b GROUP BY 1", r="statistic")
 def _(spark, d):
     return M.adf(daily(spark, d), "close", 2)
 
@@ -331,12 +346,12 @@ def _(spark, d):
     return M.kpss(daily(spark, d), "close")
 
 
-@query("agg56_granger", None, r="f")
+@query("agg56_granger", f"WITH l AS (SELECT symbol, high AS y, {lag('high')} AS y1, {lag('high', 2)} AS y2, {lag('volume')} AS x1, {lag('volume', 2)} AS x2 FROM hourly), u AS (SELECT * FROM l WHERE y2 IS NOT NULL AND x2 IS NOT NULL), {_orthogonal('u', 'symbol', ['y1', 'y2', 'x1', 'x2', 'y'])}, s AS (SELECT symbol, sum(y * y) AS small FROM o2 GROUP BY 1), g AS (SELECT symbol, count(*) AS n, sum(y * y) AS big FROM orth GROUP BY 1) SELECT symbol, n, ((small - big) / 2) / (big / (n - 5)) AS f FROM g JOIN s USING (symbol)", use="hourly", r="f")
 def _(spark, d):
     return M.granger(hourly(spark, d), "volume", "high", 2)
 
 
-@query("agg57_cointegration", None, r="statistic")
+@query("agg57_cointegration", f"WITH f AS (SELECT symbol, regr_slope(high, low) AS b, regr_intercept(high, low) AS a FROM bars GROUP BY 1), e AS (SELECT symbol, ts, high - a - b * low AS e FROM bars JOIN f USING (symbol)), d AS (SELECT symbol, ts, e - {lag('e')} AS d, {lag('e')} AS level FROM e), l AS (SELECT symbol, d, level, {lag('d')} AS d1 FROM d), u AS (SELECT * FROM l WHERE d1 IS NOT NULL AND d IS NOT NULL), {_orthogonal('u', 'symbol', ['d1', 'level', 'd'])}, b AS (SELECT * FROM o1) SELECT symbol, count(*) AS n, {_t_statistic('d', 'level', 3)} AS statistic FROM b GROUP BY 1", r="statistic")
 def _(spark, d):
     return M.engle_granger(daily(spark, d), "high", "low", 1)
 
@@ -513,9 +528,12 @@ def _(spark, d):
     return X.correlation_break(hourly(spark, d), "high", "volume", 60)
 
 
-@query("res23_cusum", None, t="ts")
+_CUSUM = f"s AS (SELECT symbol, avg(r) AS mu, 4 * stddev_pop(r) AS h FROM {R} GROUP BY 1), n AS (SELECT symbol, ts, r - mu AS v, h, row_number() OVER ({BY}) AS k FROM rets JOIN s USING (symbol) WHERE r IS NOT NULL), c AS (SELECT symbol, k, h, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0.0::DOUBLE AS level FROM n WHERE k = 1 AND greatest(abs(v) - h / 2, 0) <= h UNION ALL SELECT n.symbol, n.k, n.h, CASE WHEN greatest(0, c.up + v - n.h / 2) > n.h THEN 0 ELSE greatest(0, c.up + v - n.h / 2) END, CASE WHEN greatest(0, c.up + v - n.h / 2) <= n.h AND greatest(0, c.down - v - n.h / 2) > n.h THEN 0 ELSE greatest(0, c.down - v - n.h / 2) END, CASE WHEN greatest(0, c.up + v - n.h / 2) > n.h THEN greatest(0, c.up + v - n.h / 2) WHEN greatest(0, c.down - v - n.h / 2) > n.h THEN -greatest(0, c.down - v - n.h / 2) ELSE 0 END FROM c JOIN n ON n.symbol = c.symbol AND n.k = c.k + 1)"
+
+
+@query("res23_cusum", f"WITH RECURSIVE {_CUSUM.replace('SELECT symbol, k, h, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down', 'SELECT symbol, k, h, greatest(0, v - h / 2) AS up, greatest(0, -v - h / 2) AS down')} SELECT symbol, ts, level FROM c JOIN n USING (symbol, k) WHERE level <> 0", use="rets", r="level", t="ts")
 def _(spark, d):
-    return X.cusum(_returns(spark, d), "r", 5.0)
+    return X.cusum(_returns(spark, d), "r")
 
 
 # --- lineage and sets -------------------------------------------------------------------------------------------

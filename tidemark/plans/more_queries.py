@@ -255,7 +255,7 @@ def _(spark, d):
     return I.similar_snapshots(c.where("id = 1"), c.where("id <> 1"), ["a"], 10, 0.5)
 
 
-@query("top06_token_retrieval", None, r="score")
+@query("top06_token_retrieval", "WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_]+|[0-9]+'))) AS w, len(list_distinct(regexp_extract_all(lower(text), '[a-z_]+|[0-9]+'))) AS n FROM benchmark), i AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_]+|[0-9]+'))) AS w FROM documents), h AS (SELECT query_id, doc_id, n, count(*) AS hits FROM q JOIN i USING (w) GROUP BY 1, 2, 3), s AS (SELECT query_id, doc_id, hits, floor(least(1, hits / n * 0.1 * 10 * 0.5) * 1e4 + 0.5) / 1e4 AS score FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, hits, score, rank FROM r WHERE rank <= 3", use="", r="score")
 def _(spark, d):
     queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return I.token_overlap(read(spark, d, "documents"), queries, 3)

@@ -274,7 +274,7 @@ def _(spark, d):
     return R.wilder(daily(spark, d))
 
 
-@query("win18_kalman", None, r="trend", t="ts")
+@query("win18_kalman", f"WITH RECURSIVE n AS (SELECT symbol, ts, close, row_number() OVER ({BY}) AS k FROM bars), x AS (SELECT symbol, k, close AS trend, 1.0::DOUBLE AS p FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.k, x.trend + (x.p + 0.01) / (x.p + 1.01) * (n.close - x.trend), (x.p + 0.01) * (1 - (x.p + 0.01) / (x.p + 1.01)) FROM x JOIN n ON n.symbol = x.symbol AND n.k = x.k + 1) SELECT symbol, ts, trend FROM x JOIN n USING (symbol, k)", r="trend", t="ts")
 def _(spark, d):
     return R.kalman(daily(spark, d))
 
