@@ -107,14 +107,15 @@ def count_windows(rows: DataFrame, size: int, step: int) -> DataFrame:
         at, start, times, values = state.get if state.exists else (0, 0, [], [])
         times, values, out = list(times), list(values), []
         for t, v in pd.concat(list(batches)).sort_values(["ts", "seq"])[["ts", "value"]].itertuples(index=False):
+            at += 1
+            if at <= start:  # between two windows, where the step is longer than they are
+                continue
             times.append(t.value // 1000)
             values.append(float(v))
-            at += 1
             if at - start >= size:
                 out.append((key[0], start, pd.Timestamp(times[0] * 1000), pd.Timestamp(times[size - 1] * 1000), sum(values[:size]) / size))
                 start += step
-                drop = min(step, len(times))
-                times, values = times[drop:], values[drop:]
+                times, values = times[step:], values[step:]
         state.update((at, start, times, values))
         yield pd.DataFrame(out, columns=["symbol", "start", "first_ts", "last_ts", "mean"]).astype({"start": "int64"})
 
