@@ -63,6 +63,29 @@ def test_long_series_paths_equal_simple_ones(spark, unit):
         assert np.allclose(column(got, "m")[4:], column(own.select("ts", windows.sma("close", 5).alias("m")), "m")[4:])
 
 
+def test_blocks_of_a_long_series_give_what_the_whole_gives(spark):
+    rng = np.random.default_rng(2)
+    own = series(spark, (100 + rng.normal(size=150).cumsum()).tolist())
+    f = lambda rows: windows.bands(rows, 12)
+    key = lambda df: sorted(df.collect(), key=lambda r: r.ts)
+    assert [tuple(r) for r in key(scan.in_blocks(own, f, 11, 16))] == [tuple(r) for r in key(f(own))]
+    with pytest.raises(ValueError):
+        scan.in_blocks(own, f, 20, 16)
+
+
+def test_audit_faults_over_block_edges(spark):
+    import hashlib
+
+    rows, before = [], None
+    for i in [1, 2, 3, 4, 5, 6, 9, 10, 11]:
+        digest = hashlib.sha256(f"p{i}".encode()).hexdigest()
+        rows.append((i, "bad" if i == 11 else digest, "broken" if i == 5 else before, f"p{i}"))
+        before = digest
+    log = spark.createDataFrame(rows, "rowid long, entry_hash string, previous_entry string, payload string")
+    for block in (2, 4, 65536):
+        assert sorted((r.rowid, r.fault) for r in quality.audit_faults(log, block).collect()) == [(5, "link"), (9, "sequence"), (11, "hash")]
+
+
 def test_wilder_on_a_straight_line(spark):
     got = recursive.wilder(series(spark, [100 + 0.5 * i for i in range(40)]))
     assert column(got, "rsi")[:14] == [None] * 14 and set(column(got, "rsi")[14:]) == {100.0}
@@ -75,12 +98,13 @@ def test_kalman_and_path_dependent_follow_a_constant(spark):
     assert all(v is None or v < 51 for v in column(recursive.path_dependent(own), "sar"))
 
 
-def test_as_of_directions_and_ties(spark):
+@pytest.mark.parametrize("width", [None, 3600, 86400, 10 * 86400])
+def test_as_of_directions_and_ties(spark, width):
     right = series(spark, [1.0, 2.0, 3.0])
     left = spark.createDataFrame([("s", day(1), 1), ("s", day(1, 5), 2), ("s", day(9), 3), ("t", day(1), 4)], "symbol string, ts timestamp, k int")
-    back = {r.k: r.asof_close for r in asof.as_of(left, right, ["close"]).collect()}
-    ahead = {r.k: r.asof_close for r in asof.as_of(left, right, ["close"], forward=True).collect()}
-    strict = {r.k: r.asof_close for r in asof.as_of(left, right, ["close"], strict=True).collect()}
+    back = {r.k: r.asof_close for r in asof.as_of(left, right, ["close"], width=width).collect()}
+    ahead = {r.k: r.asof_close for r in asof.as_of(left, right, ["close"], forward=True, width=width).collect()}
+    strict = {r.k: r.asof_close for r in asof.as_of(left, right, ["close"], strict=True, width=width).collect()}
     assert back == {1: 2.0, 2: 2.0, 3: 3.0, 4: None} and ahead == {1: 2.0, 2: 3.0, 3: None, 4: None} and strict[1] == 1.0
 
 
@@ -128,9 +152,11 @@ def test_multiple_testing(spark):
 
 
 def test_purged_folds_leave_a_gap(spark):
-    rows = folds.assign_purged(spark.range(100).withColumnRenamed("id", "idx"), folds.purged_folds(spark, 100, 4, 3, 2)).where("fold = 1").collect()
-    train = {r.idx for r in rows if r.role == "train"}
-    assert {r.idx for r in rows if r.role == "test"} == set(range(25, 50)) and train == set(range(22)) | set(range(55, 100))
+    own = spark.range(100).selectExpr("id as idx", "'a' as symbol").unionByName(spark.range(40).selectExpr("id as idx", "'b' as symbol"))
+    rows = folds.assign_purged(own, folds.purged_folds(own, 4, 3, 2)).where("fold = 1").collect()
+    part = lambda s, role: {r.idx for r in rows if r.symbol == s and r.role == role}
+    assert part("a", "test") == set(range(25, 50)) and part("a", "train") == set(range(22)) | set(range(55, 100))
+    assert part("b", "test") == set(range(10, 20)) and part("b", "train") == set(range(7)) | set(range(25, 40))
 
 
 def test_prior_rate_never_sees_later_outcomes(spark):
@@ -197,9 +223,12 @@ def test_book_metrics(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("Strong gains, record GAINS; fear!",), ("",)], "t string")
-    assert [r[0] for r in df.select(scalar.sentiment(F.col("t"))).collect()] == [0.5, 0.0]
-    with pytest.raises(ValueError):
-        scalar.cost("half", F.col("t"))
+    assert np.allclose([r[0] for r in df.select(scalar.sentiment(F.col("t"))).collect()], [1 / 3, 0.0])
+    assert scalar.parse_cost("") == ("fixed", 0.0) and scalar.parse_cost(None, 2.0) == ("fixed", 2.0) and scalar.parse_cost("1.5") == ("fixed", 1.5) and scalar.parse_cost(" PCT:0.1") == ("pct", 0.1)
+    for bad in ("half", "share:1", "pct:"):
+        with pytest.raises(ValueError):
+            scalar.cost(bad, F.col("t"))
+    assert schema.timeframe_seconds(" 1Week ") == 604800 and schema.timeframe_seconds("minute") == 60
 
 
 def test_load_gate(spark, tmp_path):

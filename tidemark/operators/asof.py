@@ -8,18 +8,30 @@ from pyspark.sql import functions as F
 from tidemark.operators.windows import corr
 
 
-def as_of(left: DataFrame, right: DataFrame, columns: list[str], at: str = "ts", key: str = "symbol", forward: bool = False, strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, columns: list[str], at: str = "ts", key: str = "symbol", forward: bool = False, strict: bool = False, width: int | None = None) -> DataFrame:
     """For each row of ``left`` the last row of ``right`` at or before its ``at`` (``forward``: the first at or after).
 
-    ``strict`` leaves out rows of ``right`` at the very same time. Both sides go through one sort per key and a running
-    frame, so the work is linear in their rows. Columns of ``right`` come as ``asof_ts`` and ``asof_<column>``.
+    ``strict`` leaves out rows of ``right`` at the very same time. Both sides go through one sort and a running frame, so
+    the work is linear in their rows. With ``width`` (seconds) the frames run inside clock buckets of each key, and every
+    bucket takes over the last row of the buckets before it from a table with one row a bucket: no task then holds a whole
+    series. Without it a key is one task. Columns of ``right`` come as ``asof_ts`` and ``asof_<column>``.
     """
     item = F.struct(F.col("ts").alias("ts"), *columns)
     marks = right.select(key, F.col("ts").alias("_t"), F.lit(1 if strict else 0).alias("_side"), item.alias("_item"), F.lit(None).cast(left.schema.simpleString()).alias("_row"))
     asks = left.select(key, F.col(at).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(item_type(right, columns)).alias("_item"), F.struct(*left.columns).alias("_row"))
     order = [F.desc("_t"), F.asc("_side")] if forward else [F.asc("_t"), F.asc("_side")]
-    seen = F.last("_item", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return marks.unionByName(asks).select("_row", seen.alias("_hit")).where(F.col("_row").isNotNull()).select("_row.*", F.col("_hit.ts").alias("asof_ts"), *[F.col(f"_hit.{c}").alias(f"asof_{c}") for c in columns])
+    both, keys = marks.unionByName(asks), [key]
+    if width is not None:
+        both, keys = both.withColumn("_bucket", F.floor(F.unix_timestamp("_t") / width)), [key, "_bucket"]
+    seen = F.last("_item", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_hit", seen).where(F.col("_row").isNotNull())
+    if width is not None:
+        edge = (F.min_by if forward else F.max_by)("_item", F.when(F.col("_item").isNotNull(), F.col("_t")))
+        ends = both.groupBy(*keys).agg(edge.alias("_last"))
+        earlier = Window.partitionBy(key).orderBy(F.desc("_bucket") if forward else F.asc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(key, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+        found = found.join(carried, keys, "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
+    return found.select("_row.*", F.col("_hit.ts").alias("asof_ts"), *[F.col(f"_hit.{c}").alias(f"asof_{c}") for c in columns])
 
 
 def item_type(right: DataFrame, columns: list[str]) -> str:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.asof import as_of, range_extremes
 from tidemark.operators.windows import rolling, series, simple_return
 
+#: Seconds of the clock buckets in which events look for their ends.
+YEAR = 366 * 86400
+
 
 def forward_labels(bars: DataFrame, horizon: int, band: float = 0.02, w: int = 20) -> DataFrame:
     """Return over the next ``horizon`` bars, its sign, its class by a band, and it over the recent deviation."""
@@ -43,7 +46,7 @@ def outcomes(events: DataFrame, bars: DataFrame, horizons: list[int], threshold:
     """
     asked = events.select("event_id", "symbol", "ts", "direction", "price", F.explode(F.array(*map(F.lit, horizons))).alias("horizon_days"))
     asked = asked.withColumn("target", F.col("ts") + F.make_interval(days=F.col("horizon_days")))
-    ended = as_of(asked, bars, ["close"], at="target", forward=True).withColumn("span_id", F.concat_ws("#", "event_id", F.col("horizon_days").cast("string")))
+    ended = as_of(asked, bars, ["close"], at="target", forward=True, width=YEAR).withColumn("span_id", F.concat_ws("#", "event_id", F.col("horizon_days").cast("string")))
     spans = ended.select("span_id", "symbol", F.col("ts").alias("start"), F.col("asof_ts").alias("stop"))
     own = ended.join(range_extremes(spans, bars), "span_id", "left")
     sign = F.when(F.col("direction") == "bearish", -1.0).otherwise(1.0)

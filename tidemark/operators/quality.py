@@ -72,11 +72,21 @@ def dataset_digest(rows: DataFrame, columns: list[str], by: str) -> DataFrame:
     return parts.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), ""), 256).alias("digest"), F.sum("_n").alias("n"))
 
 
-def audit_faults(log: DataFrame) -> DataFrame:
-    """Entries (rowid, entry_hash, previous_entry, payload) whose number, link or own hash is wrong."""
-    w = Window.orderBy("rowid") if "part" not in log.columns else Window.partitionBy("part").orderBy("rowid")
-    own = log.select("*", F.lag("rowid").over(w).alias("_id"), F.lag("entry_hash").over(w).alias("_hash"))
-    kind = F.when(F.col("_id").isNotNull() & (F.col("rowid") != F.col("_id") + 1), "sequence").when(F.col("_hash").isNotNull() & ~F.col("previous_entry").eqNullSafe(F.col("_hash")), "link").when(F.sha2("payload", 256) != F.col("entry_hash"), "hash")
+def audit_faults(log: DataFrame, block: int = 65536) -> DataFrame:
+    """Entries (rowid, entry_hash, previous_entry, payload) whose number, link or own hash is wrong.
+
+    Neighbours are compared inside blocks of row numbers; the first entry of a block is compared with the last one of the
+    block before it, from a table with one row a block. A log that has ``part`` is one chain for each part.
+    """
+    by = ["part"] if "part" in log.columns else []
+    own = log.withColumn("_block", F.floor(F.col("rowid") / block))
+    w = Window.partitionBy(*by, "_block").orderBy("rowid")
+    ends = own.groupBy(*by, "_block").agg(F.max_by(F.struct("rowid", "entry_hash"), "rowid").alias("_end"))
+    chain = Window.partitionBy(*by).orderBy("_block") if by else Window.orderBy("_block")
+    before = ends.select(*by, "_block", F.lag("_end").over(chain).alias("_before"))
+    own = own.withColumn("_own", F.lag(F.struct("rowid", "entry_hash")).over(w)).join(before, [*by, "_block"]).withColumn("_prev", F.coalesce("_own", "_before"))
+    id_, hash_ = F.col("_prev")["rowid"], F.col("_prev")["entry_hash"]
+    kind = F.when(id_.isNotNull() & (F.col("rowid") != id_ + 1), "sequence").when(hash_.isNotNull() & ~F.col("previous_entry").eqNullSafe(hash_), "link").when(F.sha2("payload", 256) != F.col("entry_hash"), "hash")
     return own.withColumn("fault", kind).where(F.col("fault").isNotNull()).select(*log.columns, "fault")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,3 +86,22 @@ def halo(df: DataFrame, rows: int, unit: str = "year", key: str = "symbol", orde
     tail = own.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(F.desc(order)))).where(F.col("_r") <= rows).drop("_r")
     moved = tail.join(following, [key, "_bucket"]).where(F.col("_next").isNotNull()).select(*df.columns, F.col("_next").alias("_bucket"), F.lit(True).alias("_halo"))
     return own.select(*df.columns, "_bucket", "_halo").unionByName(moved), [key, "_bucket"]
+
+
+def in_blocks(bars: DataFrame, f: Callable[[DataFrame], DataFrame], rows: int, size: int = 1 << 18, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """``f``, a rolling measure over at most ``rows`` rows back, for series that are too long for one task.
+
+    Rows are numbered, cut into blocks of ``size`` rows, and each block also gets the last ``rows`` rows of the one before;
+    ``f`` sees every block as a series of its own and what it says of the copied rows is dropped. ``f`` keeps ``key`` and
+    ``order``; times are distinct within a series.
+    """
+    if rows > size:
+        raise ValueError("a block must hold at least the rows that a frame looks back")
+    own = row_index(bars, key, order).withColumn("_block", F.floor(F.col("idx") / size))
+    starts = own.groupBy(key, "_block").agg(F.min(order).alias("_start"))
+    tail = own.where(F.pmod("idx", F.lit(size)) >= size - rows).withColumn("_block", F.col("_block") + 1)
+    cut = own.unionByName(tail).select(F.struct(F.col(key).alias("key"), F.col("_block").alias("block")).alias(key), *[c for c in bars.columns if c != key])
+    found = f(cut)
+    values = [c for c in found.columns if c != key]
+    named = found.select(F.col(key)["key"].alias(key), F.col(key)["block"].alias("_block"), *values)
+    return named.join(starts, [key, "_block"]).where(F.col(order) >= F.col("_start")).select(*found.columns)

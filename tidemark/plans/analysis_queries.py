@@ -384,14 +384,14 @@ def _(spark, d):
 def _(spark, d):
     bars = daily(spark, d)
     e = W.crossovers(bars).select("event_id", "symbol", (F.col("ts") + F.expr("interval 10 days")).alias("target"))
-    return A.as_of(e, bars, ["close"], at="target", forward=True).select("event_id", "asof_ts", "asof_close")
+    return A.as_of(e, bars, ["close"], at="target", forward=True, width=L.YEAR).select("event_id", "asof_ts", "asof_close")
 
 
 @query("joi06_backward_as_of", f"WITH {CROSS}, k AS (SELECT event_id, symbol, ts - INTERVAL 10 DAY AS target, price FROM ev WHERE direction IS NOT NULL) SELECT k.event_id, b.ts AS asof_ts, k.price / b.close - 1 AS preceding_return FROM k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.target >= b.ts", r="preceding_return", t="asof_ts")
 def _(spark, d):
     bars = daily(spark, d)
     e = W.crossovers(bars).select("event_id", "symbol", "price", (F.col("ts") - F.expr("interval 10 days")).alias("target"))
-    return A.as_of(e, bars, ["close"], at="target").select("event_id", "asof_ts", (F.col("price") / F.col("asof_close") - 1).alias("preceding_return"))
+    return A.as_of(e, bars, ["close"], at="target", width=L.YEAR).select("event_id", "asof_ts", (F.col("price") / F.col("asof_close") - 1).alias("preceding_return"))
 
 
 OUTCOMES = f"{CROSS}, k AS (SELECT event_id, symbol, ts, direction, price, h.h AS horizon_days, ts + to_days(h.h) AS target FROM ev, (VALUES (1), (5), (20)) AS h(h) WHERE direction IS NOT NULL), en AS (SELECT k.*, b.ts AS realized_end, b.close AS c FROM k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.target <= b.ts), ex AS (SELECT e.event_id, e.horizon_days, max(b.high) AS hi, min(b.low) AS lo FROM en e JOIN bars b ON b.symbol = e.symbol AND b.ts > e.ts AND b.ts <= e.realized_end GROUP BY 1, 2), oc AS (SELECT event_id, symbol, ts, direction, horizon_days::INT AS horizon_days, realized_end, (c / price - 1) * CASE WHEN direction = 'bearish' THEN -1 ELSE 1 END AS ret, CASE WHEN direction = 'bearish' THEN 1 - lo / price ELSE hi / price - 1 END AS mfe, CASE WHEN direction = 'bearish' THEN 1 - hi / price ELSE lo / price - 1 END AS mae, (c / price - 1) * CASE WHEN direction = 'bearish' THEN -1 ELSE 1 END >= 0.01 AS hit FROM en LEFT JOIN ex USING (event_id, horizon_days))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import frame as E
-from tidemark.operators import stats as T
+from tidemark.operators import scan as S
 from tidemark.operators import windows as W
 from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, with_returns
 from tidemark.plans.window_queries import SO_FAR
@@ -106,6 +106,11 @@ def _(spark, d):
     return own.select("symbol", *[F.col("q")[i].alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))], (F.col("q")[3] - F.col("q")[1]).alias("iqr"))
 
 
+@query("win02_long_series", f"SELECT symbol, ts, {roll('avg', 'close', 20)} AS mean, {roll('stddev_samp', 'close', 20)} AS sd FROM hourly", use="hourly", r="mean sd", t="ts")
+def _(spark, d):
+    return S.in_blocks(hourly(spark, d), lambda rows: W.rolling_statistics(rows, "close", 20), 19, 64).select("symbol", "ts", "mean", "sd")
+
+
 @query("win03_rolling_z", f"SELECT symbol, ts, {roll('min', 'close', 30)} AS lo, {roll('max', 'close', 30)} AS hi, CASE WHEN {roll('stddev_samp', 'close', 30)} = 0 THEN 0 ELSE (close - {roll('avg', 'close', 30)}) / {roll('stddev_samp', 'close', 30)} END AS z FROM bars", r="lo hi z", t="ts")
 def _(spark, d):
     return W.rolling_statistics(daily(spark, d), "close", 30).select("symbol", "ts", "lo", "hi", "z")
