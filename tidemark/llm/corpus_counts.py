@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,16 @@ def from_bytes(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Compressed byte by byte of the numbers: all first bytes, then all second ones and so on."""
+    return zstandard.compress(np.ascontiguousarray(numbers).view("u1").reshape(len(numbers), numbers.itemsize).T.tobytes(), 1)
+
+
+def unsqueezed(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(size, -1).T).view(kind).ravel()
+
+
 def full(range_number: int, names: np.ndarray, bits: int) -> np.ndarray:
     return (np.uint64(range_number) << np.uint64(width(bits))) | names
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, text_rows, tidy
-from tidemark.llm.corpus_counts import ROW, placed, range_bits, row_batch, runs
+from tidemark.llm.corpus_counts import ROW, placed, range_bits, row_batch, runs, squeezed, unsqueezed
 from tidemark.llm.tokens import strings
 
 CHUNK_DOCS, CHUNK_BYTES, RANGE_KEYS = 1024, 6_000_000, 2_000_000
@@ -101,11 +101,11 @@ def _scatter(bits: int, flag: int):
             rows = []
             if not flag:
                 small = code.astype("<u2" if len(hashes) <= 1 << 16 else "<u4")
-                rows.append((-1 - number, number, _ids(ids), length.astype("<i4").tobytes(), hashes.astype("<u8").tobytes(), small.tobytes()))
+                rows.append((-1 - number, number, _ids(ids), length.astype("<i4").tobytes(), hashes.astype("<u8").tobytes(), squeezed(small)))
             ranges, names = placed(chunk.keys, bits)
             first, size = runs(ranges)
             counts = chunk.counts.astype("<u4")
-            rows += [(int(ranges[a]), number, names[a : a + n].tobytes(), counts[a : a + n].tobytes(), b"", b"") for a, n in zip(first.tolist(), size.tolist())]
+            rows += [(int(ranges[a]), number, names[a : a + n].tobytes(), squeezed(counts[a : a + n]), b"", b"") for a, n in zip(first.tolist(), size.tolist())]
             for lo in range(0, len(rows), 4096):
                 yield row_batch(rows[lo : lo + 4096])
 
@@ -123,7 +123,7 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return rows
     is_target = (rows["chunk"] >= TARGET).to_numpy()
     names = [np.frombuffer(x, "<u4") for x in rows["a"]]
-    weight = np.concatenate([np.frombuffer(x, "<u4") for x in rows["b"]]).astype(float)
+    weight = np.concatenate([unsqueezed(x, "<u4") for x in rows["b"]]).astype(float)
     size = list(map(len, names))
     every, aimed = np.concatenate(names), np.repeat(is_target, size)
     order = np.argsort(every, kind="stable")
@@ -133,7 +133,7 @@ def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.minimum(np.add.reduceat((weight * own)[order], first), 0xFFFFFFFF)
         counts[k, order] = np.repeat(total, length)
     ends = np.cumsum(size)
-    out = [(key[0], c, counts[0, b - n : b].tobytes(), counts[1, b - n : b].tobytes(), b"", b"") for c, b, n, aim in zip(rows["chunk"], ends, size, is_target) if not aim]
+    out = [(key[0], c, squeezed(counts[0, b - n : b]), squeezed(counts[1, b - n : b]), b"", b"") for c, b, n, aim in zip(rows["chunk"], ends, size, is_target) if not aim]
     return pd.DataFrame(out, columns=["key", "chunk", "a", "b", "c", "d"])
 
 
@@ -143,8 +143,8 @@ def _scores(prior: float, vocabulary: int, background: int, target: int):
         head, answers = rows.iloc[0], rows.iloc[1:]
         length, hashes = np.frombuffer(head["b"], "<i4").astype(np.int64), np.frombuffer(head["c"], "<u8")
         null, ids = np.frombuffer(head["a"][: len(length)], "u1") != 0, np.frombuffer(head["a"][len(length) :], "<i8")
-        chunk = Chunk(length, hashes, np.frombuffer(head["d"], "<u2" if len(hashes) <= 1 << 16 else "<u4"))
-        around, aim = (np.frombuffer(b"".join(answers[c]), "<u4").astype(float) for c in ("a", "b"))
+        chunk = Chunk(length, hashes, unsqueezed(head["d"], "<u2" if len(hashes) <= 1 << 16 else "<u4"))
+        around, aim = (np.concatenate([np.zeros(0), *(unsqueezed(x, "<u4") for x in answers[c])]) for c in ("a", "b"))
         pair, word = chunk.own(chunk.pair), chunk.own(chunk.word)
         before = np.where(chunk.starts, 1, np.r_[0, word[:-1]] if len(word) else word)
 
