@@ -121,11 +121,49 @@ _TERM, _ENTITY, _DOCUMENT = 0, 1, 2
 _NONE = 255
 
 
-def _scan(wanted: np.ndarray):
-    """Base spans of each text, and its words outside them that may be among the terms of the table ``wanted``."""
-    last = len(wanted) - 1
+#: Bits of a term in the filter of disclosing terms, filter bits for each of them, and filter bits at most (16 MB).
+_PROBES, _BITS_PER_TERM, _MOST_BITS = 6, 16, 27
+
+
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Filter places of each term hash, one row a probe."""
+    h = hashes.astype(np.int64).view(np.uint64)
+    step = (h >> np.uint64(31)) | np.uint64(1)
+    return np.stack([((h + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(_PROBES)])
+
+
+def _filter(terms: DataFrame) -> tuple[np.ndarray, int]:
+    """Bit filter of the terms, of a size that follows their number up to a bound: it lets every one of them pass, and
+    others rarely; beyond the bound more of them, which the join with the exact terms then drops."""
+    bits = int(np.clip(np.ceil(np.log2(_BITS_PER_TERM * terms.count() + 1)), 10, _MOST_BITS))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"place": np.unique(_probes(batch["term"].to_numpy(np.int64), bits))})
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"places": [np.unique(rows["place"].to_numpy("<i8")).astype("<i4").tobytes()]})
+
+    flags = np.zeros(1 << bits, bool)
+    found = terms.select("term").mapInPandas(places, "place long")
+    for r in found.groupBy(F.shiftright("place", 20)).applyInPandas(pack, "places binary").toLocalIterator():
+        flags[np.frombuffer(r.places, "<i4")] = True
+    return np.packbits(flags), bits
+
+
+def _hits(rest: str, flags: np.ndarray, bits: int) -> list[dict]:
+    """Words of a text without its base spans that pass the filter ``flags``."""
+    terms = list(_terms(rest))
+    hashes = np.fromiter(map(term_hash, terms), np.int64, len(terms))
+    maybe = {terms[k]: int(hashes[k]) for k in np.flatnonzero(flags[_probes(hashes, bits)].all(0)).tolist()}
+    return [{"term": maybe[t], "start": a, "end": b} for t, a, b in _words(rest) if t in maybe] if maybe else []
+
+
+def _scan(wanted: np.ndarray, bits: int):
+    """Base spans of each text, and its words outside them that may be among the terms of the filter ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(wanted).view(bool)
         for batch in batches:
             counts, joined, digests, hits = {k: [] for k in KINDS}, [], [], []
             for raw in batch.column("text"):
@@ -135,9 +173,7 @@ def _scan(wanted: np.ndarray):
                     counts[k].append(sum(x[0] == k for x in spans))
                 joined.append(_joined(spans))
                 digests.append(hashlib.sha256(joined[-1].encode()).hexdigest())
-                rest = without(text, spans)
-                maybe = {t: h for t in _terms(rest) if wanted[(h := term_hash(t)) & last] != _NONE}
-                hits.append([{"term": maybe[t], "start": a, "end": b} for t, a, b in _words(rest) if t in maybe] if maybe else [])
+                hits.append(_hits(without(text, spans), flags, bits))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(joined, pa.string()), pa.array(digests, pa.string()), pa.array(hits, _HIT_TYPE)],
                 names=["row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "hits"],
@@ -226,15 +262,9 @@ def _levels(counts: DataFrame, rarest: bool) -> np.ndarray:
     return table
 
 
-def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95, row: str | None = None) -> DataFrame:
-    """Per input row: row, doc_id, counts by kind, base spans with their digest, and the disclosing terms.
-
-    ``terms`` is array<struct<start, end, action>>. ``row`` is the column of ``docs`` that numbers its rows; without one
-    they are numbered for the result alone, and those numbers must not be joined to another scan of ``docs``.
-    """
-    text = text_rows(docs.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()), "row", "doc_id")
-    id_type = dict(docs.dtypes)["doc_id"]
-    every = text.select("text")
+def disclosing_terms(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+    """Terms that disclose an entity of ``docs``, and what becomes of them: term (hash), action."""
+    every = text_rows(docs)
     counts = stored(every.mapInArrow(tidy(_document_counts), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where((F.col("n") >= min_support) | (F.col("kind") == _DOCUMENT)))
     total = max((r.n for r in counts.where(F.col("kind") == _DOCUMENT).collect()), default=1)
     entities = counts.where((F.col("kind") == _ENTITY) & (F.col("n") < total)).select("key", "n")
@@ -243,7 +273,7 @@ def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: flo
     both = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    disclosing = stored(
+    return stored(
         both.join(entities.select(F.col("key").alias("entity"), F.col("n").alias("n_entity")), "entity")
         .join(terms.select(F.col("key").alias("term"), F.col("n").alias("n_term")), "term")
         .select("term", (pmi / information).alias("ratio"))
@@ -251,17 +281,23 @@ def find_personal_data(docs: DataFrame, min_support: int = 3, generalise_at: flo
         .groupBy("term")
         .agg(F.when(F.max("ratio") >= remove_at, "remove").otherwise("generalise").alias("action"))
     )
-    wanted = _levels(disclosing.select(F.col("term").alias("key"), F.lit(1).alias("n")), True)
-    found = stored(text.mapInArrow(tidy(_scan(wanted)), f"row long, doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, hits array<struct<term: long, start: long, end: long>>"))
-    spans = (
-        found.where(F.size("hits") > 0)
-        .select("row", F.explode("hits").alias("h"))
-        .select("row", "h.*")
-        .join(disclosing, "term")
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    )
-    return found.drop("hits").join(spans, "row", "left")
+
+
+def _marked(hits: DataFrame, row: str, disclosing: DataFrame) -> DataFrame:
+    """Hits (row, array ``hits``) that are disclosing terms, gathered again by row: row, terms."""
+    return hits.select(row, F.explode("hits").alias("h")).select(row, "h.*").join(disclosing, "term").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+
+
+def find_personal_data(docs: DataFrame, **parameters) -> DataFrame:
+    """Per input row: row, doc_id, counts by kind, base spans with their digest, and the disclosing terms.
+
+    ``terms`` is array<struct<start, end, action>>. ``row`` numbers the rows of the result alone and must not be joined to
+    another scan of ``docs``.
+    """
+    disclosing = disclosing_terms(docs, **parameters)
+    text = text_rows(docs.withColumn("row", F.monotonically_increasing_id()), "row", "doc_id")
+    found = stored(text.mapInArrow(tidy(_scan(*_filter(disclosing))), f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, hits array<struct<term: long, start: long, end: long>>"))
+    return found.drop("hits").join(_marked(found.where(F.size("hits") > 0), "row", disclosing), "row", "left")
 
 
 def personal_data_digest(docs: DataFrame, **parameters) -> DataFrame:
@@ -289,33 +325,49 @@ def rewrite(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int,
     return "".join([*out, text[at:]])
 
 
-#: Columns that carry spans beside a document; names that no table has.
-_ROW, _BASE, _TERMS = "__tidemark_row", "__tidemark_base", "__tidemark_terms"
+#: Columns beside a document's own; names that no table has.
+_ROW, _HITS, _TERMS = "__tidemark_row", "__tidemark_hits", "__tidemark_terms"
+
+
+def _replaced(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+    return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def _rewrite(wanted: np.ndarray, bits: int):
+    """Rows with base spans replaced where no word passes the filter; the others as they are, with their words that do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(wanted).view(bool)
+        for batch in batches:
+            texts, hits = [], []
+            for raw in batch.column("text").to_pylist():
+                spans = base_spans(raw or "")
+                found = _hits(without(raw or "", spans), flags, bits)
+                texts.append(rewrite(raw, spans, []) if spans and not found else raw)
+                hits.append(found or None)
+            yield _replaced(batch, texts).append_column(_HITS, pa.array(hits, _HIT_TYPE))
+
+    return run
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with base spans and disclosing terms replaced."""
     for batch in batches:
-        new = []
-        for raw, base, terms in zip(batch.column("text").to_pylist(), batch.column(_BASE).to_pylist(), batch.column(_TERMS).to_pylist()):
-            if raw is None or not (base or terms):
-                new.append(raw)
-                continue
-            spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base.split(","))] if base else []
-            new.append(rewrite(raw, spans, [(t["start"], t["end"], t["action"]) for t in terms or []]))
-        at = batch.schema.get_field_index("text")
-        kept = batch.set_column(at, "text", pa.array(new, pa.string()))
-        yield kept.drop_columns([_BASE, _TERMS])
+        texts = [rewrite(raw, base_spans(raw), [(t["start"], t["end"], t["action"]) for t in terms or []]) for raw, terms in zip(batch.column("text").to_pylist(), batch.column(_TERMS).to_pylist())]
+        yield _replaced(batch, texts).drop_columns([_TERMS])
 
 
 def sanitise(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``; other columns as they were.
 
-    The rows are numbered once and stored with their number: numbers that two scans give separately differ as soon as
-    the partitions do. Only rows with spans travel to Python again.
+    One pass replaces base spans in rows without a word that may disclose something, and numbers and marks the others.
+    Its result is stored, so that row numbers stay with their texts; only marked rows are joined and read again.
     """
-    numbered = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()))
-    found = find_personal_data(numbered, row=_ROW, **parameters).where((F.col("base") != "") | F.col("terms").isNotNull()).select(F.col("row").alias(_ROW), F.col("base").alias(_BASE), F.col("terms").alias(_TERMS))
-    marked = numbered.join(found, _ROW, "left").drop(_ROW)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    untouched = marked.where(F.col(_BASE).isNull()).select(*docs.columns)
-    return untouched.unionByName(marked.where(F.col(_BASE).isNotNull()).mapInArrow(tidy(_apply), schema).select(*docs.columns))
+    disclosing = disclosing_terms(docs, **parameters)
+    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    scanned = stored(numbered.mapInArrow(tidy(_rewrite(*_filter(disclosing))), f"{schema}, `{_ROW}` long, `{_HITS}` array<struct<term: long, start: long, end: long>>"))
+    open_rows = scanned.where(F.col(_HITS).isNotNull())
+    terms = _marked(open_rows.select(_ROW, F.col(_HITS).alias("hits")), _ROW, disclosing).withColumnRenamed("terms", _TERMS)
+    marked = open_rows.drop(_HITS).join(terms, _ROW, "left").select(*docs.columns, _TERMS)
+    return scanned.where(F.col(_HITS).isNull()).select(*docs.columns).unionByName(marked.mapInArrow(tidy(_finish), schema).select(*docs.columns))
