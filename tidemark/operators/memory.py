@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of the parts of snapshot similarity.
@@ -48,29 +48,51 @@ def condition_values(events: DataFrame, fields: list[str]) -> DataFrame:
     return long.where("value is not null").distinct()
 
 
-def _similarity() -> Column:
-    unit = lambda x, top: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / top))
-    gap = lambda c: F.abs(F.col(f"q_{c}") - F.col(c))
-    parts = {
-        "range": 1 - unit(gap("range_pct"), 10.0), "body": 1 - gap("body_pct"), "trend": F.when(F.col("q_is_bullish") == F.col("is_bullish"), 1.0).otherwise(0.0),
-        "position": 1 - gap("close_position"), "volatility": 1 - unit(gap("volatility"), 5.0),
-    }
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(lambda a, b: a + b, [WEIGHTS[k] * v for k, v in parts.items()])))
+_COLUMNS = ("range_pct", "body_pct", "is_bullish", "close_position", "volatility")
 
 
-_COLUMNS = ("range_pct", "body_pct", "is_bullish", "close_position", "volatility")
+def similarity(q: dict[str, np.ndarray], s: dict[str, np.ndarray]) -> np.ndarray:
+    """Similarity of each query snapshot (rows) to each stored one (columns), within [0, 1]."""
+    gap = lambda c: np.abs(q[c][:, None] - s[c][None, :])
+    parts = {
+        "range": 1 - np.clip(gap("range_pct") / 10, 0, 1), "body": 1 - gap("body_pct"), "trend": (gap("is_bullish") == 0).astype(float),
+        "position": 1 - gap("close_position"), "volatility": 1 - np.clip(gap("volatility") / 5, 0, 1),
+    }
+    return np.clip(sum(WEIGHTS[k] * v for k, v in parts.items()), 0, 1)
 
 
-def scenario_scores(queries: DataFrame, snapshots: DataFrame) -> DataFrame:
+def scenario_scores(queries: DataFrame, snapshots: DataFrame, block: int = 8192) -> DataFrame:
     """Mean similarity of each query snapshot to the snapshots of each scenario, its own left out: query_id, scenario,
     score, n. Both: id and the feature columns; ``snapshots`` has ``scenario`` besides.
 
-    Every query meets every snapshot, as the score asks; pairs are averaged where they arise and none is shuffled: the
-    snapshots are dealt by scenario, the queries are a bounded set that each task holds.
+    The query set meets every snapshot, as the score asks. Both are dealt into blocks by a hash of the id; a task holds
+    one block of each and returns a sum for each query and scenario, so no pair becomes a row and a scenario of very many
+    snapshots is spread over all blocks.
     """
-    asked = queries.select(F.col("id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in _COLUMNS])
-    pairs = snapshots.join(F.broadcast(asked), F.col("query_id") != F.col("id"))
-    return pairs.groupBy("query_id", "scenario").agg(F.avg(_similarity()).alias("score"), F.count("*").alias("n"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    bases, asks = (max(1, -(-df.count() // block)) for df in (snapshots, queries))
+    kind = dict(snapshots.dtypes)
+    columns = [F.col(c).cast("double").alias(c) for c in _COLUMNS]
+    base = snapshots.select("id", "scenario", *columns, F.lit(False).alias("asks"), place(bases).alias("i")).withColumn("j", every(asks))
+    asked = queries.select("id", F.lit(None).cast(kind["scenario"]).alias("scenario"), *columns, F.lit(True).alias("asks"), place(asks).alias("j")).withColumn("i", every(bases))
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        q, s = rows[rows["asks"]], rows[~rows["asks"]].sort_values("scenario", kind="stable")
+        names, first = np.unique(s["scenario"].to_numpy(), return_index=True)
+        stored = {c: s[c].to_numpy(float) for c in _COLUMNS}
+        out = []
+        for lo in range(0, len(q), 256) if len(s) else ():
+            part = q.iloc[lo : lo + 256]
+            other = part["id"].to_numpy()[:, None] != s["id"].to_numpy()[None, :]
+            score = np.where(other, similarity({c: part[c].to_numpy(float) for c in _COLUMNS}, stored), 0.0)
+            total, n = np.add.reduceat(score, first, axis=1), np.add.reduceat(other.astype(np.int64), first, axis=1)
+            a, b = np.nonzero(n)
+            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[a], "scenario": names[b], "total": total[a, b], "n": n[a, b]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "scenario": [], "total": [], "n": []})
+
+    found = base.unionByName(asked).groupBy("i", "j").applyInPandas(sums, f"query_id {kind['id']}, scenario {kind['scenario']}, total double, n long")
+    return found.groupBy("query_id", "scenario").agg((F.sum("total") / F.sum("n")).alias("score"), F.sum("n").alias("n"))
 
 
 def best_scenarios(scores: DataFrame, n: int, least: float = 0.0) -> DataFrame:

@@ -43,7 +43,7 @@ def held_out_rows(events: DataFrame, folds: DataFrame, train: int, validation: i
     i = F.col("idx")
     first = F.greatest(F.lit(0).cast("long"), F.ceil((i - train - validation - test + 1) / step))
     until = F.floor((i - train) / step)
-    own = events.where((i >= train) & (first <= until)).withColumn("fold", F.explode(F.sequence(first.cast("int"), until.cast("int")))).join(F.broadcast(folds), "fold")
+    own = events.where((i >= train) & (first <= until)).withColumn("fold", F.explode(F.sequence(first.cast("int"), until.cast("int")))).join(folds, "fold")
     purge, embargo = F.expr(f"interval {purge_days} days"), F.expr(f"interval {embargo_days} days")
     role = F.when((i < F.col("s0")) & (F.col("ts") < F.col("s_ts") - purge), "validation").when((i >= F.col("s0")) & (i < F.col("s1")) & (F.col("ts") >= F.col("s_ts") + embargo), "test")
     return own.withColumn("role", role).where("role is not null").select(*events.columns, "fold", "role")
