@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000):
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     votes = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = text_rows(docs.join(F.broadcast(sample), "doc_id"), "quality").mapInArrow(tidy(_features(vectors)), "quality int, features binary").collect()
+    rows = text_rows(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "quality").mapInArrow(tidy(_features(vectors)), "quality int, features binary").collect()
     rows = sorted((bytes(r["features"]), r["quality"]) for r in rows)
     x = np.array([np.frombuffer(f, "<f4") for f, _ in rows], float).reshape(-1, FEATURES)
     return vectors, fit(x, np.array([q for _, q in rows], float))

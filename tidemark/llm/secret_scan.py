@@ -129,7 +129,7 @@ def key_kind(data: bytes | None) -> str | None:
 def is_token(s: str) -> bool:
     try:
         head = json.loads((_decode64(s.split(".")[0]) or b"").decode("utf-8"))
-    except ValueError:
+    except (ValueError, RecursionError):  # a header nested that deep signs nothing
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
