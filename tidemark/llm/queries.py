@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, clustering, lm, neardup, ngram_join, packing, pieces, pii, quality, resampling, secret_scan
+from tidemark.llm import ann, chat, clustering, lm, neardup, ngram_join, packing, pieces, pii, quality, resampling, secret_scan, substrings
 from tidemark.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
