@@ -42,7 +42,7 @@ from tidemark.llm.corpus_counts import ROW, long_names, range_bits, row_batch, r
 
 LENGTH, ANCHOR, BLOCK = 200, 48, 50
 ROUNDS = LENGTH // BLOCK
-CHUNK_DOCS, CHUNK_BYTES, PIECE = 8192, 6_000_000, 1 << 20
+CHUNK_DOCS, CHUNK_BYTES, PIECE = 8192, 6_000_000, 1 << 17
 HOT = 256
 #: Characters of the corpus for one range of texts, suffixes of a shard, and positions merged at once.
 RANGE_CHARS, SHARD, MERGE = 8_000_000, 1 << 17, 1 << 21
@@ -271,6 +271,12 @@ def _window_names(data: np.ndarray, first: int, last: int) -> np.ndarray:
     return rolling(data[first : last + LENGTH], LENGTH)
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 to 2^32, by their two halves: numpy sorts 16 bits by radix."""
+    low = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((x[low] >> 16).astype(np.uint16), kind="stable")] if len(x) and x.max() >> 16 else low
+
+
 def transform(symbol: np.ndarray, before: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sorted suffixes of the strings of one shard.
 
@@ -283,7 +289,7 @@ def transform(symbol: np.ndarray, before: np.ndarray, ends: np.ndarray) -> np.nd
     while True:
         reached = previous[np.r_[nothing, order]]
         reached = reached[reached >= 0]
-        longer = reached[np.argsort(symbol[reached], kind="stable")]
+        longer = reached[stable_order(symbol[reached])]
         if np.array_equal(longer, order):
             return np.r_[nothing, order]
         order = longer
@@ -303,16 +309,16 @@ def merge(transforms: list[np.ndarray], strings: list[int], rounds: int) -> tupl
     interval, shared = np.zeros(len(laid), np.int64), np.full(len(laid), rounds)
     for h in range(rounds):
         preceding = np.empty_like(laid)
-        preceding[np.argsort(interleave, kind="stable")] = laid
+        preceding[stable_order(interleave)] = laid
         some = np.flatnonzero(preceding)
-        longer = some[np.argsort(preceding[some], kind="stable")]
+        longer = some[stable_order(preceding[some])]
         p, i = preceding[longer], interval[longer]
         border = np.r_[np.ones(len(empty), bool), np.r_[True, (p[1:] != p[:-1]) | (i[1:] != i[:-1])][: len(p)]]
         shared[border & (shared == rounds)] = h
         interleave = np.r_[empty, interleave[longer]]
         interval = np.cumsum(border) - 1
     suffix = np.empty(len(laid), np.int64)
-    suffix[np.argsort(interleave, kind="stable")] = np.arange(len(laid))
+    suffix[stable_order(interleave)] = np.arange(len(laid))
     return suffix, shared, interval
 
 
