@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, clustering, lm, neardup, ngram_join, packing, pieces, pii, quality, resampling, secret_scan, substrings
+from tidemark.llm import ann, chat, clustering, lm, neardup, ngram_join, oracles, packing, pieces, pii, quality, resampling, secret_scan, substrings
 from tidemark.llm.common import table
 
 
@@ -80,4 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_importance_resampling": oracles.resampling(),
+        "op12_centroid_clustering": oracles.clustering(),
+        "op13_repeated_substrings": oracles.substrings(),
+    }
