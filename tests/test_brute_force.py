@@ -55,7 +55,7 @@ def test_change_points_by_default_and_given_threshold(spark):
     x = np.r_[rng.normal(size=60), rng.normal(size=60) + 6]
     df = spark.createDataFrame([("a", datetime(2020, 1, 1) + timedelta(days=i), float(v)) for i, v in enumerate(x)], "symbol string, ts timestamp, v double")
     for limit in (None, 5.0):
-        got = [(r.ts, r.level) for r in sorted(relations.cusum(df, "v", limit).collect())]
+        got = [(r.ts, r.level) for r in sorted(recursive.change_points(df, "v", limit).collect())]
         h, up, down, want = limit or 4 * x.std(), 0.0, 0.0, []
         for i, v in enumerate(x):
             up, down = max(0, up + v - x.mean() - h / 2), max(0, down - v + x.mean() - h / 2)

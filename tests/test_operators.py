@@ -46,31 +46,10 @@ def test_zero_base_returns(spark):
 
 
 @pytest.mark.parametrize("unit", ["day", "week", "month", "year"])
-def test_long_series_paths_equal_simple_ones(spark, unit):
+def test_rows_of_a_long_series_are_numbered(spark, unit):
     rng = np.random.default_rng(1)
     own = series(spark, (100 + rng.normal(size=120).cumsum()).tolist())
     assert column(scan.row_index(own, unit=unit), "idx") == list(range(120))
-    ema = scan.affine_scan(own, F.lit(0.8), F.col("close") * 0.2, "y", unit=unit)
-    want, y = [], 0.0
-    for c in column(own, "close"):
-        y = 0.8 * y + 0.2 * c
-        want.append(y)
-    assert np.allclose(column(ema, "y"), want)
-    if unit in ("month", "year"):
-        rows, keys = scan.halo(own, 4, unit)
-        w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-4, 0)
-        got = rows.select("ts", "_halo", F.when(F.count("close").over(w) == 5, F.avg("close").over(w)).alias("m")).where("not _halo")
-        assert np.allclose(column(got, "m")[4:], column(own.select("ts", windows.sma("close", 5).alias("m")), "m")[4:])
-
-
-def test_blocks_of_a_long_series_give_what_the_whole_gives(spark):
-    rng = np.random.default_rng(2)
-    own = series(spark, (100 + rng.normal(size=150).cumsum()).tolist())
-    f = lambda rows: windows.bands(rows, 12)
-    key = lambda df: sorted(df.collect(), key=lambda r: r.ts)
-    assert [tuple(r) for r in key(scan.in_blocks(own, f, 11, 16))] == [tuple(r) for r in key(f(own))]
-    with pytest.raises(ValueError):
-        scan.in_blocks(own, f, 20, 16)
 
 
 def test_audit_faults_over_block_edges(spark):

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
-from tidemark.operators.recursive import emas
+from tidemark.operators.blocks import Blocks, as_blocks, base, reads
+from tidemark.operators.recursive import macd_lines
 from tidemark.operators.scan import row_index
 
 #: Names of the frame, in order.
@@ -20,32 +21,40 @@ FEATURES = (
 )
 
 
-def feature_frame(bars: DataFrame, drop_missing: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def feature_frame(bars: DataFrame | Blocks, drop_missing: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """symbol, ts and the features of each bar, null in their warm-up; ``drop_missing`` leaves those rows out.
 
     Oscillators and true range are plain rolling means here, deviations those of the population, and the true range
-    starts at the second bar. All rolling columns share one sort; the two recursive passes are those of MACD.
+    starts at the second bar. All rolling columns share one sort over blocks that reach 61 rows back; the recursive pass is
+    that of MACD, and the totals of the average price are carried from block to block.
     """
-    own = emas(row_index(bars), {"_fast": ("close", 12), "_slow": ("close", 26)}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    own = emas(own, {"_signal": ("_macd", 9)})
+    blocks = as_blocks(bars, 61)
+    blocks = blocks.extend(lambda d: d.select(*base(d), "open", "high", "low", "close", "volume", *keep))
+    blocks = macd_lines(blocks)
+    blocks = blocks.extend(lambda d: _rolling_features(d, keep), 61).running({"_pv": "_flow", "_v": "volume"})
+    out = blocks.own(blocks.frame.withColumn("vwap", F.try_divide("_pv", "_v")).select(*base(blocks.frame), *keep, *FEATURES))
+    return out.na.drop(subset=list(FEATURES)) if drop_missing else out
+
+
+def _rolling_features(own: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """All features but the cumulative one, and the flows that it adds up."""
     close, before = F.col("close"), W.previous("close")
     step = close - before
     typical = W.typical()
     own = own.select(
-        "symbol", "ts", "close", "high", "low", "volume", *keep,
-        F.when(before != 0, step / before).alias("returns"), W.log_ratio().alias("log_returns"), (F.col("_macd") - F.col("_signal")).alias("macd_hist"),
+        *base(own), "close", "high", "low", "volume", *keep,
+        F.when(before != 0, step / before).alias("returns"), W.log_ratio().alias("log_returns"), (F.col("fast") - F.col("slow") - F.col("signal")).alias("macd_hist"),
         F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))).alias("_gain"), F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0))).alias("_loss"),
         F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))).alias("_tr"),
         typical.alias("_tp"), W.previous(typical).alias("_tp0"), (close - W.previous("close", 14)).alias("momentum_14"), W.previous("close", 14).alias("_base"),
     )
     flow = F.col("_tp") * F.col("volume")
     up, down = F.when(F.col("_tp0").isNotNull(), F.when(F.col("_tp") > F.col("_tp0"), flow).otherwise(0.0)), F.when(F.col("_tp0").isNotNull(), F.when(F.col("_tp") < F.col("_tp0"), flow).otherwise(0.0))
-    so_far = W.series().rowsBetween(Window.unboundedPreceding, 0)
     roll = W.rolling
     own = own.select(
         "*", up.alias("_up"), down.alias("_down"), roll(F.avg, "close", 20).alias("rolling_mean_20"), roll(F.stddev_pop, "close", 20).alias("rolling_std_20"), roll(F.avg, "_gain", 14).alias("_g"), roll(F.avg, "_loss", 14).alias("_l"),
         roll(F.avg, "_tr", 14).alias("atr_14"), roll(F.max, "high", 14).alias("_hh"), roll(F.min, "low", 14).alias("_ll"), roll(F.avg, "_tp", 20).alias("_mid"), F.collect_list("_tp").over(W.rows(20)).alias("_in"),
-        F.sum(flow).over(so_far).alias("_pv"), F.sum("volume").over(so_far).alias("_v"), roll(F.stddev_pop, "log_returns", 20).alias("hist_vol_20"), roll(F.stddev_pop, "log_returns", 60).alias("_hv60"),
+        flow.alias("_flow"), roll(F.stddev_pop, "log_returns", 20).alias("hist_vol_20"), roll(F.stddev_pop, "log_returns", 60).alias("_hv60"),
         roll(F.stddev_pop, "returns", 10).alias("_v10"), roll(F.stddev_pop, "returns", 30).alias("_v30"), roll(F.avg, "close", 50).alias("_m50"),
     )
     own = own.select("*", roll(F.sum, "_up", 14).alias("_pos"), roll(F.sum, "_down", 14).alias("_neg"))
@@ -60,14 +69,12 @@ def feature_frame(bars: DataFrame, drop_missing: bool = False, keep: tuple[str,
         "stoch_k": F.when(span == 0, 0.0).otherwise(100 * (F.col("close") - F.col("_ll")) / span),
         "cci_20": F.when(deviation == 0, 0.0).otherwise((F.col("_tp") - F.col("_mid")) / (0.015 * deviation)),
         "mfi_14": oscillator(F.col("_pos"), F.col("_neg")),
-        "vwap": F.try_divide("_pv", "_v"),
         "vol_ratio": F.try_divide("_v10", "_v30"),
         "trend_state": sign(F.col("rolling_mean_20"), F.col("_m50")),
         "vol_regime": sign(F.col("hist_vol_20"), F.col("_hv60")),
         "momentum_regime": sign(F.col("momentum_14"), F.lit(0.0)),
     }
-    out = own.select("*", *[c.alias(n) for n, c in columns.items()]).select("symbol", "ts", *keep, *FEATURES)
-    return out.na.drop(subset=list(FEATURES)) if drop_missing else out
+    return own.select("*", *[c.alias(n) for n, c in columns.items()])
 
 
 def with_context(context: DataFrame, research: DataFrame, warm_up: int) -> DataFrame:
@@ -98,8 +105,9 @@ def warm_up_sensitivity(context: DataFrame, research: DataFrame) -> DataFrame:
 
 def trend_strength(df: DataFrame, of: str, w: int = 20) -> DataFrame:
     """|Lag-1 autocorrelation| of the differences of a series' last ``w`` values; 0 with fewer values or no variance."""
-    last = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-    own = df.select("symbol", "ts", F.col(of).alias("v"), F.row_number().over(last).alias("_k")).where(F.col("_k") <= w)
+    numbered = row_index(df.select("symbol", "ts", F.col(of).alias("v")))
+    ends = numbered.groupBy("symbol").agg((F.max("idx") + 1).alias("_n"))
+    own = numbered.join(ends, "symbol").where(F.col("idx") >= F.col("_n") - w)  # ``w`` rows of each series are left
     own = own.select("symbol", "ts", (F.col("v") - F.lag("v").over(W.series())).alias("d"))
     own = own.select("symbol", "d", F.lag("d").over(W.series()).alias("p"), (F.col("d") - F.avg("d").over(Window.partitionBy("symbol"))).alias("c"), F.avg("d").over(Window.partitionBy("symbol")).alias("m"))
     n = F.count("d")
@@ -107,16 +115,25 @@ def trend_strength(df: DataFrame, of: str, w: int = 20) -> DataFrame:
     return own.groupBy("symbol").agg(F.when(n < w - 1, 0.0).otherwise(F.coalesce(F.abs(F.try_divide(covariance, F.var_pop("d"))), F.lit(0.0))).alias("strength"))
 
 
+@reads(1)
+def _turns(own: DataFrame) -> DataFrame:
+    """The first row of each run of one signal."""
+    before = F.lag("signal").over(W.series())
+    return own.select(*base(own), "signal", "idx", "close", before.alias("_p")).where(F.col("_p").isNull() | (F.col("_p") != F.col("signal"))).drop("_p")
+
+
+@reads(0, 1)
+def _with_next_turn(turns: DataFrame) -> DataFrame:
+    ahead = lambda c: F.lead(c).over(W.series())
+    return turns.select(*base(turns), "signal", F.col("idx").alias("entry"), F.col("close").alias("entry_close"), ahead("idx").alias("exit"), ahead("close").alias("exit_close"))
+
+
 def position_trades(df: DataFrame, cost: float) -> DataFrame:
     """Round trips of a signal series (symbol, ts, close, signal of 1, -1 or 0): a run of one sign is one position,
     opened at its first close and closed at the first close of the next run, or at the last close; ``cost`` is a share
     of the price on both sides. Missing signals count as 0."""
-    from tidemark.operators.scan import row_index as number
-
-    own = number(df).withColumn("signal", F.coalesce("signal", F.lit(0)))
-    change = own.withColumn("_p", F.lag("signal").over(W.series())).where(F.col("_p").isNull() | (F.col("_p") != F.col("signal")))
-    ahead = lambda c: F.lead(c).over(W.series())
-    opened = change.select("symbol", "ts", "signal", F.col("idx").alias("entry"), F.col("close").alias("entry_close"), ahead("idx").alias("exit"), ahead("close").alias("exit_close")).where("signal <> 0")
+    own = row_index(df).withColumn("signal", F.coalesce("signal", F.lit(0)))
+    opened = _with_next_turn(_turns(own)).where("signal <> 0")
     last = own.groupBy("symbol").agg(F.max("idx").alias("_end"), F.max_by("close", "idx").alias("_close"))
     got = opened.join(last, "symbol").withColumns({"exit": F.coalesce("exit", "_end"), "exit_close": F.coalesce("exit_close", "_close")})
     side = F.col("signal")
@@ -127,20 +144,25 @@ def position_trades(df: DataFrame, cost: float) -> DataFrame:
 def volatility_profile(df: DataFrame, r: str, w: int = 20, periods: int = 252) -> DataFrame:
     """Per series: deviation of the last ``w`` returns (sample), the same annualised, and mean, least and greatest of
     the rolling ones."""
-    own = df.select("symbol", "ts", W.rolling(F.stddev_samp, r, w).alias("v")).where("v is not null")
+    own = W.rolled(df, F.stddev_samp, r, w).where("v is not null")
     return own.groupBy("symbol").agg(F.max_by("v", "ts").alias("realized"), (F.max_by("v", "ts") * periods**0.5).alias("annualized"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"))
 
 
+@reads(lambda a: a["lookback"])
+def _rolling_products(own: DataFrame, y: str, terms: list[str], pairs: list[tuple[int, int]], lookback: int) -> DataFrame:
+    """Sums of products over the rows before, where there are ``lookback``, and the row's own terms."""
+    frame = W.series().rowsBetween(-lookback, -1)
+    sums = [F.sum(F.col(terms[i]) * F.col(terms[j])).over(frame) for i, j in pairs] + [F.sum(F.col(t) * F.col(y)).over(frame) for t in terms]
+    return own.select(*base(own), F.count("*").over(frame).alias("_n"), F.array(*[s.cast("double") for s in sums]).alias("_s"), F.array(*[F.col(t).cast("double") for t in terms]).alias("_x")).where(F.col("_n") == lookback)
+
+
 def factor_signal(df: DataFrame, y: str, factors: list[str], lookback: int, band: float = 0.0) -> DataFrame:
     """1, -1 or 0 by the prediction of a least-squares fit of the ``lookback`` rows before on the factors, whose current
     values are known. Rolling sums of products come from one sort; k x k systems are solved in Arrow batches."""
     terms = ["_one", *factors]
-    frame = W.series().rowsBetween(-lookback, -1)
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*factors, y]])
-    own = df.where(complete).withColumn("_one", F.lit(1.0))
     pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-    sums = [F.sum(F.col(terms[i]) * F.col(terms[j])).over(frame) for i, j in pairs] + [F.sum(F.col(t) * F.col(y)).over(frame) for t in terms]
-    own = own.select("symbol", "ts", F.count("*").over(frame).alias("_n"), F.array(*[s.cast("double") for s in sums]).alias("_s"), F.array(*[F.col(t).cast("double") for t in terms]).alias("_x")).where(F.col("_n") == lookback)
+    own = _rolling_products(df.where(complete).withColumn("_one", F.lit(1.0)), y, terms, pairs, lookback)
     k = len(terms)
 
     def solve(batches):
@@ -159,8 +181,9 @@ def factor_signal(df: DataFrame, y: str, factors: list[str], lookback: int, band
 def return_statistics(df: DataFrame, r: str) -> DataFrame:
     """Ordered return statistics per series: mean, sample deviation, skew, excess kurtosis of the population, and the
     deviation of the later half of the rows over that of the earlier less 1."""
-    w = Window.partitionBy("symbol")
-    own = df.where(F.col(r).isNotNull()).select("symbol", F.col(r).alias("r"), (F.row_number().over(W.series()) > F.floor(F.count("*").over(w) / 2)).alias("_late"))
+    numbered = row_index(df.where(F.col(r).isNotNull()).select("symbol", "ts", F.col(r).alias("r")))
+    halves = numbered.groupBy("symbol").agg(F.floor(F.count("*") / 2).alias("_half"))
+    own = numbered.join(halves, "symbol").select("symbol", "r", (F.col("idx") >= F.col("_half")).alias("_late"))
     early, late = F.stddev_samp(F.when(~F.col("_late"), F.col("r"))), F.stddev_samp(F.when(F.col("_late"), F.col("r")))
     return own.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("volatility"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("kurtosis"), (F.try_divide(late, early) - 1).alias("volatility_change"))
 

@@ -2,39 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import as_of, range_extremes
+from tidemark.operators.blocks import base, reads
 from tidemark.operators.windows import rolling, series, simple_return
 
 #: Seconds of the clock buckets in which events look for their ends.
 YEAR = 366 * 86400
 
 
+@reads(lambda a: a["w"], lambda a: a["horizon"])
 def forward_labels(bars: DataFrame, horizon: int, band: float = 0.02, w: int = 20) -> DataFrame:
     """Return over the next ``horizon`` bars, its sign, its class by a band, and it over the recent deviation."""
     ahead = F.lead("close", horizon).over(series()) / F.col("close") - 1
-    own = bars.select("symbol", "ts", "close", ahead.alias("fwd"), simple_return().alias("_r"))
+    own = bars.select(*base(bars), "close", ahead.alias("fwd"), simple_return().alias("_r"))
     sd = rolling(F.stddev_samp, "_r", w)
-    return own.select("symbol", "ts", "fwd", F.when(F.col("fwd").isNotNull(), (F.col("fwd") > 0).cast("int")).alias("up"), F.when(F.col("fwd") > band, 1).when(F.col("fwd") < -band, -1).when(F.col("fwd").isNotNull(), 0).alias("class"), F.when(sd > 0, F.col("fwd") / sd).alias("vol_adjusted"))
+    return own.select(*base(own), "fwd", F.when(F.col("fwd").isNotNull(), (F.col("fwd") > 0).cast("int")).alias("up"), F.when(F.col("fwd") > band, 1).when(F.col("fwd") < -band, -1).when(F.col("fwd").isNotNull(), 0).alias("class"), F.when(sd > 0, F.col("fwd") / sd).alias("vol_adjusted"))
 
 
+@reads(0, lambda a: a["horizon"])
 def triple_barrier(bars: DataFrame, take: float, stop: float, horizon: int) -> DataFrame:
     """1 if the take-profit is met first within ``horizon`` bars, -1 if the stop is, else 0; null for the last bars."""
     ahead = F.collect_list("close").over(series().rowsBetween(1, horizon))
-    own = bars.select("symbol", "ts", "close", ahead.alias("ahead"))
+    own = bars.select(*base(bars), "close", ahead.alias("ahead"))
     moves = F.transform("ahead", lambda x: x / F.col("close") - 1)
     hit = F.filter(moves, lambda m: (m >= take) | (m <= -stop))
-    return own.where(F.size("ahead") == horizon).select("symbol", "ts", F.when(F.size(hit) == 0, 0).when(F.element_at(hit, 1) >= take, 1).otherwise(-1).alias("label"))
+    return own.where(F.size("ahead") == horizon).select(*base(own), F.when(F.size(hit) == 0, 0).when(F.element_at(hit, 1) >= take, 1).otherwise(-1).alias("label"))
 
 
+@reads(0, lambda a: a["horizon"])
 def bar_outcomes(bars: DataFrame, horizon: int, cost: float) -> DataFrame:
     """Outcome of entering at each close: forward return, best and worst excursion, and net of the cost of both sides."""
     frame = series().rowsBetween(1, horizon)
     full = F.count("*").over(frame) == horizon
     ret = F.lead("close", horizon).over(series()) / F.col("close") - 1
-    return bars.select("symbol", "ts", F.when(full, ret).alias("ret"), F.when(full, F.max("high").over(frame) / F.col("close") - 1).alias("mfe"), F.when(full, F.min("low").over(frame) / F.col("close") - 1).alias("mae"), F.when(full, ret - 2 * cost).alias("net"), F.when(full, (ret - 2 * cost > 0).cast("int")).alias("win"))
+    return bars.select(*base(bars), F.when(full, ret).alias("ret"), F.when(full, F.max("high").over(frame) / F.col("close") - 1).alias("mfe"), F.when(full, F.min("low").over(frame) / F.col("close") - 1).alias("mae"), F.when(full, ret - 2 * cost).alias("net"), F.when(full, (ret - 2 * cost > 0).cast("int")).alias("win"))
 
 
 def outcomes(events: DataFrame, bars: DataFrame, horizons: list[int], threshold: float = 0.01) -> DataFrame:
@@ -56,16 +60,26 @@ def outcomes(events: DataFrame, bars: DataFrame, horizons: list[int], threshold:
     return own.select("event_id", "symbol", "ts", "direction", "horizon_days", F.col("asof_ts").alias("realized_end"), (raw * sign).alias("ret"), mfe.alias("mfe"), mae.alias("mae"), (raw * sign >= threshold).alias("hit"))
 
 
+@reads(1)
+def _turns(acts: DataFrame) -> DataFrame:
+    """The first row of each run of one action."""
+    before = F.lag("action").over(series())
+    return acts.select(*base(acts), "price", "action", before.alias("_before")).where(~F.col("action").eqNullSafe(F.col("_before"))).drop("_before")
+
+
+@reads(0, 1)
+def _entries(turns: DataFrame) -> DataFrame:
+    """Buys with the turn after them. A leading sell is no entry, and actions alternate, so the turn is a sell."""
+    ahead = lambda c: F.lead(c).over(series())
+    return turns.select(*base(turns), "action", F.col("price").alias("entry"), ahead("ts").alias("exit_ts"), ahead("price").alias("exit")).where(F.col("action") == "BUY")
+
+
 def first_of_runs(signals: DataFrame) -> DataFrame:
     """Signals (symbol, ts, price, action) as round trips: BUY only when flat, SELL only when long; a leading SELL is
     dropped, runs of one action count once, and an open trade is closed at the last price."""
-    w = Window.partitionBy("symbol").orderBy("ts")
     last = signals.groupBy("symbol").agg(F.max("ts").alias("end_ts"), F.max_by("price", "ts").alias("end_price"))
-    acts = signals.where(F.col("action").isin("BUY", "SELL")).withColumn("_prev", F.lag("action").over(w))
-    acts = acts.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("action"))).drop("_prev")
-    acts = acts.withColumn("_rank", F.row_number().over(w)).where((F.col("_rank") > 1) | (F.col("action") == "BUY"))
-    paired = acts.select("symbol", "action", F.col("ts").alias("entry_ts"), F.col("price").alias("entry"), F.lead("ts").over(w).alias("exit_ts"), F.lead("price").over(w).alias("exit")).where(F.col("action") == "BUY")
-    return paired.join(last, "symbol").select("symbol", "entry_ts", "entry", F.coalesce("exit_ts", "end_ts").alias("exit_ts"), F.coalesce("exit", "end_price").alias("exit"))
+    acts = signals.where(F.col("action").isin("BUY", "SELL")).select("symbol", "ts", "price", "action")
+    return _entries(_turns(acts)).join(last, "symbol").select("symbol", F.col("ts").alias("entry_ts"), "entry", F.coalesce("exit_ts", "end_ts").alias("exit_ts"), F.coalesce("exit", "end_price").alias("exit"))
 
 
 def trade_summary(trades: DataFrame, cost: float, by: str = "symbol") -> DataFrame:

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import Blocks, base, reads
 from tidemark.operators.windows import series
 
 
-def gaps(bars: DataFrame, seconds: int, tolerance: float = 2.0) -> DataFrame:
+@reads(1)
+def neighbours(bars: DataFrame, *columns: str | Column) -> DataFrame:
+    """Each row's time, the time of the row before, and some columns."""
+    return bars.select(*base(bars), *columns, F.lag("ts").over(series()).alias("before"))
+
+
+def gaps(bars: DataFrame | Blocks, seconds: int, tolerance: float = 2.0) -> DataFrame:
     """Neighbouring bars further apart than tolerance x the expected distance, with the bars missing between."""
     delta = F.unix_timestamp("ts") - F.unix_timestamp("before")
-    own = bars.select("symbol", "ts", F.lag("ts").over(series()).alias("before"))
+    own = neighbours(bars)
     weekend = F.exists(F.sequence(F.to_date("before"), F.to_date("ts")), lambda d: F.weekday(d) >= 5)
     return own.where(delta > tolerance * seconds).select("symbol", F.col("before").alias("gap_start"), F.col("ts").alias("gap_end"), (F.round(delta / seconds).cast("long") - 1).alias("missing"), F.when(weekend, "weekend").otherwise("suspicious").alias("kind"))
 
 
-def missing_bars(bars: DataFrame, seconds: int) -> DataFrame:
+def missing_bars(bars: DataFrame | Blocks, seconds: int) -> DataFrame:
     """Every expected time without a bar between the first and the last; only rows at a gap are expanded."""
-    own = bars.select("symbol", "ts", F.lag("ts").over(series()).alias("before")).where(F.unix_timestamp("ts") - F.unix_timestamp("before") > seconds)
+    own = neighbours(bars).where(F.unix_timestamp("ts") - F.unix_timestamp("before") > seconds)
     step = F.expr(f"interval {seconds} seconds")
     return own.select("symbol", F.explode(F.sequence(F.col("before") + step, F.col("ts") - step, step)).alias("ts"))
 
@@ -50,17 +57,17 @@ def valid_bar() -> Column:
     return F.coalesce((F.col("low") > 0) & (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close")) & (F.col("volume") >= 0), F.lit(False))
 
 
-def validation_report(bars: DataFrame, seconds: int) -> DataFrame:
+def validation_report(bars: DataFrame | Blocks, seconds: int) -> DataFrame:
     """One row per symbol from one sorted scan: rows, span, duplicates, gaps, missing bars, invalid bars, coverage."""
-    own = bars.select("symbol", "ts", "volume", valid_bar().alias("_ok"), (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(series()))).alias("_d"))
+    own = neighbours(bars, "volume", valid_bar().alias("_ok")).withColumn("_d", F.unix_timestamp("ts") - F.unix_timestamp("before"))
     gap = F.col("_d") > seconds
     got = own.groupBy("symbol").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("_d") == 0).alias("duplicates"), F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.round(F.col("_d") / seconds).cast("long") - 1)), F.lit(0)).alias("missing"), F.count_if(~F.col("_ok")).alias("invalid"), F.avg("volume").alias("mean_volume"), F.countDistinct(F.to_date("ts")).alias("days"))
     return got.withColumn("coverage", F.col("n") / (F.col("n") + F.col("missing")))
 
 
-def upper_median_interval(bars: DataFrame) -> DataFrame:
+def upper_median_interval(bars: DataFrame | Blocks) -> DataFrame:
     """Element n//2 of the ascending distances between neighbours, in seconds."""
-    d = bars.select("symbol", (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(series()))).alias("d")).where("d is not null")
+    d = neighbours(bars).select("symbol", (F.unix_timestamp("ts") - F.unix_timestamp("before")).alias("d")).where("d is not null")
     w = Window.partitionBy("symbol").orderBy("d")
     return d.select("symbol", "d", (F.row_number().over(w) - 1).alias("_k"), F.count("*").over(Window.partitionBy("symbol")).alias("_n")).where(F.col("_k") == F.floor(F.col("_n") / 2)).select("symbol", F.col("d").alias("seconds"))
 

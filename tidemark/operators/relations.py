@@ -122,25 +122,3 @@ def correlation_break(df: DataFrame, x: str, y: str, least: int) -> DataFrame:
     after = corr(F.col("n") - F.col("k"), lambda t: F.col(f"t_{t}") - F.col(f"s_{t}"))
     own = own.where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least)).select("symbol", "ts", F.abs(before - after).alias("gap"))
     return own.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("gap"), "ts"))).where("_r = 1").drop("_r")
-
-
-def cusum(df: DataFrame, x: str, threshold: float | None = None) -> DataFrame:
-    """Change points: sums of deviations from the series mean less half a threshold, up and down, each set back to 0
-    where it passes the threshold; by default four population deviations of the series, or 1 for a constant one. An
-    ordered fold per symbol; one very long symbol is one task by nature."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        mean, sd, up, down, out = rows[x].mean(), rows[x].std(ddof=0), 0.0, 0.0, []
-        limit = threshold if threshold is not None else 4 * sd if sd > 0 else 1.0
-        for symbol, ts, v in zip(rows["symbol"], rows["ts"], rows[x]):
-            up, down = max(0.0, up + v - mean - limit / 2), max(0.0, down - v + mean - limit / 2)
-            if up > limit:
-                out.append((symbol, ts, up))
-                up = 0.0
-            elif down > limit:
-                out.append((symbol, ts, -down))
-                down = 0.0
-        return pd.DataFrame(out, columns=["symbol", "ts", "level"])
-
-    return df.select("symbol", "ts", x).where(F.col(x).isNotNull()).groupBy("symbol").applyInPandas(fold, "symbol string, ts timestamp, level double")

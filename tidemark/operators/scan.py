@@ -1,107 +1,16 @@
-"""Row numbers and ordered recurrences over long series, without one task per series."""
+"""Row numbers of long series, without one task per series."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def row_index(df: DataFrame, key: str = "symbol", order: str = "ts", unit: str = "month") -> DataFrame:
-    """``idx``: 0-based row number per series. Rows are numbered inside (series, clock bucket) and the bucket counts,
+def row_index(df: DataFrame, key: str = "symbol", order: str = "ts", unit: str = "month", name: str = "idx") -> DataFrame:
+    """``idx`` (or another name): 0-based row number per series. Rows are numbered inside (series, clock bucket) and the bucket counts,
     a small table, are summed up before; no task holds a whole series."""
     bucket = df.withColumn("_bucket", F.date_trunc(unit, order))
     counts = bucket.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).drop("_n")
     inside = bucket.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(order)) - 1)
-    return inside.join(before, [key, "_bucket"]).select(*df.columns, (F.col("_before") + F.col("_in")).alias("idx"))
-
-
-def fold_affine(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Composed maps of y_t = a_t y_(t-1) + b_t from the first row on: y_t = A_t y_before + B_t."""
-    big_a, big_b = np.empty(len(a)), np.empty(len(a))
-    x, y = 1.0, 0.0
-    for i, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = p * x, p * y + q
-        big_a[i], big_b[i] = x, y
-    return big_a, big_b
-
-
-def affine_scan(df: DataFrame, a: Column, b: Column, out: str, key: str = "symbol", order: str = "ts", unit: str = "year") -> DataFrame:
-    """One recurrence, as :func:`affine_scans`."""
-    return affine_scans(df, {out: (a, b)}, key, order, unit)
-
-
-def affine_scans(df: DataFrame, recurrences: dict[str, tuple[Column, Column]], key: str = "symbol", order: str = "ts", unit: str = "year") -> DataFrame:
-    """y_t = a_t y_(t-1) + b_t per series, y before the first row being 0, for each name with its (a, b) in one pass.
-
-    Maps are composed inside each (series, clock bucket); the last map of each bucket is carried over the few buckets
-    of a series; then each row applies its map to its bucket's carry. Rows keep a number of their own, so repeated times
-    stay as they are. A null a or b leaves y null from there to the end of its bucket's series, so callers fill warm-up
-    rows with a = 0.
-    """
-    names = list(recurrences)
-    parts = [c.cast("double").alias(f"_{side}{i}") for i, n in enumerate(names) for side, c in zip("ab", recurrences[n])]
-    rows = df.select("*", F.date_trunc(unit, order).alias("_bucket"), *parts)
-    kept = [c for c in rows.columns if c not in {f"_{side}{i}" for i in range(len(names)) for side in "ab"}]
-    shape = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes)
-    maps_shape = ", ".join(f"_A{i} double, _B{i} double" for i in range(len(names)))
-
-    def inside(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        for i in range(len(names)):
-            rows[f"_A{i}"], rows[f"_B{i}"] = fold_affine(rows[f"_a{i}"].to_numpy(), rows[f"_b{i}"].to_numpy())
-        return rows[[*kept, *(f"_{side}{i}" for i in range(len(names)) for side in "AB")]]
-
-    def across(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_bucket")
-        out = {key: rows[key], "_bucket": rows["_bucket"]}
-        for i in range(len(names)):
-            carry, y = [], 0.0
-            for p, q in zip(rows[f"_A{i}"], rows[f"_B{i}"]):
-                carry.append(y)
-                y = p * y + q
-            out[f"_c{i}"] = carry
-        return pd.DataFrame(out)
-
-    maps = rows.groupBy(key, "_bucket").applyInPandas(inside, f"{shape}, {maps_shape}")
-    last = maps.groupBy(key, "_bucket").agg(*[F.max_by(f"_{side}{i}", order).alias(f"_{side}{i}") for i in range(len(names)) for side in "AB"])
-    carry = last.groupBy(key).applyInPandas(across, f"{key} {dict(df.dtypes)[key]}, _bucket timestamp, " + ", ".join(f"_c{i} double" for i in range(len(names))))
-    found = maps.join(carry, [key, "_bucket"])
-    return found.select(*df.columns, *[(F.col(f"_A{i}") * F.col(f"_c{i}") + F.col(f"_B{i}")).alias(n) for i, n in enumerate(names)])
-
-
-def halo(df: DataFrame, rows: int, unit: str = "year", key: str = "symbol", order: str = "ts") -> tuple[DataFrame, list[str]]:
-    """For rolling frames on very long series: every clock bucket also gets the last ``rows`` rows of the one before.
-
-    Returns the frame with ``_bucket`` and ``_halo`` (drop rows where it is true after the window) and the partition
-    columns to use. A bucket must hold at least ``rows`` rows.
-    """
-    own = df.select("*", F.date_trunc(unit, order).alias("_bucket"), F.lit(False).alias("_halo"))
-    buckets = own.select(key, "_bucket").distinct()
-    following = buckets.withColumn("_next", F.lead("_bucket").over(Window.partitionBy(key).orderBy("_bucket")))
-    tail = own.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(F.desc(order)))).where(F.col("_r") <= rows).drop("_r")
-    moved = tail.join(following, [key, "_bucket"]).where(F.col("_next").isNotNull()).select(*df.columns, F.col("_next").alias("_bucket"), F.lit(True).alias("_halo"))
-    return own.select(*df.columns, "_bucket", "_halo").unionByName(moved), [key, "_bucket"]
-
-
-def in_blocks(bars: DataFrame, f: Callable[[DataFrame], DataFrame], rows: int, size: int = 1 << 18, key: str = "symbol", order: str = "ts") -> DataFrame:
-    """``f``, a rolling measure over at most ``rows`` rows back, for series that are too long for one task.
-
-    Rows are numbered, cut into blocks of ``size`` rows, and each block also gets the last ``rows`` rows of the one before;
-    ``f`` sees every block as a series of its own and what it says of the copied rows is dropped. ``f`` keeps ``key`` and
-    ``order``; times are distinct within a series.
-    """
-    if rows > size:
-        raise ValueError("a block must hold at least the rows that a frame looks back")
-    own = row_index(bars, key, order).withColumn("_block", F.floor(F.col("idx") / size))
-    starts = own.groupBy(key, "_block").agg(F.min(order).alias("_start"))
-    tail = own.where(F.pmod("idx", F.lit(size)) >= size - rows).withColumn("_block", F.col("_block") + 1)
-    cut = own.unionByName(tail).select(F.struct(F.col(key).alias("key"), F.col("_block").alias("block")).alias(key), *[c for c in bars.columns if c != key])
-    found = f(cut)
-    values = [c for c in found.columns if c != key]
-    named = found.select(F.col(key)["key"].alias(key), F.col(key)["block"].alias("_block"), *values)
-    return named.join(starts, [key, "_block"]).where(F.col(order) >= F.col("_start")).select(*found.columns)
+    return inside.join(before, [key, "_bucket"]).select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))

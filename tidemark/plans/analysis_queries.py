@@ -16,7 +16,8 @@ from tidemark.operators import risk as K
 from tidemark.operators import scan as S
 from tidemark.operators import stats as T
 from tidemark.operators import windows as W
-from tidemark.plans.registry import BY, daily, factors, full, hourly, lag, over, query, read, roll, ticks, with_returns
+from tidemark.operators.recursive import change_points
+from tidemark.plans.registry import BY, daily, factors, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
 from tidemark.plans.window_queries import CROSS, SO_FAR
 
 R = "rets WHERE r IS NOT NULL"
@@ -444,12 +445,12 @@ def _(spark, d):
 
 @query("qa01_gaps", f"WITH o AS (SELECT symbol, {lag('ts')} AS a, ts AS b FROM hourly) SELECT symbol, a AS gap_start, b AS gap_end, (epoch(b)::BIGINT - epoch(a)::BIGINT) // 3600 - 1 AS missing, CASE WHEN len(list_filter(generate_series(a::DATE, b::DATE, INTERVAL 1 DAY), lambda x: isodow(x) >= 6)) > 0 THEN 'weekend' ELSE 'suspicious' END AS kind FROM o WHERE epoch(b) - epoch(a) > 7200", use="hourly", t="gap_start gap_end")
 def _(spark, d):
-    return Q.gaps(hourly(spark, d), 3600)
+    return Q.gaps(stored(spark, d, "hourly"), 3600)
 
 
 @query("qa02_missing_bars", f"WITH o AS (SELECT symbol, {lag('ts')} AS a, ts AS b FROM hourly) SELECT symbol, unnest(generate_series(a + INTERVAL 1 HOUR, b - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM o WHERE epoch(b) - epoch(a) > 3600", use="hourly", t="ts")
 def _(spark, d):
-    return Q.missing_bars(hourly(spark, d), 3600)
+    return Q.missing_bars(stored(spark, d, "hourly"), 3600)
 
 
 @query("qa03_duplicates", "WITH k AS (SELECT symbol, ts, seq AS row, first_value(seq) OVER w AS first_row, row_number() OVER w AS nth FROM ticks WINDOW w AS (PARTITION BY symbol, ts ORDER BY seq)) SELECT symbol, ts, row, first_row, nth FROM k WHERE nth > 1", use="ticks", t="ts")
@@ -469,12 +470,12 @@ def _(spark, d):
 
 @query("qa07_validation_report", f"WITH o AS (SELECT symbol, ts, volume, low > 0 AND high >= greatest(open, close) AND low <= least(open, close) AND volume >= 0 AS ok, epoch(ts)::BIGINT - epoch({lag('ts')})::BIGINT AS dt FROM hourly), c AS (SELECT symbol, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum((dt = 0)::INT) AS d, sum((dt > 3600)::INT) AS g, sum(CASE WHEN dt > 3600 THEN dt // 3600 - 1 ELSE 0 END) AS m, sum((NOT ok)::INT) AS i, avg(volume) AS mean_volume, count(DISTINCT ts::DATE) AS days FROM o GROUP BY 1) SELECT symbol, n, first_ts, last_ts, d::BIGINT AS duplicates, g::BIGINT AS gaps, m::BIGINT AS missing, i::BIGINT AS invalid, mean_volume, days, n / (n + m) AS coverage FROM c", use="hourly", r="mean_volume coverage", t="first_ts last_ts")
 def _(spark, d):
-    return Q.validation_report(hourly(spark, d), 3600)
+    return Q.validation_report(stored(spark, d, "hourly"), 3600)
 
 
 @query("qa10_interval", f"WITH o AS (SELECT symbol, epoch(ts)::BIGINT - epoch({lag('ts')})::BIGINT AS s FROM hourly), k AS (SELECT symbol, s, row_number() OVER (PARTITION BY symbol ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM o WHERE s IS NOT NULL) SELECT symbol, s AS seconds FROM k WHERE k = n // 2", use="hourly")
 def _(spark, d):
-    return Q.upper_median_interval(hourly(spark, d))
+    return Q.upper_median_interval(stored(spark, d, "hourly"))
 
 
 _DIG = "h AS (SELECT o_orderpriority AS k, sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS h FROM orders), p AS (SELECT k, h[1:2] AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1, 2)"
@@ -533,7 +534,7 @@ _CUSUM = f"s AS (SELECT symbol, avg(r) AS mu, 4 * stddev_pop(r) AS h FROM {R} GR
 
 @query("res23_cusum", f"WITH RECURSIVE {_CUSUM.replace('SELECT symbol, k, h, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down', 'SELECT symbol, k, h, greatest(0, v - h / 2) AS up, greatest(0, -v - h / 2) AS down')} SELECT symbol, ts, level FROM c JOIN n USING (symbol, k) WHERE level <> 0", use="rets", r="level", t="ts")
 def _(spark, d):
-    return X.cusum(_returns(spark, d), "r")
+    return change_points(_returns(spark, d), "r")
 
 
 # --- lineage and sets -------------------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ from tidemark.operators import retrieval as I
 from tidemark.operators import scan as R
 from tidemark.operators import windows as W
 from tidemark.plans.analysis_queries import _EDGES, _FEEDS, OUTCOMES, _edges, _feeds, _outcomes
-from tidemark.plans.registry import BY, daily, hourly, lag, over, query, read, ticks
+from tidemark.plans.registry import BY, daily, hourly, lag, over, query, read, stored, ticks
 from tidemark.plans.window_queries import CROSS
 from tidemark.sources import csv as csv_source
 from tidemark.sources import tables
@@ -132,7 +132,7 @@ def _(spark, d):
 
 @query("prj16_memory_scans", f"WITH {CROSS}, e AS (SELECT * FROM ev WHERE direction IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id) AS k FROM e WHERE ts >= '1996-01-01') SELECT 'recent' AS scan, event_id FROM r WHERE k <= 3 UNION ALL SELECT 'asset', event_id FROM e WHERE symbol = '2-HIGH' AND direction = 'bullish'")
 def _(spark, d):
-    e = W.crossovers(daily(spark, d))
+    e = W.crossovers(stored(spark, d, "daily"))
     recent = N.recent(N.in_range(e, "1996-01-01", None), 3)
     asset = N.of_asset(e, "2-HIGH").where("direction = 'bullish'")
     return recent.select(F.lit("recent").alias("scan"), "event_id").unionByName(asset.select(F.lit("asset").alias("scan"), "event_id"))
@@ -304,7 +304,7 @@ def _(spark, d):
 
 @query("set04_condition_values", f"WITH {CROSS}, e AS (SELECT * FROM ev WHERE direction IS NOT NULL) SELECT DISTINCT 'direction' AS field, direction AS value FROM e UNION ALL SELECT DISTINCT 'weekday', weekday::VARCHAR FROM e UNION ALL SELECT DISTINCT 'symbol', symbol FROM e")
 def _(spark, d):
-    return N.condition_values(W.crossovers(daily(spark, d)), ["direction", "weekday", "symbol"])
+    return N.condition_values(W.crossovers(stored(spark, d, "daily")), ["direction", "weekday", "symbol"])
 
 
 @query("gra01_relatives", f"WITH {_EDGES} SELECT 'parent' AS side, parent AS node FROM e WHERE child = 'n3' UNION ALL SELECT 'child', child FROM e WHERE parent = 'n3'", use="")

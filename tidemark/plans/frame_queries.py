@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import frame as E
-from tidemark.operators import scan as S
+from tidemark.operators.blocks import cut
 from tidemark.operators import windows as W
-from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, with_returns
+from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, with_returns
 from tidemark.plans.window_queries import SO_FAR
 
 
@@ -39,7 +39,7 @@ WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in E.FEATURES)
 
 @query("win35_feature_frame", f"WITH RECURSIVE {frame_sql('bars')} SELECT symbol, ts, {NAMES} FROM frame WHERE {WHOLE}", r=" ".join(E.FEATURES), t="ts", digits=5)
 def _(spark, d):
-    return E.feature_frame(daily(spark, d), drop_missing=True)
+    return E.feature_frame(stored(spark, d, "daily"), drop_missing=True)
 
 
 _CUT = "bars WHERE ts >= '1996-09-01'"
@@ -108,14 +108,14 @@ def _(spark, d):
 
 @query("win02_long_series", f"SELECT symbol, ts, {roll('avg', 'close', 20)} AS mean, {roll('stddev_samp', 'close', 20)} AS sd FROM hourly", use="hourly", r="mean sd", t="ts")
 def _(spark, d):
-    return S.in_blocks(hourly(spark, d), lambda rows: W.rolling_statistics(rows, "close", 20), 19, 64).select("symbol", "ts", "mean", "sd")
+    return W.rolling_statistics(cut(hourly(spark, d), 19, size=64), "close", 20).select("symbol", "ts", "mean", "sd")
 
 
 @query("win03_rolling_z", f"SELECT symbol, ts, {roll('min', 'close', 30)} AS lo, {roll('max', 'close', 30)} AS hi, CASE WHEN {roll('stddev_samp', 'close', 30)} = 0 THEN 0 ELSE (close - {roll('avg', 'close', 30)}) / {roll('stddev_samp', 'close', 30)} END AS z FROM bars", r="lo hi z", t="ts")
 def _(spark, d):
-    return W.rolling_statistics(daily(spark, d), "close", 30).select("symbol", "ts", "lo", "hi", "z")
+    return W.rolling_statistics(stored(spark, d, "daily"), "close", 30).select("symbol", "ts", "lo", "hi", "z")
 
 
 @query("win04_rolling_quantile", f"SELECT symbol, ts, {full(f'quantile_cont(close, 0.5) {over(15)}', 'close', 15)} AS median FROM bars", r="median", t="ts")
 def _(spark, d):
-    return W.rolling_statistics(daily(spark, d), "close", 15).select("symbol", "ts", "median")
+    return W.rolling_statistics(stored(spark, d, "daily"), "close", 15).select("symbol", "ts", "median")

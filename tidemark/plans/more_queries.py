@@ -20,7 +20,7 @@ from tidemark.operators import scan as S
 from tidemark.operators import study as Y
 from tidemark.operators import windows as W
 from tidemark.plans.analysis_queries import _STATE, OUTCOMES, R, _edges, _outcomes, _returns, _states
-from tidemark.plans.registry import BY, daily, factors, full, hourly, lag, over, query, read, roll, ticks, with_returns
+from tidemark.plans.registry import BY, daily, factors, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
 from tidemark.plans.window_queries import CROSS, SO_FAR
 from tidemark.sources import csv as csv_source
 from tidemark.sources import tables
@@ -129,13 +129,13 @@ def _(spark, d):
 
 @query("prj10_condition_spec", f"WITH {CROSS} SELECT event_id FROM ev WHERE direction = 'bullish' AND weekday = 2")
 def _(spark, d):
-    return Y.matching(W.crossovers(daily(spark, d)), {"direction": "bullish", "weekday": 2}).select("event_id")
+    return Y.matching(W.crossovers(stored(spark, d, "daily")), {"direction": "bullish", "weekday": 2}).select("event_id")
 
 
 @query("prj11_many_conditions", f"WITH {CROSS}, e AS (SELECT * FROM ev WHERE direction IS NOT NULL), m AS (SELECT 'bull' AS name, price FROM e WHERE direction = 'bullish' UNION ALL SELECT 'bear_mon', price FROM e WHERE direction = 'bearish' AND weekday = 0 UNION ALL SELECT 'fri', price FROM e WHERE weekday = 4) SELECT name, count(*) AS n, avg(price) AS mean FROM m GROUP BY 1", r="mean")
 def _(spark, d):
     specs = {"bull": {"direction": "bullish"}, "bear_mon": {"direction": "bearish", "weekday": 0}, "fri": {"weekday": 4}, "unknown": {"no_such_field": 1}}
-    return Y.matched_names(W.crossovers(daily(spark, d)), specs).groupBy("name").agg(F.count("*").alias("n"), F.avg("price").alias("mean"))
+    return Y.matched_names(W.crossovers(stored(spark, d, "daily")), specs).groupBy("name").agg(F.count("*").alias("n"), F.avg("price").alias("mean"))
 
 
 # --- more joins and aggregates ----------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from tidemark.operators import stats as T
 from tidemark.operators import study as Y
 from tidemark.operators import windows as W
 from tidemark.plans.analysis_queries import _FEEDS, _WIDE, R, _feeds, _returns, _wide
-from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, ticks, with_returns
+from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
 from tidemark.plans.window_queries import SO_FAR
 from tidemark.streaming import jobs as J
 
@@ -131,7 +131,7 @@ _MOVES = f"max(high) {over(30)} > min(high) {over(30)} AND max(volume) {over(30)
 
 @query("win06_rolling_relation", f"SELECT symbol, ts, CASE WHEN count(*) {over(30)} = 30 AND {_MOVES} THEN corr(high, volume) {over(30)} END AS corr, CASE WHEN count(*) {over(30)} = 30 THEN covar_samp(high, volume) {over(30)} END AS covar FROM hourly", use="hourly", r="corr covar", t="ts", digits=4)
 def _(spark, d):
-    return W.rolling_relation(hourly(spark, d), "high", "volume", 30)
+    return W.rolling_relation(stored(spark, d, "hourly"), "high", "volume", 30)
 
 
 def _sign(a: str, b: str) -> str:
@@ -140,7 +140,7 @@ def _sign(a: str, b: str) -> str:
 
 @query("win22_trend_state", f"WITH o AS (SELECT symbol, ts, {roll('avg', 'close', 20)} AS f, {roll('avg', 'close', 50)} AS s, close - {lag('close', 14)} AS m, {roll('stddev_pop', 'l', 20)} AS a, {roll('stddev_pop', 'l', 60)} AS b FROM (SELECT *, ln(close / {lag('close')}) AS l FROM bars)) SELECT symbol, ts, CASE WHEN s IS NOT NULL THEN {_sign('f', 's')} END AS trend_state, {_sign('m', '0')} AS momentum_regime, CASE WHEN b IS NOT NULL THEN {_sign('a', 'b')} END AS vol_regime FROM o", t="ts")
 def _(spark, d):
-    return W.trend_state(daily(spark, d))
+    return W.trend_state(stored(spark, d, "daily"))
 
 
 _SCORE = f"p AS (SELECT symbol, ts, (close - min(close) {SO_FAR}) / nullif(max(close) {SO_FAR} - min(close) {SO_FAR}, 0) AS p FROM bars)"

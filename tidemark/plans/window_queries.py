@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
@@ -9,7 +11,7 @@ from tidemark.operators import labels as L
 from tidemark.operators import recursive as R
 from tidemark.operators import scan as S
 from tidemark.operators import windows as W
-from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, ticks, with_returns
+from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
 
 SO_FAR = f"OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
@@ -102,7 +104,7 @@ def _(spark, d):
 
 @query("win01_returns", f"SELECT symbol, ts, close - {lag('close')} AS change, close / {lag('close')} - 1 AS ret, ln(close / {lag('close')}) AS log_ret FROM bars", r="change ret log_ret", t="ts")
 def _(spark, d):
-    return W.returns(daily(spark, d))
+    return W.returns(stored(spark, d, "daily"))
 
 
 @query(
@@ -112,12 +114,12 @@ def _(spark, d):
     t="ts",
 )
 def _(spark, d):
-    return W.rolling_statistics(daily(spark, d), "close", 20)
+    return W.rolling_statistics(stored(spark, d, "daily"), "close", 20)
 
 
 @query("win05_expanding", f"SELECT symbol, ts, avg(close) {SO_FAR} AS mean, stddev_samp(close) {SO_FAR} AS sd FROM bars", r="mean sd", t="ts")
 def _(spark, d):
-    return W.expanding(daily(spark, d), "close")
+    return W.expanding(stored(spark, d, "daily"), "close")
 
 
 @query(
@@ -126,7 +128,7 @@ def _(spark, d):
     r="mean_corr sd_corr",
 )
 def _(spark, d):
-    return W.stability(W.rolling_relation(daily(spark, d), "high", "low", 60))
+    return W.stability(W.rolling_relation(stored(spark, d, "daily"), "high", "low", 60))
 
 
 @query(
@@ -136,7 +138,7 @@ def _(spark, d):
     t="ts",
 )
 def _(spark, d):
-    return W.bands(daily(spark, d))
+    return W.bands(stored(spark, d, "daily"))
 
 
 def _wma(of: str, w: int) -> str:
@@ -145,7 +147,7 @@ def _wma(of: str, w: int) -> str:
 
 @query("win08_wma_hma", f"WITH a AS (SELECT symbol, ts, {_wma('close', 8)} AS half, {_wma('close', 16)} AS wma FROM bars), b AS (SELECT *, 2 * half - wma AS diff FROM a) SELECT symbol, ts, wma, {_wma('diff', 4)} AS hma FROM b", r="wma hma", t="ts")
 def _(spark, d):
-    return W.hma(W.wma(daily(spark, d), "close", 16, "wma"), "close", 16, "hma").select("symbol", "ts", "wma", "hma")
+    return stored(spark, d, "daily").stack(partial(W.wma, of="close", w=16, out="wma"), partial(W.hma, of="close", w=16, out="hma"))
 
 
 @query(
@@ -156,7 +158,7 @@ def _(spark, d):
     t="ts",
 )
 def _(spark, d):
-    return W.volume_flow(hourly(spark, d))
+    return W.volume_flow(stored(spark, d, "hourly"))
 
 
 @query(
@@ -166,12 +168,12 @@ def _(spark, d):
     t="ts",
 )
 def _(spark, d):
-    return W.rolling_mfi(daily(spark, d))
+    return W.rolling_mfi(stored(spark, d, "daily"))
 
 
 @query("win11_momentum", f"SELECT symbol, ts, (close / {lag('close', 10)} - 1) * 100 AS roc, close - {lag('close', 10)} AS momentum, (close - {roll('avg', 'close', 20)}) / {roll('avg', 'close', 20)} AS distance FROM bars", r="roc momentum distance", t="ts")
 def _(spark, d):
-    return W.momentum(daily(spark, d))
+    return W.momentum(stored(spark, d, "daily"))
 
 
 @query(
@@ -181,12 +183,12 @@ def _(spark, d):
     t="ts",
 )
 def _(spark, d):
-    return W.cci(daily(spark, d))
+    return W.cci(stored(spark, d, "daily"))
 
 
 @query("win13_stochastic", f"WITH o AS (SELECT symbol, ts, 100 * (close - {roll('min', 'low', 14)}) / ({roll('max', 'high', 14)} - {roll('min', 'low', 14)}) AS raw FROM bars), k AS (SELECT symbol, ts, {roll('avg', 'raw', 3)} AS k FROM o) SELECT symbol, ts, k, {roll('avg', 'k', 3)} AS d FROM k", r="k d", t="ts")
 def _(spark, d):
-    return W.stochastic(daily(spark, d))
+    return W.stochastic(stored(spark, d, "daily"))
 
 
 _TR = f"CASE WHEN {lag('close')} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) END"
@@ -199,7 +201,7 @@ _TR = f"CASE WHEN {lag('close')} IS NULL THEN high - low ELSE greatest(high - lo
     t="ts",
 )
 def _(spark, d):
-    return W.simple_oscillators(daily(spark, d))
+    return W.simple_oscillators(stored(spark, d, "daily"))
 
 
 def _mid(w: int) -> str:
@@ -208,7 +210,7 @@ def _mid(w: int) -> str:
 
 @query("win15_ichimoku", f"WITH o AS (SELECT symbol, ts, close, {_mid(9)} AS conversion, {_mid(26)} AS base, {_mid(52)} AS slow FROM bars) SELECT symbol, ts, conversion, base, {lag('(conversion + base) / 2', 26)} AS span_a, {lag('slow', 26)} AS span_b, lead(close, 26) OVER ({BY}) AS lagging FROM o", r="conversion base span_a span_b lagging", t="ts")
 def _(spark, d):
-    return W.ichimoku(daily(spark, d))
+    return W.ichimoku(stored(spark, d, "daily"))
 
 
 @query(
@@ -218,7 +220,7 @@ def _(spark, d):
     t="ts",
 )
 def _(spark, d):
-    return W.volatility_features(daily(spark, d))
+    return W.volatility_features(stored(spark, d, "daily"))
 
 
 CROSS = f"a AS (SELECT symbol, ts, close, {roll('avg', 'close', 5)} AS f, {roll('avg', 'close', 20)} AS s FROM bars), b AS (SELECT *, f - s AS gap, {lag('f - s')} AS before FROM a), ev AS (SELECT symbol || '|' || epoch(ts)::BIGINT AS event_id, symbol, ts, CASE WHEN before <= 0 AND gap > 0 THEN 'bullish' WHEN before >= 0 AND gap < 0 THEN 'bearish' END AS direction, close AS price, f AS sma_fast, s AS sma_slow, isodow(ts) - 1 AS weekday FROM b)"
@@ -226,17 +228,17 @@ CROSS = f"a AS (SELECT symbol, ts, close, {roll('avg', 'close', 5)} AS f, {roll(
 
 @query("win27_crossovers", f"WITH {CROSS} SELECT event_id, symbol, ts, direction, price, sma_fast, sma_slow, weekday::INT AS weekday FROM ev WHERE direction IS NOT NULL", r="price sma_fast sma_slow", t="ts")
 def _(spark, d):
-    return W.crossovers(daily(spark, d))
+    return W.crossovers(stored(spark, d, "daily"))
 
 
 @query("win33_lag_features", f"SELECT symbol, ts, {', '.join(f'{lag('r', k)} AS r_lag{k}' for k in (1, 2, 5))}, r * {lag('r')} AS r_x_lag1, r * volume AS r_x_volume FROM rets", use="rets", r="r_lag1 r_lag2 r_lag5 r_x_lag1 r_x_volume", t="ts")
 def _(spark, d):
-    return W.lag_features(daily(spark, d), [1, 2, 5])
+    return W.lag_features(stored(spark, d, "daily"), [1, 2, 5])
 
 
 @query("win34_factor_features", f"SELECT symbol, ts, close / {lag('close')} - 1 AS ret_1, {roll('avg', 'close', 5)} AS mean, (close - {roll('avg', 'close', 20)}) / {roll('stddev_pop', 'close', 20)} AS z FROM bars", r="ret_1 mean z", t="ts")
 def _(spark, d):
-    return W.factor_features(daily(spark, d), "close")
+    return W.factor_features(stored(spark, d, "daily"), "close")
 
 
 @query("scan_t7_halo_mean", f"SELECT symbol, ts, {roll('avg', 'close', 20)} AS mean FROM bars", r="mean", t="ts")
@@ -261,22 +263,58 @@ def _fold(of: str, alpha: str) -> str:
 
 @query("win16_ema_macd", f"WITH o AS (SELECT symbol, ts, {_fold('close', '2.0/13')} AS fast, {_fold('close', '2.0/27')} AS slow FROM bars), m AS (SELECT *, fast - slow AS macd FROM o) SELECT symbol, ts, fast, slow, macd, {_fold('macd', '2.0/10')} AS signal FROM m", r="fast slow macd signal", t="ts")
 def _(spark, d):
-    return R.macd(daily(spark, d))
+    return R.macd(stored(spark, d, "daily"))
 
 
 @query(
     "win17_wilder",
-    f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) - 1 AS k, greatest(close - {lag('close')}, 0) AS g, greatest({lag('close')} - close, 0) AS l, {_TR} AS tr FROM bars), s AS (SELECT symbol, avg(CASE WHEN k BETWEEN 1 AND 14 THEN g END) AS g0, avg(CASE WHEN k BETWEEN 1 AND 14 THEN l END) AS l0, avg(CASE WHEN k < 14 THEN tr END) AS t0 FROM o GROUP BY symbol), n AS (SELECT symbol, ts, k, g0, l0, t0, list(g) {SO_FAR} AS gs, list(l) {SO_FAR} AS ls, list(tr) {SO_FAR} AS ts_ FROM o JOIN s USING (symbol)), w AS (SELECT symbol, ts, CASE WHEN k >= 14 THEN list_reduce(list_prepend(g0, gs[16:]), lambda a, x: (a * 13 + x) / 14) END AS g, CASE WHEN k >= 14 THEN list_reduce(list_prepend(l0, ls[16:]), lambda a, x: (a * 13 + x) / 14) END AS l, CASE WHEN k >= 13 THEN list_reduce(list_prepend(t0, ts_[15:]), lambda a, x: (a * 13 + x) / 14) END AS atr FROM n) SELECT symbol, ts, CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS rsi, atr FROM w",
-    r="rsi atr",
+    f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) - 1 AS k, greatest(close - {lag('close')}, 0) AS g, greatest({lag('close')} - close, 0) AS l, {_TR} AS tr, CASE WHEN high + low + close > {lag('high + low + close')} THEN (high + low + close) / 3 * volume ELSE 0 END AS up, CASE WHEN high + low + close < {lag('high + low + close')} THEN (high + low + close) / 3 * volume ELSE 0 END AS down FROM bars), s AS (SELECT symbol, avg(CASE WHEN k BETWEEN 1 AND 14 THEN up END) AS u0, avg(CASE WHEN k BETWEEN 1 AND 14 THEN down END) AS d0, avg(CASE WHEN k BETWEEN 1 AND 14 THEN g END) AS g0, avg(CASE WHEN k BETWEEN 1 AND 14 THEN l END) AS l0, avg(CASE WHEN k < 14 THEN tr END) AS t0 FROM o GROUP BY symbol), n AS (SELECT symbol, ts, k, g0, l0, t0, u0, d0, list(up) {SO_FAR} AS us, list(down) {SO_FAR} AS ds, list(g) {SO_FAR} AS gs, list(l) {SO_FAR} AS ls, list(tr) {SO_FAR} AS ts_ FROM o JOIN s USING (symbol)), w AS (SELECT symbol, ts, CASE WHEN k >= 14 THEN list_reduce(list_prepend(u0, us[16:]), lambda a, x: (a * 13 + x) / 14) END AS u, CASE WHEN k >= 14 THEN list_reduce(list_prepend(d0, ds[16:]), lambda a, x: (a * 13 + x) / 14) END AS d, CASE WHEN k >= 14 THEN list_reduce(list_prepend(g0, gs[16:]), lambda a, x: (a * 13 + x) / 14) END AS g, CASE WHEN k >= 14 THEN list_reduce(list_prepend(l0, ls[16:]), lambda a, x: (a * 13 + x) / 14) END AS l, CASE WHEN k >= 13 THEN list_reduce(list_prepend(t0, ts_[15:]), lambda a, x: (a * 13 + x) / 14) END AS atr FROM n) SELECT symbol, ts, CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS rsi, atr, CASE WHEN d = 0 THEN 100 ELSE 100 - 100 / (1 + u / d) END AS mfi FROM w",
+    r="rsi atr mfi",
+    t="ts",
+)
+def _(spark, d):
+    return R.wilder(stored(spark, d, "daily"))
+
+
+def _smooth(of: str, first: int, k: str = "k") -> str:
+    """Wilder mean of 14 in a row: from the mean of the values from place ``first`` on, by a fold over those after."""
+    at = first + 14
+    return f"CASE WHEN {k} >= {at - 1} THEN list_reduce(list_prepend(list_avg({of}[{first + 1}:{at}]), {of}[{at + 1}:]), lambda a, x: (a * 13 + x) / 14) END"
+
+
+@query(
+    "win17_directional",
+    f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) - 1 AS k, {_TR} AS tr, high - {lag('high')} AS hi, {lag('low')} - low AS lo FROM bars), m AS (SELECT *, CASE WHEN hi > lo AND hi > 0 THEN hi ELSE 0 END AS p, CASE WHEN lo > hi AND lo > 0 THEN lo ELSE 0 END AS m FROM o), l AS (SELECT symbol, ts, k, list(tr) {SO_FAR} AS t, list(p) {SO_FAR} AS p, list(m) {SO_FAR} AS m FROM m), w AS (SELECT symbol, ts, k, {_smooth('t', 0)} AS t, {_smooth('p', 0)} AS p, {_smooth('m', 0)} AS m FROM l), d AS (SELECT symbol, ts, k, CASE WHEN t = 0 THEN 0 ELSE 100 * p / t END AS plus_di, CASE WHEN t = 0 THEN 0 ELSE 100 * m / t END AS minus_di, CASE WHEN t = 0 THEN NULL WHEN p + m = 0 THEN 0 ELSE 100 * abs(p - m) / (p + m) END AS dx FROM w), x AS (SELECT *, list(dx) FILTER (dx IS NOT NULL) {SO_FAR} AS xs, count(dx) {SO_FAR} - 1 AS j FROM d), a AS (SELECT symbol, ts, k, plus_di, minus_di, CASE WHEN dx IS NOT NULL THEN {_smooth('xs', 0, 'j')} END AS adx FROM x) SELECT symbol, ts, plus_di, minus_di, adx, (adx + lag(adx, 14) OVER ({BY})) / 2 AS adxr FROM a",
+    r="plus_di minus_di adx adxr",
+    t="ts",
+)
+def _(spark, d):
+    return R.directional(stored(spark, d, "daily"))
+
+
+@query(
+    "win16_keltner",
+    f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) - 1 AS k, close, {_TR} AS tr FROM bars), l AS (SELECT *, list(tr) {SO_FAR} AS t, {_fold('close', '2.0/21')} AS mid FROM o), a AS (SELECT symbol, ts, mid, CASE WHEN k >= 9 THEN list_reduce(list_prepend(list_avg(t[1:10]), t[11:]), lambda a, x: (a * 9 + x) / 10) END AS atr FROM l) SELECT symbol, ts, mid + 2 * atr AS upper, mid AS middle, mid - 2 * atr AS lower FROM a",
+    r="upper middle lower",
+    t="ts",
+)
+def _(spark, d):
+    return R.keltner(stored(spark, d, "daily"))
+
+
+@query(
+    "win16_ema_from_mean",
+    f"WITH l AS (SELECT symbol, ts, row_number() OVER ({BY}) AS k, list(close) {SO_FAR} AS x FROM bars) SELECT symbol, ts, CASE WHEN k >= 20 THEN list_reduce(list_prepend(list_avg(x[1:20]), x[21:]), lambda a, x: a * (1 - 2.0 / 21) + x * 2.0 / 21) END AS ema FROM l",
+    r="ema",
     t="ts",
 )
 def _(spark, d):
-    return R.wilder(daily(spark, d))
+    return R.ema(stored(spark, d, "daily"), "close", 20, "ema", "mean")
 
 
 @query("win18_kalman", f"WITH RECURSIVE n AS (SELECT symbol, ts, close, row_number() OVER ({BY}) AS k FROM bars), x AS (SELECT symbol, k, close AS trend, 1.0::DOUBLE AS p FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.k, x.trend + (x.p + 0.01) / (x.p + 1.01) * (n.close - x.trend), (x.p + 0.01) * (1 - (x.p + 0.01) / (x.p + 1.01)) FROM x JOIN n ON n.symbol = x.symbol AND n.k = x.k + 1) SELECT symbol, ts, trend FROM x JOIN n USING (symbol, k)", r="trend", t="ts")
 def _(spark, d):
-    return R.kalman(daily(spark, d))
+    return R.kalman(stored(spark, d, "daily"))
 
 
 @query(
@@ -292,17 +330,17 @@ def _(spark, d):
 
 @query("win19_supertrend_psar", None, r="supertrend sar", t="ts")
 def _(spark, d):
-    return R.path_dependent(daily(spark, d))
+    return R.path_dependent(stored(spark, d, "daily"))
 
 
 @query("win32_forward_labels", f"WITH o AS (SELECT symbol, ts, lead(close, 5) OVER ({BY}) / close - 1 AS fwd, {roll('stddev_samp', 'r', 20)} AS sd FROM rets) SELECT symbol, ts, fwd, (fwd > 0)::INT AS up, CASE WHEN fwd > 0.02 THEN 1 WHEN fwd < -0.02 THEN -1 WHEN fwd IS NOT NULL THEN 0 END AS class, CASE WHEN sd > 0 THEN fwd / sd END AS vol_adjusted FROM o", use="rets", r="fwd vol_adjusted", t="ts")
 def _(spark, d):
-    return L.forward_labels(daily(spark, d), 5)
+    return L.forward_labels(stored(spark, d, "daily"), 5)
 
 
 @query("win31_triple_barrier", f"WITH o AS (SELECT symbol, ts, close, list(close) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS n FROM bars), h AS (SELECT symbol, ts, list_filter(list_transform(n, lambda x: x / close - 1), lambda m: m >= 0.1 OR m <= -0.1) AS hit FROM o WHERE len(n) = 10) SELECT symbol, ts, CASE WHEN len(hit) = 0 THEN 0 WHEN hit[1] >= 0.1 THEN 1 ELSE -1 END AS label FROM h", t="ts")
 def _(spark, d):
-    return L.triple_barrier(daily(spark, d), 0.1, 0.1, 10)
+    return L.triple_barrier(stored(spark, d, "daily"), 0.1, 0.1, 10)
 
 
 _NEXT = f"OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
@@ -310,14 +348,14 @@ _NEXT = f"OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
 
 @query("win45_bar_outcomes", f"WITH o AS (SELECT symbol, ts, CASE WHEN count(*) {_NEXT} = 5 THEN lead(close, 5) OVER ({BY}) / close - 1 END AS ret, CASE WHEN count(*) {_NEXT} = 5 THEN max(high) {_NEXT} / close - 1 END AS mfe, CASE WHEN count(*) {_NEXT} = 5 THEN min(low) {_NEXT} / close - 1 END AS mae FROM bars) SELECT symbol, ts, ret, mfe, mae, ret - 0.002 AS net, (ret - 0.002 > 0)::INT AS win FROM o", r="ret mfe mae net", t="ts")
 def _(spark, d):
-    return L.bar_outcomes(daily(spark, d), 5, 0.001)
+    return L.bar_outcomes(stored(spark, d, "daily"), 5, 0.001)
 
 
 _TRADES = f"act AS (SELECT symbol, ts, price, CASE WHEN direction = 'bullish' THEN 'BUY' ELSE 'SELL' END AS action FROM ev WHERE direction IS NOT NULL), f AS (SELECT *, {lag('action')} AS p FROM act), g AS (SELECT *, row_number() OVER ({BY}) AS rn FROM f WHERE p IS NULL OR p <> action), h AS (SELECT * FROM g WHERE rn > 1 OR action = 'BUY'), j AS (SELECT *, lead(ts) OVER ({BY}) AS x, lead(price) OVER ({BY}) AS xp FROM h), last AS (SELECT symbol, max(ts) AS e, arg_max(price, ts) AS ep FROM act GROUP BY symbol), tr AS (SELECT symbol, ts AS entry_ts, price AS entry, coalesce(x, e) AS exit_ts, coalesce(xp, ep) AS exit FROM j JOIN last USING (symbol) WHERE action = 'BUY')"
 
 
 def _trades(spark, d):
-    e = W.crossovers(daily(spark, d))
+    e = W.crossovers(stored(spark, d, "daily"))
     return L.first_of_runs(e.select("symbol", "ts", "price", F.when(F.col("direction") == "bullish", "BUY").otherwise("SELL").alias("action")))
 
 
