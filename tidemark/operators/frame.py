@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.laws import critical
 from tidemark.operators import windows as W
 from tidemark.operators.blocks import Blocks, as_blocks, base, reads
 from tidemark.operators.recursive import macd_lines
@@ -198,11 +199,12 @@ def confident_trades(df: DataFrame, by: str, least: float = 0.6, periods: int =
     return kept.groupBy(by).agg(F.count("*").alias("trades"), F.sum("ret").alias("total"), sharpe.alias("sharpe"), F.avg(c).alias("mean_confidence"), F.avg("uncertainty").alias("mean_uncertainty"))
 
 
-def fitted_intervals(df: DataFrame, y: str, x: str, t: float = 1.959963984540054, by: str = "symbol") -> DataFrame:
+def fitted_intervals(df: DataFrame, y: str, x: str, level: float = 0.95, by: str | list[str] = "symbol") -> DataFrame:
     """Intervals of a fitted line per group: the slope +- t standard errors, and the prediction at the mean of x
-    +- t s sqrt(1 + 1/n), s being the residual deviation (n - 2). ``t``: the critical value of the level."""
-    fit = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("_xx"), F.regr_sxy(y, x).alias("_xy"), F.regr_syy(y, x).alias("_yy"), F.avg(F.col(y)).alias("_y"))
-    s = F.sqrt(F.try_divide(F.greatest(F.col("_yy") - F.col("_xy") ** 2 / F.col("_xx"), F.lit(0.0)), F.col("n") - 2))
-    own = fit.withColumn("s", s).withColumn("_se", F.col("s") / F.sqrt("_xx"))
-    wide = t * F.col("s") * F.sqrt(1 + 1 / F.col("n"))
-    return own.select(by, "n", "slope", (F.col("slope") - t * F.col("_se")).alias("slope_lo"), (F.col("slope") + t * F.col("_se")).alias("slope_hi"), (F.col("_y") - wide).alias("next_lo"), (F.col("_y") + wide).alias("next_hi"))
+    +- t s sqrt(1 + 1/n), s being the residual deviation (n - 2) and t the critical value for n - 2 degrees of freedom."""
+    by = [by] if isinstance(by, str) else by
+    fit = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("_xx"), F.regr_sxy(y, x).alias("_xy"), F.regr_syy(y, x).alias("_yy"), F.avg(F.col(y)).alias("_y"))
+    s = F.sqrt(F.try_divide(F.greatest(F.col("_yy") - F.try_divide(F.col("_xy") ** 2, F.col("_xx")), F.lit(0.0)), F.col("n") - 2))
+    own = fit.withColumn("s", s).withColumn("_se", F.try_divide(F.col("s"), F.sqrt("_xx"))).withColumn("t", critical(level, F.col("n") - 2))
+    t, wide = F.col("t"), F.col("t") * F.col("s") * F.sqrt(1 + 1 / F.col("n"))
+    return own.select(*by, "n", "slope", (F.col("slope") - t * F.col("_se")).alias("slope_lo"), (F.col("slope") + t * F.col("_se")).alias("slope_hi"), (F.col("_y") - wide).alias("next_lo"), (F.col("_y") + wide).alias("next_hi"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.laws import binomial_tail
 from tidemark.operators.windows import corr, series
 
 
@@ -16,21 +14,11 @@ def regime_correlation(df: DataFrame, x: str, y: str, regime: str, minimum: int,
 
 
 def sign_test(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
-    """Paired sign test: cases that only ``a`` or only ``b`` gets right, with the exact two-sided binomial p-value.
-
-    The tail is summed from log factorials that Spark's gamma-free functions build by a running sum of logs.
-    """
+    """Paired sign test: cases that only ``a`` or only ``b`` gets right, with the exact two-sided binomial p-value, whose
+    tail is an incomplete beta function."""
     own = df.groupBy(by).agg(F.count_if(F.col(a) & ~F.col(b)).alias("wins"), F.count_if(F.col(b) & ~F.col(a)).alias("losses"))
-    n, k = F.col("wins") + F.col("losses"), F.least("wins", "losses")
-    step = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), k),
-        F.struct(F.lit(0.0).alias("log_c"), F.lit(0.0).alias("total")),
-        lambda s, i: F.struct(
-            (s["log_c"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("log_c"),
-            (s["total"] + F.exp(s["log_c"] - n * math.log(2))).alias("total"),
-        ),
-    )["total"]
-    return own.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * step)))
+    n, k = F.col("wins") + F.col("losses"), F.greatest("wins", "losses")
+    return own.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(n, k))))
 
 
 def beta_posterior(df: DataFrame, hit: str, by: str, a: float = 1.0, b: float = 1.0) -> DataFrame:

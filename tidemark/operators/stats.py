@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.laws import normal_tail, t_tail
 from tidemark.operators.windows import corr
 
 
@@ -42,19 +43,11 @@ def relation_type(r: Column) -> Column:
     return F.when(r > 0.05, "positive").when(r < -0.05, "negative").when(r.isNotNull(), "neutral")
 
 
-def normal_tail(t: Column, terms: int = 120) -> Column:
-    """Two-sided tail of the standard normal law by the series of its distribution function; 0 beyond 8 deviations."""
-    x = F.least(F.abs(t), F.lit(8.0))
-    start = F.struct(x.alias("term"), x.alias("total"))
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * x * x / (2 * k + 1)).alias("total")))["total"]
-    return F.when(F.abs(t) >= 8, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * total * F.exp(-x * x / 2) / (2 * 3.141592653589793) ** 0.5))
-
-
 def correlation_p(r: Column, n: Column) -> Column:
-    """Two-sided p-value of a correlation by its t statistic and the normal law, as for 30 degrees of freedom and more;
-    null for fewer, for r = +-1 and for less than three pairs."""
+    """Two-sided p-value of a correlation by its t statistic: Student's law, from 30 degrees of freedom on the normal one;
+    null for r = +-1 and for less than three pairs."""
     t = F.abs(r) * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r))
-    return F.when((n >= 32) & (F.abs(r) < 1), normal_tail(t))
+    return F.when((n >= 3) & (F.abs(r) < 1), t_tail(t, n - 2))
 
 
 def average_rank(x: str, by: str) -> Column:
@@ -124,11 +117,16 @@ def entropy(df: DataFrame, x: str, y: str) -> DataFrame:
     return p.agg((-F.sum(F.col("p") * F.log2(px))).alias("h_x"), (-F.sum(F.col("p") * F.log2(py))).alias("h_y"), F.sum(F.col("p") * F.log2(F.col("p") / (px * py))).alias("mutual_information"))
 
 
-def mean_tests(df: DataFrame, x: str, by: str, mu: float = 0.0, z: float = 1.959963984540054) -> DataFrame:
-    """One-sample t statistic against ``mu``, effect size, and a normal interval of the mean."""
-    own = df.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
-    se = F.col("sd") / F.sqrt("n")
-    return own.select(by, "n", "mean", "sd", ((F.col("mean") - mu) / se).alias("t"), ((F.col("mean") - mu) / F.col("sd")).alias("effect"), (F.col("mean") - z * se).alias("lo"), (F.col("mean") + z * se).alias("hi"))
+def mean_tests(df: DataFrame, x: str, by: str | list[str], mu: float = 0.0, sigma: float | None = None, z: float = 1.959963984540054) -> DataFrame:
+    """Tests of a mean against ``mu``: t statistic and its p-value (n - 1 degrees of freedom), z statistic for a known
+    deviation ``sigma`` (the population's of the group unless given) and its p-value, effect size, and a normal interval
+    of the mean. Statistics are null where nothing varies, t for fewer than two values."""
+    by = [by] if isinstance(by, str) else by
+    own = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.when(F.count(x) > 1, F.stddev_samp(x)).alias("sd"), F.stddev_pop(x).alias("_sd0"))
+    root, known = F.sqrt("n"), F.col("_sd0") if sigma is None else F.lit(float(sigma))
+    se = F.try_divide(F.col("sd"), root)
+    own = own.withColumns({"t": F.try_divide(F.col("mean") - mu, se), "z": F.try_divide((F.col("mean") - mu) * root, known), "effect": F.try_divide(F.col("mean") - mu, F.col("sd")), "lo": F.col("mean") - z * se, "hi": F.col("mean") + z * se})
+    return own.select(*by, "n", "mean", "sd", "t", t_tail(F.col("t"), F.col("n") - 1).alias("t_p"), "z", normal_tail(F.col("z")).alias("z_p"), "effect", "lo", "hi")
 
 
 def log_normal(df: DataFrame, x: str, by: str) -> DataFrame:

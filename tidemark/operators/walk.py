@@ -195,54 +195,6 @@ def shuffle_control(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.avg(x).alias("rate"), F.avg(y).alias("shuffled_rate"), (F.sum(x) == F.sum(y)).alias("preserved"), F.count_if(F.col(label) == F.col("shuffled")).alias("same_place"))
 
 
-def isotonic(df: DataFrame, p: str, y: str, bins: int = 1000) -> DataFrame:
-    """Isotonic calibration by pooling neighbours: rows become at most ``bins`` distinct scores, whose counts and sums
-    are pooled in one small group, and each row takes the pooled rate of its score: columns of ``df`` and ``calibrated``."""
-    own = df.withColumn("_x", F.round(F.col(p) * bins).cast("long"))
-    sums = own.groupBy("_x").agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
-
-    def pool(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_x")
-        blocks: list[list] = []
-        for x, n, s in zip(rows["_x"], rows["n"], rows["s"]):
-            blocks.append([[x], n, s])
-            while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] > blocks[-1][2] / blocks[-1][1]:
-                xs, n2, s2 = blocks.pop()
-                blocks[-1] = [blocks[-1][0] + xs, blocks[-1][1] + n2, blocks[-1][2] + s2]
-        flat = [(x, float(np.clip(s / n, 0, 1))) for xs, n, s in blocks for x in xs]
-        return pd.DataFrame(flat, columns=["_x", "calibrated"])
-
-    table = sums.groupBy().applyInPandas(pool, "_x long, calibrated double")
-    return own.join(F.broadcast(table), "_x").drop("_x")
-
-
-def temperature(df: DataFrame, classes: dict[str, int], y: str, by: str, least: int = 50) -> DataFrame:
-    """Temperature of the lowest log loss per group, from a coarse grid within [0.05, 20] and then a finer one around
-    its best, each one aggregate; groups need ``least`` rows and two classes. ``classes``: probability column -> class."""
-    logs = [F.log(F.greatest(F.col(c), F.lit(1e-15))) for c in classes]
-
-    def loss(t: Column) -> Column:
-        z = [v / t for v in logs]
-        top = F.greatest(*z)
-        own = _total([F.when(F.col(y) == k, v).otherwise(0.0) for v, k in zip(z, classes.values())])
-        return F.avg(top + F.log(_total([F.exp(v - top) for v in z])) - own)
-
-    def search(rows: DataFrame, grid: list[Column]) -> DataFrame:
-        found = rows.withColumn("_g", F.explode(F.array(*grid))).groupBy(by, "_g").agg(loss(F.col("_g")).alias("loss"))
-        return found.groupBy(by).agg(F.min_by("_g", F.struct("loss", "_g")).alias("temperature"), F.min("loss").alias("log_loss"))
-
-    kept = df.groupBy(by).agg(F.count("*").alias("_n"), F.countDistinct(y).alias("_c")).where((F.col("_n") >= least) & (F.col("_c") >= 2)).select(by)
-    own = df.select(by, y, *classes).join(kept, by, "left_semi")
-    grid = np.geomspace(0.05, 20, 25)
-    around = own.join(F.broadcast(search(own, [F.lit(float(t)) for t in grid]).select(by, F.col("temperature").alias("_t"))), by)
-    step = float(grid[1] / grid[0])
-    return search(around, [F.greatest(F.lit(0.05), F.least(F.lit(20.0), F.col("_t") * float(step**e))) for e in np.linspace(-1, 1, 21)])
-
-
-def _total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def fold_gate(folds: DataFrame, seed: int = 7, replicates: int = 2000, least_rate: float = 0.7, alpha: float = 0.05, p_limit: float = 0.01) -> DataFrame:
     """Gate over per-fold improvements (fold, baseline, model): positive share, exact sign test, one-sided sign-flip
     p-value and the bootstrap interval of the mean, and whether all pass. A fold table is small: one group."""

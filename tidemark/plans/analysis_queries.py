@@ -17,7 +17,7 @@ from tidemark.operators import scan as S
 from tidemark.operators import stats as T
 from tidemark.operators import windows as W
 from tidemark.operators.recursive import change_points
-from tidemark.plans.registry import BY, daily, factors, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
+from tidemark.plans.registry import BY, NORMAL_P, daily, factors, full, hourly, lag, over, p_value, query, read, roll, stored, ticks, with_returns
 from tidemark.plans.window_queries import CROSS, SO_FAR
 
 R = "rets WHERE r IS NOT NULL"
@@ -190,11 +190,20 @@ def _(spark, d):
     return T.entropy(read(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
 
 
-@query("agg36_mean_tests", f"WITH c AS (SELECT symbol, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd FROM {R} GROUP BY symbol) SELECT symbol, n, mean, sd, mean / (sd / sqrt(n)) AS t, mean / sd AS effect, mean - {_Z} * sd / sqrt(n) AS lo, mean + {_Z} * sd / sqrt(n) AS hi FROM c", use="rets", r="mean sd t effect lo hi")
+_TESTS = f"SELECT {{by}}, n, mean, sd, t, CASE WHEN t IS NOT NULL THEN {p_value('t', '(n - 1)')} END AS t_p, z, {NORMAL_P.format(t='z')} AS z_p, mean / nullif(sd, 0) AS effect, mean - {_Z} * sd / sqrt(n) AS lo, mean + {_Z} * sd / sqrt(n) AS hi FROM (SELECT *, mean / nullif(sd / sqrt(n), 0) AS t, mean / nullif(s0 / sqrt(n), 0) AS z FROM c)"
+
+
+@query("agg36_mean_tests", f"WITH c AS (SELECT symbol, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, stddev_pop(r) AS s0 FROM {R} GROUP BY symbol) {_TESTS.format(by='symbol')}", use="rets", r="mean sd t t_p z z_p effect lo hi")
 def _(spark, d):
     return T.mean_tests(_returns(spark, d), "r", "symbol")
 
 
+@query("agg36_small_groups", f"WITH c AS (SELECT symbol, date_trunc('month', ts) AS month, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, stddev_pop(r) AS s0 FROM {R} GROUP BY 1, 2) {_TESTS.format(by='symbol, month')}", use="rets", r="mean sd t t_p z z_p effect lo hi", t="month")
+def _(spark, d):
+    """One test a month: few rows, by Student's law."""
+    return T.mean_tests(_returns(spark, d).withColumn("month", F.date_trunc("month", "ts")), "r", ["symbol", "month"])
+
+
 @query("agg37_distribution_fits", "SELECT symbol, avg(close) AS mu, stddev_samp(close) AS sigma, avg(ln(close)) AS log_mu, stddev_samp(ln(close)) AS log_sigma FROM bars GROUP BY symbol", r="mu sigma log_mu log_sigma")
 def _(spark, d):
     return T.log_normal(daily(spark, d), "close", "symbol")

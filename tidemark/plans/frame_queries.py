@@ -94,11 +94,23 @@ def _(spark, d):
     return E.confident_trades(own, "event_type")
 
 
-@query("agg60_intervals", "WITH f AS (SELECT symbol, count(*) AS n, regr_slope(high, low) AS slope, regr_sxx(high, low) AS xx, sqrt(greatest(regr_syy(high, low) - regr_sxy(high, low) ** 2 / regr_sxx(high, low), 0) / (count(*) - 2)) AS s, avg(high) AS y FROM bars GROUP BY 1) SELECT symbol, n, slope, slope - 1.959963984540054 * s / sqrt(xx) AS slope_lo, slope + 1.959963984540054 * s / sqrt(xx) AS slope_hi, y - 1.959963984540054 * s * sqrt(1 + 1 / n) AS next_lo, y + 1.959963984540054 * s * sqrt(1 + 1 / n) AS next_hi FROM f", r="slope slope_lo slope_hi next_lo next_hi")
+_FIT = "f AS (SELECT {by}, count(*) AS n, regr_slope(high, low) AS slope, regr_sxx(high, low) AS xx, sqrt(greatest(regr_syy(high, low) - regr_sxy(high, low) ** 2 / nullif(regr_sxx(high, low), 0), 0) / nullif(count(*) - 2, 0)) AS s, avg(high) AS y, CASE WHEN count(*) >= 32 THEN 1.96 ELSE 1.96 * (1 + (32 - greatest(count(*), 3)) / 30.0 * 0.5) END::DOUBLE AS t FROM bars GROUP BY ALL)"
+_INTERVALS = "n, slope, slope - t * s / sqrt(nullif(xx, 0)) AS slope_lo, slope + t * s / sqrt(nullif(xx, 0)) AS slope_hi, y - t * s * sqrt(1 + 1 / n) AS next_lo, y + t * s * sqrt(1 + 1 / n) AS next_hi"
+
+
+@query("agg60_intervals", f"WITH {_FIT.format(by='symbol')} SELECT symbol, {_INTERVALS} FROM f", r="slope slope_lo slope_hi next_lo next_hi")
 def _(spark, d):
     return E.fitted_intervals(daily(spark, d), "high", "low")
 
 
+@query("agg60_small_groups", f"WITH {_FIT.replace('(high, low)', '(high, volume)').format(by=chr(39) + chr(39) + ' || symbol AS symbol, date_trunc(' + chr(39) + 'month' + chr(39) + ', ts) AS month')} SELECT symbol, month, {_INTERVALS} FROM f WHERE xx > 1e-9", r="slope slope_lo slope_hi next_lo next_hi", t="month", digits=5)
+def _(spark, d):
+    """One line a month: up to 31 rows, where the critical value grows as rows get fewer."""
+    own = daily(spark, d).withColumn("month", F.date_trunc("month", "ts"))
+    moving = own.groupBy("symbol", "month").agg(F.regr_sxx("high", "volume").alias("_xx")).where("_xx > 1e-9").drop("_xx")
+    return E.fitted_intervals(own.join(moving, ["symbol", "month"]), "high", "volume", by=["symbol", "month"])
+
+
 @query("agg06_five_numbers", "SELECT symbol, min(close) AS least, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.5) AS median, quantile_cont(close, 0.75) AS q3, max(close) AS most, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS iqr FROM bars GROUP BY 1", r="least q1 median q3 most iqr")
 def _(spark, d):
     q = F.percentile("close", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))

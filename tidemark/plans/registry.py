@@ -126,3 +126,14 @@ def roll(f: str, of: str, w: int) -> str:
 
 def lag(of: str, n: int = 1) -> str:
     return f"lag({of}, {n}) OVER ({BY})"
+
+
+#: Two-sided tails: the normal law by its series, and Student's by that of the incomplete beta function, which
+#: converges fast on the side of the smaller argument.
+NORMAL_P = "CASE WHEN abs({t}) >= 8 THEN 0 WHEN {t} = 0 THEN 1 ELSE greatest(0, 1 - 2 * exp(-{t} * {t} / 2) / sqrt(2 * pi()) * list_sum(list_transform(generate_series(0, 150), lambda k: exp((2 * k + 1) * ln(abs({t})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))) END"
+_SERIES = "exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a} * (1 + list_sum(list_transform(generate_series(0, 400), lambda k: exp(lgamma({a} + 1) + lgamma({a} + {b} + k + 1) - lgamma({a} + {b}) - lgamma({a} + k + 2) + (k + 1) * ln({x})))))"
+STUDENT_P = f"CASE WHEN {{t}} = 0 THEN 1 WHEN {{t}} * {{t}} > {{df}} THEN {_SERIES.format(a='({df} / 2.0)', b='0.5', x='({df} / ({df} + {t} * {t}))')} ELSE 1 - {_SERIES.format(a='0.5', b='({df} / 2.0)', x='({t} * {t} / ({df} + {t} * {t}))')} END"
+
+
+def p_value(t: str, df: str) -> str:
+    return f"CASE WHEN {df} >= 30 THEN {NORMAL_P.format(t=t)} WHEN {df} >= 1 THEN {STUDENT_P.format(t=t, df=df)} END"

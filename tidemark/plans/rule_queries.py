@@ -15,7 +15,7 @@ from tidemark.operators import stats as T
 from tidemark.operators import study as Y
 from tidemark.operators import windows as W
 from tidemark.plans.analysis_queries import _FEEDS, _WIDE, R, _feeds, _returns, _wide
-from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
+from tidemark.plans.registry import BY, daily, full, hourly, lag, over, p_value, query, read, roll, stored, ticks, with_returns
 from tidemark.plans.window_queries import SO_FAR
 from tidemark.streaming import jobs as J
 
@@ -74,12 +74,23 @@ def _(spark, d):
     return own.select("corr", "n", T.relation_type(F.col("corr")).alias("type"), T.strength(F.col("corr")).alias("strength"))
 
 
-@query("agg23_p_value", None, r="corr p")
+_T = "abs(r) * sqrt((n - 2) / (1 - r * r))"
+
+
+@query("agg23_p_value", f"WITH c AS (SELECT symbol, corr(high, volume) AS r, count(*) AS n FROM hourly GROUP BY symbol), t AS (SELECT *, {_T} AS t FROM c) SELECT symbol, r AS corr, n, {p_value('t', '(n - 2)')} AS p FROM t", use="hourly", r="corr p")
 def _(spark, d):
     own = hourly(spark, d).groupBy("symbol").agg(W.corr("high", "volume").alias("corr"), F.count("*").alias("n"))
     return own.select("symbol", "corr", "n", T.correlation_p(F.col("corr"), F.col("n")).alias("p"))
 
 
+@query("agg23_small_samples", f"WITH c AS (SELECT symbol, date_trunc('day', ts) AS day, CASE WHEN var_pop(high) > 0 AND var_pop(volume) > 0 THEN corr(high, volume) END AS r, count(*) AS n FROM hourly GROUP BY 1, 2), t AS (SELECT *, CASE WHEN n >= 3 AND abs(r) < 1 - 1e-9 THEN {_T} END AS t FROM c WHERE r IS NULL OR abs(r) < 1 - 1e-9) SELECT symbol, day, r AS corr, n, CASE WHEN t IS NOT NULL THEN {p_value('t', '(n - 2)')} END AS p FROM t", use="hourly", r="corr p", t="day")
+def _(spark, d):
+    """Correlations of one day's hours: 3 to 24 pairs, by Student's law."""
+    own = hourly(spark, d).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(W.corr("high", "volume").alias("corr"), F.count("*").alias("n"))
+    own = own.where(F.col("corr").isNull() | (F.abs("corr") < 1 - 1e-9))
+    return own.select("symbol", "day", "corr", "n", T.correlation_p(F.col("corr"), F.col("n")).alias("p"))
+
+
 _TENORS = [0.25, 1.0, 2.0, 3.0, 5.0, 7.0, 10.0, 20.0, 25.0, 30.0]
 _CURVE = f"c AS (SELECT date_trunc('month', o_orderdate) AS day, ({_TENORS})[o_orderkey % 10 + 1]::DOUBLE AS tenor, avg(o_totalprice / 997) AS y FROM orders GROUP BY 1, 2), g AS (SELECT day, count(*) AS n, list(y ORDER BY tenor) AS ys, covar_pop(tenor, y) AS xy, var_pop(tenor) AS xx, max(y) FILTER (WHERE tenor = 10) AS y10, max(y) FILTER (WHERE tenor = 2) AS y2, max(y) FILTER (WHERE tenor = 30) AS y30, max(y) FILTER (WHERE tenor = 0.25) AS y3m FROM c GROUP BY 1)"
 

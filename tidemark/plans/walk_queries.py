@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import labels as L
 from tidemark.operators import macro as O
 from tidemark.operators import scan as S
+from tidemark.operators import calibration as C
 from tidemark.operators import walk as K
 from tidemark.operators import windows as W
 from tidemark.plans.analysis_queries import OUTCOMES, R, _outcomes, _returns
@@ -129,13 +130,24 @@ def _(spark, d):
 
 @query("res19_isotonic", None, r="p calibrated")
 def _(spark, d):
-    e = read(spark, d, "events").select("event_id", ((F.col("event_id") * 7919 % 1000) / 1000).alias("p"), ((F.col("event_id") * 7919 % 1000) / 1000 + (F.col("event_id") * 104729 % 1000) / 1000 > 1).cast("int").alias("y"))
-    return K.isotonic(e, "p", "y").select("event_id", "p", "calibrated")
+    """Scores that are continuous: many distinct ones, pooled in ranges and up a tree."""
+    p = F.col("value") / (F.col("value") + 1)
+    e = read(spark, d, "events").select("event_id", p.alias("p"), (p + (F.col("event_id") * 104729 % 1000) / 1000 > 1).cast("int").alias("y"))
+    return C.isotonic(e, "p", "y").select("event_id", "p", "calibrated")
 
 
-@query("res20_temperature", None, r="temperature log_loss", digits=4)
+_LOGS = ", ".join(f"ln(greatest(coalesce({c}, 0), 1e-15)) AS {n}" for c, n in (("p_up", "a"), ("p_flat", "b"), ("p_down", "c")))
+_OWN, _REST = "CASE WHEN y = 1 THEN a WHEN y = 0 THEN b ELSE c END", "ln(exp(a / t) + exp(b / t) + exp(c / t))"
+_SQUARES = " + ".join(f"(exp({n} / t - {_REST}) - (y = {k})::INT) ** 2" for n, k in (("a", 1), ("b", 0), ("c", -1)))
+
+
+@query(
+    "res20_temperature",
+    f"WITH {_X}, {_model_sql()}, l AS MATERIALIZED (SELECT symbol, fold, y, {_LOGS} FROM sc WHERE y IS NOT NULL), g AS (SELECT k, 0.05 * 400 ** (k / 480.0) AS t FROM range(481) r(k)), o AS (SELECT symbol, fold, k, t, sum({_REST} - {_OWN} / t) AS loss FROM l, g GROUP BY ALL), e AS (SELECT *, sum(loss) OVER (PARTITION BY symbol, k ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM o), b AS (SELECT symbol, fold, arg_min(t, (earlier, k)) AS t FROM e WHERE earlier IS NOT NULL GROUP BY ALL), n AS (SELECT f.symbol, f.fold, count(l.y) AS n_before, count(DISTINCT l.y) AS classes FROM (SELECT DISTINCT symbol, fold FROM l) f LEFT JOIN l ON l.symbol = f.symbol AND l.fold < f.fold GROUP BY ALL), j AS (SELECT l.*, n_before, CASE WHEN n_before >= 50 AND classes >= 2 THEN b.t END AS fitted FROM l JOIN n USING (symbol, fold) LEFT JOIN b USING (symbol, fold)), s AS (SELECT symbol, fold, n_before, fitted AS t, y, a, b, c FROM j) SELECT symbol, fold, max(n_before) AS n_before, count(*) AS n, max(t) AS temperature, avg({_REST.replace('t)', '1)')} - {_OWN}) AS raw_log_loss, avg({_REST} - {_OWN} / t) AS log_loss, avg({_SQUARES.replace('/ t', '/ 1')}) AS raw_brier, avg({_SQUARES}) AS brier FROM s GROUP BY ALL",
+    r="temperature raw_log_loss log_loss raw_brier brier",
+)
 def _(spark, d):
-    return K.temperature(_scored(spark, d), {"p_up": 1, "p_flat": 0, "p_down": -1}, "y", "symbol", 30)
+    return C.temperature_by_fold(_scored(spark, d), {"p_up": 1, "p_flat": 0, "p_down": -1}, "y", ["symbol"])
 
 
 @query("res34_fold_gate", None, r="positive_rate mean sign_p flip_p ci_lo ci_hi")
