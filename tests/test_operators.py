@@ -193,6 +193,33 @@ def test_lineage(spark):
     assert lineage.shortest_path(edges, "d", "c") == ["d", "a", "c"] and lineage.shortest_path(edges, "d", "zz") == []
 
 
+def test_deep_graphs_are_walked_to_their_ends(spark):
+    chain = spark.range(1000).selectExpr("concat('n', id) as parent", "concat('n', id + 1) as child")
+    start = spark.createDataFrame([("n0",), ("n990",)], "node string")
+    got = lineage.closure(chain, start)
+    assert got.count() == 1010 and got.where("depth = cast(substring(node, 2) as long) - cast(substring(start, 2) as long)").count() == 1010
+    assert lineage.closure(chain, spark.createDataFrame([("n70",)], "node string"), up=True).count() == 70
+    assert lineage.shortest_path(chain.where("parent < 'n2'"), "n19", "n10") == [f"n{i}" for i in range(19, 9, -1)]
+
+
+def test_closure_of_hubs_and_loops_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(40)] + [(40, 0), (3, 3)] + [(7, k) for k in range(100, 130)] + [(k, 41) for k in range(100, 130)] + [(41 + i, 42 + i) for i in range(20)] + [(rng.randrange(62), rng.randrange(62)) for _ in range(6)]
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    want, depth, edge = {5: 0}, 0, {5}
+    while edge:
+        depth += 1
+        edge = {b for a in edge for b in out.get(a, ())} - set(want)
+        want |= dict.fromkeys(edge, depth)
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "parent string, child string")
+    got = {int(r.node): r.depth for r in lineage.closure(edges, spark.createDataFrame([("5",)], "node string")).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_book_metrics(spark):
     level = lambda *x: [{"price": p, "size": s, "order_count": 1} for p, s in x]
     books = spark.createDataFrame([("s", day(0), level((9.0, 1.0), (8.0, 2.0)), level((11.0, 4.0)))], schema.BOOKS)

@@ -2,56 +2,83 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import stored
+
 
-def step(spark_df: DataFrame) -> DataFrame:
-    """Cut the plan's lineage between rounds where a checkpoint folder is set; else leave it as it is."""
-    session = spark_df.sparkSession
-    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
-    return spark_df.checkpoint() if folder else spark_df.cache()
+#: Rounds of one edge each before rounds double their length; a power of two.
+SINGLE = 8
+#: Pairs of nodes, in multiples of the number of edges, up to which rounds double.
+PAIRS = 8
 
 
-def closure(edges: DataFrame, starts: DataFrame, up: bool = False, limit: int = 64) -> DataFrame:
-    """Descendants (``up``: ancestors) of every start node: start, node, depth. Cycles end, as a node is reached once.
+def closure(edges: DataFrame, starts: DataFrame, up: bool = False, until: str | None = None) -> DataFrame:
+    """Descendants (``up``: ancestors) of every start node at any depth: start, node, depth (the least). Cycles end, as a
+    node is reached once; a start is not its own descendant. ``until``: stop when this node has been reached.
 
-    All starts move on together; each round joins only the frontier to the edges and drops what is known.
+    All starts move on together. First rounds follow one edge from the nodes that are new. Deeper graphs go on by
+    doubling: what is within m edges, joined with the pairs that are exactly m edges apart, gives what is within 2 m, so
+    a chain takes as many rounds as its depth has binary digits. Where hubs would make many more such pairs than there are
+    edges, rounds go on one edge at a time. What a round finds is stored once and not written again.
     """
     here, there = ("child", "parent") if up else ("parent", "child")
-    links = edges.select(F.col(here).alias("node"), F.col(there).alias("to")).distinct()
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for depth in range(1, limit + 1):
-        new = frontier.join(links, "node").select("start", F.col("to").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
-        frontier = step(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    links = stored(edges.select(F.col(here).alias("node"), F.col(there).alias("to")).where("node is not null and to is not null").distinct())
+    found = [stored(starts.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("depth")).where("node is not null").distinct())]
+    hops, length, depth, most = links, 1, 0, 0
+    while True:
+        known = reduce(DataFrame.unionByName, found)
+        if depth >= SINGLE and most == 0:
+            most = PAIRS * links.count()
+        while hops is not None and depth >= SINGLE and length < depth:
+            hops, length = (_twice(hops), 2 * length) if _pairs(hops) <= most else (None, 1)
+        if depth < SINGLE or hops is None:
+            reached, by, step = known.where(F.col("depth") == depth), links, 1
+        else:
+            reached, by, step = known, hops, length
+        new = reached.join(by, "node").groupBy("start", F.col("to").alias("node")).agg((F.min("depth") + step).alias("depth"))
+        fresh = stored(new.join(known.select("start", "node"), ["start", "node"], "left_anti"))
+        depth += step
+        if fresh.isEmpty():
             break
-        seen = step(seen.unionByName(frontier))
-    return seen.where("depth > 0")
-
-
-def shortest_path(edges: DataFrame, start: str, end: str, limit: int = 64) -> list[str]:
-    """One shortest undirected path; among equals the smallest predecessors win."""
-    links = edges.select("parent", "child").unionByName(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, None)], "node string, came string")
-    frontier, rounds = seen, 0
-    while start != end and rounds < limit:
-        rounds += 1
-        reached = frontier.join(links.select(F.col("parent").alias("node"), F.col("child").alias("to")), "node").groupBy("to").agg(F.min("node").alias("came"))
-        frontier = step(reached.select(F.col("to").alias("node"), "came").join(seen.select("node"), "node", "left_anti"))
-        if frontier.isEmpty():
-            return []
-        seen = step(seen.unionByName(frontier))
-        if not frontier.where(F.col("node") == end).isEmpty():
+        found.append(fresh)
+        if until is not None and not fresh.where(F.col("node") == until).isEmpty():
             break
-    path = [end]
-    while path[-1] != start and len(path) <= rounds + 1:
-        came = seen.where(F.col("node") == path[-1]).first()
-        if came is None or came["came"] is None:
-            return []
-        path.append(came["came"])
-    return path[::-1]
+    return reduce(DataFrame.unionByName, found).where("depth > 0")
+
+
+def _pairs(hops: DataFrame) -> int:
+    """Rows that joining the pairs with themselves makes."""
+    into, out = hops.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("a")), hops.groupBy("node").agg(F.count("*").alias("b"))
+    return into.join(out, "node").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+
+
+def _twice(hops: DataFrame) -> DataFrame:
+    """Pairs twice as many edges apart."""
+    return stored(hops.join(hops.select(F.col("node").alias("to"), F.col("to").alias("_end")), "to").select("node", F.col("_end").alias("to")).distinct())
+
+
+def shortest_path(edges: DataFrame, start: str, end: str) -> list[str]:
+    """One shortest undirected path; among equals the smallest predecessors win. Empty where there is none.
+
+    Depths from the start come from :func:`closure`. Every node's predecessor, the smallest neighbour one edge nearer,
+    makes a forest, in which the ancestors of the end are the path; only that reaches the driver.
+    """
+    both = edges.select("parent", "child").unionByName(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
+    session = edges.sparkSession
+    if start == end:
+        return [start]
+    source = session.createDataFrame([(start,)], "node string")
+    depths = stored(closure(both, source, until=end).select("node", "depth").unionByName(source.withColumn("depth", F.lit(0).cast("long"))))
+    if depths.where(F.col("node") == end).isEmpty():
+        return []
+    near, far = depths.select(F.col("node").alias("parent"), F.col("depth").alias("_d")), depths.select(F.col("node").alias("child"), "depth")
+    forest = both.join(near, "parent").join(far, "child").where(F.col("depth") == F.col("_d") + 1).groupBy("child").agg(F.min("parent").alias("parent"))
+    back = closure(forest, session.createDataFrame([(end,)], "node string"), up=True)
+    return [*[r["node"] for r in back.orderBy(F.desc("depth")).collect()], end]
 
 
 def lineage_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:

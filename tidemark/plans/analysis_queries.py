@@ -559,7 +559,7 @@ def _edges(spark, d):
 @query("gra02_descendants", f"WITH RECURSIVE {_EDGES}, s AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT s.start, e.child, s.depth + 1 FROM s JOIN e ON e.parent = s.node) SELECT start, depth::INT AS depth, count(*) AS n FROM s WHERE depth > 0 GROUP BY 1, 2", use="")
 def _(spark, d):
     starts = read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"))
-    return G.closure(_edges(spark, d), starts).groupBy("start", "depth").agg(F.count("*").alias("n"))
+    return G.closure(_edges(spark, d), starts).groupBy("start", F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
 
 
 @query("gra08_degrees", f"WITH {_EDGES}, a AS (SELECT parent AS node, count(*) AS children FROM e GROUP BY 1), b AS (SELECT child AS node, count(*) AS parents FROM e GROUP BY 1) SELECT node, coalesce(children, 0) AS children, coalesce(parents, 0) AS parents FROM a FULL JOIN b USING (node)", use="")
