@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import extension, folds, frame, recursive, relations, retrieval, stats, walk
+from tidemark.operators import extension, folds, frame, recursive, relations, resample, retrieval, stats, walk
 from tidemark.streaming import jobs
 
 
@@ -114,12 +114,12 @@ def test_bootstrap_of_means_and_medians_agree_with_theory(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(5, 2, 400)
     df = spark.createDataFrame([(i, float(v), "g") for i, v in enumerate(x)], "k long, v double, g string")
-    mean = folds.bootstrap_means(df, "v", "k", "g", 400, 3).first()
+    mean = resample.bootstrap(df, "v", "k", "g", 400, 3).first()
     assert abs((mean.hi - mean.lo) / 2 - 1.96 * x.std() / 20) < 0.05 and mean.lo < x.mean() < mean.hi
     weighted = extension.bootstrap_statistic(df, "v", "k", "g", lambda v, w: float((v * w).sum() / w.sum()), 400).first()
     assert weighted.replicates == 400 and abs((weighted.hi - weighted.lo) - (mean.hi - mean.lo)) < 0.06 and weighted.lo < x.mean() < weighted.hi
-    p = folds.sign_flip_p(df.withColumn("v", F.col("v") - float(x.mean())), "v", "k", "g", 200, 3).first().p
-    assert p > 0.9 and folds.sign_flip_p(df, "v", "k", "g", 200, 3).first().p < 0.01
+    p = resample.sign_flip_p(df.withColumn("v", F.col("v") - float(x.mean())), "v", "k", "g", 200, 3).first().p
+    assert p > 0.9 and resample.sign_flip_p(df, "v", "k", "g", 200, 3).first().p < 0.01
 
 
 def test_retrieval_with_tags_age_and_sources(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.functions import scalar
-from tidemark.operators import asof, bars, folds, labels, lineage, quality, recursive, regress, relations, retrieval, risk, scan, stats, windows
+from tidemark.operators import asof, bars, folds, labels, lineage, quality, recursive, regress, relations, resample, retrieval, risk, scan, stats, windows
 from tidemark.sources import csv as csv_source
 from tidemark.sources import tables
 from tidemark.streaming import jobs
@@ -148,9 +148,9 @@ def test_prior_rate_never_sees_later_outcomes(spark):
 def test_resampling_agrees_with_theory(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(rng.normal(0.5, 1, 400))], "g string, i long, x double")
-    row = folds.bootstrap_means(df, "x", "i", "g", 300, 1).first()
+    row = resample.bootstrap(df, "x", "i", "g", 300, 1).first()
     assert 0.15 < row.hi - row.lo < 0.25 and row.lo < 0.5 < row.hi
-    assert folds.sign_flip_p(df, "x", "i", "g", 200, 1).first().p < 0.01
+    assert resample.sign_flip_p(df, "x", "i", "g", 200, 1).first().p < 0.01
 
 
 def test_regressions(spark):

@@ -14,6 +14,14 @@ def expanding_folds(spark: SparkSession, n: int, initial: int, step: int) -> Dat
     return spark.range(k).select(fold.alias("fold"), F.lit(0).cast("long").alias("train_lo"), lo.alias("train_hi"), lo.alias("test_lo"), F.least(lo + step, F.lit(n)).alias("test_hi"))
 
 
+def expanding_folds_of(rows: DataFrame, initial: int, step: int, by: str = "symbol") -> DataFrame:
+    """The folds of every series, by its own number of rows."""
+    sized = rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > initial)
+    many = sized.select(by, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - initial - 1) / step))).alias("_k"))
+    lo = F.lit(initial) + F.col("_k") * step
+    return many.select(by, F.col("_k").cast("int").alias("fold"), F.lit(0).cast("long").alias("train_lo"), lo.alias("train_hi"), lo.alias("test_lo"), F.least(lo + step, F.col("_n")).alias("test_hi"))
+
+
 def purged_folds(rows: DataFrame, k: int, purge: int, embargo: int, by: str = "symbol") -> DataFrame:
     """k equal test blocks of every series, by its own number of rows; training is what lies before less ``purge`` rows
     and after plus ``purge`` and ``embargo`` rows."""
@@ -53,8 +61,8 @@ def totals_before(rows: DataFrame, at: str, folds: DataFrame, by: list[str], sum
     """
     days = rows.where(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("_day"), *by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     cut = folds.select("fold", "cutoff", F.to_date("cutoff").alias("_cut"))
-    whole = days.join(F.broadcast(cut), F.col("_day") < F.col("_cut")).select("fold", *by, *sums)
-    last = rows.withColumn("_cut", F.to_date(at)).join(F.broadcast(cut), "_cut").where(F.col(at) < F.col("cutoff")).select("fold", *by, *[c.alias(n) for n, c in sums.items()])
+    whole = days.join(cut, F.col("_day") < F.col("_cut")).select("fold", *by, *sums)
+    last = rows.withColumn("_cut", F.to_date(at)).join(cut, "_cut").where(F.col(at) < F.col("cutoff")).select("fold", *by, *[c.alias(n) for n, c in sums.items()])
     return whole.unionByName(last).groupBy("fold", *by).agg(*[F.sum(n).alias(n) for n in sums])
 
 
@@ -66,7 +74,7 @@ def prior_rate(events: DataFrame, folds: DataFrame) -> DataFrame:
     """
     sums = {"n_train": F.when(F.col("realized_end").isNotNull(), 1).cast("long"), "_known": F.col("hit").isNotNull().cast("long"), "_hits": F.coalesce(F.col("hit").cast("long"), F.lit(0).cast("long"))}
     train = totals_before(events, "realized_end", folds.select("fold", F.col("start").alias("cutoff")), ["direction"], sums).select("fold", "direction", "n_train", F.try_divide("_hits", "_known").alias("p"))
-    test = events.join(F.broadcast(folds), (events["ts"] >= folds["start"]) & (events["ts"] < folds["stop"])).groupBy("fold", "direction").agg(F.count("*").alias("n_test"), F.avg(F.col("hit").cast("double")).alias("observed"))
+    test = events.join(folds, (events["ts"] >= folds["start"]) & (events["ts"] < folds["stop"])).groupBy("fold", "direction").agg(F.count("*").alias("n_test"), F.avg(F.col("hit").cast("double")).alias("observed"))
     return train.join(test, ["fold", "direction"])
 
 
@@ -81,33 +89,6 @@ def adjust_p_values(df: DataFrame, p: str = "p", tie: str = "name") -> DataFrame
     return own.select(*df.columns, "bonferroni", F.least(one, F.max("_holm").over(up)).alias("holm"), F.least(one, F.min("_bh").over(down)).alias("benjamini_hochberg"))
 
 
-def _uniform(*parts):
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / (1 << 52)
-
-
-def bootstrap_means(df: DataFrame, x: str, row_key: str, by: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean by Poisson(1) replicate weights from a hash of (seed, replicate, row).
-
-    No resample is built: rows are exploded over the replicates and summed at once; the result has the same law as
-    drawing with replacement, not the same digits as any other generator.
-    """
-    u = _uniform(F.lit(seed), "_b", row_key)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)), F.lit(0))
-    own = df.where(F.col(x).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight)
-    means = own.groupBy(by, "_b").agg((F.sum(F.col("_w") * F.col(x)) / F.sum("_w")).alias("m"))
-    a = (1 - level) / 2
-    return means.groupBy(by).agg(F.percentile("m", F.lit(a)).alias("lo"), F.percentile("m", F.lit(1 - a)).alias("hi"), F.avg("m").alias("mean"))
-
-
-def sign_flip_p(df: DataFrame, x: str, row_key: str, by: str, permutations: int, seed: int) -> DataFrame:
-    """Two-sided p-value of a zero mean by random signs from a hash: (1 + as extreme) / (1 + permutations)."""
-    sign = F.when(_uniform(F.lit(seed), "_b", row_key) < 0.5, -1.0).otherwise(1.0)
-    own = df.where(F.col(x).isNotNull())
-    seen = own.groupBy(by).agg(F.abs(F.avg(x)).alias("observed"))
-    flipped = own.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).groupBy(by, "_b").agg(F.abs(F.avg(sign * F.col(x))).alias("m"))
-    return flipped.join(seen, by).groupBy(by).agg(((F.count_if(F.col("m") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
-
-
 def rows_of_folds(rows: DataFrame, initial: int, step: int, by: str = "symbol") -> DataFrame:
     """Test rows of expanding folds, by their number in the series: the fold follows from ``idx`` alone, so that the
     join of rows to fold bounds is a projection."""

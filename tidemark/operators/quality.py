@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import Blocks, base, reads
+from tidemark.operators.selection import elements
 from tidemark.operators.windows import series
+from tidemark.sources.scratch import stored
 
 
 @reads(1)
@@ -45,9 +47,7 @@ def z_outliers(bars: DataFrame, x: str, limit: float = 3.0) -> DataFrame:
 
 def iqr_outliers(bars: DataFrame, x: str, factor: float = 1.5) -> DataFrame:
     """Values outside the quartile fences; quartiles are the elements n//4 and 3n//4 of the ascending values."""
-    w = Window.partitionBy("symbol").orderBy(x)
-    ranked = bars.select("symbol", x, (F.row_number().over(w) - 1).alias("_k"), F.count("*").over(Window.partitionBy("symbol")).alias("_n"))
-    q = ranked.groupBy("symbol").agg(F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 4), F.col(x))).alias("q1"), F.max(F.when(F.col("_k") == F.floor(3 * F.col("_n") / 4), F.col(x))).alias("q3"))
+    q = elements(bars, x, {"q1": F.floor(F.col("n") / 4), "q3": F.floor(3 * F.col("n") / 4)})
     span = factor * (F.col("q3") - F.col("q1"))
     return bars.join(q, "symbol").where((F.col(x) < F.col("q1") - span) | (F.col(x) > F.col("q3") + span)).select("symbol", "ts", x)
 
@@ -68,15 +68,35 @@ def validation_report(bars: DataFrame | Blocks, seconds: int) -> DataFrame:
 def upper_median_interval(bars: DataFrame | Blocks) -> DataFrame:
     """Element n//2 of the ascending distances between neighbours, in seconds."""
     d = neighbours(bars).select("symbol", (F.unix_timestamp("ts") - F.unix_timestamp("before")).alias("d")).where("d is not null")
-    w = Window.partitionBy("symbol").orderBy("d")
-    return d.select("symbol", "d", (F.row_number().over(w) - 1).alias("_k"), F.count("*").over(Window.partitionBy("symbol")).alias("_n")).where(F.col("_k") == F.floor(F.col("_n") / 2)).select("symbol", F.col("d").alias("seconds"))
+    return elements(d, "d", {"seconds": F.floor(F.col("n") / 2)}).select("symbol", F.col("seconds").cast("long").alias("seconds"))
 
 
-def dataset_digest(rows: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """A digest that does not depend on row order: hashes of rows, sorted and hashed by prefix, then those again."""
+#: Distinct row hashes that one leaf of a digest's tree holds, about.
+LEAF = 1024
+
+
+def dataset_digest(rows: DataFrame, columns: list[str], by: str, leaf: int = LEAF) -> DataFrame:
+    """A digest that does not depend on row order or partitioning: the root of a hash tree over the hashes of rows.
+
+    A leaf holds the hashes with one prefix, whose length follows the number of rows, so that no list grows with the
+    dataset; repeated rows count in one entry. Nodes hash their at most sixteen children in order, one digit shorter
+    in each step up.
+    """
     one = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    parts = rows.select(by, one.alias("_h")).groupBy(by, F.substring("_h", 1, 2).alias("_p")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("_h"))), 256).alias("_d"), F.count("*").alias("_n"))
-    return parts.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), ""), 256).alias("digest"), F.sum("_n").alias("n"))
+    hashes = rows.select(by, one.alias("_h")).groupBy(by, "_h").agg(F.count("*").alias("_c"))
+    sizes = stored(rows.groupBy(by).agg(F.count("*").alias("n")))
+    depth = sum((F.when(F.col("n") > leaf * 16**k, 1).otherwise(0) for k in range(12)), F.lit(0))
+    placed = hashes.join(sizes.select(F.col(by).alias("_by"), depth.alias("_length")), F.col(by).eqNullSafe(F.col("_by"))).withColumn("_p", F.expr("substring(_h, 1, _length)"))
+    entry = F.concat_ws(":", "_h", F.col("_c").cast("string"))
+    nodes = placed.groupBy(by, "_length", "_p").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(entry))), 256).alias("_d"))
+    deepest = sizes.agg(F.max(depth)).first()[0] or 0
+    for length in range(deepest, 0, -1):
+        child = F.struct(F.substring("_p", length, 1).alias("at"), "_d")
+        text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(child)), lambda c: F.concat_ws(":", c["at"], c["_d"])))
+        up = nodes.where(F.col("_length") == length).groupBy(by, F.substring("_p", 1, length - 1).alias("_p")).agg(F.sha2(text, 256).alias("_d"))
+        nodes = nodes.where(F.col("_length") < length).unionByName(up.withColumn("_length", F.lit(length - 1)))
+    root = nodes.select(F.col(by).alias("_by"), F.col("_d").alias("digest"))
+    return sizes.join(root, F.col(by).eqNullSafe(F.col("_by"))).select(by, "digest", "n")
 
 
 def audit_faults(log: DataFrame, block: int = 65536) -> DataFrame:

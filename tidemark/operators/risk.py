@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.selection import elements
+
 
 def win_loss(df: DataFrame, r: str, by: str = "symbol") -> DataFrame:
     """Win and loss rates, mean win and loss, their ratio, and the profit factor; 0 where nothing divides."""
@@ -25,11 +27,12 @@ def ratios(df: DataFrame, r: str, by: str = "symbol", periods: int = 252, free:
 
 def tail_risk(df: DataFrame, r: str, by: str = "symbol", alpha: float = 0.05) -> DataFrame:
     """Historical value at risk, the element int(alpha n) of the ascending returns with its sign turned, and the mean of
-    what lies at or below it. Only the tail leaves the ranked window."""
-    w = Window.partitionBy(by).orderBy(r)
-    own = df.where(F.col(r).isNotNull()).select(by, r, F.row_number().over(w).alias("_k"), F.count("*").over(Window.partitionBy(by)).alias("_n"))
-    tail = own.where(F.col("_k") <= F.floor(F.lit(alpha) * F.col("_n")) + 1)
-    return tail.groupBy(by).agg((-F.max(r)).alias("var"), (-F.avg(r)).alias("expected_shortfall"))
+    the int(alpha n) + 1 lowest. The element is selected, not ranked."""
+    own = df.where(F.col(r).isNotNull()).select(by, r)
+    limit = elements(own, r, {"_limit": F.floor(F.lit(alpha) * F.col("n"))}, by).select(by, "_limit", (F.floor(F.lit(alpha) * F.col("n")) + 1).alias("_k"))
+    # rows that tie with the limit fill the tail up to its size
+    below = own.join(limit, by).groupBy(by).agg(F.max("_limit").alias("_limit"), F.max("_k").alias("_k"), F.count_if(F.col(r) < F.col("_limit")).alias("_n"), F.coalesce(F.sum(F.when(F.col(r) < F.col("_limit"), F.col(r))), F.lit(0.0)).alias("_s"))
+    return below.select(by, (-F.col("_limit")).alias("var"), (-(F.col("_s") + F.col("_limit") * (F.col("_k") - F.col("_n"))) / F.col("_k")).alias("expected_shortfall"))
 
 
 def benchmark(df: DataFrame, r: str, m: str, by: str = "symbol", periods: int = 252) -> DataFrame:

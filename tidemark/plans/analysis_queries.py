@@ -12,6 +12,7 @@ from tidemark.operators import lineage as G
 from tidemark.operators import quality as Q
 from tidemark.operators import regress as M
 from tidemark.operators import relations as X
+from tidemark.operators import resample as Z
 from tidemark.operators import risk as K
 from tidemark.operators import scan as S
 from tidemark.operators import stats as T
@@ -431,11 +432,12 @@ def flagship(spark, d):
     return c.select("direction", "horizon_days", "n", (F.col("_k") / F.col("n")).alias("p_hit"), lo.alias("lo"), hi.alias("hi"), "mean", "mean_mfe", "mean_mae")
 
 
-@query("res11_prior_rate_by_fold", f"WITH {OUTCOMES}, f(fold, a, b) AS (VALUES (0, TIMESTAMP '1997-01-01', TIMESTAMP '1998-01-01'), (1, TIMESTAMP '1998-01-01', TIMESTAMP '1999-01-01'), (2, TIMESTAMP '1999-01-01', TIMESTAMP '2000-01-01')), o5 AS (SELECT * FROM oc WHERE horizon_days = 5 AND ret IS NOT NULL), tr AS (SELECT fold, direction, count(*) AS n_train, avg(hit::INT) AS p FROM o5 JOIN f ON realized_end < a AND ts < a GROUP BY 1, 2), te AS (SELECT fold, direction, count(*) AS n_test, avg(hit::INT) AS observed FROM o5 JOIN f ON ts >= a AND ts < b GROUP BY 1, 2) SELECT * FROM tr JOIN te USING (fold, direction)", r="p observed")
+@query("res11_prior_rate_by_fold", f"WITH {OUTCOMES}, o5 AS (SELECT * FROM oc WHERE horizon_days = 5 AND ret IS NOT NULL), f AS (SELECT DISTINCT year(ts)::INT AS fold, date_trunc('year', ts)::TIMESTAMP AS a, date_trunc('year', ts)::TIMESTAMP + INTERVAL 1 YEAR AS b FROM o5), tr AS (SELECT fold, direction, count(*) AS n_train, avg(hit::INT) AS p FROM o5 JOIN f ON realized_end < a AND ts < a GROUP BY 1, 2), te AS (SELECT fold, direction, count(*) AS n_test, avg(hit::INT) AS observed FROM o5 JOIN f ON ts >= a AND ts < b GROUP BY 1, 2) SELECT * FROM tr JOIN te USING (fold, direction)", r="p observed")
 def _(spark, d):
-    rows = [(k, f"{1997 + k}-01-01", f"{1998 + k}-01-01") for k in range(3)]
-    folds = spark.createDataFrame(rows, "fold int, a string, b string").select("fold", F.col("a").cast("timestamp").alias("start"), F.col("b").cast("timestamp").alias("stop"))
-    return V.prior_rate(_outcomes(spark, d).where("horizon_days = 5 and ret is not null"), folds)
+    own = _outcomes(spark, d).where("horizon_days = 5 and ret is not null")
+    start = F.date_trunc("year", "ts")
+    folds = own.select(F.year("ts").alias("fold"), start.alias("start"), (start + F.expr("interval 1 year")).alias("stop")).distinct()
+    return V.prior_rate(own, folds)
 
 
 @query("joi16_reaction", f"WITH i AS (SELECT symbol, row_number() OVER ({BY}) - 1 AS idx, r FROM {R}), e AS (SELECT symbol, idx FROM i WHERE abs(r) > 1) SELECT e.symbol, l.lag::INT AS lag, count(*) AS n, avg(abs(i.r)) AS mean_abs FROM e, (VALUES (0), (1), (2), (3)) AS l(lag), i WHERE i.symbol = e.symbol AND i.idx = e.idx + l.lag GROUP BY 1, 2", use="rets", r="mean_abs")
@@ -487,10 +489,11 @@ def _(spark, d):
     return Q.upper_median_interval(stored(spark, d, "hourly"))
 
 
-_DIG = "h AS (SELECT o_orderpriority AS k, sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS h FROM orders), p AS (SELECT k, h[1:2] AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1, 2)"
+#: A tree of hashes up to two digits deep: 1,024, 16,384 and 262,144 rows a group bound its levels.
+_DIG = "h AS (SELECT o_orderpriority AS k, sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS h, count(*) AS c FROM orders GROUP BY ALL), n AS (SELECT o_orderpriority AS k, count(*) AS n, (count(*) > 1024)::INT + (count(*) > 16384)::INT AS l FROM orders GROUP BY 1), leaf AS (SELECT k, l, h[1:l] AS p, sha256(string_agg(h || ':' || c, '' ORDER BY h)) AS d FROM h JOIN n USING (k) GROUP BY ALL), one AS (SELECT k, p, d FROM leaf WHERE l = 1 UNION ALL SELECT k, p[1:1], sha256(string_agg(p[2:2] || ':' || d, '' ORDER BY p)) FROM leaf WHERE l = 2 GROUP BY ALL), root AS (SELECT k, d FROM leaf WHERE l = 0 UNION ALL SELECT k, sha256(string_agg(p || ':' || d, '' ORDER BY p)) FROM one GROUP BY k)"
 
 
-@query("qa16_dataset_digest", f"WITH {_DIG} SELECT k AS symbol, sha256(string_agg(d, '' ORDER BY p)) AS digest, sum(n)::BIGINT AS n FROM p GROUP BY k", use="")
+@query("qa16_dataset_digest", f"WITH {_DIG} SELECT k AS symbol, d AS digest, n FROM root JOIN n USING (k)", use="")
 def _(spark, d):
     return Q.dataset_digest(read(spark, d, "orders").withColumn("symbol", F.col("o_orderpriority")), ["o_orderkey", "o_custkey", "o_orderstatus"], "symbol")
 
@@ -525,12 +528,23 @@ def _(spark, d):
 
 @query("res16_bootstrap", None, r="lo hi mean")
 def _(spark, d):
-    return V.bootstrap_means(_returns(spark, d).withColumn("row", F.concat_ws("|", "symbol", "ts")), "r", "row", "symbol", 200, 7)
+    return Z.bootstrap(_returns(spark, d), "r", F.concat_ws("|", "symbol", "ts"), "symbol")
+
+
+@query("res16_bootstrap_sharpe", None, r="lo hi mean")
+def _(spark, d):
+    return Z.bootstrap(_returns(spark, d), "r", F.concat_ws("|", "symbol", "ts"), "symbol", statistic="sharpe")
+
+
+@query("res16_bootstrap_rate", None, r="lo hi mean")
+def _(spark, d):
+    own = _returns(spark, d).withColumn("up", (F.col("r") > 0).cast("int"))
+    return Z.bootstrap(own, "up", F.concat_ws("|", "symbol", "ts"), "symbol")
 
 
 @query("res17_sign_flip", None, r="p")
 def _(spark, d):
-    return V.sign_flip_p(_returns(spark, d).withColumn("row", F.concat_ws("|", "symbol", "ts")), "r", "row", "symbol", 200, 7)
+    return Z.sign_flip_p(_returns(spark, d), "r", F.concat_ws("|", "symbol", "ts"), "symbol")
 
 
 @query("res21_correlation_break", f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) AS k, count(*) OVER (PARTITION BY symbol) AS n, corr(high, volume) {SO_FAR} AS a, corr(high, volume) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM hourly), g AS (SELECT symbol, ts, abs(a - b) AS gap FROM o WHERE k >= 60 AND n - k >= 60), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY gap DESC, ts) AS rn FROM g) SELECT symbol, ts, gap FROM r WHERE rn = 1", use="hourly", r="gap", t="ts")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import frame as E
 from tidemark.operators.blocks import cut
+from tidemark.operators.selection import quantiles
 from tidemark.operators import windows as W
 from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, with_returns
 from tidemark.plans.window_queries import SO_FAR
@@ -113,9 +114,8 @@ def _(spark, d):
 
 @query("agg06_five_numbers", "SELECT symbol, min(close) AS least, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.5) AS median, quantile_cont(close, 0.75) AS q3, max(close) AS most, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS iqr FROM bars GROUP BY 1", r="least q1 median q3 most iqr")
 def _(spark, d):
-    q = F.percentile("close", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    own = daily(spark, d).groupBy("symbol").agg(q.alias("q"))
-    return own.select("symbol", *[F.col("q")[i].alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))], (F.col("q")[3] - F.col("q")[1]).alias("iqr"))
+    shares = {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "most": 1.0}
+    return quantiles(daily(spark, d), "close", shares).drop("n").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 @query("win02_long_series", f"SELECT symbol, ts, {roll('avg', 'close', 20)} AS mean, {roll('stddev_samp', 'close', 20)} AS sd FROM hourly", use="hourly", r="mean sd", t="ts")

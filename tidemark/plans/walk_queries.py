@@ -24,11 +24,11 @@ def _(spark, d):
     return L.contract(W.crossovers(bars), bars, 1)
 
 
-@query("res04_expanding_folds", "WITH n AS (SELECT count(*) AS n FROM bars WHERE symbol = '5-LOW') SELECT k::INT AS fold, 0::BIGINT AS train_lo, 50 + k * 20 AS train_hi, 50 + k * 20 AS test_lo, least(70 + k * 20, n) AS test_hi FROM n, range(100000) AS t(k) WHERE 50 + k * 20 < n")
+@query("res04_expanding_folds", "WITH n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), k AS (SELECT symbol, n, unnest(range(greatest(0, (n - 50 + 19) // 20))) AS k FROM n) SELECT symbol, k::INT AS fold, 0::BIGINT AS train_lo, 50 + k * 20 AS train_hi, 50 + k * 20 AS test_lo, least(70 + k * 20, n) AS test_hi FROM k")
 def _(spark, d):
-    from tidemark.operators.folds import expanding_folds
+    from tidemark.operators.folds import expanding_folds_of
 
-    return expanding_folds(spark, daily(spark, d).where("symbol = '5-LOW'").count(), 50, 20)
+    return expanding_folds_of(daily(spark, d), 50, 20)
 
 
 _NUM = f"{OUTCOMES}, nu AS (SELECT event_id, ts, direction, ret, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM oc WHERE horizon_days = 5), nn AS (SELECT count(*) AS n FROM nu), fo AS (SELECT k::INT AS fold, 60 + k * 30 AS v0, 90 + k * 30 AS s0, 120 + k * 30 AS s1 FROM nn, range(100000) AS t(k) WHERE 120 + k * 30 <= n), ft AS (SELECT fo.*, a.ts AS v_ts, b.ts AS s_ts FROM fo JOIN nu a ON a.idx = v0 JOIN nu b ON b.idx = s0), pa AS (SELECT fold, direction, ret, CASE WHEN idx < v0 AND ts < v_ts - INTERVAL 5 DAY THEN 'train' WHEN idx >= v0 AND idx < s0 AND ts < s_ts - INTERVAL 5 DAY THEN 'validation' WHEN idx >= s0 AND idx < s1 AND ts >= s_ts + INTERVAL 2 DAY THEN 'test' END AS role FROM ft JOIN nu ON idx < s1), ma AS (SELECT * FROM pa WHERE direction = 'bullish' AND ret IS NOT NULL), va AS (SELECT ft.fold, " + ", ".join(f"count(*) FILTER (WHERE role = '{r}') AS n_{r}, coalesce(avg((ret > 0)::INT) FILTER (WHERE role = '{r}'), 0) AS p_{r}, coalesce(avg(ret) FILTER (WHERE role = '{r}'), 0) AS mean_{r}" for r in ("train", "validation", "test")) + " FROM ft LEFT JOIN ma USING (fold) GROUP BY 1), z AS (SELECT *, 1.959963984540054 ** 2 AS q FROM va), wi AS (SELECT *, (p_test + q / (2 * n_test)) / (1 + q / n_test) AS mid, 1.959963984540054 / (1 + q / n_test) * sqrt(p_test * (1 - p_test) / n_test + q / (4 * n_test * n_test)) AS half FROM z), ws AS (SELECT fold, n_train, n_validation, n_test, p_train, p_validation, p_test, mean_train, mean_validation, mean_test, CASE WHEN n_test > 0 THEN mid - half END AS ci_lo, CASE WHEN n_test > 0 THEN mid + half END AS ci_hi, n_test >= 10 AND greatest(p_train, p_validation, p_test) - least(p_train, p_validation, p_test) <= 0.15 AS passed FROM wi)"
