@@ -120,18 +120,20 @@ class Blocks:
         outs = [f"__out{k}.*" for k in range(len(measures))]
         return self.named(df.where(self.inside()).select("symbol", "ts", *outs))
 
-    def running(self, sums: dict[str, str | Column]) -> Blocks:
-        """Running totals over the series up to each row; on copies they are null."""
+    def running(self, sums: dict[str, str | Column], f: Callable = F.sum) -> Blocks:
+        """Running totals (``f``: F.sum, F.max or F.min) over the series up to each row; on copies they are null."""
         df = self.frame.withColumns({f"_of_{n}": F.when(self.inside(), F.col(c) if isinstance(c, str) else c) for n, c in sums.items()})
         so_far = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
         if self.most == 1:
-            return replace(self, frame=df.withColumns({n: F.sum(f"_of_{n}").over(so_far) for n in sums}).drop(*[f"_of_{n}" for n in sums]))
-        total = df.groupBy("symbol").agg(*[F.sum(f"_of_{n}").alias(f"_all_{n}") for n in sums])
+            return replace(self, frame=df.withColumns({n: f(f"_of_{n}").over(so_far) for n in sums}).drop(*[f"_of_{n}" for n in sums]))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        joined = {F.max: F.greatest, F.min: F.least}.get(f, lambda a, b: F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), zero(F.col(a)) + zero(F.col(b))))
+        total = df.groupBy("symbol").agg(*[f(f"_of_{n}").alias(f"_all_{n}") for n in sums])
         before = Window.partitionBy("_series").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         total = total.withColumns({"_series": F.substring_index("symbol", MARK, 1), "_block": block_number()})
-        carried = total.select("symbol", *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
-        inside = df.withColumns({n: F.sum(f"_of_{n}").over(so_far) for n in sums}).join(carried, "symbol")
-        got = inside.withColumns({n: F.when(self.inside(), F.coalesce(n, F.lit(0)) + F.col(f"_before_{n}")) for n in sums})
+        carried = total.select("symbol", *[f(f"_all_{n}").over(before).alias(f"_before_{n}") for n in sums])
+        inside = df.withColumns({n: f(f"_of_{n}").over(so_far) for n in sums}).join(carried, "symbol")
+        got = inside.withColumns({n: F.when(self.inside(), joined(n, f"_before_{n}")) for n in sums})
         return replace(self, frame=got.drop(*[f"_{k}_{n}" for n in sums for k in ("of", "before")]))
 
     def expanding(self, of: str) -> Blocks:

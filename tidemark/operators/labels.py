@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import as_of, range_extremes
-from tidemark.operators.blocks import base, reads
+from tidemark.operators.blocks import as_blocks, base, reads
 from tidemark.operators.windows import rolling, series, simple_return
 
 #: Seconds of the clock buckets in which events look for their ends.
@@ -82,10 +82,20 @@ def first_of_runs(signals: DataFrame) -> DataFrame:
     return _entries(_turns(acts)).join(last, "symbol").select("symbol", F.col("ts").alias("entry_ts"), "entry", F.coalesce("exit_ts", "end_ts").alias("exit_ts"), F.coalesce("exit", "end_price").alias("exit"))
 
 
-def trade_summary(trades: DataFrame, cost: float, by: str = "symbol") -> DataFrame:
-    """Trades, mean, total and best profit per trade after cost on both sides, win rate."""
+def trade_summary(trades: DataFrame, cost: float, by: str = "symbol", periods: int = 252) -> DataFrame:
+    """Trades, mean, total and best profit per trade after cost on both sides, win rate, annualised Sharpe ratio of the
+    profits (population deviation, 0 for a single trade)."""
     own = trades.withColumn("pnl", (F.col("exit") * (1 - cost) - F.col("entry")) / F.col("entry"))
-    return own.groupBy(by).agg(F.count("*").alias("trades"), F.avg("pnl").alias("mean"), F.sum("pnl").alias("total"), F.max("pnl").alias("best"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
+    sharpe = F.when(F.count("*") > 1, F.avg("pnl") / (F.stddev_pop("pnl") + 1e-8) * periods**0.5).otherwise(0.0)
+    return own.groupBy(by).agg(F.count("*").alias("trades"), F.avg("pnl").alias("mean"), F.sum("pnl").alias("total"), F.max("pnl").alias("best"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), sharpe.alias("sharpe"))
+
+
+def trade_drawdown(trades: DataFrame, cost: float) -> DataFrame:
+    """Greatest drawdown per symbol of one unit that is compounded trade by trade, in order of the exits."""
+    pnl = (F.col("exit") * (1 - cost) - F.col("entry")) / F.col("entry")
+    own = trades.select("symbol", F.col("exit_ts").alias("ts"), F.log1p(F.greatest(pnl, F.lit(-1 + 1e-12))).alias("_g"))
+    path = as_blocks(own, 0).running({"_equity": "_g"}).running({"_peak": F.greatest("_equity", F.lit(0.0))}, F.max)
+    return path.own(path.frame.select(*base(path.frame), (F.exp(F.col("_equity") - F.col("_peak")) - 1).alias("_dd"))).groupBy("symbol").agg(F.min("_dd").alias("max_drawdown"))
 
 
 def contract(events: DataFrame, bars: DataFrame, horizon_days: int = 1, threshold: float = 0.0) -> DataFrame:

@@ -81,6 +81,11 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> list[str]:
     return [*[r["node"] for r in back.orderBy(F.desc("depth")).collect()], end]
 
 
+def content_hash(nodes: DataFrame, payload: list[str]) -> DataFrame:
+    """Hash of a node's type and payload in a form that does not depend on the order of columns: node, content."""
+    return nodes.select("node", F.sha2(F.to_json(F.struct(*sorted(payload)), {"ignoreNullFields": "false"}), 256).alias("content"))
+
+
 def lineage_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Hash of a node's own hash and the sorted hashes of its parents."""
     parents = edges.groupBy("child").agg(F.array_join(F.array_sort(F.collect_set("parent")), ",").alias("_parents"))

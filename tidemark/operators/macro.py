@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
+from tidemark.operators.blocks import base, reads
 from tidemark.operators.stats import relation_type, strength
 from tidemark.operators.windows import corr
 
@@ -53,6 +54,31 @@ def regime_transitions(df: DataFrame) -> DataFrame:
     return change.withColumn("held", (F.col("_k") - F.lag("_k").over(W.series())).cast("long")).where(F.col("previous").isNotNull()).select("symbol", "ts", "previous", "regime", "held")
 
 
+#: Fixed values of early warnings: least probability of the change, least confidence and least strength of the votes.
+LIKELY, CONFIDENT, STRONG, HORIZON = 0.15, 0.5, 0.3, 12
+
+
+def early_warnings(df: DataFrame, least: float = CONFIDENT) -> DataFrame:
+    """Warnings of a change from the last regime of each series: to each regime that followed it before in at least 15 %
+    of the cases, with a confidence of that share times the strength of the present votes, and the rows until then that
+    strength and confidence let expect. ``df``: symbol, ts, regime, confidence (:func:`regime_votes`)."""
+    pairs = _followed(df)
+    counts = pairs.groupBy("symbol", "regime", "_next").agg(F.count("*").alias("_n"))
+    totals = pairs.groupBy("symbol", "regime").agg(F.count("*").alias("_all"))
+    now = df.groupBy("symbol").agg(F.max_by(F.struct("regime", F.col("confidence").alias("strength")), "ts").alias("_l")).select("symbol", "_l.*")
+    p = F.col("_n") / F.col("_all")
+    found = now.join(counts, ["symbol", "regime"]).join(totals, ["symbol", "regime"]).where((F.col("_next") != F.col("regime")) & (p >= LIKELY))
+    found = found.withColumn("probability", p).withColumn("confidence", F.col("probability") * F.col("strength"))
+    horizon = F.greatest(F.lit(2), F.floor(HORIZON * (1 - (F.col("strength") * 0.4 + F.col("confidence") * 0.3))).cast("int"))
+    return found.where((F.col("confidence") >= least) & (F.col("strength") >= STRONG)).select("symbol", "regime", F.col("_next").alias("expected"), "probability", "confidence", horizon.alias("horizon"))
+
+
+@reads(0, 1)
+def _followed(df: DataFrame) -> DataFrame:
+    """Regimes and what followed each."""
+    return df.select(*base(df), "regime", F.lead("regime").over(W.series()).alias("_next")).where("_next is not null")
+
+
 def findings(halves: DataFrame, series: DataFrame, of: str, break_at: float = 0.5, persistent_at: float = 0.2, z_at: float = 2.0) -> DataFrame:
     """Correlation breaks, persistent relations and anomalous values as rows: kind, subject, strength."""
     pair = F.concat_ws("/", "a", "b")

@@ -71,6 +71,19 @@ def divergence(both: DataFrame, by: str = "symbol") -> DataFrame:
     return both.groupBy(by).agg(F.count("*").alias("n"), F.avg(gap).alias("mean"), F.avg(F.abs(gap)).alias("mean_abs"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.count_if(gap > 0).alias("above"), F.count_if(gap < 0).alias("below"))
 
 
+def daily_divergence(both: DataFrame) -> DataFrame:
+    """The same gaps by day: rows, mean, mean and greatest size."""
+    gap = F.col("a") - F.col("b")
+    return both.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.avg(gap).alias("mean"), F.avg(F.abs(gap)).alias("mean_abs"), F.max(F.abs(gap)).alias("most"))
+
+
+def correlations_with(df: DataFrame, r: str, target: str) -> DataFrame:
+    """Correlation of every series' returns with those of one, at common times."""
+    own = df.where(F.col(r).isNotNull()).select("symbol", "ts", F.col(r).alias("_r"))
+    one = own.where(F.col("symbol") == target).select("ts", F.col("_r").alias("_t"))
+    return own.where(F.col("symbol") != target).join(one, "ts").groupBy("symbol").agg(F.count("*").alias("n"), corr("_r", "_t").alias("corr"))
+
+
 def optimal_lag(df: DataFrame, a: str, b: str, most: int, by: str = "symbol") -> DataFrame:
     """The lag of ``b`` behind ``a`` (rows, -most to most) with the greatest absolute correlation. ``df`` has ``idx``."""
     left = df.select(by, "idx", F.col(a).alias("_a")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("idx", F.col("idx") + F.col("lag"))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.laws import binomial_tail
+from tidemark.operators.blocks import Blocks, base, reads
+from tidemark.operators.quality import neighbours
 from tidemark.operators.windows import corr, previous, series
 
 
@@ -37,11 +40,18 @@ def valid_from(df: DataFrame, lags: DataFrame) -> DataFrame:
     return df.join(F.broadcast(lags), "factor").withColumn("valid_from", F.greatest("event_ts", F.col("release_ts") + F.make_interval(days=F.col("days"))))
 
 
-def dataset_statistics(bars: DataFrame, seconds: int) -> DataFrame:
-    """Rows, gaps, expected rows between first and last, and completeness in percent."""
-    own = bars.select("symbol", F.unix_timestamp("ts").alias("_t"), (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(series()))).alias("_d"))
-    expected = F.floor((F.max("_t") - F.min("_t")) / seconds) + 1
-    return own.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("_d") > seconds).alias("gaps"), expected.alias("expected"), (F.count("*") * 100.0 / expected).alias("completeness"))
+def dataset_statistics(bars: DataFrame | Blocks, seconds: int) -> DataFrame:
+    """Rows, repeated times, gaps, expected rows between first and last, missing rows and their share in percent, mean
+    spread (null without a column ``spread``) and volume, days with rows, and their share of all days of the span."""
+    columns = bars.frame.columns if isinstance(bars, Blocks) else bars.columns
+    spread = F.col("spread") if "spread" in columns else F.lit(None).cast("double")
+    own = neighbours(bars, "volume", spread.alias("spread")).select("symbol", "ts", "volume", "spread", (F.unix_timestamp("ts") - F.unix_timestamp("before")).alias("_d"))
+    expected = F.floor((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / seconds) + 1
+    got = own.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("_d") == 0).alias("duplicates"), F.count_if(F.col("_d") > seconds).alias("gaps"), expected.alias("expected"), F.avg("spread").alias("mean_spread"), F.avg("volume").alias("mean_volume"), (F.datediff(F.max("ts"), F.min("ts")) + 1).alias("_span"))
+    # days are told apart before they are counted, so that no group gathers a set
+    days = own.select("symbol", F.to_date("ts").alias("_day")).distinct().groupBy("symbol").agg(F.count("*").alias("trading_days"))
+    missing = F.greatest(F.col("expected") - F.col("n"), F.lit(0))
+    return got.join(days, "symbol").select("symbol", "n", "duplicates", "gaps", "expected", missing.alias("missing"), F.least(F.lit(100.0), missing * 100.0 / F.col("expected")).alias("missing_percent"), (F.col("n") * 100.0 / F.col("expected")).alias("completeness"), "mean_spread", "mean_volume", "trading_days", (F.col("trading_days") * 100.0 / F.col("_span")).alias("daily_coverage"))
 
 
 def blended(prior: DataFrame, seen: DataFrame, alpha: float) -> DataFrame:
@@ -125,13 +135,49 @@ def runs(df: DataFrame, state: str, r: str) -> DataFrame:
     return own.groupBy("symbol", "run").agg(F.first(state).alias("state"), F.min("ts").alias("start"), F.count("*").alias("length"), (F.exp(F.sum(F.log1p(r))) - 1).alias("total"))
 
 
-def breakouts(bars: DataFrame, w: int) -> DataFrame:
-    """Share of closes above the highest high, and below the lowest low, of the ``w`` rows before."""
+@reads(lambda a: a["w"])
+def _channel(bars: DataFrame, w: int) -> DataFrame:
     before = series().rowsBetween(-w, -1)
-    own = bars.select("symbol", "close", F.max("high").over(before).alias("_hi"), F.min("low").over(before).alias("_lo"), F.count("*").over(before).alias("_k")).where(F.col("_k") == w)
+    return bars.select(*base(bars), "close", F.max("high").over(before).alias("_hi"), F.min("low").over(before).alias("_lo"), F.count("*").over(before).alias("_k")).where(F.col("_k") == w)
+
+
+def breakouts(bars: DataFrame | Blocks, w: int) -> DataFrame:
+    """Share of closes above the highest high, and below the lowest low, of the ``w`` rows before."""
+    own = _channel(bars, w)
     return own.groupBy("symbol").agg(F.avg((F.col("close") > F.col("_hi")).cast("double")).alias("up"), F.avg((F.col("close") < F.col("_lo")).cast("double")).alias("down"), F.count("*").alias("n"))
 
 
+@reads(0, lambda a: 2 * a["w"] - 1)
+def _halves(df: DataFrame, r: str, w: int) -> DataFrame:
+    """Sums of the next ``w`` returns and of the ``w`` after those, as far as there are any."""
+    ahead = series().rowsBetween(w, 2 * w - 1)
+    return df.select(*base(df), F.sum(r).over(series().rowsBetween(0, w - 1)).alias("_a"), F.sum(r).over(ahead).alias("_b")).where("_b is not null")
+
+
+def trend_persistence(df: DataFrame | Blocks, r: str, w: int = 10) -> DataFrame:
+    """Of the places where a window's return and the next one's both differ from 0: the share with the same sign, and the
+    share with the opposite one."""
+    same = F.count_if(F.col("_a") * F.col("_b") > 0)
+    turned = F.count_if(F.col("_a") * F.col("_b") < 0)
+    own = _halves(df, r, w).groupBy("symbol").agg(same.alias("_s"), turned.alias("_t"))
+    part = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("_s") + F.col("_t")), F.lit(0.0))
+    return own.select("symbol", part("_s").alias("persistence"), part("_t").alias("reversal"))
+
+
+@reads(0, lambda a: a["w"] + 1)
+def _moves(df: DataFrame, r: str, w: int) -> DataFrame:
+    """Sums of the next ``w`` returns and the return after them, where one more follows."""
+    ahead = lambda k: F.lead(r, k).over(series())
+    return df.select(*base(df), F.sum(r).over(series().rowsBetween(0, w - 1)).alias("_m"), ahead(w).alias("_n"), ahead(w + 1).alias("_z")).where("_z is not null")
+
+
+def mean_reversion(df: DataFrame | Blocks, r: str, w: int = 5) -> DataFrame:
+    """Share of moves over ``w`` rows that the next return turns against, among those and the other moves beyond 0.001."""
+    turned = F.col("_m") * F.col("_n") < 0
+    own = _moves(df, r, w).groupBy("symbol").agg(F.count_if(turned).alias("_t"), F.count_if(turned | (F.abs("_m") > 0.001)).alias("_n"))
+    return own.select("symbol", F.coalesce(F.try_divide(F.col("_t").cast("double"), F.col("_n")), F.lit(0.0)).alias("mean_reversion"))
+
+
 def votes(df: DataFrame, flags: list[Column], least: int) -> DataFrame:
     count = sum((F.when(f, 1).otherwise(0) for f in flags), F.lit(0))
     return df.withColumn("votes", count).select("symbol", "ts", "votes", F.when(F.col("votes") >= least, "BUY").otherwise("HOLD").alias("signal"))
@@ -158,10 +204,15 @@ def position_size(df: DataFrame, target: float = 0.15, limit: float = 0.10, leve
     return own.select("symbol", "ts", (size * scale).alias("size"))
 
 
-def feature_sweep(df: DataFrame, features: list[str], outcome: str) -> DataFrame:
-    """Each feature by itself: outcome counts and share above zero on either side of 0, all in one aggregate."""
+def feature_sweep(df: DataFrame, features: list[str], outcome: str, alpha: float = 0.05) -> DataFrame:
+    """Each feature by itself: outcomes and the share above zero on either side of 0, the exact two-sided p-value of as
+    many rises and falls, and whether it holds for all tests of the sweep together (Bonferroni): one aggregate."""
     long = df.where(F.col(outcome).isNotNull()).select(outcome, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features]))).where("x is not null")
-    return long.groupBy("feature", (F.col("x") > 0).alias("side")).agg(F.count(outcome).alias("n"), F.avg((F.col(outcome) > 0).cast("double")).alias("p_up"))
+    up, down = F.count_if(F.col(outcome) > 0), F.count_if(F.col(outcome) < 0)
+    own = long.groupBy("feature", (F.col("x") > 0).alias("side")).agg(F.count(outcome).alias("n"), F.avg((F.col(outcome) > 0).cast("double")).alias("p_up"), up.alias("_u"), down.alias("_d"))
+    n = F.col("_u") + F.col("_d")
+    p = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(n, F.greatest("_u", "_d"))))
+    return own.select("feature", "side", "n", "p_up", p.alias("p"), (p * (2 * len(features)) < alpha).alias("significant"))
 
 
 def binned_probabilities(train: DataFrame, test: DataFrame, x: str, y: str, bins: int, by: str = "symbol") -> DataFrame:

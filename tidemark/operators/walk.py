@@ -195,6 +195,24 @@ def shuffle_control(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.avg(x).alias("rate"), F.avg(y).alias("shuffled_rate"), (F.sum(x) == F.sum(y)).alias("preserved"), F.count_if(F.col(label) == F.col("shuffled")).alias("same_place"))
 
 
+def inject_leak(parts: DataFrame, key: str) -> DataFrame:
+    """A control that an audit must reject: the first validation row of each group's first fold becomes a training row of
+    it as well. ``parts``: symbol, fold, role, ``key``."""
+    folds = parts.groupBy("symbol").agg(F.min("fold").alias("fold"))
+    first = parts.where("role = 'validation'").join(folds, ["symbol", "fold"]).groupBy("symbol", "fold").agg(F.min(key).alias(key))
+    leaked = parts.where("role = 'validation'").join(first, ["symbol", "fold", key]).withColumn("role", F.lit("train")).select(*parts.columns)
+    return parts.unionByName(leaked)
+
+
+def leaks(parts: DataFrame, key: str, at: str) -> DataFrame:
+    """Audit of fold membership: keys that are both trained on and judged in one fold, and training rows that are not
+    earlier than the fold's first validation row. Empty for a sound table."""
+    both = parts.where("role in ('train', 'validation')").groupBy("symbol", "fold", key).agg(F.countDistinct("role").alias("_r")).where("_r = 2").select("symbol", "fold", F.col(key).cast("string").alias("key"), F.lit("in both parts").alias("fault"))
+    begins = parts.where("role = 'validation'").groupBy("symbol", "fold").agg(F.min(at).alias("_begin"))
+    late = parts.where("role = 'train'").join(begins, ["symbol", "fold"]).where(F.col(at) >= F.col("_begin")).select("symbol", "fold", F.col(key).cast("string").alias("key"), F.lit("not earlier").alias("fault"))
+    return both.unionByName(late)
+
+
 def fold_gate(folds: DataFrame, seed: int = 7, replicates: int = 2000, least_rate: float = 0.7, alpha: float = 0.05, p_limit: float = 0.01) -> DataFrame:
     """Gate over per-fold improvements (fold, baseline, model): positive share, exact sign test, one-sided sign-flip
     p-value and the bootstrap interval of the mean, and whether all pass. A fold table is small: one group."""

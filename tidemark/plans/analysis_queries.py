@@ -273,7 +273,7 @@ def _(spark, d):
     return T.streaks(_returns(spark, d), "r").groupBy("symbol").agg(F.max(F.when(F.col("sign") == 1, F.col("length"))).alias("wins"), F.max(F.when(F.col("sign") == -1, F.col("length"))).alias("losses"))
 
 
-@query("agg17_win_loss", f"SELECT symbol, count(*) AS n, avg((r > 0)::INT) AS win_rate, avg((r < 0)::INT) AS loss_rate, avg(r) FILTER (WHERE r > 0) AS mean_win, avg(r) FILTER (WHERE r < 0) AS mean_loss, avg(r) FILTER (WHERE r > 0) / -avg(r) FILTER (WHERE r < 0) AS payoff, sum(r) FILTER (WHERE r > 0) / -sum(r) FILTER (WHERE r < 0) AS profit_factor FROM {R} GROUP BY 1", use="rets", r="win_rate loss_rate mean_win mean_loss payoff profit_factor")
+@query("agg17_win_loss", f"SELECT symbol, count(*) AS n, avg((r > 0)::INT) AS win_rate, avg((r < 0)::INT) AS loss_rate, avg(r) FILTER (WHERE r > 0) AS mean_win, avg(r) FILTER (WHERE r < 0) AS mean_loss, avg(r) FILTER (WHERE r > 0) / -avg(r) FILTER (WHERE r < 0) AS payoff, sum(r) FILTER (WHERE r > 0) / -sum(r) FILTER (WHERE r < 0) AS profit_factor, avg((r > 0)::INT) AS consistency FROM {R} GROUP BY 1", use="rets", r="win_rate loss_rate mean_win mean_loss payoff profit_factor consistency")
 def _(spark, d):
     return K.win_loss(_returns(spark, d), "r")
 
@@ -283,6 +283,11 @@ def _(spark, d):
     return K.ratios(_returns(spark, d), "r")
 
 
+@query("agg18_calmar", f"WITH m AS (SELECT symbol, avg(r) AS m FROM {R} GROUP BY 1), p AS (SELECT symbol, close / max(close) {SO_FAR} - 1 AS dd FROM bars), w AS (SELECT symbol, min(dd) AS max_drawdown FROM p GROUP BY 1) SELECT symbol, max_drawdown, CASE WHEN max_drawdown = 0 THEN 0 ELSE m * 252 / abs(max_drawdown) END AS calmar FROM m JOIN w USING (symbol)", use="rets", r="max_drawdown calmar")
+def _(spark, d):
+    return K.calmar(with_returns(daily(spark, d)), "r", "close")
+
+
 @query("agg19_tail_risk", f"WITH k AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY r) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM {R}) SELECT symbol, -max(r) AS var, -avg(r) AS expected_shortfall FROM k WHERE k <= floor(0.05::DOUBLE * n) + 1 GROUP BY 1", use="rets", r="var expected_shortfall")
 def _(spark, d):
     return K.tail_risk(_returns(spark, d), "r")
@@ -299,12 +304,22 @@ _DD = f"q AS (SELECT symbol, ts, close AS equity, max(close) {SO_FAR} AS peak FR
 
 @query("win23_drawdowns", f"WITH {_DD} SELECT symbol, ts, equity, peak, drawdown, episode::BIGINT AS episode FROM dd", r="equity peak drawdown", t="ts")
 def _(spark, d):
-    return K.drawdowns(daily(spark, d), "close")
+    return K.drawdowns(stored(spark, d, "daily"), "close")
+
+
+@query("win24_drawdown_episodes", f"WITH {_DD}, e AS (SELECT symbol, episode::BIGINT AS episode, min(drawdown) AS depth, count(*) - 1 AS length, episode = max(episode) OVER (PARTITION BY symbol) AS is_open FROM dd GROUP BY symbol, dd.episode) SELECT *, length + 1 AS recovery FROM e WHERE depth < 0 OR is_open", r="depth")
+def _(spark, d):
+    return K.episodes(K.drawdowns(stored(spark, d, "daily"), "close"))
+
+
+@query("win24_recovery", f"WITH {_DD}, e AS (SELECT symbol, episode, min(drawdown) AS depth, count(*) AS recovery, episode = max(episode) OVER (PARTITION BY symbol) AS is_open FROM dd GROUP BY symbol, dd.episode) SELECT symbol, count(*) AS n, min(depth) AS max_drawdown, avg(depth) AS mean_drawdown, avg(recovery) AS mean_recovery, max(recovery) AS longest_recovery, min(recovery) AS shortest_recovery, count(*) FILTER (is_open) AS open FROM e WHERE recovery > 1 AND (depth < 0 OR is_open) GROUP BY 1", r="max_drawdown mean_drawdown mean_recovery")
+def _(spark, d):
+    return K.drawdown_statistics(K.episodes(K.drawdowns(stored(spark, d, "daily"), "close")))
 
 
-@query("win24_drawdown_episodes", f"WITH {_DD}, e AS (SELECT symbol, episode::BIGINT AS episode, min(drawdown) AS depth, count(*) - 1 AS length, episode = max(episode) OVER (PARTITION BY symbol) AS is_open FROM dd GROUP BY symbol, dd.episode) SELECT * FROM e WHERE depth < 0 OR is_open", r="depth")
+@query("agg43_inverse_risk", f"WITH v AS (SELECT symbol, stddev_samp(r) AS volatility FROM {R} GROUP BY 1) SELECT symbol, volatility, 1 / volatility / sum(1 / volatility) OVER () AS weight FROM v WHERE volatility > 0", use="rets", r="volatility weight")
 def _(spark, d):
-    return K.episodes(K.drawdowns(daily(spark, d), "close"))
+    return K.inverse_risk(_returns(spark, d), "r")
 
 
 @query("agg43_portfolio_returns", f"SELECT ts, sum(r * CASE symbol WHEN '1-URGENT' THEN 0.5 WHEN '5-LOW' THEN 0.3 ELSE 0.2 END) AS r, count(r) AS n FROM {R} AND symbol IN ('1-URGENT', '5-LOW', '2-HIGH') GROUP BY ts", use="rets", r="r", t="ts")
@@ -391,6 +406,12 @@ def _(spark, d):
     return X.divergence(a.join(b.withColumnRenamed("close", "b"), ["symbol", "ts"]).withColumnRenamed("close", "a"))
 
 
+@query("agg09_daily_divergence", f"WITH {_FEEDS} SELECT symbol, date_trunc('day', ts) AS day, count(*) AS n, avg(a - b) AS mean, avg(abs(a - b)) AS mean_abs, max(abs(a - b)) AS most FROM fa JOIN fb USING (symbol, ts) GROUP BY 1, 2", use="", r="mean mean_abs most", t="day")
+def _(spark, d):
+    a, b = _feeds(spark, d)
+    return X.daily_divergence(a.join(b.withColumnRenamed("close", "b"), ["symbol", "ts"]).withColumnRenamed("close", "a"))
+
+
 @query("joi05_forward_as_of", f"WITH {CROSS}, k AS (SELECT event_id, symbol, ts + INTERVAL 10 DAY AS target FROM ev WHERE direction IS NOT NULL) SELECT k.event_id, b.ts AS asof_ts, b.close AS asof_close FROM k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.target <= b.ts", r="asof_close", t="asof_ts")
 def _(spark, d):
     bars = daily(spark, d)
@@ -587,6 +608,12 @@ def _(spark, d):
     return G.lineage_hash(e.select(F.col("child").alias("node")).distinct(), e)
 
 
+@query("gra06_content_hash", "SELECT 'o' || o_orderkey AS node, sha256('{' || '\"custkey\":' || o_custkey || ',\"priority\":\"' || o_orderpriority || '\",\"type\":\"order\"}') AS content FROM orders", use="")
+def _(spark, d):
+    nodes = read(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("node"), F.lit("order").alias("type"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("custkey"))
+    return G.content_hash(nodes, ["type", "priority", "custkey"])
+
+
 @query("joi11_orphans", f"WITH {_EDGES}, k AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 50 <> 0 UNION ALL SELECT 'o' || o_orderkey FROM orders) SELECT parent, child, 'parent' AS missing FROM e WHERE child LIKE 'o%' AND parent NOT IN (SELECT node FROM k)", use="")
 def _(spark, d):
     nodes = read(spark, d, "customer").where("c_custkey % 50 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node")).unionByName(read(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("node")))

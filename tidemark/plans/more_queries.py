@@ -82,6 +82,13 @@ def _(spark, d):
     return tables.overlapping(tables.catalog(daily(spark, d)), "1995-01-01", "1995-01-02").drop("digest")
 
 
+@query("prj08_datasets_by_timeframe_and_tag", "WITH c AS (SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM bars GROUP BY 1) SELECT symbol, 'D1' AS timeframe, first_ts, last_ts, n FROM c WHERE first_ts <= '2001-01-01' AND last_ts >= '1999-01-01' AND symbol IN ('1-URGENT', '2-HIGH')", t="first_ts last_ts")
+def _(spark, d):
+    tags = F.when(F.col("symbol") < "3", F.array(F.lit("urgent"), F.lit("daily"))).otherwise(F.array(F.lit("daily")))
+    rows = tables.catalog(daily(spark, d)).withColumns({"timeframe": F.lit("D1"), "tags": tags})
+    return tables.overlapping(rows, "1999-01-01", "2001-01-01", "D1", "urgent").select("symbol", "timeframe", "first_ts", "last_ts", "n")
+
+
 @query("qa17_integrity", "SELECT DISTINCT symbol FROM bars WHERE symbol = '2-HIGH'")
 def _(spark, d):
     bars = daily(spark, d)
@@ -154,9 +161,10 @@ def _(spark, d):
     return Y.valid_from(o, lags).select("o_orderkey", "valid_from")
 
 
-@query("agg04_dataset_statistics", f"WITH o AS (SELECT symbol, ts, epoch(ts)::BIGINT - epoch({lag('ts')})::BIGINT AS dt FROM hourly) SELECT symbol, count(*) AS n, sum((dt > 3600)::INT)::BIGINT AS gaps, (max(epoch(ts)::BIGINT) - min(epoch(ts)::BIGINT)) // 3600 + 1 AS expected, count(*) * 100.0 / ((max(epoch(ts)::BIGINT) - min(epoch(ts)::BIGINT)) // 3600 + 1) AS completeness FROM o GROUP BY 1", use="hourly", r="completeness")
+@query("agg04_dataset_statistics", f"WITH o AS (SELECT symbol, ts, volume, high - low AS spread, epoch(ts)::BIGINT - epoch({lag('ts')})::BIGINT AS dt FROM hourly), g AS (SELECT symbol, count(*) AS n, count(*) - count(DISTINCT ts) AS duplicates, sum((dt > 3600)::INT)::BIGINT AS gaps, (max(epoch(ts)::BIGINT) - min(epoch(ts)::BIGINT)) // 3600 + 1 AS expected, avg(spread) AS mean_spread, avg(volume) AS mean_volume, count(DISTINCT ts::DATE) AS trading_days, datediff('day', min(ts), max(ts)) + 1 AS span FROM o GROUP BY 1) SELECT symbol, n, duplicates, gaps, expected, greatest(expected - n, 0) AS missing, least(100, greatest(expected - n, 0) * 100.0 / expected) AS missing_percent, n * 100.0 / expected AS completeness, mean_spread, mean_volume, trading_days, trading_days * 100.0 / span AS daily_coverage FROM g", use="hourly", r="missing_percent completeness mean_spread mean_volume daily_coverage")
 def _(spark, d):
-    return Y.dataset_statistics(hourly(spark, d), 3600)
+    own = stored(spark, d, "hourly").extend(lambda df: df.withColumn("spread", F.col("high") - F.col("low")))
+    return Y.dataset_statistics(own, 3600)
 
 
 @query("agg28_factor_attribution", "WITH f AS (SELECT symbol, regr_slope(high, low) AS b, var_samp(high) AS v, covar_samp(high, low) AS c FROM bars GROUP BY 1) SELECT symbol, b AS beta, b * c / v AS share FROM f", r="beta share")
@@ -191,6 +199,12 @@ def _(spark, d):
     return Y.latest_ratios(daily(spark, d))
 
 
+@query("agg48_commodity_correlations", f"SELECT a.symbol, count(*) AS n, corr(a.r, b.r) AS corr FROM (SELECT * FROM {R}) a JOIN (SELECT * FROM {R}) b ON a.ts = b.ts AND b.symbol = '1-URGENT' AND a.symbol <> b.symbol GROUP BY 1", use="rets", r="corr")
+def _(spark, d):
+    """One series stands for the commodity, the others for what it is compared with."""
+    return X.correlations_with(_returns(spark, d), "r", "1-URGENT")
+
+
 @query("agg53_breusch_pagan", "WITH f AS (SELECT symbol, low, (high - (regr_intercept(high, low) OVER (PARTITION BY symbol) + regr_slope(high, low) OVER (PARTITION BY symbol) * low)) ** 2 AS e2 FROM bars) SELECT symbol, count(*) * regr_r2(e2, low) AS statistic FROM f GROUP BY 1", r="statistic")
 def _(spark, d):
     return M.breusch_pagan(daily(spark, d), "high", ["low"])
@@ -211,12 +225,13 @@ def _(spark, d):
     return Y.runs(_states(spark, d), "state", "r")
 
 
-@query("win25_volatility_clustering", f"WITH c AS (SELECT symbol, ts, abs(r) - avg(abs(r)) OVER (PARTITION BY symbol) AS a FROM {R}) SELECT symbol, sum(a * p) / sum(a * a) AS acf_abs FROM (SELECT symbol, a, {lag('a')} AS p FROM c) GROUP BY 1", use="rets", r="acf_abs")
+@query("win25_volatility_clustering", f"WITH c AS (SELECT symbol, ts, abs(r) AS x, abs(r) - avg(abs(r)) OVER (PARTITION BY symbol) AS a, r * r - avg(r * r) OVER (PARTITION BY symbol) AS s FROM {R}) SELECT symbol, sum(a * p) / sum(a * a) AS acf_abs, sum(s * q) / sum(s * s) AS acf_squared, stddev_pop(x) / (avg(x) + 1e-12) AS clustering FROM (SELECT symbol, x, a, s, {lag('a')} AS p, {lag('s')} AS q FROM c) GROUP BY 1", use="rets", r="acf_abs acf_squared clustering")
 def _(spark, d):
     from tidemark.operators.stats import autocorrelation
 
-    own = _returns(spark, d).withColumn("a", F.abs("r"))
-    return autocorrelation(own, "a", 1).select("symbol", F.col("acf")[0].alias("acf_abs"))
+    own = _returns(spark, d).withColumns({"a": F.abs("r"), "s": F.col("r") * F.col("r")})
+    first, second = (autocorrelation(own, c, 1).select("symbol", F.col("acf")[0].alias(n)) for c, n in (("a", "acf_abs"), ("s", "acf_squared")))
+    return first.join(second, "symbol").join(own.groupBy("symbol").agg((F.stddev_pop("a") / (F.avg("a") + 1e-12)).alias("clustering")), "symbol")
 
 
 @query("win26_breakouts", f"WITH o AS (SELECT symbol, close, max(high) OVER ({BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS hi, min(low) OVER ({BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS lo, count(*) OVER ({BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS k FROM bars) SELECT symbol, avg((close > hi)::INT) AS up, avg((close < lo)::INT) AS down, count(*) AS n FROM o WHERE k = 20 GROUP BY 1", r="up down")
@@ -224,6 +239,19 @@ def _(spark, d):
     return Y.breakouts(daily(spark, d), 20)
 
 
+_AHEAD = f"OVER ({BY} ROWS BETWEEN {{a}} FOLLOWING AND {{b}} FOLLOWING)"
+
+
+@query("win26_trend_persistence", f"WITH w AS (SELECT symbol, sum(r) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS a, sum(r) {_AHEAD.format(a=10, b=19)} AS b FROM {R}), c AS (SELECT symbol, count(*) FILTER (a * b > 0) AS s, count(*) FILTER (a * b < 0) AS t FROM w WHERE b IS NOT NULL GROUP BY 1) SELECT symbol, coalesce(s / nullif(s + t, 0), 0) AS persistence, coalesce(t / nullif(s + t, 0), 0) AS reversal FROM c", use="rets", r="persistence reversal")
+def _(spark, d):
+    return Y.trend_persistence(_returns(spark, d), "r", 10)
+
+
+@query("win26_mean_reversion", f"WITH w AS (SELECT symbol, sum(r) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m, lead(r, 5) OVER ({BY}) AS n, lead(r, 6) OVER ({BY}) AS z FROM {R}), c AS (SELECT symbol, count(*) FILTER (m * n < 0) AS t, count(*) FILTER (m * n < 0 OR abs(m) > 0.001) AS k FROM w WHERE z IS NOT NULL GROUP BY 1) SELECT symbol, coalesce(t / nullif(k, 0), 0) AS mean_reversion FROM c", use="rets", r="mean_reversion")
+def _(spark, d):
+    return Y.mean_reversion(_returns(spark, d), "r", 5)
+
+
 @query("win28_signal_votes", f"WITH o AS (SELECT symbol, ts, CASE WHEN close > {roll('avg', 'close', 20)} THEN 1 ELSE 0 END + CASE WHEN close > {roll('avg', 'close', 50)} THEN 1 ELSE 0 END + CASE WHEN r > 0 THEN 1 ELSE 0 END AS votes FROM rets) SELECT symbol, ts, votes::INT AS votes, CASE WHEN votes >= 2 THEN 'BUY' ELSE 'HOLD' END AS signal FROM o", use="rets", t="ts")
 def _(spark, d):
     own = with_returns(daily(spark, d))
@@ -237,7 +265,7 @@ def _(spark, d):
     return Y.best(c, "fold")
 
 
-@query("res14_feature_sweep", f"WITH f AS (SELECT symbol, close / {lag('close', 5)} - 1 AS m5, close / {lag('close', 10)} - 1 AS m10, lead(close, 5) OVER ({BY}) / close - 1 AS fwd FROM bars), l AS (SELECT 'm5' AS feature, m5 > 0 AS side, fwd FROM f WHERE m5 IS NOT NULL UNION ALL SELECT 'm10', m10 > 0, fwd FROM f WHERE m10 IS NOT NULL) SELECT feature, side, count(fwd) AS n, avg((fwd > 0)::INT) AS p_up FROM l WHERE fwd IS NOT NULL GROUP BY 1, 2", r="p_up")
+@query("res14_feature_sweep", f"WITH f AS (SELECT symbol, close / {lag('close', 5)} - 1 AS m5, close / {lag('close', 10)} - 1 AS m10, lead(close, 5) OVER ({BY}) / close - 1 AS fwd FROM bars), l AS (SELECT 'm5' AS feature, m5 > 0 AS side, fwd FROM f WHERE m5 IS NOT NULL UNION ALL SELECT 'm10', m10 > 0, fwd FROM f WHERE m10 IS NOT NULL), t AS (SELECT feature, side, count(fwd) AS n, avg((fwd > 0)::INT) AS p_up, count(*) FILTER (fwd > 0) AS u, count(*) FILTER (fwd < 0) AS w FROM l WHERE fwd IS NOT NULL GROUP BY 1, 2), q AS (SELECT *, CASE WHEN u + w = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(generate_series(0, least(u, w)), lambda i: exp(lgamma(u + w + 1) - lgamma(i + 1) - lgamma(u + w - i + 1) - (u + w) * ln(2))))) END AS p FROM t) SELECT feature, side, n, p_up, p, p * 4 < 0.05 AS significant FROM q", r="p_up p")
 def _(spark, d):
     own = daily(spark, d).select("symbol", (F.col("close") / W.previous("close", 5) - 1).alias("m5"), (F.col("close") / W.previous("close", 10) - 1).alias("m10"), (F.lead("close", 5).over(W.series()) / F.col("close") - 1).alias("fwd"))
     return Y.feature_sweep(own, ["m5", "m10"], "fwd")

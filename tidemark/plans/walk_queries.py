@@ -128,6 +128,12 @@ def _(spark, d):
     return K.shuffle_control(K.shuffled_labels(own, "label", "event_id", 20260910), "label").drop("same_place")
 
 
+@query("res18_leaked_rows", f"WITH {_X}, first AS (SELECT symbol, min(fold) AS fold FROM xp GROUP BY 1), leaked AS (SELECT xp.symbol, fold, min(ts) AS ts FROM xp JOIN first USING (symbol, fold) WHERE role = 'validation' GROUP BY 1, 2) SELECT symbol, fold, strftime(ts::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS key, f.fault FROM leaked, (VALUES ('in both parts'), ('not earlier')) f(fault)")
+def _(spark, d):
+    """The audit finds the row that was planted in the training part of each first fold, and nothing else."""
+    return K.leaks(K.inject_leak(_parts(spark, d), "ts"), "ts", "ts")
+
+
 @query("res19_isotonic", None, r="p calibrated")
 def _(spark, d):
     """Scores that are continuous: many distinct ones, pooled in ranges and up a tree."""
@@ -208,6 +214,11 @@ def _(spark, d):
     return O.regime_transitions(O.regime_votes(daily(spark, d), "close"))
 
 
+@query("res27_early_warnings", f"WITH {_VOTE}, c AS (SELECT symbol, ts, regime, confidence, lead(regime) OVER ({BY}) AS nx FROM rg), n AS (SELECT symbol, regime, nx, count(*) AS n FROM c WHERE nx IS NOT NULL GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY symbol, regime) AS p FROM n), l AS (SELECT symbol, arg_max(regime, ts) AS regime, arg_max(confidence, ts) AS s FROM c GROUP BY 1) SELECT symbol, regime, nx AS expected, p AS probability, p * s AS confidence, greatest(2, floor(12 * (1 - (s * 0.4 + p * s * 0.3))))::INT AS horizon FROM p JOIN l USING (symbol, regime) WHERE nx <> regime AND p >= 0.15 AND p * s >= 0.05 AND s >= 0.3", r="probability confidence")
+def _(spark, d):
+    return O.early_warnings(O.regime_votes(daily(spark, d), "close"), 0.05)
+
+
 @query("res28_findings", f"WITH {_RETS}, h AS (SELECT a, b, corr(x, y) FILTER (WHERE k <= n // 2) AS before, corr(x, y) FILTER (WHERE k > n // 2) AS after FROM pw GROUP BY 1, 2), z AS (SELECT symbol, ts, (v - avg(v) OVER (PARTITION BY symbol)) / stddev_samp(v) OVER (PARTITION BY symbol) AS z FROM hr) SELECT 'correlation_break' AS kind, a || '/' || b AS subject, abs(before - after) AS strength FROM h WHERE abs(before - after) >= 0.5 UNION ALL SELECT 'persistent_relation', a || '/' || b, least(abs(before), abs(after)) FROM h WHERE before * after > 0 AND least(abs(before), abs(after)) >= 0.2 UNION ALL SELECT 'anomaly', symbol || '@' || strftime(ts, '%Y-%m-%d'), abs(z) FROM z WHERE abs(z) >= 2", use="", r="strength")
 def _(spark, d):
     own = read(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("ts"), F.col("event_type").alias("symbol")).agg(F.avg("value").alias("v"))

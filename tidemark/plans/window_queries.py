@@ -10,6 +10,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import labels as L
 from tidemark.operators import recursive as R
 from tidemark.operators import scan as S
+from tidemark.operators import signals as G
 from tidemark.operators import windows as W
 from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
 
@@ -312,6 +313,19 @@ def _(spark, d):
     return R.ema(stored(spark, d, "daily"), "close", 20, "ema", "mean")
 
 
+_RSI = "CASE WHEN {l} = 0 THEN {z} ELSE 100 - 100 / (1 + {g} / {l}) END"
+
+
+@query(
+    "win28_indicator_signals",
+    f"WITH o AS (SELECT symbol, ts, row_number() OVER ({BY}) - 1 AS k, close, greatest(close - {lag('close')}, 0) AS g, greatest({lag('close')} - close, 0) AS l, {_TR} AS tr, {_fold('close', '2.0/13')} - {_fold('close', '2.0/27')} AS macd FROM bars), p AS (SELECT *, list(g) {SO_FAR} AS gs, list(l) {SO_FAR} AS ls, macd - {_fold('macd', '2.0/10')} AS h FROM o), q AS (SELECT *, {lag('h')} AS h0, {_smooth('gs', 1)} AS up, {_smooth('ls', 1)} AS down, CASE WHEN k >= 1 THEN list_reduce(gs[2:], lambda a, x: a * 13.0 / 14 + x / 14) END AS eg, CASE WHEN k >= 1 THEN list_reduce(ls[2:], lambda a, x: a * 13.0 / 14 + x / 14) END AS el, {roll('avg', 'close', 20)} AS m20, {roll('avg', 'close', 50)} AS m50, {roll('stddev_pop', 'close', 20)} AS sd, {roll('avg', 'tr', 14)} AS atr FROM p), r AS (SELECT *, {_RSI.format(l='down', g='up', z='100')} AS rsi, {_RSI.format(l='el', g='eg', z='CASE WHEN eg > 0 THEN 100 END')} AS rs, {roll('avg', 'atr', 20)} AS atr20 FROM q), v AS (SELECT *, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END AS a, CASE WHEN k < 34 THEN 0 WHEN h > 0 AND h0 <= 0 THEN 1 WHEN h < 0 AND h0 >= 0 THEN -1 ELSE 0 END AS b, CASE WHEN close < m20 - 2 * sd THEN 1 WHEN close > m20 + 2 * sd THEN -1 ELSE 0 END AS c FROM r), w AS (SELECT *, CASE WHEN k >= 35 THEN (a = 1)::INT + (b = 1)::INT + (c = 1)::INT ELSE 0 END AS buys, CASE WHEN k >= 35 THEN (a = -1)::INT + (b = -1)::INT + (c = -1)::INT ELSE 0 END AS sells FROM v) SELECT symbol, ts, a AS rsi_signal, b AS macd_signal, c AS band_signal, CASE WHEN buys >= 2 THEN 1 WHEN sells >= 2 THEN -1 ELSE 0 END AS ensemble, CASE WHEN buys >= 2 THEN buys / 3.0 WHEN sells >= 2 THEN sells / 3.0 END AS confidence, CASE WHEN k >= 14 AND atr > atr20 AND m20 > m50 AND rs > 50 THEN 1 WHEN k >= 14 AND atr > atr20 AND m20 < m50 AND rs < 50 THEN -1 ELSE 0 END AS multi_signal FROM w",
+    r="confidence",
+    t="ts",
+)
+def _(spark, d):
+    return G.indicator_signals(stored(spark, d, "daily"))
+
+
 @query("win18_kalman", f"WITH RECURSIVE n AS (SELECT symbol, ts, close, row_number() OVER ({BY}) AS k FROM bars), x AS (SELECT symbol, k, close AS trend, 1.0::DOUBLE AS p FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.k, x.trend + (x.p + 0.01) / (x.p + 1.01) * (n.close - x.trend), (x.p + 0.01) * (1 - (x.p + 0.01) / (x.p + 1.01)) FROM x JOIN n ON n.symbol = x.symbol AND n.k = x.k + 1) SELECT symbol, ts, trend FROM x JOIN n USING (symbol, k)", r="trend", t="ts")
 def _(spark, d):
     return R.kalman(stored(spark, d, "daily"))
@@ -364,6 +378,7 @@ def _(spark, d):
     return _trades(spark, d)
 
 
-@query("agg58_trade_summary", f"WITH {CROSS}, {_TRADES}, z AS (SELECT symbol, (exit * 0.999 - entry) / entry AS pnl FROM tr) SELECT symbol, count(*) AS trades, avg(pnl) AS mean, sum(pnl) AS total, max(pnl) AS best, avg((pnl > 0)::INT) AS win_rate FROM z GROUP BY symbol", r="mean total best win_rate")
+@query("agg58_trade_summary", f"WITH {CROSS}, {_TRADES}, z AS (SELECT symbol, exit_ts, (exit * 0.999 - entry) / entry AS pnl FROM tr), e AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (PARTITION BY symbol ORDER BY exit_ts)) AS eq FROM z), d AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY symbol ORDER BY exit_ts)) - 1 AS dd FROM e) SELECT symbol, count(*) AS trades, avg(pnl) AS mean, sum(pnl) AS total, max(pnl) AS best, avg((pnl > 0)::INT) AS win_rate, CASE WHEN count(*) > 1 THEN avg(pnl) / (stddev_pop(pnl) + 1e-8) * sqrt(252) ELSE 0 END AS sharpe, min(dd) AS max_drawdown FROM d GROUP BY symbol", r="mean total best win_rate sharpe max_drawdown")
 def _(spark, d):
-    return L.trade_summary(_trades(spark, d), 0.001)
+    trades = _trades(spark, d)
+    return L.trade_summary(trades, 0.001).join(L.trade_drawdown(trades, 0.001), "symbol")
\ No newline at end of file

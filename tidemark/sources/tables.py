@@ -34,9 +34,12 @@ def catalog(bars: DataFrame) -> DataFrame:
     return span.join(digest, "symbol")
 
 
-def overlapping(catalog_rows: DataFrame, start, end) -> DataFrame:
-    """Datasets whose span touches [start, end]."""
-    return catalog_rows.where((F.col("first_ts") <= F.lit(end).cast("timestamp")) & (F.col("last_ts") >= F.lit(start).cast("timestamp")))
+def overlapping(catalog_rows: DataFrame, start, end, timeframe: str | None = None, tag: str | None = None) -> DataFrame:
+    """Datasets whose span touches [start, end]; of a timeframe and with a tag where those are named."""
+    got = catalog_rows.where((F.col("first_ts") <= F.lit(end).cast("timestamp")) & (F.col("last_ts") >= F.lit(start).cast("timestamp")))
+    if timeframe is not None:
+        got = got.where(F.col("timeframe") == timeframe)
+    return got if tag is None else got.where(F.array_contains("tags", tag))
 
 
 def verify(catalog_rows: DataFrame, bars: DataFrame) -> DataFrame:
