@@ -32,6 +32,7 @@ def rows_of(df):
 MEASURES = {
     "returns": windows.returns,
     "rolling_statistics": lambda b: windows.rolling_statistics(b, "close", 7),
+    "return_volatility": lambda b: windows.return_volatility(b, 9),
     "expanding": lambda b: windows.expanding(b, "close"),
     "bands": lambda b: windows.bands(b, 12),
     "wma": lambda b: windows.wma(b, "close", 6, "w"),
@@ -92,6 +93,36 @@ def test_a_measure_that_reads_further_than_the_copies_is_refused(spark):
         windows.bands(blocks.cut(bars(spark), 10, 0, 29), 12)
 
 
+def test_round_trips_over_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    acts = [(s, datetime(2020, 1, 1) + timedelta(days=i), float(i), rng.choice(["BUY", "BUY", "HOLD", "SELL"])) for s in "ab" for i in range(60)]
+    df = spark.createDataFrame(acts, "symbol string, ts timestamp, price double, action string")
+    want = []
+    for s in "ab":
+        entry = None
+        for _, ts, price, action in [a for a in acts if a[0] == s]:
+            if action == "BUY" and entry is None:
+                entry = (ts, price)
+            elif action == "SELL" and entry is not None:
+                want.append((s, *entry, ts, price))
+                entry = None
+        if entry is not None:
+            last = [a for a in acts if a[0] == s][-1]
+            want.append((s, *entry, last[1], last[2]))
+    real = blocks.cut
+    for size in (1 << 16, 7):
+        monkeypatch.setattr(labels, "cut", lambda rows, back, ahead=0, size=size, keep=False: real(rows, back, ahead, size))
+        assert sorted(map(tuple, labels.first_of_runs(df).collect())) == sorted(want)
+
+
+def test_return_volatility_equals_the_rolling_deviation(spark):
+    own = bars(spark)
+    with_r = own.select("symbol", "ts", windows.simple_return().alias("r"))
+    assert rows_of(windows.return_volatility(own, 9)) == rows_of(windows.rolled(with_r, F.stddev_samp, "r", 9))
+
+
 def test_stacked_measures_share_one_sort(spark):
     cut = blocks.cut(bars(spark, symbols=("a", "b")), 30, 5, 29)
     both = cut.stack(functools.partial(windows.bands, w=12), windows.cci, functools.partial(labels.bar_outcomes, horizon=5, cost=0.0))

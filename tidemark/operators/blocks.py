@@ -67,8 +67,8 @@ def block_number() -> Column:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Rows with their neighbours. ``frame``: symbol (series and block), ts, __idx (row number in the series) and values;
-    ``back``, ``ahead``: copied rows around each block; ``most``: blocks of the longest series where that is known."""
+    """Rows with their neighbours. ``frame``: symbol (series and block), ts, __idx (row number in the series), __block,
+    __name (the series as text) and values; ``back``, ``ahead``: copied rows around each block; ``most``: blocks of the longest series where that is known."""
 
     frame: DataFrame
     size: int
@@ -79,11 +79,11 @@ class Blocks:
 
     def inside(self) -> Column:
         """True for rows that belong to their block."""
-        return F.floor(F.col("__idx") / self.size) == block_number()
+        return F.col("__idx").between(F.col("__block") * self.size, F.col("__block") * self.size + (self.size - 1))
 
     def named(self, df: DataFrame) -> DataFrame:
         """``symbol`` as it was given."""
-        name = F.substring_index("symbol", MARK, 1)
+        name = F.col("__name")
         return df.withColumn("symbol", F.when(name != NOBODY, name).cast(self.symbol_type))
 
     def own(self, df: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ class Blocks:
             kept = base(got)
             df = got.select(*kept, F.struct(*[c for c in got.columns if c not in kept]).alias(f"__out{k}"))
         outs = [f"__out{k}.*" for k in range(len(measures))]
-        return self.named(df.where(self.inside()).select("symbol", "ts", *outs))
+        return self.named(df.where(self.inside())).select("symbol", "ts", *outs)
 
     def running(self, sums: dict[str, str | Column], f: Callable = F.sum) -> Blocks:
         """Running totals (``f``: F.sum, F.max or F.min) over the series up to each row; on copies they are null."""
@@ -162,20 +162,27 @@ def _merged(a: Column, b: Column) -> Column:
     return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
 
 
-def cut(rows: DataFrame, back: int, ahead: int = 0, size: int = SIZE) -> Blocks:
-    """Blocks of ``size`` rows of each series with ``back`` rows before and ``ahead`` after. A missing symbol is a series."""
+def cut(rows: DataFrame, back: int, ahead: int = 0, size: int = SIZE, keep: bool = False) -> Blocks:
+    """Blocks of ``size`` rows of each series with ``back`` rows before and ``ahead`` after. A missing symbol is a series.
+
+    Numbering reads the rows twice; ``keep`` writes them down first, so that what they come from is worked out once.
+    """
+    if keep:
+        from tidemark.sources.scratch import stored
+
+        rows = stored(rows)
     kind = dict(rows.dtypes)["symbol"]
     named = rows.withColumn("symbol", F.coalesce(F.col("symbol").cast("string"), F.lit(NOBODY)))
     own = row_index(named, name="__idx")
     # the blocks whose frames reach the row
     first, last = F.greatest(F.floor((F.col("__idx") - ahead) / size), F.lit(0)), F.floor((F.col("__idx") + back) / size)
-    held = own.withColumn("_block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    key = F.concat_ws(MARK, F.col("symbol"), F.col("_block").cast("string"))
-    return Blocks(held.withColumn("symbol", key).drop("_block"), size, back, ahead, kind)
+    held = own.withColumn("__block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    key = F.concat_ws(MARK, F.col("symbol"), F.col("__block").cast("string"))
+    return Blocks(held.withColumn("__name", F.col("symbol")).withColumn("symbol", key), size, back, ahead, kind)
 
 
 def as_blocks(rows: DataFrame | Blocks, back: int, ahead: int = 0) -> Blocks:
-    return rows if isinstance(rows, Blocks) else cut(rows, back, ahead)
+    return rows if isinstance(rows, Blocks) else cut(rows, back, ahead, keep=True)
 
 
 State = np.ndarray

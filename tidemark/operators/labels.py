@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import as_of, range_extremes
-from tidemark.operators.blocks import as_blocks, base, reads
+from tidemark.operators.blocks import Blocks, as_blocks, base, cut, reads
 from tidemark.operators.windows import rolling, series, simple_return
 
 #: Seconds of the clock buckets in which events look for their ends.
@@ -60,26 +62,30 @@ def outcomes(events: DataFrame, bars: DataFrame, horizons: list[int], threshold:
     return own.select("event_id", "symbol", "ts", "direction", "horizon_days", F.col("asof_ts").alias("realized_end"), (raw * sign).alias("ret"), mfe.alias("mfe"), mae.alias("mae"), (raw * sign >= threshold).alias("hit"))
 
 
-@reads(1)
-def _turns(acts: DataFrame) -> DataFrame:
-    """The first row of each run of one action."""
-    before = F.lag("action").over(series())
-    return acts.select(*base(acts), "price", "action", before.alias("_before")).where(~F.col("action").eqNullSafe(F.col("_before"))).drop("_before")
-
-
-@reads(0, 1)
-def _entries(turns: DataFrame) -> DataFrame:
-    """Buys with the turn after them. A leading sell is no entry, and actions alternate, so the turn is a sell."""
-    ahead = lambda c: F.lead(c).over(series())
-    return turns.select(*base(turns), "action", F.col("price").alias("entry"), ahead("ts").alias("exit_ts"), ahead("price").alias("exit")).where(F.col("action") == "BUY")
+def round_trips(signals: DataFrame) -> Blocks:
+    """Signals (symbol, ts, price, action) as round trips, in blocks: a BUY after another action, or the first, opens a
+    trade; the next SELL closes it. What is open at the end of a block closes with the first SELL of a later one, from
+    a table with one row a block; an open trade at the end of the series has no exit."""
+    acts = cut(signals.where(F.col("action").isin("BUY", "SELL")).select("symbol", "ts", "price", "action"), 1, keep=True)
+    sell = F.when(F.col("action") == "SELL", F.struct("ts", "price"))
+    after = series().rowsBetween(1, Window.unboundedFollowing)
+    own = acts.frame.select(*base(acts.frame), "price", "action", F.lag("action").over(series()).alias("_before"), F.first(F.when(acts.inside(), sell), True).over(after).alias("_own"))
+    firsts = acts.frame.where(acts.inside()).groupBy("symbol", "__name", "__block").agg(F.min_by(sell, F.when(F.col("action") == "SELL", F.col("ts"))).alias("_sell"))
+    later = Window.partitionBy("__name").orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("symbol", F.first("_sell", True).over(later).alias("_later"))
+    opened = own.where((F.col("action") == "BUY") & ~F.col("action").eqNullSafe(F.col("_before"))).join(firsts, "symbol").withColumn("_exit", F.coalesce("_own", "_later"))
+    return replace(acts, frame=opened.select(*base(opened), F.col("price").alias("entry"), F.col("_exit")["ts"].alias("exit_ts"), F.col("_exit")["price"].alias("exit")), back=0)
 
 
 def first_of_runs(signals: DataFrame) -> DataFrame:
     """Signals (symbol, ts, price, action) as round trips: BUY only when flat, SELL only when long; a leading SELL is
     dropped, runs of one action count once, and an open trade is closed at the last price."""
+    return closed_at_end(round_trips(signals).rows(), signals)
+
+
+def closed_at_end(trades: DataFrame, signals: DataFrame) -> DataFrame:
     last = signals.groupBy("symbol").agg(F.max("ts").alias("end_ts"), F.max_by("price", "ts").alias("end_price"))
-    acts = signals.where(F.col("action").isin("BUY", "SELL")).select("symbol", "ts", "price", "action")
-    return _entries(_turns(acts)).join(last, "symbol").select("symbol", F.col("ts").alias("entry_ts"), "entry", F.coalesce("exit_ts", "end_ts").alias("exit_ts"), F.coalesce("exit", "end_price").alias("exit"))
+    return trades.join(last, "symbol").select("symbol", F.col("ts").alias("entry_ts"), "entry", F.coalesce("exit_ts", "end_ts").alias("exit_ts"), F.coalesce("exit", "end_price").alias("exit"))
 
 
 def trade_summary(trades: DataFrame, cost: float, by: str = "symbol", periods: int = 252) -> DataFrame:

@@ -147,7 +147,7 @@ def directional(bars: DataFrame | Blocks, period: int = 14) -> DataFrame:
         return {"adx": y}, np.array([last])
 
     own = linear_fold(own, fold, 1, ["adx"])
-    got = own.named(own.frame.where(own.inside()).select("symbol", "ts", "__idx", "plus_di", "minus_di", "adx"))
+    got = own.named(own.frame.where(own.inside())).select("symbol", "ts", "__idx", "plus_di", "minus_di", "adx")
     earlier = got.select("symbol", (F.col("__idx") + period).alias("__idx"), F.col("adx").alias("_before"))
     return got.join(earlier, ["symbol", "__idx"], "left").select("symbol", "ts", "plus_di", "minus_di", "adx", ((F.col("adx") + F.col("_before")) / 2).alias("adxr"))
 

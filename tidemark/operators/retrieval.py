@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import Blocks, as_blocks
+
 
 #: What a word, a shared tag, and a new document count, and the weight of each source.
 TOKEN_WEIGHT, TAG_WEIGHT, RECENT_BONUS, RECENT_DAYS = 0.1, 0.05, 0.1, 365.0
@@ -107,12 +109,13 @@ def similar_snapshots(target: DataFrame, candidates: DataFrame, columns: list[st
     return candidates.join(F.broadcast(point)).select("id", score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(n)
 
 
-def sweep(bars: DataFrame, grid: list[tuple[int, int]], least_trades: int, n: int, cost: float) -> DataFrame:
+def sweep(bars: DataFrame | Blocks, grid: list[tuple[int, int]], least_trades: int, n: int, cost: float) -> DataFrame:
     """Best (fast, slow) crossover settings by mean profit per trade, at least so many trades; all settings share one
     scan, each as its own series key."""
     from tidemark.operators import labels as L
     from tidemark.operators import windows as W
 
+    bars = as_blocks(bars, max(slow for _, slow in grid))
     parts = None
     for fast, slow in grid:
         e = W.crossovers(bars, fast, slow).select(F.concat_ws("|", "symbol", F.lit(f"{fast}/{slow}")).alias("symbol"), "ts", "price", F.when(F.col("direction") == "bullish", "BUY").otherwise("SELL").alias("action"))

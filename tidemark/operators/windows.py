@@ -88,6 +88,19 @@ def rolled(df: DataFrame, f, of: str, w: int) -> DataFrame:
     return df.select(*base(df), rolling(f, of, w).alias("v"))
 
 
+@reads(lambda a: a["w"] + 1)
+def return_volatility(bars: DataFrame, w: int, of: str = "close") -> DataFrame:
+    """``v``: sample deviation of the last ``w`` one-step returns, from running sums inside the block less those ``w`` rows
+    before: a row costs the same at every ``w``. Returns lie near 0, so that the difference of sums keeps its digits."""
+    own = bars.select(*base(bars), simple_return(of).alias("_r"))
+    so_far = series().rowsBetween(Window.unboundedPreceding, 0)
+    r, known = F.coalesce("_r", F.lit(0.0)), F.col("_r").isNotNull().cast("int")
+    own = own.select(*base(own), F.sum(known).over(so_far).alias("_n"), F.sum(r).over(so_far).alias("_s"), F.sum(r * r).over(so_far).alias("_q"))
+    part = lambda c: F.col(c) - F.coalesce(previous(c, w), F.lit(0))
+    n, s, q = part("_n"), part("_s"), part("_q")
+    return own.select(*base(own), F.when(n == w, F.sqrt(F.greatest((q - s * s / w) / (w - 1), F.lit(0.0)))).alias("v"))
+
+
 def expanding(df: DataFrame | Blocks, of: str) -> DataFrame:
     """Mean and sample deviation of all values so far: moments of blocks, merged."""
     blocks = as_blocks(df, 0)

@@ -20,6 +20,7 @@ from tidemark.operators import windows as W
 from tidemark.operators.recursive import change_points
 from tidemark.plans.registry import BY, NORMAL_P, daily, factors, full, hourly, lag, over, p_value, query, read, roll, stored, ticks, with_returns
 from tidemark.plans.window_queries import CROSS, SO_FAR
+from tidemark.sources.scratch import stored as keep
 
 R = "rets WHERE r IS NOT NULL"
 
@@ -414,8 +415,8 @@ def _(spark, d):
 
 @query("joi05_forward_as_of", f"WITH {CROSS}, k AS (SELECT event_id, symbol, ts + INTERVAL 10 DAY AS target FROM ev WHERE direction IS NOT NULL) SELECT k.event_id, b.ts AS asof_ts, b.close AS asof_close FROM k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.target <= b.ts", r="asof_close", t="asof_ts")
 def _(spark, d):
-    bars = daily(spark, d)
-    e = W.crossovers(bars).select("event_id", "symbol", (F.col("ts") + F.expr("interval 10 days")).alias("target"))
+    series = stored(spark, d, "daily")
+    bars, e = series.rows(), W.crossovers(series).select("event_id", "symbol", (F.col("ts") + F.expr("interval 10 days")).alias("target"))
     return A.as_of(e, bars, ["close"], at="target", forward=True, width=L.YEAR).select("event_id", "asof_ts", "asof_close")
 
 
@@ -430,8 +431,8 @@ OUTCOMES = f"{CROSS}, k AS (SELECT event_id, symbol, ts, direction, price, h.h A
 
 
 def _outcomes(spark, d):
-    bars = daily(spark, d)
-    return L.outcomes(W.crossovers(bars), bars, [1, 5, 20])
+    series = stored(spark, d, "daily")
+    return L.outcomes(W.crossovers(series), series.rows(), [1, 5, 20])
 
 
 @query("res01_joi07_outcomes", f"WITH {OUTCOMES} SELECT * FROM oc", r="ret mfe mae", t="ts realized_end")
@@ -455,7 +456,7 @@ def flagship(spark, d):
 
 @query("res11_prior_rate_by_fold", f"WITH {OUTCOMES}, o5 AS (SELECT * FROM oc WHERE horizon_days = 5 AND ret IS NOT NULL), f AS (SELECT DISTINCT year(ts)::INT AS fold, date_trunc('year', ts)::TIMESTAMP AS a, date_trunc('year', ts)::TIMESTAMP + INTERVAL 1 YEAR AS b FROM o5), tr AS (SELECT fold, direction, count(*) AS n_train, avg(hit::INT) AS p FROM o5 JOIN f ON realized_end < a AND ts < a GROUP BY 1, 2), te AS (SELECT fold, direction, count(*) AS n_test, avg(hit::INT) AS observed FROM o5 JOIN f ON ts >= a AND ts < b GROUP BY 1, 2) SELECT * FROM tr JOIN te USING (fold, direction)", r="p observed")
 def _(spark, d):
-    own = _outcomes(spark, d).where("horizon_days = 5 and ret is not null")
+    own = keep(_outcomes(spark, d).where("horizon_days = 5 and ret is not null"))
     start = F.date_trunc("year", "ts")
     folds = own.select(F.year("ts").alias("fold"), start.alias("start"), (start + F.expr("interval 1 year")).alias("stop")).distinct()
     return V.prior_rate(own, folds)

@@ -291,7 +291,7 @@ def _(spark, d):
 
 @query("top04_parameter_sweep", None, r="mean total best win_rate")
 def _(spark, d):
-    return I.sweep(daily(spark, d), [(5, 20), (10, 30), (20, 60)], 5, 3, 0.001)
+    return I.sweep(stored(spark, d, "daily"), [(5, 20), (10, 30), (20, 60)], 5, 3, 0.001)
 
 
 @query("gra07_append_only", "SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 0", use="")

@@ -92,7 +92,7 @@ def stored(spark: SparkSession, d: str, name: str) -> Blocks:
     version = hashlib.sha1(f"{place.toString()}:{status.getModificationTime()}:{status.getLen()}".encode()).hexdigest()[:16]
     table = f"tidemark_{name}_{version}"
     if not spark.catalog.tableExists(table):
-        series.write(build(spark, d), table, size=1024)
+        series.write(build(spark, d), table, size=1024, keep=True)
     return series.read(spark, table)
 
 

@@ -13,6 +13,7 @@ from tidemark.operators import scan as S
 from tidemark.operators import signals as G
 from tidemark.operators import windows as W
 from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
+from tidemark.sources.scratch import stored as keep
 
 SO_FAR = f"OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
@@ -380,5 +381,5 @@ def _(spark, d):
 
 @query("agg58_trade_summary", f"WITH {CROSS}, {_TRADES}, z AS (SELECT symbol, exit_ts, (exit * 0.999 - entry) / entry AS pnl FROM tr), e AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (PARTITION BY symbol ORDER BY exit_ts)) AS eq FROM z), d AS (SELECT *, eq / greatest(1, max(eq) OVER (PARTITION BY symbol ORDER BY exit_ts)) - 1 AS dd FROM e) SELECT symbol, count(*) AS trades, avg(pnl) AS mean, sum(pnl) AS total, max(pnl) AS best, avg((pnl > 0)::INT) AS win_rate, CASE WHEN count(*) > 1 THEN avg(pnl) / (stddev_pop(pnl) + 1e-8) * sqrt(252) ELSE 0 END AS sharpe, min(dd) AS max_drawdown FROM d GROUP BY symbol", r="mean total best win_rate sharpe max_drawdown")
 def _(spark, d):
-    trades = _trades(spark, d)
+    trades = keep(_trades(spark, d))
     return L.trade_summary(trades, 0.001).join(L.trade_drawdown(trades, 0.001), "symbol")
\ No newline at end of file

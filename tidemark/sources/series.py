@@ -11,23 +11,23 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import SIZE, Blocks, block_number, cut
+from tidemark.operators.blocks import SIZE, Blocks, cut
 from tidemark.sources.scratch import scratch
 
 #: Rows before and after a block that a stored table holds unless told otherwise.
 BACK, AHEAD, BUCKET_ROWS = 128, 32, 1 << 20
 
 
-def write(bars: DataFrame, name: str, back: int = BACK, ahead: int = AHEAD, size: int = SIZE, buckets: int | None = None, path: str | None = None) -> Blocks:
+def write(bars: DataFrame, name: str, back: int = BACK, ahead: int = AHEAD, size: int = SIZE, buckets: int | None = None, path: str | None = None, keep: bool = False) -> Blocks:
     """Store the series of ``bars`` as table ``name`` under ``path`` (a new one in the shared folder). The number of
-    buckets follows the number of rows unless given."""
+    buckets follows the number of rows unless given; ``keep`` as in :func:`cut`, for bars that are costly to make."""
     spark = bars.sparkSession
-    blocks = cut(bars, back, ahead, size)
+    blocks = cut(bars, back, ahead, size, keep)
     if buckets is None:
-        buckets = max(spark.sparkContext.defaultParallelism, -(-bars.count() // BUCKET_ROWS))
+        buckets = max(spark.sparkContext.defaultParallelism, -(-blocks.frame.select("__idx").count() // BUCKET_ROWS))
     ordered = blocks.frame.repartition(buckets, "symbol").sortWithinPartitions("symbol", "ts")
     ordered.write.bucketBy(buckets, "symbol").sortBy("symbol", "ts").mode("overwrite").option("path", path or scratch(spark)).saveAsTable(name)
-    most = spark.table(name).agg(F.max(F.when(blocks.inside(), block_number())) + 1).first()[0] or 1
+    most = spark.table(name).agg(F.max(F.when(blocks.inside(), F.col("__block"))) + 1).first()[0] or 1
     about = json.dumps({"size": size, "back": back, "ahead": ahead, "symbol_type": blocks.symbol_type, "most": most})
     spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('series' = '{about}')")
     return read(spark, name)
