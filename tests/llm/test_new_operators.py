@@ -11,7 +11,8 @@ import zlib
 
 import numpy as np
 
-from tidemark.llm import clustering, quality, resampling, secret_scan, substrings
+from tidemark.llm import clustering, lm, quality, resampling, secret_scan, substrings
+from tidemark.llm.corpus_counts import squeezed, unsqueezed
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -197,3 +198,12 @@ def test_classifier_takes_a_table_with_a_column_named_as_its_label(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     assert quality.score_quality(docs, labels).count() == 40
     assert set(quality.keep_good(docs, labels).columns) == {"doc_id", "text", "quality", "features"}
+
+
+def test_totals_past_32_bits_are_whole():
+    import pandas as pd
+
+    rows = [(3, chunk, np.array([7, 9], "<u4").tobytes(), squeezed(np.array([0xFFFFFFFF, 5], "<u4")), b"", b"") for chunk in (0, 1, 2)]
+    got = lm._count((3,), pd.DataFrame(rows, columns=["key", "chunk", "a", "b", "c", "d"]))
+    assert [unsqueezed(x, "<i8").tolist() for x in got["a"]] == [[3 * 0xFFFFFFFF, 15]] * 3
+    assert [unsqueezed(x, "<i8").tolist() for x in got["b"]] == [[0, 0]] * 3
