@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import extension, folds, frame, recursive, relations, resample, retrieval, stats, walk
+from tidemark.operators import extension, folds, frame, recursive, relations, resample, retrieval, stats, trees, walk
 from tidemark.streaming import jobs
 
 
@@ -164,9 +164,36 @@ def test_classifier_and_importance_find_the_real_feature(spark):
         x, noise = rng.normal(), rng.normal()
         rows.append((i // 200, "train" if i % 200 < 140 else "validation", i, float(x), float(noise), 1 if x > 0.4 else -1 if x < -0.4 else 0))
     parts = spark.createDataFrame(rows, "fold long, role string, k long, x double, noise double, y int")
-    assert all(r.n == 60 and r.accuracy > 0.85 for r in walk.classifier(parts, ["x", "noise"], "y").collect())
-    drop = {r.feature: r["drop"] for r in walk.importance(parts, ["x", "noise"], "y", "k", 1).collect()}
+    classes = sorted({r.y for r in parts.select("y").distinct().collect()})
+    assert all(r.n == 60 and r.accuracy > 0.85 > r.baseline for r in trees.classifier(parts, ["x", "noise"], "y", classes, ["fold"]).collect())
+    drop = {r.feature: r["drop"] for r in trees.importance(parts, ["x", "noise"], "y", classes, ["fold"], "k", 1).collect()}
     assert drop["x"] > 0.3 > 0.1 > abs(drop["noise"])
+    again = {r.feature: r["drop"] for r in trees.importance(parts.repartition(5), ["x", "noise"], "y", classes, ["fold"], "k", 1).collect()}
+    assert again == drop
+
+
+def test_tree_splits_are_the_best_of_all_bins(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, float(a), float(b), int(rng.random() < (0.9 if (a > 0.6) == (g == "p") else 0.2))) for g in "pq" for a, b in rng.random((150, 2))] + [("p", None, 0.5, 1)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y int")
+    forest = trees.grow(df, ["a", "b"], "y", [0, 1], ["g"], depth=1, bins=8)
+    got = {r.g: (r._feature, r._cut) for r in forest.levels[0].collect()}
+    for g in "pq":
+        own = [r for r in rows if r[0] == g]
+        best = []
+        for f in (0, 1):
+            v = np.array([np.nan if r[1 + f] is None else r[1 + f] for r in own], float)
+            lo, hi = np.nanmin(v), np.nanmax(v)
+            place = np.where(np.isnan(v), -1, np.minimum(7, np.floor((v - lo) / (hi - lo) * 8)))
+            y = np.array([r[3] for r in own])
+            rest = lambda m: m.sum() - ((y[m] == 0).sum() ** 2 + (y[m] == 1).sum() ** 2) / max(m.sum(), 1)
+            for cut in sorted(set(place)):
+                left = place <= cut
+                if left.sum() >= 5 and (~left).sum() >= 5:
+                    best.append((rest(np.ones(len(y), bool)) - rest(left) - rest(~left), -f, -cut))
+        top = max(best)
+        assert got[g] == (-top[1], -top[2])
+
 
 
 def test_flat_windows_have_no_correlation_and_zero_forecasts_no_surprise(spark):

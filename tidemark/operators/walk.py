@@ -239,37 +239,6 @@ def fold_gate(folds: DataFrame, seed: int = 7, replicates: int = 2000, least_rat
 
 
 
-def classifier(parts: DataFrame, features: list[str], y: str, depth: int = 3, trees: int = 20, seed: int = 7) -> DataFrame:
-    """Random forest per fold (a few folds, one distributed fit each): fold, rows of the validation part, accuracy."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    own = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(parts).withColumn("_y", (F.col(y) + 1).cast("double"))
-    out = []
-    for fold in sorted(r["fold"] for r in parts.select("fold").distinct().collect()):
-        rows = own.where(F.col("fold") == fold)
-        model = RandomForestClassifier(featuresCol="_v", labelCol="_y", predictionCol="_p", maxDepth=depth, numTrees=trees, seed=seed).fit(rows.where("role = 'train'"))
-        out.append(model.transform(rows.where("role = 'validation'")).groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("_p") == F.col("_y")).cast("double")).alias("accuracy")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def importance(parts: DataFrame, features: list[str], y: str, key: str, seed: int) -> DataFrame:
-    """Drop in validation accuracy of a logistic model when one feature is permuted among the rows: feature, drop."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    gather = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip")
-    own = parts.select("role", key, *features, (F.col(y) + 1).cast("double").alias("_y"), F.concat_ws("|", *[c for c in ("symbol", "fold", key) if c in parts.columns]).alias("_key"))
-    model = LogisticRegression(featuresCol="_v", labelCol="_y", predictionCol="_p", maxIter=50).fit(gather.transform(own.where("role = 'train'")))
-    test = own.where("role = 'validation'")
-    accuracy = lambda rows: model.transform(gather.transform(rows)).agg(F.avg((F.col("_p") == F.col("_y")).cast("double")).alias("a"))
-    whole, out = accuracy(test), []
-    for f in features:
-        moved = shuffled_labels(test, f, "_key", seed).drop(f).withColumnRenamed("shuffled", f)
-        out.append(accuracy(moved).withColumnRenamed("a", "b").join(whole).select(F.lit(f).alias("feature"), (F.col("a") - F.col("b")).alias("drop")))
-    return reduce(DataFrame.unionByName, out)
-
-
 def strategies_by_fold(rows: DataFrame, signals: dict[str, Column], ret: str, cost: float) -> DataFrame:
     """Named signals (1, 0, -1) side by side per fold: rows, trades, total return after cost and share of trades that
     earn more than it."""

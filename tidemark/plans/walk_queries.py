@@ -9,6 +9,7 @@ from tidemark.operators import labels as L
 from tidemark.operators import macro as O
 from tidemark.operators import scan as S
 from tidemark.operators import calibration as C
+from tidemark.operators import trees as T
 from tidemark.operators import walk as K
 from tidemark.operators import windows as W
 from tidemark.plans.analysis_queries import OUTCOMES, R, _outcomes, _returns
@@ -163,15 +164,17 @@ def _(spark, d):
     return K.fold_gate(folds)
 
 
-@query("res30_walk_forward_classifier", None, r="accuracy")
+@query("res30_walk_forward_classifier", None, r="accuracy baseline")
 def _(spark, d):
-    return K.classifier(_parts(spark, d).where("symbol = '5-LOW'"), ["x"], "y")
+    """A tree for every series and fold."""
+    return T.classifier(_parts(spark, d), ["x"], "y", [-1, 0, 1], ["symbol", "fold"])
 
 
-@query("res31_permutation_importance", None, r="drop")
+@query("res31_permutation_importance", None, r="drop accuracy")
 def _(spark, d):
-    parts = _parts(spark, d).where("fold = 0").withColumn("noise", F.rand(3))
-    return K.importance(parts, ["x", "noise"], "y", "ts", 20260910)
+    """Over all series and folds; the second feature is a hash of the key, without meaning."""
+    noise = F.pmod(F.xxhash64("symbol", "ts"), F.lit(1000)).cast("double")
+    return T.importance(_parts(spark, d).withColumn("noise", noise), ["x", "noise"], "y", [-1, 0, 1], ["symbol", "fold"], "ts", 20260910)
 
 
 @query("res32_strategies_by_fold", f"WITH {_X}, st AS (SELECT 'momentum' AS strategy, symbol, ts, fold, fwd, CASE WHEN x > 0 THEN 1 WHEN x < 0 THEN -1 ELSE 0 END AS s FROM xp WHERE role = 'validation' UNION ALL SELECT 'reversal', symbol, ts, fold, fwd, CASE WHEN x < -0.2 THEN 1 ELSE 0 END FROM xp WHERE role = 'validation') SELECT strategy, fold, count(*) AS n, count(*) FILTER (WHERE s <> 0) AS trades, sum(s * fwd - CASE WHEN s <> 0 THEN 0.002 ELSE 0 END) AS total, coalesce(avg((s * fwd > 0.002)::INT) FILTER (WHERE s <> 0), 0) AS win_rate FROM st GROUP BY 1, 2", r="total win_rate")
