@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import extension, folds, frame, recursive, relations, resample, retrieval, stats, trees, walk
+from tidemark.operators import extension, frame, recursive, relations, resample, retrieval, stats, trees, walk
 from tidemark.streaming import jobs
 
 

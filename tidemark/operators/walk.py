@@ -7,7 +7,6 @@ group of the same aggregates.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
