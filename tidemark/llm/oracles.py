@@ -66,3 +66,34 @@ scored AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesc
   FROM txt LEFT JOIN weighed USING (r)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= {least_words} ORDER BY score DESC, doc_id) AS k, count(*) FILTER (words >= {least_words}) OVER () AS able FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= {least_words} AND k <= {percent} * able // 100 THEN k END AS rank FROM ranked"""
+
+
+def _components(edges: str, nodes: str) -> str:
+    """Least node reachable: pairs (node, reached) closed under the links, both ways."""
+    return f"""hop(a, b) AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}),
+reach(a, b) AS (SELECT a, a FROM {nodes} UNION SELECT reach.a, hop.b FROM reach JOIN hop ON hop.a = reach.b),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)"""
+
+
+def near_vectors(cosine: float = 0.98) -> str:
+    """Every pair of one label."""
+    return f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS x,
+    coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda z: z IS NULL OR isnan(z) OR isinf(z))) = 0 AND list_max(list_transform(embedding, lambda z: abs(z))) > 0, false) AS ok FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE ok AND label IS NOT NULL),
+l AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_dot_product(p.x, q.x) / (p.n * q.n) >= {cosine}::DOUBLE),
+k AS (SELECT a AS id, count(*) AS n FROM (SELECT a FROM l UNION ALL SELECT b FROM l) t(a) GROUP BY a),
+{_components('l', '(SELECT vec_id AS a FROM v) q')}
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, vec_id = c AS kept FROM v JOIN least ON least.a = vec_id LEFT JOIN k ON k.id = vec_id"""
+
+
+def ngram_join(n: int = 4, percent: int = 85) -> str:
+    """Shingles of every document, joined with those of every other."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + {n - 1}], ' ')) AS s, md5(array_to_string(w[i:i + {n - 1}], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n - 2}, 2))) AS i FROM w WHERE len(w) > 0)),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.s = q.s AND p.m = q.m AND p.doc_id < q.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+{_components('l', '(SELECT doc_id AS a FROM w) q')}
+SELECT doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, c::BIGINT AS component_id FROM w JOIN least ON least.a = doc_id LEFT JOIN z USING (doc_id)"""

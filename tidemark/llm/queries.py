@@ -81,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_near_duplicate_vectors": oracles.near_vectors(),
+        "op7_ngram_jaccard_join": oracles.ngram_join(),
         "op11_importance_resampling": oracles.resampling(),
         "op12_centroid_clustering": oracles.clustering(),
         "op13_repeated_substrings": oracles.substrings(),
