@@ -12,6 +12,7 @@ from tidemark.operators import recursive as R
 from tidemark.operators import scan as S
 from tidemark.operators import signals as G
 from tidemark.operators import windows as W
+from tidemark.operators.blocks import cut
 from tidemark.plans.registry import BY, daily, full, hourly, lag, over, query, read, roll, stored, ticks, with_returns
 from tidemark.sources.scratch import stored as keep
 
@@ -245,12 +246,8 @@ def _(spark, d):
 
 @query("scan_t7_halo_mean", f"SELECT symbol, ts, {roll('avg', 'close', 20)} AS mean FROM bars", r="mean", t="ts")
 def _(spark, d):
-    """The rolling mean over yearly buckets with a halo equals the one over whole series."""
-    from pyspark.sql import Window
-
-    rows, keys = S.halo(daily(spark, d), 19)
-    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-19, 0)
-    return rows.select("symbol", "ts", "_halo", F.when(F.count("close").over(w) == 20, F.avg("close").over(w)).alias("mean")).where(~F.col("_halo")).drop("_halo")
+    """The rolling mean over blocks of 256 rows with copies of the 19 before equals the one over whole series."""
+    return W.rolled(cut(daily(spark, d), 19, size=256), F.avg, "close", 20).withColumnRenamed("v", "mean")
 
 
 @query("scan_t1_row_index", f"SELECT symbol, ts, row_number() OVER ({BY}) - 1 AS idx FROM bars", t="ts")
