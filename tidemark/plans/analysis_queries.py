@@ -511,11 +511,11 @@ def _(spark, d):
     return Q.upper_median_interval(stored(spark, d, "hourly"))
 
 
-#: A tree of hashes up to two digits deep: 1,024, 16,384 and 262,144 rows a group bound its levels.
-_DIG = "h AS (SELECT o_orderpriority AS k, sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS h, count(*) AS c FROM orders GROUP BY ALL), n AS (SELECT o_orderpriority AS k, count(*) AS n, (count(*) > 1024)::INT + (count(*) > 16384)::INT AS l FROM orders GROUP BY 1), leaf AS (SELECT k, l, h[1:l] AS p, sha256(string_agg(h || ':' || c, '' ORDER BY h)) AS d FROM h JOIN n USING (k) GROUP BY ALL), one AS (SELECT k, p, d FROM leaf WHERE l = 1 UNION ALL SELECT k, p[1:1], sha256(string_agg(p[2:2] || ':' || d, '' ORDER BY p)) FROM leaf WHERE l = 2 GROUP BY ALL), root AS (SELECT k, d FROM leaf WHERE l = 0 UNION ALL SELECT k, sha256(string_agg(p || ':' || d, '' ORDER BY p)) FROM one GROUP BY k)"
+#: A tree of hashes: more than 1,024 rows of a group make one level, and sixteen times as many each further one.
+_DIG = "h AS (SELECT o_orderpriority AS k, sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS h, count(*) AS c FROM orders GROUP BY ALL), n AS (SELECT o_orderpriority AS k, count(*) AS n, len(list_filter(range(12), lambda i: count(*) > 1024 * 16 ** i)) AS l FROM orders GROUP BY 1), tree AS (SELECT k, l, h[1:l] AS p, sha256(string_agg(h || ':' || c, '' ORDER BY h)) AS d FROM h JOIN n USING (k) GROUP BY ALL UNION ALL SELECT k, l - 1, p[1:l - 1], sha256(string_agg(p[l:l] || ':' || d, '' ORDER BY p)) FROM tree WHERE l > 0 GROUP BY ALL), root AS (SELECT k, d FROM tree WHERE l = 0)"
 
 
-@query("qa16_dataset_digest", f"WITH {_DIG} SELECT k AS symbol, d AS digest, n FROM root JOIN n USING (k)", use="")
+@query("qa16_dataset_digest", f"WITH RECURSIVE {_DIG} SELECT k AS symbol, d AS digest, n FROM root JOIN n USING (k)", use="")
 def _(spark, d):
     return Q.dataset_digest(read(spark, d, "orders").withColumn("symbol", F.col("o_orderpriority")), ["o_orderkey", "o_custkey", "o_orderstatus"], "symbol")
 
