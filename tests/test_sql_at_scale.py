@@ -27,3 +27,9 @@ def agree(spark, folder, name, tables):
 def test_digest_of_three_levels(spark, tmp_path):
     orders = "SELECT i AS o_orderkey, i % 1000 AS o_custkey, 'O' AS o_orderstatus, CASE WHEN i < 262145 THEN '1-URGENT' ELSE '5-LOW' END AS o_orderpriority FROM range(262200) t(i)"
     assert sorted(r.n for r in agree(spark, tmp_path, "qa16_dataset_digest", {"orders": orders})) == [55, 262145]
+
+
+def test_feeds_keep_hours_whose_first_price_is_zero(spark, tmp_path):
+    events = "SELECT i AS event_id, 'click' AS event_type, TIMESTAMP '2024-01-01' + INTERVAL 30 MINUTE * i AS ts, CASE WHEN i % 10 = 0 THEN 0.0 ELSE (i * 37 % 101)::DOUBLE END AS value FROM range(200) t(i) WHERE i <> 21"
+    (row,) = agree(spark, tmp_path, "joi03_compare_feeds", {"events": events})
+    assert (row.n, row.missing_a, row.missing_b) == (100, 0, 1)

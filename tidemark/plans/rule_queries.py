@@ -176,7 +176,7 @@ def _(spark, d):
 @query("joi03_compare_feeds", f"WITH {_FEEDS}, c AS (SELECT symbol, count(*) AS n, sum((a IS NULL)::INT)::BIGINT AS missing_a, sum((b IS NULL)::INT)::BIGINT AS missing_b, corr(a, b) AS corr, avg(CASE WHEN a <> 0 THEN abs(a - b) / abs(a) END) AS mape, max(abs(a - b)) AS max_gap FROM fa FULL JOIN fb USING (symbol, ts) GROUP BY 1) SELECT *, CASE WHEN corr > 0.99 AND mape < 0.01 THEN 'EXCELLENT' WHEN corr > 0.95 AND mape < 0.05 THEN 'GOOD' ELSE 'POOR' END AS grade FROM c", use="", r="corr mape max_gap")
 def _(spark, d):
     a, b = _feeds(spark, d)
-    return A.quality_grade(A.compare_feeds(a.where("close <> 0 or close is null"), b))
+    return A.quality_grade(A.compare_feeds(a, b))
 
 
 _SPLIT = f"o AS (SELECT symbol, ts, row_number() OVER ({BY}) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n, close - avg(close) OVER (PARTITION BY symbol) AS v FROM bars), c AS (SELECT symbol, ts, k, n, sum(v) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, sum(v * v) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q, sum(v) OVER (PARTITION BY symbol) AS st, sum(v * v) OVER (PARTITION BY symbol) AS qt FROM o), m AS (SELECT *, s / k AS m1, (st - s) / (n - k) AS m2 FROM c WHERE k >= n // 4 AND k < 3 * n // 4 AND k > 0), g AS (SELECT symbol, k, ts, CASE WHEN p > 0 THEN abs(m1 - m2) / sqrt(p * (1 / k + 1 / (n - k))) ELSE 0 END AS statistic FROM (SELECT *, (q / k - m1 * m1 + (qt - q) / (n - k) - m2 * m2) / 2 AS p FROM m))"
