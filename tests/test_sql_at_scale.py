@@ -1,9 +1,6 @@
 """Queries and their SQL on inputs that the small tables lack."""
 
-import datetime
-
 import duckdb
-import pytest
 
 from tests.test_oracles import plain
 from tidemark.queries import ORACLES, QUERIES
@@ -30,6 +27,12 @@ def test_digest_of_three_levels(spark, tmp_path):
 
 
 def test_feeds_keep_hours_whose_first_price_is_zero(spark, tmp_path):
-    events = "SELECT i AS event_id, 'click' AS event_type, TIMESTAMP '2024-01-01' + INTERVAL 30 MINUTE * i AS ts, CASE WHEN i % 10 = 0 THEN 0.0 ELSE (i * 37 % 101)::DOUBLE END AS value FROM range(200) t(i) WHERE i <> 21"
+    events = "SELECT i AS event_id, 'click' AS event_type, TIMESTAMP '2024-01-01' + INTERVAL 30 MINUTE * i AS ts, CASE WHEN i % 10 = 0 THEN 0 ELSE (i * 37 % 101) END::DOUBLE AS value FROM range(200) t(i) WHERE i <> 21"
     (row,) = agree(spark, tmp_path, "joi03_compare_feeds", {"events": events})
     assert (row.n, row.missing_a, row.missing_b) == (100, 0, 1)
+
+
+def test_live_averages_that_are_equal_do_not_cross(spark, tmp_path):
+    events = "SELECT i AS event_id, 'click' AS event_type, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * i AS ts, (([0.1, 0.2, 0.3, 0.4, 0.7])[1 + i % 5])::DOUBLE AS value FROM range(300) t(i)"
+    rows = agree(spark, tmp_path, "str05_live_signals", {"events": events})
+    assert len(rows) == 300 and {r.signal for r in rows} == {0}

@@ -65,7 +65,7 @@ def _(spark, d):
     return J.drain(J.count_windows(rows, 20, 5), "append")
 
 
-@query("str05_live_signals", "WITH RECURSIVE n AS (SELECT event_type AS symbol, ts, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events), e AS (SELECT symbol, k, close AS q, close AS l, 0.0::DOUBLE AS line FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.k, e.q + (n.close - e.q) * 2 / 13, e.l + (n.close - e.l) * 2 / 27, e.line + (e.q + (n.close - e.q) * 2 / 13 - e.l - (n.close - e.l) * 2 / 27 - e.line) * 2 / 10 FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1), m AS (SELECT n.symbol, n.ts, n.k, n.close, CASE WHEN n.k >= 10 THEN avg(n.close) OVER (PARTITION BY n.symbol ORDER BY n.k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS fast, CASE WHEN n.k >= 30 THEN avg(n.close) OVER (PARTITION BY n.symbol ORDER BY n.k ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END AS slow, q - l AS macd, line FROM n JOIN e USING (symbol, k)), g AS (SELECT *, lag(fast - slow) OVER (PARTITION BY symbol ORDER BY k) AS before FROM m) SELECT symbol, ts, close, fast, slow, macd, line, CASE WHEN before <= 0 AND fast > slow THEN 1 WHEN before >= 0 AND fast < slow THEN -1 ELSE 0 END AS signal FROM g", use="", r="close fast slow macd line", t="ts")
+@query("str05_live_signals", "WITH RECURSIVE n AS (SELECT event_type AS symbol, ts, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events), e AS (SELECT symbol, k, close AS q, close AS l, 0.0::DOUBLE AS line FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.k, e.q + (n.close - e.q) * 2 / 13, e.l + (n.close - e.l) * 2 / 27, e.line + (e.q + (n.close - e.q) * 2 / 13 - (e.l + (n.close - e.l) * 2 / 27) - e.line) * 2 / 10 FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1), m AS (SELECT n.symbol, n.ts, n.k, n.close, CASE WHEN n.k >= 10 THEN avg(n.close) OVER (PARTITION BY n.symbol ORDER BY n.k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS fast, CASE WHEN n.k >= 30 THEN avg(n.close) OVER (PARTITION BY n.symbol ORDER BY n.k ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END AS slow, q - l AS macd, line FROM n JOIN e USING (symbol, k)), g AS (SELECT *, lag(gap) OVER (PARTITION BY symbol ORDER BY k) AS before FROM (SELECT *, round(fast - slow, 9) AS gap FROM m)) SELECT symbol, ts, close, fast, slow, macd, line, CASE WHEN before <= 0 AND gap > 0 THEN 1 WHEN before >= 0 AND gap < 0 THEN -1 ELSE 0 END AS signal FROM g", use="", r="close fast slow macd line", t="ts")
 def _(spark, d):
     rows = J.stream_table(spark, f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("close"))
     return J.drain(J.live_crossovers(rows), "append")

@@ -124,8 +124,8 @@ def count_windows(rows: DataFrame, size: int, step: int) -> DataFrame:
 
 def live_crossovers(bars: DataFrame, fast: int = 10, slow: int = 30) -> DataFrame:
     """Indicators and crossing signals of a bar stream (symbol, ts, seq, close): both averages once they are full, MACD
-    and its signal line, and 1 or -1 where the fast average crosses the slow one. The state is the last ``slow`` closes
-    and four numbers per symbol."""
+    and its signal line, and 1 or -1 where the fast average crosses the slow one; averages equal to nine decimals are
+    equal. The state is the last ``slow`` closes and four numbers per symbol."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, closes, quick, late, line, before = state.get if state.exists else (0, [], 0.0, 0.0, 0.0, 0.0)
@@ -138,7 +138,7 @@ def live_crossovers(bars: DataFrame, fast: int = 10, slow: int = 30) -> DataFram
             line = macd if n == 0 else line + (macd - line) * 2 / 10
             n += 1
             a, b = (sum(closes[-fast:]) / fast if n >= fast else None), (sum(closes) / slow if n >= slow else None)
-            gap = a - b if b is not None else 0.0
+            gap = round(a - b, 9) if b is not None else 0.0
             crossed = 0 if b is None or n == slow else 1 if before <= 0 < gap else -1 if before >= 0 > gap else 0
             before = gap
             out.append((key[0], t, c, a, b, macd, line, crossed))
