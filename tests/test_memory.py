@@ -1,11 +1,12 @@
-"""Scenario scores against plain loops; what a task holds stays bounded."""
+"""Scenario scores and bootstraps of a user's statistic against plain loops; what a task holds stays bounded."""
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.operators import memory
+from tidemark.operators import extension, memory
 
 
 def _snapshots(spark, body):
@@ -51,3 +52,27 @@ def test_a_task_compares_few_cells_at_once(spark, monkeypatch):
     rows = own.toPandas()
     sizes = [total.size for _, _, total, _ in memory._compared(pd.concat([rows.assign(asks=False), rows.assign(asks=True)]))]
     assert len(sizes) == 120 and max(sizes) <= 3000
+
+
+def test_bootstrap_of_values_over_pages(spark, monkeypatch):
+    monkeypatch.setattr(extension, "PAGE", 5)
+    monkeypatch.setattr(extension, "ROWS", 7)
+    rng = random.Random(5)
+    df = spark.createDataFrame([(g, float(rng.randrange(23)), k) for k, g in enumerate(["a"] * 150 + ["b"] * 60 + [None] * 20)], "g string, v double, k long")
+    median = lambda v, w: v[min(np.searchsorted(np.cumsum(w), w.sum() / 2), len(v) - 1)]
+    got = {r.g: (round(r.mean, 9), r.replicates) for r in extension.bootstrap_statistic(df, "v", "k", "g", median, 40).collect()}
+    rows = df.selectExpr("g", "v", "xxhash64(k) AS h").collect()
+    mask, want = 2**64 - 1, {}
+    for g in ("a", "b", None):
+        found = []
+        for r in range(40):
+            weight = {}
+            for row in (x for x in rows if x.g == g):
+                m = ((row.h & mask) ^ (7 * 0x9E3779B97F4A7C15 + r * 0xBF58476D1CE4E5B9 & mask)) * 0x94D049BB133111EB & mask
+                m ^= m >> 31
+                u = (m * 0xD6E8FEB86659FD93 & mask) >> 11
+                weight[row.v] = weight.get(row.v, 0) + int(np.searchsorted(extension._POISSON, u / 2**53))
+            v = np.array(sorted(weight))
+            found.append(median(v, np.array([weight[x] for x in v], float)))
+        want[g] = (round(sum(found) / 40, 9), 40)
+    assert got == want

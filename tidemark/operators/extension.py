@@ -6,7 +6,7 @@ time in Arrow batches, so one series must fit a worker.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -110,25 +110,68 @@ def with_labels(features: DataFrame, labels: DataFrame, name: str = "label") ->
     return features.join(own, ["symbol", "ts"]).where(F.col("label").isNotNull())
 
 
+#: Cumulative Poisson(1) probabilities, rows weighed at once, and distinct values that a task keeps before it hands them on.
+_POISSON = np.cumsum([0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.06131324019524039, 0.015328310048810098, 0.00306566200976202, 0.000510943668293670])
+ROWS, PAGE = 2048, 1024
+
+
+def _weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson weight of each key (64 bits) in each replicate."""
+    salt = np.array([seed * 0x9E3779B97F4A7C15 + r * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF for r in range(replicates)], np.uint64)
+    mixed = (keys[:, None] ^ salt) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    u = (mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)).astype(float) / 2**53
+    return np.searchsorted(_POISSON, u)
+
+
 def bootstrap_statistic(df: DataFrame, x: str, row_key: str, by: str, f: Callable[[np.ndarray, np.ndarray], float], replicates: int = 200, seed: int = 7, level: float = 0.95, parts: int = 32) -> DataFrame:
     """Percentile interval of a statistic that is no weighted mean: ``f(values, weights)`` for each replicate of Poisson
-    weights. Values are pre-aggregated to distinct ones per replicate block, and a task holds one group's distinct
-    values with their weights, never its rows times the replicates."""
+    weights. ``f`` takes a group's distinct values in order, so a task holds these with the weights of one of ``parts``
+    blocks of replicates, never its rows: rows of one value meet in order, and only the sums of their weights go on, a
+    page of values at a time."""
     a = (1 - level) / 2
 
-    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows["_h"].to_numpy(np.int64).view(np.uint64)
-        block = int(rows["_b"].iloc[0])
-        values, place = np.unique(rows[x].to_numpy(float), return_inverse=True)
-        out = []
-        for r in range(block, replicates, parts):
-            mixed = (keys ^ np.uint64(seed * 0x9E3779B97F4A7C15 + r * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x94D049BB133111EB)
-            mixed ^= mixed >> np.uint64(31)
-            u = (mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)).astype(float) / 2**53
-            weight = np.searchsorted(np.cumsum([0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.06131324019524039, 0.015328310048810098, 0.00306566200976202, 0.000510943668293670]), u)
-            out.append((rows[by].iloc[0], float(f(values, np.bincount(place, weight, len(values))))))
-        return pd.DataFrame(out, columns=[by, "statistic"])
-
-    own = df.where(F.col(x).isNotNull()).select(by, x, F.xxhash64(row_key).alias("_h")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = own.groupBy(by, "_b").applyInPandas(weigh, f"{by} {dict(df.dtypes)[by]}, statistic double")
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, values, sums = None, [], []  # the last value of a page may go on in the next rows
+
+        def page(k: int) -> pd.DataFrame:
+            own = np.array(sums[:k])
+            rows = [(group, b, values[:k], own[:, b::parts].ravel()) for b in range(min(parts, replicates))]
+            del values[:k], sums[:k]
+            return pd.DataFrame(rows, columns=[by, "_b", "_values", "_weights"])
+
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                rows = batch.iloc[lo : lo + ROWS]
+                v, code = rows["_x"].to_numpy(float), pd.factorize(rows[by], use_na_sentinel=False)[0]
+                same = (code[1:] == code[:-1]) & ((v[1:] == v[:-1]) | np.isnan(v[1:]) & np.isnan(v[:-1]))
+                first = np.r_[0, np.flatnonzero(~same) + 1]
+                added = np.add.reduceat(_weights(rows["_h"].to_numpy(np.int64).view(np.uint64), replicates, seed), first, axis=0)
+                for at, w in zip(first, added):
+                    g, value = rows[by].iat[at], v[at]
+                    if values and not (g == group or pd.isna(g) and pd.isna(group)):
+                        yield page(len(values))
+                    if values and (values[-1] == value or np.isnan(values[-1]) and np.isnan(value)):
+                        sums[-1] = sums[-1] + w
+                        continue
+                    group = g
+                    values.append(value)
+                    sums.append(w)
+                    if len(values) > PAGE:
+                        yield page(PAGE)
+        if values:
+            yield page(len(values))
+
+    def apply(pages: pd.DataFrame) -> pd.DataFrame:
+        values = np.concatenate(pages["_values"].to_numpy())
+        block = int(pages["_b"].iloc[0])
+        weights = np.concatenate(pages["_weights"].to_numpy()).reshape(len(values), -1)
+        order = np.argsort(values)
+        values = values[order]
+        return pd.DataFrame([(pages[by].iloc[0], float(f(values, weights[order, k].astype(float)))) for k in range(len(range(block, replicates, parts)))], columns=[by, "statistic"])
+
+    kind = dict(df.dtypes)[by]
+    own = df.where(F.col(x).isNotNull()).select(by, (F.col(x).cast("double") + F.lit(0.0)).alias("_x"), F.xxhash64(row_key).alias("_h"))
+    pages = own.repartition(by, "_x").sortWithinPartitions(by, "_x").mapInPandas(weigh, f"{by} {kind}, _b int, _values array<double>, _weights array<int>")
+    found = pages.groupBy(by, "_b").applyInPandas(apply, f"{by} {kind}, statistic double")
     return found.groupBy(by).agg(F.percentile("statistic", F.lit(a)).alias("lo"), F.percentile("statistic", F.lit(1 - a)).alias("hi"), F.avg("statistic").alias("mean"), F.count("*").alias("replicates"))
