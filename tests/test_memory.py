@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tidemark.operators import extension, memory
+from tidemark.streaming import jobs
 
 
 def _snapshots(spark, body):
@@ -76,3 +77,16 @@ def test_bootstrap_of_values_over_pages(spark, monkeypatch):
             found.append(median(v, np.array([weight[x] for x in v], float)))
         want[g] = (round(sum(found) / 40, 9), 40)
     assert got == want
+
+
+def test_a_stream_fold_takes_a_batch_in_slices(monkeypatch):
+    monkeypatch.setattr(jobs, "SLICE", 100)
+    rng = random.Random(9)
+    rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rng.randrange(300)), k, rng.random()) for k in range(1000)]
+    rng.shuffle(rows)
+    whole = pd.DataFrame(rows, columns=["ts", "seq", "value"])
+    slices = list(jobs._in_order(iter([whole[lo : lo + 37] for lo in range(0, 1000, 37)]), "value"))
+    assert [len(v) for _, v in slices] == [100] * 10
+    want = whole.sort_values(["ts", "seq"])
+    assert [v for _, values in slices for v in values] == want["value"].tolist()
+    assert np.concatenate([t for t, _ in slices]).tolist() == want["ts"].to_numpy().tolist()

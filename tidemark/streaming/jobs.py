@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,18 +63,38 @@ def against_history(live: DataFrame, history: DataFrame) -> DataFrame:
     return live.join(past, ["symbol", "day"]).select("symbol", "day", ((F.col("close") - F.col("past_close")) / F.col("past_close")).alias("close_diff"), (F.col("volume") / F.col("past_volume")).alias("volume_ratio"))
 
 
+#: Rows that a fold over a stream takes, and hands on, at once.
+SLICE = 65_536
+
+
+def _in_order(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[np.ndarray, list[float]]]:
+    """A symbol's rows of one batch by (ts, seq), as slices of times and values. Only three numbers a row are held."""
+    ts, seq, values = bytearray(), bytearray(), bytearray()
+    for batch in batches:
+        ts += batch["ts"].to_numpy("datetime64[ns]").tobytes()
+        seq += batch["seq"].fillna(2**62).to_numpy("int64").tobytes()  # rows without a number come last
+        values += batch[column].to_numpy(float).tobytes()
+    ts, seq, values = np.frombuffer(ts, "datetime64[ns]"), np.frombuffer(seq, "int64"), np.frombuffer(values, float)
+    order = np.lexsort((seq, ts))
+    del seq
+    for lo in range(0, len(order), SLICE):
+        at = order[lo : lo + SLICE]
+        yield ts[at], values[at].tolist()
+
+
 _MONITOR = "symbol string, n long, total double, peak double, drawdown double, streak int, alarms int"
 
 
 def monitor(rows: DataFrame, threshold: float, drift: float = 0.0) -> DataFrame:
     """Running CUSUM alarms, drawdown and streak per symbol of a value stream (symbol, ts, seq, value).
 
-    Rows of one batch are taken in order of (ts, seq); the state per symbol is seven numbers.
+    Rows of one batch are taken in order of (ts, seq), for which a task holds three numbers for each of a symbol's; the
+    state per symbol is seven numbers.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, total, peak, worst, streak, up, alarms = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0, 0.0, 0)
-        for value in pd.concat(list(batches)).sort_values(["ts", "seq"])["value"]:
+        for value in chain.from_iterable(values for _, values in _in_order(batches, "value")):
             n, total = n + 1, total + value
             peak = max(peak, total)
             worst = min(worst, total - peak)
@@ -105,19 +127,21 @@ def count_windows(rows: DataFrame, size: int, step: int) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         at, start, times, values = state.get if state.exists else (0, 0, [], [])
-        times, values, out = list(times), list(values), []
-        for t, v in pd.concat(list(batches)).sort_values(["ts", "seq"])[["ts", "value"]].itertuples(index=False):
-            at += 1
-            if at <= start:  # between two windows, where the step is longer than they are
-                continue
-            times.append(t.value // 1000)
-            values.append(float(v))
-            if at - start >= size:
-                out.append((key[0], start, pd.Timestamp(times[0] * 1000), pd.Timestamp(times[size - 1] * 1000), sum(values[:size]) / size))
-                start += step
-                times, values = times[step:], values[step:]
+        times, values = list(times), list(values)
+        for stamps, new in _in_order(batches, "value"):
+            out = []
+            for t, v in zip(stamps.astype("datetime64[us]").astype("int64").tolist(), new):
+                at += 1
+                if at <= start:  # between two windows, where the step is longer than they are
+                    continue
+                times.append(t)
+                values.append(v)
+                if at - start >= size:
+                    out.append((key[0], start, pd.Timestamp(times[0] * 1000), pd.Timestamp(times[size - 1] * 1000), sum(values[:size]) / size))
+                    start += step
+                    times, values = times[step:], values[step:]
+            yield pd.DataFrame(out, columns=["symbol", "start", "first_ts", "last_ts", "mean"]).astype({"start": "int64"})
         state.update((at, start, times, values))
-        yield pd.DataFrame(out, columns=["symbol", "start", "first_ts", "last_ts", "mean"]).astype({"start": "int64"})
 
     return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, start long, first_ts timestamp, last_ts timestamp, mean double", "at long, start long, times array<long>, vals array<double>", "append", "NoTimeout")
 
@@ -129,21 +153,24 @@ def live_crossovers(bars: DataFrame, fast: int = 10, slow: int = 30) -> DataFram
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, closes, quick, late, line, before = state.get if state.exists else (0, [], 0.0, 0.0, 0.0, 0.0)
-        closes, out = list(closes), []
-        for t, c in pd.concat(list(batches)).sort_values(["ts", "seq"])[["ts", "close"]].itertuples(index=False):
-            c = float(c)
-            closes = [*closes, c][-slow:]
-            quick, late = (c, c) if n == 0 else (quick + (c - quick) * 2 / 13, late + (c - late) * 2 / 27)
-            macd = quick - late
-            line = macd if n == 0 else line + (macd - line) * 2 / 10
-            n += 1
-            a, b = (sum(closes[-fast:]) / fast if n >= fast else None), (sum(closes) / slow if n >= slow else None)
-            gap = round(a - b, 9) if b is not None else 0.0
-            crossed = 0 if b is None or n == slow else 1 if before <= 0 < gap else -1 if before >= 0 > gap else 0
-            before = gap
-            out.append((key[0], t, c, a, b, macd, line, crossed))
+        closes = list(closes)
+        for stamps, new in _in_order(batches, "close"):
+            out = []
+            for c in new:
+                closes = [*closes, c][-slow:]
+                quick, late = (c, c) if n == 0 else (quick + (c - quick) * 2 / 13, late + (c - late) * 2 / 27)
+                macd = quick - late
+                line = macd if n == 0 else line + (macd - line) * 2 / 10
+                n += 1
+                a, b = (sum(closes[-fast:]) / fast if n >= fast else None), (sum(closes) / slow if n >= slow else None)
+                gap = round(a - b, 9) if b is not None else 0.0
+                crossed = 0 if b is None or n == slow else 1 if before <= 0 < gap else -1 if before >= 0 > gap else 0
+                before = gap
+                out.append((key[0], c, a, b, macd, line, crossed))
+            rows = pd.DataFrame(out, columns=["symbol", "close", "fast", "slow", "macd", "line", "signal"]).astype({"fast": float, "slow": float, "signal": "int32"})
+            rows.insert(1, "ts", stamps)
+            yield rows
         state.update((n, closes, quick, late, line, before))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "fast", "slow", "macd", "line", "signal"]).astype({"fast": float, "slow": float, "signal": "int32"})
 
     kept = "n long, closes array<double>, quick double, late double, line double, before double"
     return bars.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, close double, fast double, slow double, macd double, line double, signal int", kept, "append", "NoTimeout")
