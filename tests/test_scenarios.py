@@ -45,6 +45,29 @@ def met(monkeypatch):
     return pairs
 
 
+@pytest.mark.parametrize("cells", [2_000_000, 97])
+@pytest.mark.parametrize("size", [3, 6, 100])
+def test_figures_of_scenarios_against_all_pairs(monkeypatch, cells, size):
+    monkeypatch.setattr(scenarios, "CELLS", cells)
+    rows = _rows(600, size, size)
+    asked = rows[(rows["id"] % 4 == 0) | (rows["id"] < 5)]
+    got = scenarios._figures(pd.concat([rows.assign(asks=False), asked.assign(asks=True)]), _packed(asked, 0.0)).set_index("scenario")
+    want = _scores(rows, asked).groupby("scenario")["score"].agg(["count", "sum", "max"])
+    assert got["queries"].to_dict() == want["count"].to_dict()
+    assert np.allclose(got["total"], want["sum"].loc[got.index], atol=1e-9) and np.allclose(got["best"], want["max"].loc[got.index], atol=1e-12)
+
+
+def test_the_best_query_of_a_scenario_is_looked_for_beside_its_ranges(met):
+    share = []
+    for n in (3000, 12_000):
+        rows = _rows(n, 1)
+        asked = rows[rows["id"] % 4 == 0]
+        met.clear()
+        scenarios._figures(pd.concat([rows.assign(asks=False), asked.assign(asks=True)]), _packed(asked, 0.0))
+        share.append(sum(met) / (len(asked) * rows["scenario"].nunique()))
+    assert share[1] < 0.1 and share[1] < share[0] / 2
+
+
 def test_scenarios_that_cannot_be_among_the_best_do_not_meet_a_query(met):
     share = []
     for n in (3000, 12_000):
@@ -84,7 +107,7 @@ def test_an_id_in_many_scenarios_is_left_out_of_each(spark):
 
 def test_no_queries_and_features_without_a_value(spark):
     own = spark.createDataFrame(_rows(60, 5).astype({"is_bullish": bool}))
-    assert memory.scenario_matches(own.where("id < 0"), own, 5).count() == 0
+    assert memory.scenario_matches(own.where("id < 0"), own, 5).count() == 0 and memory.scenario_summary(own.where("id < 0"), own).count() == 0
     gap = own.selectExpr("id", "scenario", "CASE WHEN id <> 7 THEN range_pct END AS range_pct", "body_pct", "is_bullish", "close_position", "volatility")
     fine = gap.where("id <> 7")
     assert not scenarios.add_up(gap, fine)[0] and not scenarios.add_up(fine, gap)[0] and scenarios.add_up(fine, fine) == (True, 59)
